@@ -38,7 +38,8 @@ def bucket_prefix_sum(
 ) -> DataFrame:
     """Add `name`: the sum of `weight` over all earlier rows of the same group.
 
-    `base` (one row per group: group columns + `base`) is added to every row of its group.
+    `base` (one row per group: group columns + `base`) is added to every row of its group; any
+    further columns of it come along, so a small table reaches the rows without a join of its own.
     Group columns must not be null.
     """
     keys = [*group, "_b"]
@@ -91,8 +92,11 @@ def _offsets(marked: DataFrame, group: Sequence[str], base: DataFrame | None) ->
     start = F.coalesce(F.sum("_n").over(before), F.lit(0)).cast("bigint")
     if base is None:
         return counts.select(*group, "_b", start.alias("_off"))
-    joined = counts.withColumn("_s", start).join(base.select(*group, "base"), list(group))
-    return joined.select(*group, "_b", (F.col("_s") + F.col("base")).alias("_off"))
+    if not group:
+        raise ValueError("a base needs group columns")
+    joined = counts.withColumn("_s", start).join(base, list(group))
+    extra = [c for c in base.columns if c not in {*group, "base"}]
+    return joined.select(*group, "_b", (F.col("_s") + F.col("base")).alias("_off"), *extra)
 
 
 def hash_rank(

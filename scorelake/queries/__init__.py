@@ -5,6 +5,9 @@ from scorelake.queries.registry import ORACLES, QUERIES
 # importing a module registers its queries
 from scorelake.queries import (  # noqa: E402,F401  isort:skip
     bins,
+    captions,
+    evaluation,
+    scores,
 )
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -102,7 +102,7 @@ def _reads(text: str) -> list[str]:
     return [name for name in VIEWS if name in words]
 
 
-def _spark_dialect(text: str) -> str:
+def spark_text(text: str) -> str:
     text = re.sub(
         r"U\(([^,()]+),'([^']*)'\)",
         r"(cast(conv(substring(md5(concat_ws('|',cast(\1 as string),'\2')),1,8),16,10) as double)/4294967296.0D)",
@@ -111,7 +111,7 @@ def _spark_dialect(text: str) -> str:
     return re.sub(r"\bDIV\b", "div", text)
 
 
-def _duck_dialect(text: str) -> str:
+def duck_text(text: str) -> str:
     text = re.sub(
         r"U\(([^,()]+),'([^']*)'\)",
         r"(('0x'||substr(md5((\1)::varchar||'|'||'\2'),1,8))::ubigint::double/4294967296.0::double)",
@@ -133,7 +133,7 @@ def view(spark: SparkSession, sf: str, name: str) -> DataFrame:
     for source in inputs:
         text = re.sub(rf"\b(from|join) {source}\b", rf"\1 {{{source}}}", text)
     text = text.replace("'{\"width\": '", "concat(chr(123), '\"width\": ')").replace("'}'", "chr(125)")
-    return spark.sql(_spark_dialect(text), **inputs)
+    return spark.sql(spark_text(text), **inputs)
 
 
 def oracle(text: str) -> str:
@@ -157,4 +157,4 @@ def oracle(text: str) -> str:
             body = f"with {ctes},\n{body[5:]}"
         else:
             body = f"with {ctes}\n{body}"
-    return _duck_dialect(body)
+    return duck_text(body)
