@@ -32,7 +32,8 @@ def resolve_targets(
 
 def snap(value: Column, steps: int = 64) -> Column:
     """Nearest multiple of 1/steps inside [0, 1]."""
-    return F.least(F.greatest(F.round(value * steps) / steps, F.lit(0.0)), F.lit(1.0))
+    snapped = F.least(F.greatest(F.round(value * steps) / steps, F.lit(0.0)), F.lit(1.0))
+    return F.when(value.isNotNull(), snapped)
 
 
 def variant_keys(scores: Sequence[str] = SCORES) -> Column:

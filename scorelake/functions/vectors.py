@@ -48,7 +48,8 @@ def pad(tokens: Column, length: int, zero: Column) -> Column:
 def pad_mask(tokens: Column, length: int) -> Column:
     """True for the first min(n, length) places."""
     real = F.least(F.size(tokens), F.lit(length))
-    return F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda i: i < real)
+    mask = F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda i: i < real)
+    return F.when(tokens.isNotNull(), mask)
 
 
 def trim_to_mask(tokens: Column, mask: Column) -> Column:
@@ -86,7 +87,7 @@ def latent_sample(mean: Column, std: Column, key: Column | str, salt: str) -> Co
 def to_uint8(x: Column) -> Column:
     """[-1, 1] picture values -> 0..255, truncated."""
     unit = F.least(F.greatest(x * 0.5 + 0.5, F.lit(0.0)), F.lit(1.0))
-    return F.floor(unit * 255).cast("int")
+    return F.when(x.isNotNull(), F.floor(unit * 255).cast("int"))
 
 
 def nan_to_zero(x: Column) -> Column:

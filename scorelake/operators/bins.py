@@ -199,7 +199,10 @@ def edges_below(df: DataFrame, edges: Mapping[str, Sequence[float]], outputs: Ma
 def bin_numbers(df: DataFrame, edges: Mapping[str, Sequence[float]], names: Sequence[str]) -> DataFrame:
     """Add `{score}_bin`; a value equal to an edge belongs to the lower bin."""
     counted = edges_below(df, edges, {n: f"{n}_bin" for n in names})
-    return counted.withColumns({f"{n}_bin": F.greatest(F.col(f"{n}_bin") - 1, F.lit(0)) for n in names})
+    # greatest() skips NULL, so a missing score is kept apart
+    return counted.withColumns(
+        {f"{n}_bin": F.when(F.col(f"{n}_bin") > 0, F.col(f"{n}_bin") - 1).otherwise(F.col(f"{n}_bin")) for n in names}
+    )
 
 
 def bucketise_scores(

@@ -168,7 +168,7 @@ def clause_counts(clauses: DataFrame, objects: DataFrame) -> DataFrame:
     """One row per include clause: how many objects of its class were found, and is that enough."""
     per_class = objects.select("image_id", F.explode("objects").alias("class", "boxes"))
     joined = clauses.join(per_class, ["image_id", "class"], "left")
-    found = F.coalesce(F.least(F.array_size("boxes"), F.col("cnt")), F.lit(0))
+    found = F.least(F.coalesce(F.array_size("boxes"), F.lit(0)), F.col("cnt"))
     return joined.select("image_id", "pos", "class", "cnt", found.alias("found"), (found >= F.col("cnt")).alias("ok"))
 
 

@@ -35,7 +35,7 @@ def shuffle_shards(
         base = ranges.select("shard", F.col("lo").alias("base"))
     else:
         u = hash_u("shard", epoch_salt("shards", seed, epoch))
-        base = hash_prefix_sum(ranges.select("shard", "nsamples"), u, ["shard"], "nsamples", name="base")
+        base = hash_prefix_sum(ranges.select("shard", "nsamples"), u, ["shard"], "nsamples", name="base").drop("nsamples")
     rows = hash_u("key", epoch_salt("rows", seed, epoch))
     return hash_rank(indexed, rows, ["key"], group=["shard"], base=base)
 
@@ -116,7 +116,7 @@ def chunked_shuffle(
         base = chunks.select("rank", "chunk", (F.col("chunk") * chunk_size).alias("base"))
     else:
         u = hash_u(F.concat_ws("/", "rank", "chunk"), epoch_salt("chunks", seed, epoch))
-        base = hash_prefix_sum(chunks, u, ["chunk"], "size", group=["rank"], name="base")
+        base = hash_prefix_sum(chunks, u, ["chunk"], "size", group=["rank"], name="base").drop("size")
     rows = hash_u("idx", epoch_salt("chunk-rows", seed, epoch))
     return hash_rank(placed, rows, ["idx"], group=["rank", "chunk"], base=base)
 
@@ -156,12 +156,12 @@ def refill_rows(indexed: DataFrame, good: Column, seed: int, group: str = "shard
     """
     flagged = indexed.withColumn("_ok", F.coalesce(good, F.lit(False)))
     draw = hash_u("key", f"refill/{seed}")
-    counts = flagged.groupBy(group).agg(F.count_if("_ok").alias("_n")).withColumn("base", F.lit(0))
+    counts = flagged.groupBy(group).agg(F.count_if("_ok").alias("_good")).withColumn("base", F.lit(0))
     fine = hash_rank(flagged.where("_ok").select(group, "key"), draw, ["key"], [group], name="_g")
     bad = hash_rank(flagged.where(~F.col("_ok")).drop("_ok"), draw, ["key"], [group], counts, name="_j")
     pick = fine.select(group, "_g", F.col("key").alias("use_key"))
-    turn = F.when(F.col("_n") > 0, F.col("_j") % F.greatest(F.col("_n"), F.lit(1)))
-    filled = bad.withColumn("_g", turn).join(pick, [group, "_g"], "left").drop("_j", "_n", "_g")
+    turn = F.when(F.col("_good") > 0, F.col("_j") % F.greatest(F.col("_good"), F.lit(1)))
+    filled = bad.withColumn("_g", turn).join(pick, [group, "_g"], "left").drop("_j", "_good", "_g")
     kept = flagged.where("_ok").drop("_ok").withColumn("use_key", F.col("key"))
     return kept.unionByName(filled)
 

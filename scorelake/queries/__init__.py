@@ -7,7 +7,9 @@ from scorelake.queries import (  # noqa: E402,F401  isort:skip
     bins,
     captions,
     evaluation,
+    plans,
     scores,
+    vectors,
 )
 
 __all__ = ["ORACLES", "QUERIES"]

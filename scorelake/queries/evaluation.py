@@ -283,11 +283,11 @@ def task_overall(spark, sf):
 @query(
     """with f as (select *, isnan(value) as bad, row_number() over (partition by series order by ts, event_id) as p from metrics_v),
 g as (select *, p - row_number() over (partition by series order by ts, event_id) as run from f where bad)
-select series, epoch_us(min(ts)) as start_us, count(*) as length, count(*) >= 5 as alarm from g group by series, run"""
+select series, arg_min(event_id, p) as start_event_id, count(*) as length, count(*) >= 5 as alarm from g group by series, run"""
 )
 def nonfinite_runs(spark, sf):
     out = E.nonfinite_runs(view(spark, sf, "metrics_v"))
-    return out.select("series", F.unix_micros("start_ts").alias("start_us"), "length", "alarm")
+    return out.select("series", "start_event_id", "length", "alarm")
 
 
 @query(

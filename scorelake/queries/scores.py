@@ -97,7 +97,7 @@ def merge_scores(spark, sf):
 
 @query(
     """select s.key, s.source as source, coalesce(nullif(s.lang, 'en'), 'caption '||s.lang) as caption,
-  round(coalesce(synthetic_clip_score, 2.0)::double, 6) as clip_score,
+  round(coalesce(synthetic_clip_score::double, 2.0::double), 6) as clip_score,
   case when U(s.doc_id,'na') < 0.2 then 'n/a' else '1.5' end as vqa_score
 from samples_v s join scores_v c on s.key = c.key"""
 )
@@ -112,7 +112,7 @@ def merge_scores_json(spark, sf):
     scored = s.select(
         "key",
         meta.alias("meta"),
-        F.col("synthetic_clip_score").alias("clip_score"),
+        F.col("synthetic_clip_score").cast("double").alias("clip_score"),
         F.when(F.col("lang") == "en", F.concat(F.lit("caption "), "lang")).alias("caption"),
         F.when(hash_u("doc_id", "na") < 0.2, "n/a").otherwise("1.5").alias("vqa_score"),
     )
