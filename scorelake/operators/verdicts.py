@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from scorelake.functions.geometry import iou, relations
-from scorelake.schema import COLORS
+from scorelake.schema import COLORS, DETECTOR_CLASSES
 
 # Thresholds and box limit of the verdicts.
 MAX_OBJECTS = 16
@@ -32,9 +32,16 @@ def top_boxes(detections: DataFrame, k: int = MAX_OBJECTS, min_score: float = MI
     return strong.withColumn("rn", F.row_number().over(window)).where(F.col("rn") <= k)
 
 
-def name_classes(detections: DataFrame, class_names: DataFrame) -> DataFrame:
-    """(class_id) -> class: the name list has one row per detector class."""
-    return detections.join(class_names, "class_id").drop("class_id")
+def name_classes(detections: DataFrame, names: Sequence[str] = DETECTOR_CLASSES) -> DataFrame:
+    """class_id -> class, by place in the detector's fixed name list; unknown ids are dropped."""
+    named = detections.withColumn("class", F.get(F.lit(list(names)), F.col("class_id").cast("int")))
+    return named.where(F.col("class").isNotNull()).drop("class_id")
+
+
+def detections_long(images: DataFrame, names: Sequence[str] = DETECTOR_CLASSES) -> DataFrame:
+    """Detector output (image_id, boxes: array<struct(class_id, x1, y1, x2, y2, score, color)>) -> one row per box."""
+    rows = images.select("image_id", F.posexplode("boxes").alias("det_id", "b"))
+    return name_classes(rows.select("image_id", F.col("det_id").cast("long").alias("det_id"), "b.*"), names)
 
 
 def suppress(boxes: Column, threshold: float) -> Column:
