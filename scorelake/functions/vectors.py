@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
 
+from scorelake.functions.binding import let
 from scorelake.functions.hashing import normal
 from scorelake.schema import LATENT_CHANNEL_BIAS, LATENT_CHANNEL_SCALE, LATENT_SCALE
 
@@ -22,11 +23,8 @@ def norm(v: Column) -> Column:
 def l2_normalise(v: Column, floor: float | None = None) -> Column:
     """Unit vector; a zero vector stays zero. With `floor`, the norm is at least that much."""
     n = norm(v)
-    divisor = F.greatest(n, F.lit(floor)) if floor is not None else F.when(n == 0, F.lit(1.0)).otherwise(n)
-    # the norm is carried through a one-element array so that it is computed once per row
-    return F.element_at(
-        F.transform(F.array(divisor), lambda d: F.transform(v, lambda x: x.cast("double") / d)), 1
-    )
+    divisor = F.greatest(n, F.lit(floor)) if floor is not None else F.coalesce(F.nullif(n, F.lit(0.0)), F.lit(1.0))
+    return let(divisor, lambda d: F.transform(v, lambda x: x.cast("double") / d))
 
 
 def paired_similarity(image: Column, text: Column, scale: float = 1.0) -> Column:

@@ -60,7 +60,7 @@ def distinct_values(scores_long: DataFrame) -> DataFrame:
     value = F.col("value").cast("float")
     return (
         scores_long.select("score_name", value.alias("value"))
-        .where(F.col("value").isNotNull() & ~F.isnan("value"))
+        .where(F.col("score_name").isNotNull() & F.col("value").isNotNull() & ~F.isnan("value"))
         .distinct()
     )
 
@@ -68,66 +68,82 @@ def distinct_values(scores_long: DataFrame) -> DataFrame:
 def _float_bucket(v: Column) -> Column:
     """Monotone bucket number of a float32: 128 steps per octave, signed, zero in the middle."""
     step = F.floor(F.log2(F.abs(v.cast("double"))) * 128).cast("int") + 20000
-    return F.when(v > 0, step).when(v < 0, -step).otherwise(0)
+    # never NULL: a join on it then adds no filter of its own, and both uses of the distinct values
+    # stay the same plan, so Spark shuffles them once
+    return F.coalesce(F.when(v > 0, step).when(v < 0, -step), F.lit(0))
 
 
-def distinct_ranks(values: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Look up order statistics: `wanted(score_name, rank)` -> (score_name, rank, value).
+def _histogram(marked: DataFrame) -> DataFrame:
+    """One row per (score, bucket) with the rank its values start at and the score's totals.
 
-    `values` holds distinct (score_name, value); `wanted` is small (two ranks per edge).
+    Bounded by the float format (about 65 k buckets per score), whatever the size of the corpus.
     """
-    marked = values.withColumn("_b", _float_bucket(F.col("value")))
-    counts = marked.groupBy("score_name", "_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("score_name").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    hit = (
-        starts.join(wanted, "score_name")
-        .where((F.col("rank") >= F.col("_off")) & (F.col("rank") < F.col("_off") + F.col("_n")))
-        .select("score_name", "_b", "_off")
-        .distinct()
+    counts = marked.groupBy("score_name", "_b").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("value").alias("_min"), F.max("value").alias("_max")
     )
-    inside = Window.partitionBy("score_name", "_b").orderBy("value")
-    ranked = marked.join(hit, ["score_name", "_b"]).withColumn(
-        "rank", F.row_number().over(inside) - 1 + F.col("_off")
+    score = Window.partitionBy("score_name")
+    before = score.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    return counts.select(
+        "score_name",
+        "_b",
+        "_n",
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"),
+        F.sum("_n").over(score).alias("n_distinct"),
+        F.min("_min").over(score).cast("double").alias("lo_v"),
+        F.max("_max").over(score).cast("double").alias("hi_v"),
     )
-    return ranked.join(wanted, ["score_name", "rank"]).select("score_name", "rank", "value")
 
 
 def raw_edges(scores_long: DataFrame, spec: BinSpec) -> DataFrame:
-    """(score_name, n_distinct, i, edge) before the ends are forced; exact at any size."""
-    values = distinct_values(scores_long)
-    stats = values.groupBy("score_name").agg(
-        F.count(F.lit(1)).alias("n_distinct"),
-        F.min("value").cast("double").alias("lo_v"),
-        F.max("value").cast("double").alias("hi_v"),
-    )
-    steps = F.array(
-        *[F.struct(F.lit(i).alias("i"), F.lit(q).alias("q")) for i, q in enumerate(spec.positions)]
-    )
-    grid = stats.withColumn("s", F.explode(steps)).select("*", "s.i", "s.q").drop("s")
+    """(score_name, n_distinct, i, edge) before the ends are forced; exact at any size.
+
+    An edge at quantile q lies between the two order statistics around q * (n - 1). Each histogram
+    bucket lists the edges that need one of its values; only such buckets are ranked.
+    """
     spread = F.col("hi_v") - F.col("lo_v")
     linear = F.col("lo_v") + spread * (F.col("i") / F.lit(spec.actual))
+    values = distinct_values(scores_long)
     if spec.strategy == "uniform":
+        stats = values.groupBy("score_name").agg(
+            F.count(F.lit(1)).alias("n_distinct"),
+            F.min("value").cast("double").alias("lo_v"),
+            F.max("value").cast("double").alias("hi_v"),
+        )
+        grid = stats.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(spec.actual))))
         return grid.select("score_name", "n_distinct", "i", linear.cast("float").alias("edge"))
 
-    grid = (
-        grid.withColumn("pos", F.col("q") * (F.col("n_distinct") - 1))
-        .withColumn("lo", F.floor("pos"))
-        .withColumn("hi", F.least(F.col("lo") + 1, F.col("n_distinct") - 1))
+    marked = values.withColumn("_b", _float_bucket(F.col("value")))
+    top = F.col("n_distinct") - 1
+
+    def want(q: Column, i: Column) -> Column:
+        lo = F.floor(q * top)
+        return F.struct(
+            i.alias("i"), (q * top - lo).alias("part"), lo.alias("lo"), F.least(lo + 1, top).alias("hi")
+        )
+
+    def inside(rank: Column) -> Column:
+        return (rank >= F.col("_off")) & (rank < F.col("_off") + F.col("_n"))
+
+    positions = F.expr(f"array({', '.join(f'{q!r}D' for q in spec.positions)})")
+    wants = F.filter(F.transform(positions, want), lambda w: inside(w["lo"]) | inside(w["hi"]))
+    needed = _histogram(marked).withColumn("wants", wants).where(F.size("wants") > 0)
+
+    bucket = Window.partitionBy("score_name", "_b").orderBy("value")
+    # broadcast: at most two buckets per edge and score
+    ranked = marked.join(F.broadcast(needed.drop("_n")), ["score_name", "_b"]).withColumn(
+        "rank", F.row_number().over(bucket) - 1 + F.col("_off")
+    )
+    hits = F.filter("wants", lambda w: (w["lo"] == F.col("rank")) | (w["hi"] == F.col("rank")))
+    found = ranked.select("score_name", "n_distinct", "lo_v", "hi_v", "rank", "value", F.inline(hits))
+    v = F.col("value").cast("double")
+    ends = found.groupBy("score_name", "n_distinct", "lo_v", "hi_v", "i", "part").agg(
+        F.max(F.when(F.col("lo") == F.col("rank"), v)).alias("v_lo"),
+        F.max(F.when(F.col("hi") == F.col("rank"), v)).alias("v_hi"),
     )
-    wanted = grid.select("score_name", F.explode(F.array("lo", "hi")).alias("rank")).distinct()
-    found = distinct_ranks(values, wanted)
-    low = found.select("score_name", F.col("rank").alias("lo"), F.col("value").alias("v_lo"))
-    high = found.select("score_name", F.col("rank").alias("hi"), F.col("value").alias("v_hi"))
-    v_lo, v_hi = F.col("v_lo").cast("double"), F.col("v_hi").cast("double")
-    quantile = v_lo + (F.col("pos") - F.col("lo")) * (v_hi - v_lo)
+    quantile = F.col("v_lo") + F.col("part") * (F.col("v_hi") - F.col("v_lo"))
     # too few distinct values for the wanted number of edges: equal widths instead
     edge = F.when(F.col("n_distinct") < spec.actual + 1, linear).otherwise(quantile)
-    return (
-        grid.join(low, ["score_name", "lo"])
-        .join(high, ["score_name", "hi"])
-        .select("score_name", "n_distinct", "i", edge.cast("float").alias("edge"))
-    )
+    return ends.select("score_name", "n_distinct", "i", edge.cast("float").alias("edge"))
 
 
 def finalise_edges(edges: Column) -> Column:

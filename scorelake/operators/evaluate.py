@@ -68,23 +68,24 @@ def task_accuracy(verdicts: DataFrame, tag: str = "tag", spec: str = "metadata")
 
 
 def task_overall(verdicts: DataFrame, tag: str = "tag", spec: str = "metadata") -> DataFrame:
-    """One row: totals, share of correct images and specs, unweighted mean over tags."""
-    per_spec = verdicts.groupBy(spec).agg(F.bool_or("correct").alias("any_correct"))
-    specs = per_spec.agg(
-        F.struct(
-            F.count(F.lit(1)).alias("n"), F.avg(F.col("any_correct").cast("double")).alias("share")
-        )
-    ).scalar()
-    overall = task_accuracy(verdicts, tag, spec).agg(F.avg("accuracy")).scalar()
-    return verdicts.agg(
-        F.count(F.lit(1)).alias("n_images"),
-        F.avg(F.col("correct").cast("double")).alias("correct_images"),
-    ).select(
-        "n_images",
-        "correct_images",
-        specs["n"].alias("n_prompts"),
-        specs["share"].alias("correct_prompts"),
-        overall.alias("overall"),
+    """One row: totals, share of correct images and specs, unweighted mean over tags.
+
+    Verdicts are read once: counts per (tag, spec), then per tag and per spec in one grouping.
+    """
+    counts = verdicts.groupBy(F.col(tag).alias("_t"), F.col(spec).alias("_s")).agg(
+        F.count(F.lit(1)).alias("_n"), F.sum(F.col("correct").cast("int")).alias("_c")
+    )
+    both = counts.groupingSets([[F.col("_t")], [F.col("_s")]], F.col("_t"), F.col("_s")).agg(
+        F.grouping("_t").alias("_is_spec"), F.sum("_n").alias("_n"), F.sum("_c").alias("_c")
+    )
+    by_tag, by_spec = F.col("_is_spec") == 0, F.col("_is_spec") == 1
+    n, c = F.sum(F.when(by_tag, F.col("_n"))), F.sum(F.when(by_tag, F.col("_c")))
+    return both.agg(
+        n.alias("n_images"),
+        (c / n).alias("correct_images"),
+        F.count_if(by_spec).alias("n_prompts"),
+        F.avg(F.when(by_spec, (F.col("_c") > 0).cast("double"))).alias("correct_prompts"),
+        F.avg(F.when(by_tag, F.col("_c") / F.col("_n"))).alias("overall"),
     )
 
 

@@ -19,8 +19,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from scorelake.session import materialise
 
-# One hot group of 10^10 rows split 4096 ways leaves 2.4 million rows per window.
+# A whole table is cut into this many hash buckets: 10^10 rows leave 2.4 million per window.
 HASH_BUCKETS = 4096
+# A group with more rows than this is split; smaller ones are one bucket each.
+ROWS_PER_BUCKET = 1_000_000
 
 
 def _col(c: Column | str) -> Column:
@@ -79,8 +81,10 @@ def bucket_rank(
             raise ValueError("limit counts from the start of a group; it cannot follow a base")
         offsets = offsets.where(F.col("_off") < limit)
         marked = marked.join(offsets, keys)
-        ranked = marked.withColumn(name, F.row_number().over(window) - 1 + F.col("_off"))
-        return ranked.where(F.col(name) < limit).drop("_b", "_off")
+        # the plain row-number filter lets Spark cut each task's rows before the shuffle
+        ranked = marked.withColumn("_rn", F.row_number().over(window)).where(F.col("_rn") <= limit)
+        ranked = ranked.withColumn(name, F.col("_rn") - 1 + F.col("_off"))
+        return ranked.where(F.col(name) < limit).drop("_b", "_rn", "_off")
     ranked = marked.withColumn("_rn", F.row_number().over(window) - 1).join(offsets, keys)
     return ranked.withColumn(name, F.col("_rn") + F.col("_off")).drop("_b", "_rn", "_off")
 
@@ -99,6 +103,22 @@ def _offsets(marked: DataFrame, group: Sequence[str], base: DataFrame | None) ->
     return joined.select(*group, "_b", (F.col("_s") + F.col("base")).alias("_off"), *extra)
 
 
+def _hash_bucketed(
+    df: DataFrame, u: Column, group: Sequence[str], buckets: int | None, rows_per_bucket: int
+) -> tuple[DataFrame, Column]:
+    """Add `_u`, and tell the bucket: a fixed number per group, or as many as the group's size asks for."""
+    marked = df.withColumn("_u", u)
+    if buckets is None and not group:
+        buckets = HASH_BUCKETS
+    if buckets is not None:
+        return marked, F.floor(F.col("_u") * buckets).cast("int")
+    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows_per_bucket)
+    large = sizes.select(*group, F.ceil(F.col("_n") / rows_per_bucket).cast("int").alias("_k"))
+    # broadcast: there are at most rows / rows_per_bucket large groups
+    marked = marked.join(F.broadcast(large), list(group), "left")
+    return marked, F.floor(F.col("_u") * F.coalesce("_k", F.lit(1))).cast("int")
+
+
 def hash_rank(
     df: DataFrame,
     u: Column,
@@ -107,12 +127,12 @@ def hash_rank(
     base: DataFrame | None = None,
     limit: int | None = None,
     name: str = "pos",
-    buckets: int = HASH_BUCKETS,
+    buckets: int | None = None,
+    rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """`bucket_rank` for rows sorted by a uniform number `u`, ties by `tie`."""
-    marked = df.withColumn("_u", u)
-    bucket = F.floor(F.col("_u") * buckets).cast("int")
-    return bucket_rank(marked, bucket, ["_u", *tie], group, base, limit, name).drop("_u")
+    marked, bucket = _hash_bucketed(df, u, group, buckets, rows_per_bucket)
+    return bucket_rank(marked, bucket, ["_u", *tie], group, base, limit, name).drop("_u", "_k")
 
 
 def hash_prefix_sum(
@@ -123,11 +143,11 @@ def hash_prefix_sum(
     group: Sequence[str] = (),
     base: DataFrame | None = None,
     name: str = "offset",
-    buckets: int = HASH_BUCKETS,
+    buckets: int | None = None,
+    rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
-    marked = df.withColumn("_u", u)
-    bucket = F.floor(F.col("_u") * buckets).cast("int")
-    return bucket_prefix_sum(marked, bucket, ["_u", *tie], weight, group, base, name).drop("_u")
+    marked, bucket = _hash_bucketed(df, u, group, buckets, rows_per_bucket)
+    return bucket_prefix_sum(marked, bucket, ["_u", *tie], weight, group, base, name).drop("_u", "_k")
 
 
 def ordered_index(df: DataFrame, order: Sequence[Column | str], name: str = "idx") -> DataFrame:

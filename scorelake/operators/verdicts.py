@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from scorelake.functions.binding import let
 from scorelake.functions.geometry import iou, relations
 from scorelake.schema import COLORS, DETECTOR_CLASSES
 
@@ -91,40 +92,55 @@ def _color_reason(clause: Column, found: Column, colors: Sequence[str]) -> Colum
 
 def _check_include(state: Column, clause: Column, objects: Column, colors: Sequence[str]) -> Column:
     """Outcome of one clause: struct(matched, reason, found)."""
-    here = F.try_element_at(objects, clause["class"])
-    none = F.slice(F.element_at(F.map_values(objects), 1), 1, 0)
-    found = F.coalesce(F.slice(here, F.lit(1), clause["cnt"]), none)
-    n_found = F.coalesce(F.size(found), F.lit(0))
-    n_found = F.when(n_found < 0, 0).otherwise(n_found)
-    n_color = F.size(F.filter(found, lambda o: o["color"] == clause["color"]))
-    target = F.get(state, clause["tgt"])
-
-    def misses(o: Column) -> Column:
-        bad = F.filter(target["found"], lambda t: ~F.array_contains(relations(o, t), clause["rel"]))
-        return F.transform(bad, lambda t: F.array_join(relations(o, t), " and "))
-
-    wrong = F.flatten(F.transform(found, misses))
-    short = n_found < clause["cnt"]
-    off_color = clause["color"].isNotNull() & (n_color < clause["cnt"])
-    relational = clause["rel"].isNotNull()
-    no_target = relational & ~F.coalesce(target["matched"], F.lit(False))
-    misplaced = relational & (F.size(wrong) > 0)
-    name = clause["class"]
-    reason = (
-        F.when(
-            short,
-            F.concat(F.lit("expected "), name, F.lit(">="), clause["cnt"].cast("string"),
-                     F.lit(", found "), n_found.cast("string")),
+    counted = F.slice(F.try_element_at(objects, clause["class"]), F.lit(1), clause["cnt"])
+    start = F.struct(
+        F.coalesce(counted, F.array().cast(f"array<{_BOX}>")).alias("found"),
+        F.get(state, clause["tgt"]).alias("target"),
+    )
+    name, cnt, color, rel = clause["class"], clause["cnt"], clause["color"], clause["rel"]
+
+    def first_miss(s: Column) -> Column:
+        """Relations of the first pair that does not hold the wanted one; NULL when all do."""
+
+        def misses(o: Column) -> Column:
+            held = F.transform(s["target"]["found"], lambda t: relations(o, t))
+            return F.filter(held, lambda r: ~F.array_contains(r, rel))
+
+        return F.get(F.flatten(F.transform(s["found"], misses)), F.lit(0))
+
+    def located(s: Column) -> Column:
+        return let(
+            F.struct(first_miss(s).alias("miss")),
+            lambda m: F.when(
+                m["miss"].isNotNull(),
+                F.concat(F.lit("expected "), name, F.lit(" "), rel, F.lit(" target, found "),
+                         F.array_join(m["miss"], " and "), F.lit(" target")),
+            ),
         )
-        .when(off_color, _color_reason(clause, found, colors))
-        .when(no_target, F.concat(F.lit("no target for "), name, F.lit(" to be "), clause["rel"]))
-        .when(
-            misplaced,
-            F.concat(F.lit("expected "), name, F.lit(" "), clause["rel"], F.lit(" target, found "),
-                     F.get(wrong, F.lit(0)), F.lit(" target")),
+
+    def reason(s: Column) -> Column:
+        n_color = F.size(F.filter(s["found"], lambda o: o["color"] == color))
+        return (
+            F.when(
+                F.size(s["found"]) < cnt,
+                F.concat(F.lit("expected "), name, F.lit(">="), cnt.cast("string"),
+                         F.lit(", found "), F.size(s["found"]).cast("string")),
+            )
+            .when(color.isNotNull() & (n_color < cnt), _color_reason(clause, s["found"], colors))
+            .when(
+                rel.isNotNull() & ~F.coalesce(s["target"]["matched"], F.lit(False)),
+                F.concat(F.lit("no target for "), name, F.lit(" to be "), rel),
+            )
+            .when(rel.isNotNull(), located(s))
         )
-    )
-    return F.struct(reason.isNull().alias("matched"), reason.alias("reason"), found.alias("found"))
+
+    def outcome(s: Column) -> Column:
+        return let(
+            reason(s),
+            lambda why: F.struct(why.isNull().alias("matched"), why.alias("reason"), s["found"].alias("found")),
+        )
+
+    return let(start, outcome)
 
 
 def judge(

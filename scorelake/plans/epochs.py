@@ -12,7 +12,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from scorelake.functions.hashing import hash_u
-from scorelake.operators.ranks import bucket_rank, hash_prefix_sum, hash_rank, ordered_index
+from scorelake.operators.ranks import (
+    ROWS_PER_BUCKET,
+    bucket_rank,
+    hash_prefix_sum,
+    hash_rank,
+    ordered_index,
+)
 
 
 def epoch_salt(purpose: str, seed: int, epoch: int) -> str:
@@ -118,7 +124,9 @@ def chunked_shuffle(
         u = hash_u(F.concat_ws("/", "rank", "chunk"), epoch_salt("chunks", seed, epoch))
         base = hash_prefix_sum(chunks, u, ["chunk"], "size", group=["rank"], name="base").drop("size")
     rows = hash_u("idx", epoch_salt("chunk-rows", seed, epoch))
-    return hash_rank(placed, rows, ["idx"], group=["rank", "chunk"], base=base)
+    # a chunk's size is known, so is the number of buckets it needs
+    buckets = max(1, chunk_size // ROWS_PER_BUCKET)
+    return hash_rank(placed, rows, ["idx"], group=["rank", "chunk"], base=base, buckets=buckets)
 
 
 def buffer_shuffle(df: DataFrame, buffer: int, batch: int, seed: int, n: int, pos: str = "pos") -> DataFrame:

@@ -209,20 +209,19 @@ def _rel_sql(a: str, b: str) -> str:
 
 
 @query(
-    f"""with {_TOP}, best as (select * from top where rn = 1)
-select a.image_id, a.class as class_a, b.class as class_b, array_to_string({_rel_sql('a', 'b')}, ' and ') as relation
-from best a join best b on a.image_id = b.image_id and a.class < b.class"""
+    f"""with {_TOP}, best as (select * from top where rn = 1),
+anchor as (select * from best qualify row_number() over (partition by image_id order by class) = 1)
+select a.image_id, a.class as class, b.class as target, array_to_string({_rel_sql('a', 'b')}, ' and ') as relation
+from best a join anchor b on a.image_id = b.image_id and a.class <> b.class"""
 )
 def relative_position(spark, sf):
-    """Relation of the best boxes of an image's classes (one box per class)."""
+    """Relation of each class's best box to the best box of the image's first class."""
     best = V.top_boxes(view(spark, sf, "detections_v"), k=1)
-    box = F.struct("x1", "y1", "x2", "y2").alias("box")
-    one = best.select("image_id", "class", box)
-    a = one.select("image_id", F.col("class").alias("class_a"), F.col("box").alias("a"))
-    b = one.select("image_id", F.col("class").alias("class_b"), F.col("box").alias("b"))
-    pairs = a.join(b, "image_id").where(F.col("class_a") < F.col("class_b"))
-    relation = F.array_join(relations(F.col("a"), F.col("b")), " and ")
-    return pairs.select("image_id", "class_a", "class_b", relation.alias("relation"))
+    one = best.select("image_id", "class", F.struct("x1", "y1", "x2", "y2").alias("box"))
+    target = one.groupBy("image_id").agg(F.min_by(F.struct("class", "box"), "class").alias("t"))
+    pairs = one.join(target, "image_id").where(F.col("class") != F.col("t.class"))
+    relation = F.array_join(relations(F.col("box"), F.col("t.box")), " and ")
+    return pairs.select("image_id", "class", F.col("t.class").alias("target"), relation.alias("relation"))
 
 
 _VERDICT = f"""{_OBJ},

@@ -58,12 +58,12 @@ def index_to_shard(spark, sf):
 
 
 @query(
-    f"with {_IDX}, {_RANGES} select shard, shard_idx, lo, hi from rg where shard_idx between 1 and (select max(shard_idx) - 1 from rg)"
+    f"with {_IDX}, {_RANGES} select shard, shard_idx, lo, hi from rg where shard_idx between 0 and (select max(shard_idx) - 1 from rg)"
 )
 def select_shards(spark, sf):
     _, ranges = _indexed(spark, sf)
     n = _n(ranges)
-    return shards.select_shards(ranges, n, shard_range=(1, n - 2)).select("shard", "shard_idx", "lo", "hi")
+    return shards.select_shards(ranges, n, shard_range=(0, n - 2)).select("shard", "shard_idx", "lo", "hi")
 
 
 @query(

@@ -26,8 +26,10 @@ def by_group(rows, key):
     return out
 
 
-def test_hash_rank_of_groups(hot):
-    rows = hash_rank(hot.withColumn("u", hash_u("key", "t")), F.col("u"), ["key"], ["grp"], buckets=64).collect()
+@pytest.mark.parametrize("rows_per_bucket", [50, 200, 10_000])
+def test_hash_rank_of_groups(hot, rows_per_bucket):
+    marked = hot.withColumn("u", hash_u("key", "t"))
+    rows = hash_rank(marked, F.col("u"), ["key"], ["grp"], rows_per_bucket=rows_per_bucket).collect()
     assert len(rows) == 3000
     for members in by_group(rows, lambda r: (r["u"], r["key"])).values():
         assert [r["pos"] for r in members] == list(range(len(members)))
@@ -36,7 +38,7 @@ def test_hash_rank_of_groups(hot):
 def test_limit_keeps_the_first_of_each_group(hot):
     marked = hot.withColumn("u", hash_u("key", "t"))
     full = hash_rank(marked, F.col("u"), ["key"], ["grp"]).where("pos < 5")
-    cut = hash_rank(marked, F.col("u"), ["key"], ["grp"], limit=5)
+    cut = hash_rank(marked, F.col("u"), ["key"], ["grp"], limit=5, rows_per_bucket=70)
     assert {r["key"] for r in cut.collect()} == {r["key"] for r in full.collect()}
 
 
