@@ -3,7 +3,7 @@
 A window over a whole table, or over a group that may hold a third of it, would run in one task.
 Two ways around that:
 
-* `bucket_rank` / `bucket_prefix_sum`: the caller names a bucket that is monotone in the sort key
+* `bucket_rank` / `bucket_prefix_sums`: the caller names a bucket that is monotone in the sort key
   (for hash-ordered work: the leading part of the hash). Windows run per (group, bucket); a small
   per-bucket count table carries the offsets. Buckets are a pure function of the row, so any lost
   task can be recomputed. The rows are shuffled once: window and join share (group, bucket).
@@ -13,7 +13,7 @@ Two ways around that:
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -29,33 +29,29 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def bucket_prefix_sum(
+def bucket_prefix_sums(
     df: DataFrame,
     bucket: Column,
     order: Sequence[Column | str],
-    weight: Column | str,
+    weights: Mapping[str, Column | str],
     group: Sequence[str] = (),
-    base: DataFrame | None = None,
-    name: str = "offset",
 ) -> DataFrame:
-    """Add `name`: the sum of `weight` over all earlier rows of the same group.
+    """Add one column per weight: its sum over all earlier rows of the same group (weight 1: a rank).
 
-    `base` (one row per group: group columns + `base`) is added to every row of its group; any
-    further columns of it come along, so a small table reaches the rows without a join of its own.
     Group columns must not be null.
     """
     keys = [*group, "_b"]
-    marked = df.withColumn("_b", bucket).withColumn("_w", _col(weight).cast("bigint"))
-    offsets = _offsets(marked, group, base)
+    marked = df.withColumn("_b", bucket).withColumns(
+        {f"_w_{n}": _col(w).cast("bigint") for n, w in weights.items()}
+    )
     inside = (
         Window.partitionBy(*keys).orderBy(*map(_col, order)).rowsBetween(Window.unboundedPreceding, -1)
     )
-    return (
-        marked.withColumn("_in", F.coalesce(F.sum("_w").over(inside), F.lit(0)))
-        .join(offsets, keys)
-        .withColumn(name, F.col("_in") + F.col("_off"))
-        .drop("_b", "_w", "_in", "_off")
-    )
+    summed = marked.withColumns(
+        {f"_in_{n}": F.coalesce(F.sum(f"_w_{n}").over(inside), F.lit(0)) for n in weights}
+    ).join(_offsets(marked, {n: F.sum(f"_w_{n}") for n in weights}, group), keys)
+    scratch = [f"{p}_{n}" for n in weights for p in ("_w", "_in", "_off")]
+    return summed.withColumns({n: F.col(f"_in_{n}") + F.col(f"_off_{n}") for n in weights}).drop("_b", *scratch)
 
 
 def bucket_rank(
@@ -69,12 +65,16 @@ def bucket_rank(
 ) -> DataFrame:
     """Add `name`: the 0-based position inside the group, rows sorted by `order`.
 
+    `base` (one row per group: group columns + `base`) is added to every row of its group; any
+    further columns of it come along, so a small table reaches the rows without a join of its own.
+    Group columns must not be null.
+
     With `limit`, only positions below it survive; buckets that lie wholly past the limit are
     dropped before the rows are shuffled for the window, so a cap of k costs about k rows.
     """
     keys = [*group, "_b"]
     marked = df.withColumn("_b", bucket)
-    offsets = _offsets(marked.withColumn("_w", F.lit(1)), group, base)
+    offsets = _offsets(marked, {"": F.count(F.lit(1))}, group).withColumnRenamed("_off_", "_off")
     window = Window.partitionBy(*keys).orderBy(*map(_col, order))
     if limit is not None:
         if base is not None:
@@ -85,22 +85,22 @@ def bucket_rank(
         ranked = marked.withColumn("_rn", F.row_number().over(window)).where(F.col("_rn") <= limit)
         ranked = ranked.withColumn(name, F.col("_rn") - 1 + F.col("_off"))
         return ranked.where(F.col(name) < limit).drop("_b", "_rn", "_off")
+    if base is not None:
+        if not group:
+            raise ValueError("a base needs group columns")
+        offsets = offsets.join(base, list(group)).withColumn("_off", F.col("_off") + F.col("base")).drop("base")
     ranked = marked.withColumn("_rn", F.row_number().over(window) - 1).join(offsets, keys)
     return ranked.withColumn(name, F.col("_rn") + F.col("_off")).drop("_b", "_rn", "_off")
 
 
-def _offsets(marked: DataFrame, group: Sequence[str], base: DataFrame | None) -> DataFrame:
-    """Start of every (group, bucket); the window sees at most one row per bucket of a group."""
-    counts = marked.groupBy(*group, "_b").agg(F.sum("_w").cast("bigint").alias("_n"))
+def _offsets(marked: DataFrame, sums: Mapping[str, Column], group: Sequence[str]) -> DataFrame:
+    """`_off_*` at the start of every (group, bucket); the window sees one row per bucket of a group."""
+    counts = marked.groupBy(*group, "_b").agg(*[c.cast("bigint").alias(f"_n_{n}") for n, c in sums.items()])
     before = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum("_n").over(before), F.lit(0)).cast("bigint")
-    if base is None:
-        return counts.select(*group, "_b", start.alias("_off"))
-    if not group:
-        raise ValueError("a base needs group columns")
-    joined = counts.withColumn("_s", start).join(base, list(group))
-    extra = [c for c in base.columns if c not in {*group, "base"}]
-    return joined.select(*group, "_b", (F.col("_s") + F.col("base")).alias("_off"), *extra)
+    starts = [
+        F.coalesce(F.sum(f"_n_{n}").over(before), F.lit(0)).cast("bigint").alias(f"_off_{n}") for n in sums
+    ]
+    return counts.select(*group, "_b", *starts)
 
 
 def _hash_bucketed(
@@ -135,19 +135,18 @@ def hash_rank(
     return bucket_rank(marked, bucket, ["_u", *tie], group, base, limit, name).drop("_u", "_k")
 
 
-def hash_prefix_sum(
+def hash_prefix_sums(
     df: DataFrame,
     u: Column,
     tie: Sequence[Column | str],
-    weight: Column | str,
+    weights: Mapping[str, Column | str],
     group: Sequence[str] = (),
-    base: DataFrame | None = None,
-    name: str = "offset",
     buckets: int | None = None,
     rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
+    """`bucket_prefix_sums` for rows sorted by a uniform number `u`, ties by `tie`."""
     marked, bucket = _hash_bucketed(df, u, group, buckets, rows_per_bucket)
-    return bucket_prefix_sum(marked, bucket, ["_u", *tie], weight, group, base, name).drop("_u", "_k")
+    return bucket_prefix_sums(marked, bucket, ["_u", *tie], weights, group).drop("_u", "_k")
 
 
 def ordered_index(df: DataFrame, order: Sequence[Column | str], name: str = "idx") -> DataFrame:

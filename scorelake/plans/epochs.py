@@ -15,10 +15,15 @@ from scorelake.functions.hashing import hash_u
 from scorelake.operators.ranks import (
     ROWS_PER_BUCKET,
     bucket_rank,
-    hash_prefix_sum,
+    hash_prefix_sums,
     hash_rank,
     ordered_index,
 )
+from scorelake.session import materialise
+
+
+# Buckets per group for tables with one row per shard, which are short.
+SHARD_BUCKETS = 64
 
 
 def epoch_salt(purpose: str, seed: int, epoch: int) -> str:
@@ -41,7 +46,7 @@ def shuffle_shards(
         base = ranges.select("shard", F.col("lo").alias("base"))
     else:
         u = hash_u("shard", epoch_salt("shards", seed, epoch))
-        base = hash_prefix_sum(ranges.select("shard", "nsamples"), u, ["shard"], "nsamples", name="base").drop("nsamples")
+        base = hash_prefix_sums(ranges.select("shard", "nsamples"), u, ["shard"], {"base": "nsamples"}).drop("nsamples")
     rows = hash_u("key", epoch_salt("rows", seed, epoch))
     return hash_rank(indexed, rows, ["key"], group=["shard"], base=base)
 
@@ -122,7 +127,7 @@ def chunked_shuffle(
         base = chunks.select("rank", "chunk", (F.col("chunk") * chunk_size).alias("base"))
     else:
         u = hash_u(F.concat_ws("/", "rank", "chunk"), epoch_salt("chunks", seed, epoch))
-        base = hash_prefix_sum(chunks, u, ["chunk"], "size", group=["rank"], name="base").drop("size")
+        base = hash_prefix_sums(chunks, u, ["chunk"], {"base": "size"}, ["rank"], SHARD_BUCKETS).drop("size")
     rows = hash_u("idx", epoch_salt("chunk-rows", seed, epoch))
     # a chunk's size is known, so is the number of buckets it needs
     buckets = max(1, chunk_size // ROWS_PER_BUCKET)
@@ -202,58 +207,74 @@ def shard_exclusive(indexed: DataFrame, ranges: DataFrame, n_shards: int, shape:
     largest one. A worker out of full batches repeats its first rows to fill one; one without rows
     is left out. Output: (rank, worker, round, slot, out_pos, shard, key, idx).
     """
-    ranks, workers, batch = shape.ranks, shape.workers, shape.batch
-    placed = _deal_shards(ranges, n_shards, shape)
+    workers, batch = shape.workers, shape.batch
+    # one row per shard, used several times below: written once
+    placed = materialise(_deal_shards(ranges, n_shards, shape), "dealt-shards")
     rounds = (
         placed.groupBy("rank")
         .agg(F.sum("nsamples").alias("rows"))
         .agg(F.max(F.floor(F.floor(F.col("rows") / workers) / batch)))
         .scalar()
     )
-    per_worker = placed.groupBy("rank", "worker").agg(F.sum("nsamples").alias("L"))
-    # at most ranks x workers rows from here on
-    per_rank = Window.partitionBy("rank")
-    lanes = per_worker.withColumn("lane", F.row_number().over(per_rank.orderBy("worker")) - 1).withColumn(
-        "lanes", F.count(F.lit(1)).over(per_rank)
-    )
     # position of a row among its worker's rows: start of its shard there + its place in the shard
-    lanes_of = placed.drop("nsamples").join(lanes, ["rank", "worker"])
     dealt = hash_rank(
         indexed.select("shard", "key", "idx"),
         hash_u("key", epoch_salt("plan-rows", shape.seed, shape.epoch)),
         ["key"],
         group=["shard"],
-        base=lanes_of,
+        base=placed.drop("nsamples"),
+    ).withColumn("rounds", rounds)
+    pos, own_rounds = F.col("pos"), F.floor(F.col("L") / batch)
+    # a row's place in a full batch, and its repeats in later rounds: slot i takes row i mod L
+    full = F.when(
+        pos < F.least(own_rounds, F.col("rounds")) * batch,
+        F.struct(
+            F.floor(pos / batch).alias("first"), F.floor(pos / batch).alias("last"),
+            (pos % batch).alias("slot"), F.lit(batch).cast("bigint").alias("step"),
+        ),
     )
-    full_rounds = F.floor(F.col("L") / batch)
-    at = dealt.withColumn("rounds", rounds)
-    full = at.where((F.col("pos") < full_rounds * batch) & (F.col("pos") < F.col("rounds") * batch)).select(
-        "*", F.floor(F.col("pos") / batch).alias("round"), (F.col("pos") % batch).alias("slot")
+    repeats = F.when(
+        (pos < F.least(F.lit(batch), F.col("L"))) & (own_rounds < F.col("rounds")),
+        F.struct(
+            own_rounds.alias("first"), (F.col("rounds") - 1).alias("last"), pos.alias("slot"), F.col("L").alias("step")
+        ),
     )
-    # rounds past a worker's full batches: slot i takes row i mod L
-    short = at.where((F.col("pos") < F.least(F.lit(batch), F.col("L"))) & (full_rounds < F.col("rounds")))
-    padded = short.withColumn("round", F.explode(F.sequence(full_rounds, F.col("rounds") - 1))).withColumn(
-        "slot", F.explode(F.sequence(F.col("pos"), F.lit(batch - 1).cast("bigint"), F.col("L")))
+    spans = dealt.withColumn("s", F.explode(F.array_compact(F.array(full, repeats))))
+    placed_rows = spans.withColumn("round", F.explode(F.sequence("s.first", "s.last"))).withColumn(
+        "slot", F.explode(F.sequence(F.col("s.slot"), F.lit(batch - 1).cast("bigint"), F.col("s.step")))
     )
-    both = full.unionByName(padded)
     out_pos = (F.col("round") * F.col("lanes") + F.col("lane")) * batch + F.col("slot")
-    return both.select("rank", "worker", "round", "slot", out_pos.alias("out_pos"), "shard", "key", "idx")
+    return placed_rows.select("rank", "worker", "round", "slot", out_pos.alias("out_pos"), "shard", "key", "idx")
 
 
 def _deal_shards(ranges: DataFrame, n_shards: int, shape: EpochShape) -> DataFrame:
-    """(shard, nsamples, rank, worker, base): base = rows of earlier shards of the same worker."""
-    per_rank = n_shards // shape.ranks
-    rank = F.floor(F.col("shard_idx") / per_rank) if per_rank else F.lit(shape.ranks - 1).cast("bigint")
-    ranked = ranges.withColumn("rank", F.least(rank, F.lit(shape.ranks - 1)))
+    """(shard, nsamples, rank, worker, base, L, lane, lanes) per shard.
+
+    base: rows of earlier shards of the same worker; L: all rows of the worker; lane: the worker's
+    number among the `lanes` workers of its rank that have rows.
+    """
+    ranks, workers = shape.ranks, shape.workers
+    per_rank = n_shards // ranks
+    rank = F.floor(F.col("shard_idx") / per_rank) if per_rank else F.lit(ranks - 1).cast("bigint")
+    ranked = ranges.select("shard", "nsamples", F.least(rank, F.lit(ranks - 1)).alias("rank"))
     u = hash_u("shard", epoch_salt("plan-shards", shape.seed, shape.epoch))
-    listed = hash_rank(ranked, u, ["shard"], group=["rank"], name="srn")
-    counts = listed.groupBy("rank").agg(F.count(F.lit(1)).alias("n_rank"))
-    per_worker = F.floor(F.col("n_rank") / shape.workers)
-    last = F.lit(shape.workers - 1)
+    weights = {"srn": F.lit(1), "cum": F.col("nsamples")}
+    listed = hash_prefix_sums(ranked, u, ["shard"], weights, ["rank"], SHARD_BUCKETS)
+
+    of_rank = F.when(F.col("rank") < ranks - 1, F.lit(per_rank)).otherwise(F.lit(n_shards - (ranks - 1) * per_rank))
+    per_worker, last = F.floor(of_rank / workers), F.lit(workers - 1)
     worker = F.when(per_worker == 0, last).otherwise(
         F.least(F.floor(F.col("srn") / F.greatest(per_worker, F.lit(1))), last)
     )
-    dealt = listed.join(counts, "rank").withColumn("worker", worker)
-    return hash_prefix_sum(dealt, u, ["shard"], "nsamples", group=["rank", "worker"], name="base").select(
-        "shard", "nsamples", "rank", "worker", "base"
+    dealt = listed.withColumn("worker", worker)
+    # at most ranks x workers rows
+    own = Window.partitionBy("rank")
+    lanes = (
+        dealt.groupBy("rank", "worker")
+        .agg(F.min("cum").alias("start"), F.sum("nsamples").alias("L"))
+        .withColumn("lane", F.row_number().over(own.orderBy("worker")) - 1)
+        .withColumn("lanes", F.count(F.lit(1)).over(own))
+    )
+    return dealt.join(lanes, ["rank", "worker"]).select(
+        "shard", "nsamples", "rank", "worker", (F.col("cum") - F.col("start")).alias("base"), "L", "lane", "lanes"
     )

@@ -10,6 +10,7 @@ from scorelake.operators.ranks import ordered_index
 from scorelake.plans import epochs
 from scorelake.queries.fixtures import table, view
 from scorelake.queries.registry import query
+from scorelake.session import materialise
 
 # the indexed corpus and its shard ranges in the oracles
 _IDX = "ix as (select shard, key, doc_id, source, has_image, txt, row_number() over (order by shard, key) - 1 as idx from samples_v)"
@@ -25,8 +26,8 @@ def _indexed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     where = (spark.sparkContext.applicationId, sf)
     if where not in _indexes:
         corpus = view(spark, sf, "samples_v").select("shard", "key", "doc_id", "source", "has_image", F.col("txt").isNotNull().alias("has_txt"))
-        indexed = shards.global_index(corpus)
-        _indexes[where] = (indexed, shards.shard_ranges(indexed))
+        indexed = materialise(shards.global_index(corpus), "index")
+        _indexes[where] = (indexed, materialise(shards.shard_ranges(indexed), "ranges"))
     return _indexes[where]
 
 

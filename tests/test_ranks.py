@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scorelake.functions.hashing import hash_u
 from scorelake.operators import evaluate, shards
-from scorelake.operators.ranks import bucket_prefix_sum, hash_rank, ordered_index
+from scorelake.operators.ranks import bucket_prefix_sums, hash_rank, ordered_index
 from scorelake.plans import epochs
 from scorelake.streaming.jobs import alarm_step
 
@@ -44,11 +44,11 @@ def test_limit_keeps_the_first_of_each_group(hot):
 
 def test_prefix_sum(hot):
     marked = hot.withColumn("u", hash_u("key", "p"))
-    rows = bucket_prefix_sum(marked, F.floor(F.col("u") * 50), ["u", "key"], "w", ["grp"]).collect()
+    rows = bucket_prefix_sums(marked, F.floor(F.col("u") * 50), ["u", "key"], {"offset": "w", "rank": F.lit(1)}, ["grp"]).collect()
     for members in by_group(rows, lambda r: (r["u"], r["key"])).values():
         total = 0
-        for r in members:
-            assert r["offset"] == total
+        for i, r in enumerate(members):
+            assert (r["offset"], r["rank"]) == (total, i)
             total += r["w"]
 
 
