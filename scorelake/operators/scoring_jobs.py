@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -51,14 +52,24 @@ def apply_scorers(df: DataFrame, names: str | Sequence[str], inputs: Sequence[st
 
 
 def encode_text(text: Column, make_encoder: Callable[[], Callable[[list[str]], list]], max_tokens: int = 2048) -> Column:
-    """Caption -> array<array<float>>, cut to `max_tokens`; the encoder is loaded once per worker."""
+    """Caption -> array<array<float>>, cut to `max_tokens`; the encoder is loaded once per worker.
 
-    @F.pandas_udf("array<array<float>>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    The encoder maps a list of captions to one (tokens, width) array each. Captions arrive in
+    batches of spark.sql.execution.arrow.maxRecordsPerBatch; keep rows x tokens x width below 2^31.
+    """
+
+    @F.arrow_udf("array<array<float>>")
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = make_encoder()
         for texts in batches:
-            filled = texts.fillna("").tolist()
-            yield pd.Series([[list(map(float, t)) for t in tokens[:max_tokens]] for tokens in encoder(filled)])
+            found = encoder([t or "" for t in texts.to_pylist()])
+            tokens = [np.asarray(t, dtype="float32")[:max_tokens] for t in found]
+            width = next((t.shape[1] for t in tokens if t.ndim == 2), 0)
+            tokens = [t.reshape(-1, width) for t in tokens]
+            rows = np.cumsum([0, *map(len, tokens)])
+            flat = np.concatenate(tokens).ravel() if tokens else np.empty(0, dtype="float32")
+            inner = pa.ListArray.from_arrays(pa.array(np.arange(rows[-1] + 1) * width, pa.int32()), pa.array(flat, pa.float32()))
+            yield pa.ListArray.from_arrays(pa.array(rows, pa.int32()), inner)
 
     return encode(text)
 

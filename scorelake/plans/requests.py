@@ -34,13 +34,15 @@ def prompts_json(
 
 
 def expand_pattern(patterns: DataFrame, pattern: str = "urls", weights: str | None = "weights") -> DataFrame:
-    """`a{00..12}.tar::b.tar` with weights `1::2` -> a row per URL with its component's weight.
+    """`a{00..12}.tar::b{x,y}.tar` with weights `1::2` -> a row per URL with its component's weight.
 
-    A component holds at most one numeric `{first..last}` range; the zero-padded width is kept.
+    Brace groups: number ranges (zero padding kept, optional step), letter ranges, comma lists; any
+    number of groups per component, the leftmost varying slowest. Groups inside groups are an error.
+    Adds part, place (order inside the part), weight and url.
     """
     parts = F.split(pattern, "::")
     if weights is None:
-        paired = patterns.select("*", F.posexplode(parts).alias("part", "component")).withColumn(
+        paired = patterns.select("*", F.posexplode(parts).alias("part", "url")).withColumn(
             "weight", F.lit(None).cast("double")
         )
     else:
@@ -53,26 +55,48 @@ def expand_pattern(patterns: DataFrame, pattern: str = "urls", weights: str | No
         )
         paired = (
             patterns.select("*", F.posexplode(zipped).alias("part", "_z"))
-            .withColumn("component", F.col("_z.u"))
+            .withColumn("url", F.col("_z.u"))
             .withColumn("weight", F.col("_z.w").cast("double"))
             .drop("_z")
         )
-    rng = r"^(.*)\{(\d+)\.\.(\d+)\}(.*)$"
-    first, last = F.regexp_extract("component", rng, 2), F.regexp_extract("component", rng, 3)
-    width = F.greatest(F.length(first), F.length(last))
-    padded = F.when(first.startswith("0") | last.startswith("0"), width).otherwise(F.lit(0))
-    numbers = F.when(first != "", F.sequence(first.try_cast("bigint"), last.try_cast("bigint"))).otherwise(
-        F.array(F.lit(None).cast("bigint"))
+    nested = F.col("url").rlike(r"\{[^}]*\{")
+    checked = F.when(nested, F.raise_error(F.concat(F.lit("nested braces in "), "url"))).otherwise(F.col("url"))
+    spread = paired.withColumn("url", checked).withColumn("place", F.array().cast("array<int>"))
+    # as many passes as the longest pattern has groups: a property of the pattern text, not of the data
+    groups = spread.agg(F.max(F.size(F.regexp_extract_all("url", F.lit(_BRACE), F.lit(0))))).first()[0] or 0
+    for _ in range(groups):
+        spread = _expand_first_group(spread)
+    return spread
+
+
+_BRACE = r"\{[^{}]*(?:,|\.\.)[^{}]*\}"
+
+
+def _expand_first_group(df: DataFrame) -> DataFrame:
+    whole = rf"^(.*?)({_BRACE})(.*)$"
+    body = F.regexp_replace(F.regexp_extract("url", whole, 2), r"[{}]", "")
+    numbers = r"^(-?\d+)\.\.(-?\d+)(?:\.\.(-?\d+))?$"
+    first, last = F.regexp_extract(body, numbers, 1), F.regexp_extract(body, numbers, 2)
+    step = F.abs(F.coalesce(F.nullif(F.regexp_extract(body, numbers, 3), F.lit("")).try_cast("bigint"), F.lit(1)))
+    lo, hi = first.try_cast("bigint"), last.try_cast("bigint")
+    step = F.greatest(step, F.lit(1)) * F.when(lo <= hi, 1).otherwise(-1)
+    width = F.when(
+        first.rlike(r"^-?0\d") | last.rlike(r"^-?0\d"), F.greatest(F.length(first), F.length(last))
+    ).otherwise(0)
+    padded = F.transform(
+        F.sequence(lo, hi, step), lambda n: F.lpad(n.cast("string"), F.greatest(width, F.length(n.cast("string"))), F.lit("0"))
     )
-    spread = paired.select(
-        "*", padded.alias("_w"), F.posexplode(numbers).alias("n_in_part", "_n")
-    )
-    digits = F.col("_n").cast("string")
-    digits = F.when(F.length(digits) < F.col("_w"), F.lpad(digits, F.col("_w"), F.lit("0"))).otherwise(digits)
-    url = F.when(F.col("_n").isNull(), F.col("component")).otherwise(
-        F.concat(F.regexp_extract("component", rng, 1), digits, F.regexp_extract("component", rng, 4))
-    )
-    return spread.withColumn("url", url).drop("_n", "_w", "component")
+    letters = r"^([A-Za-z])\.\.([A-Za-z])$"
+    a, z = F.ascii(F.regexp_extract(body, letters, 1)), F.ascii(F.regexp_extract(body, letters, 2))
+    spelled = F.transform(F.sequence(a, z), lambda c: F.char(c))
+    choices = F.when(body.rlike(numbers), padded).when(body.rlike(letters), spelled).otherwise(F.split(body, ","))
+    here = F.col("url").rlike(whole)
+    choices = F.when(here, choices).otherwise(F.array(F.lit("")))
+    out = df.select("*", F.posexplode(choices).alias("_i", "_c"))
+    url = F.concat(F.regexp_extract("url", whole, 1), "_c", F.regexp_extract("url", whole, 3))
+    return out.withColumn("url", F.when(here, url).otherwise(F.col("url"))).withColumn(
+        "place", F.concat("place", F.array("_i"))
+    ).drop("_i", "_c")
 
 
 _URL = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)((?:[?#].*)?)$"

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -45,8 +46,9 @@ def apply_scorer(spark, sf):
 
 
 def _word_encoder():
-    def encode(texts: list[str]) -> list[list[list[int]]]:
-        return [[[len(w), i] for i, w in enumerate(t.split(" "))] for t in texts]
+    def encode(texts: list[str]) -> list[np.ndarray]:
+        words = [t.split(" ") for t in texts]
+        return [np.column_stack([list(map(len, w)), np.arange(len(w))]) for w in words]
 
     return encode
 

@@ -135,3 +135,34 @@ def test_probability_is_checked():
 
     with pytest.raises(ValueError):
         chance("key", "s", 1.5)
+
+
+def test_brace_patterns(spark):
+    from scorelake.plans.requests import expand_pattern
+
+    def urls(text, weights=None):
+        df = spark.createDataFrame([(text, weights)], "urls string, weights string")
+        rows = expand_pattern(df, weights="weights" if weights else None).collect()
+        rows.sort(key=lambda r: (r["part"], r["place"]))
+        return [(r["url"], r["weight"]) for r in rows]
+
+    assert urls("a{08..10}.tar::b", "1::2.5") == [("a08.tar", 1.0), ("a09.tar", 1.0), ("a10.tar", 1.0), ("b", 2.5)]
+    assert [u for u, _ in urls("{x,y}/{1..3..2}{c..d}")] == [f"{p}/{n}{c}" for p in "xy" for n in "13" for c in "cd"]
+    assert [u for u, _ in urls("{3..1}-{}")] == ["3-{}", "2-{}", "1-{}"]
+    with pytest.raises(Exception, match="must match"):
+        urls("a::b", "1")
+    with pytest.raises(Exception, match="nested braces"):
+        urls("{a,{b,c}}")
+
+
+def test_ragged_encoder(spark):
+    import numpy as np
+
+    from scorelake.operators.scoring_jobs import encode_text
+
+    def make():
+        return lambda texts: [np.array([[len(t), i] for i in range(len(t))]).reshape(-1, 2) for t in texts]
+
+    df = spark.createDataFrame([("abc",), (None,), ("x",)], "t string")
+    got = [r["e"] for r in df.select(encode_text(F.col("t"), make, 2).alias("e")).collect()]
+    assert got == [[[3.0, 0.0], [3.0, 1.0]], [], [[1.0, 0.0]]]
