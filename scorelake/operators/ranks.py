@@ -3,12 +3,15 @@
 A window over a whole table, or over a group that may hold a third of it, would run in one task.
 Two ways around that:
 
-* `bucket_rank` / `bucket_prefix_sums`: the caller names a bucket that is monotone in the sort key
-  (for hash-ordered work: the leading part of the hash). Windows run per (group, bucket); a small
-  per-bucket count table carries the offsets. Buckets are a pure function of the row, so any lost
-  task can be recomputed. The rows are shuffled once: window and join share (group, bucket).
+* `hash_rank`, `bucket_rank`, `bucket_prefix_sums`: rows are cut into buckets that are monotone in
+  the sort key (for hash-ordered work: the leading part of the hash). Windows run per
+  (group, bucket); a small table of bucket starts lifts the positions. Buckets are a pure function
+  of the row, so any lost task can be recomputed. Only groups that are large are cut at all, so the
+  table of starts has at most rows / rows_per_bucket entries and is safe to broadcast.
 * `ordered_index`: natural sort order. Range partitioning gives the buckets; the narrow sorted
   table is written once, because range bounds are sampled and must not be re-drawn.
+
+Group columns must not be null.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from scorelake.session import materialise
 
 # A whole table is cut into this many hash buckets: 10^10 rows leave 2.4 million per window.
 HASH_BUCKETS = 4096
-# A group with more rows than this is split; smaller ones are one bucket each.
+# A group with more rows than this is cut; smaller ones are one bucket each.
 ROWS_PER_BUCKET = 1_000_000
 
 
@@ -29,6 +32,16 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _starts(marked: DataFrame, sums: Mapping[str, Column], group: Sequence[str]) -> DataFrame:
+    """`_off_*` at the start of every (group, bucket); the window sees one row per bucket of a group."""
+    counts = marked.groupBy(*group, "_b").agg(*[c.cast("bigint").alias(f"_n_{n}") for n, c in sums.items()])
+    before = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = [
+        F.coalesce(F.sum(f"_n_{n}").over(before), F.lit(0)).cast("bigint").alias(f"_off_{n}") for n in sums
+    ]
+    return counts.select(*group, "_b", *starts)
+
+
 def bucket_prefix_sums(
     df: DataFrame,
     bucket: Column,
@@ -38,7 +51,7 @@ def bucket_prefix_sums(
 ) -> DataFrame:
     """Add one column per weight: its sum over all earlier rows of the same group (weight 1: a rank).
 
-    Group columns must not be null.
+    Rows are shuffled once: the windows and the join with the starts share (group, bucket).
     """
     keys = [*group, "_b"]
     marked = df.withColumn("_b", bucket).withColumns(
@@ -49,74 +62,43 @@ def bucket_prefix_sums(
     )
     summed = marked.withColumns(
         {f"_in_{n}": F.coalesce(F.sum(f"_w_{n}").over(inside), F.lit(0)) for n in weights}
-    ).join(_offsets(marked, {n: F.sum(f"_w_{n}") for n in weights}, group), keys)
+    ).join(_starts(marked, {n: F.sum(f"_w_{n}") for n in weights}, group), keys)
     scratch = [f"{p}_{n}" for n in weights for p in ("_w", "_in", "_off")]
     return summed.withColumns({n: F.col(f"_in_{n}") + F.col(f"_off_{n}") for n in weights}).drop("_b", *scratch)
 
 
-def bucket_rank(
+def hash_prefix_sums(
     df: DataFrame,
-    bucket: Column,
-    order: Sequence[Column | str],
+    u: Column,
+    tie: Sequence[Column | str],
+    weights: Mapping[str, Column | str],
     group: Sequence[str] = (),
-    base: DataFrame | None = None,
-    limit: int | None = None,
-    name: str = "pos",
+    buckets: int = HASH_BUCKETS,
 ) -> DataFrame:
-    """Add `name`: the 0-based position inside the group, rows sorted by `order`.
+    """`bucket_prefix_sums` for rows sorted by a uniform number `u`, ties by `tie`."""
+    marked = df.withColumn("_u", u)
+    bucket = F.floor(F.col("_u") * buckets).cast("int")
+    return bucket_prefix_sums(marked, bucket, ["_u", *tie], weights, group).drop("_u")
 
-    `base` (one row per group: group columns + `base`) is added to every row of its group; any
-    further columns of it come along, so a small table reaches the rows without a join of its own.
-    Group columns must not be null.
 
-    With `limit`, only positions below it survive; buckets that lie wholly past the limit are
-    dropped before the rows are shuffled for the window, so a cap of k costs about k rows.
+def bucket_rank(
+    df: DataFrame, bucket: Column, order: Sequence[Column | str], limit: int | None = None, name: str = "pos"
+) -> DataFrame:
+    """Add `name`: the 0-based position in the whole table, rows sorted by `order`.
+
+    `bucket` must be monotone in `order` and take few values (thousands): the starts are broadcast.
+    With `limit` only positions below it survive; rows of later buckets are dropped before any
+    shuffle, so a cap of k costs about k rows.
     """
-    keys = [*group, "_b"]
     marked = df.withColumn("_b", bucket)
-    offsets = _offsets(marked, {"": F.count(F.lit(1))}, group).withColumnRenamed("_off_", "_off")
-    window = Window.partitionBy(*keys).orderBy(*map(_col, order))
+    starts = _starts(marked, {"": F.count(F.lit(1))}, [])
     if limit is not None:
-        if base is not None:
-            raise ValueError("limit counts from the start of a group; it cannot follow a base")
-        offsets = offsets.where(F.col("_off") < limit)
-        marked = marked.join(offsets, keys)
-        # the plain row-number filter lets Spark cut each task's rows before the shuffle
-        ranked = marked.withColumn("_rn", F.row_number().over(window)).where(F.col("_rn") <= limit)
-        ranked = ranked.withColumn(name, F.col("_rn") - 1 + F.col("_off"))
-        return ranked.where(F.col(name) < limit).drop("_b", "_rn", "_off")
-    if base is not None:
-        if not group:
-            raise ValueError("a base needs group columns")
-        offsets = offsets.join(base, list(group)).withColumn("_off", F.col("_off") + F.col("base")).drop("base")
-    ranked = marked.withColumn("_rn", F.row_number().over(window) - 1).join(offsets, keys)
-    return ranked.withColumn(name, F.col("_rn") + F.col("_off")).drop("_b", "_rn", "_off")
-
-
-def _offsets(marked: DataFrame, sums: Mapping[str, Column], group: Sequence[str]) -> DataFrame:
-    """`_off_*` at the start of every (group, bucket); the window sees one row per bucket of a group."""
-    counts = marked.groupBy(*group, "_b").agg(*[c.cast("bigint").alias(f"_n_{n}") for n, c in sums.items()])
-    before = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = [
-        F.coalesce(F.sum(f"_n_{n}").over(before), F.lit(0)).cast("bigint").alias(f"_off_{n}") for n in sums
-    ]
-    return counts.select(*group, "_b", *starts)
-
-
-def _hash_bucketed(
-    df: DataFrame, u: Column, group: Sequence[str], buckets: int | None, rows_per_bucket: int
-) -> tuple[DataFrame, Column]:
-    """Add `_u`, and tell the bucket: a fixed number per group, or as many as the group's size asks for."""
-    marked = df.withColumn("_u", u)
-    if buckets is None and not group:
-        buckets = HASH_BUCKETS
-    if buckets is not None:
-        return marked, F.floor(F.col("_u") * buckets).cast("int")
-    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows_per_bucket)
-    large = sizes.select(*group, F.ceil(F.col("_n") / rows_per_bucket).cast("int").alias("_k"))
-    # broadcast: there are at most rows / rows_per_bucket large groups
-    marked = marked.join(F.broadcast(large), list(group), "left")
-    return marked, F.floor(F.col("_u") * F.coalesce("_k", F.lit(1))).cast("int")
+        last = starts.where(F.col("_off_") < limit).agg(F.max("_b")).scalar()
+        marked = marked.where(F.col("_b") <= last)
+    window = Window.partitionBy("_b").orderBy(*map(_col, order))
+    ranked = marked.withColumn("_rn", F.row_number().over(window)).join(F.broadcast(starts), "_b")
+    ranked = ranked.withColumn(name, F.col("_rn") - 1 + F.col("_off_")).drop("_b", "_rn", "_off_")
+    return ranked if limit is None else ranked.where(F.col(name) < limit)
 
 
 def hash_rank(
@@ -127,26 +109,55 @@ def hash_rank(
     base: DataFrame | None = None,
     limit: int | None = None,
     name: str = "pos",
-    buckets: int | None = None,
     rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
-    """`bucket_rank` for rows sorted by a uniform number `u`, ties by `tie`."""
-    marked, bucket = _hash_bucketed(df, u, group, buckets, rows_per_bucket)
-    return bucket_rank(marked, bucket, ["_u", *tie], group, base, limit, name).drop("_u", "_k")
+    """Add `name`: the 0-based position inside the group, rows sorted by a uniform number `u`.
 
+    Ties go by `tie`. `base` (one row per group: group columns + `base`) is added to every row of
+    its group, and any further columns of it come along. With `limit` only positions below it
+    survive.
+    """
+    marked = df.withColumn("_u", u)
+    order = ["_u", *map(_col, tie)]
+    if not group:
+        if base is not None:
+            raise ValueError("a base needs group columns")
+        bucket = F.floor(F.col("_u") * HASH_BUCKETS).cast("int")
+        return bucket_rank(marked, bucket, order, limit, name).drop("_u")
+    if base is not None and limit is not None:
+        raise ValueError("limit counts from the start of a group; it cannot follow a base")
 
-def hash_prefix_sums(
-    df: DataFrame,
-    u: Column,
-    tie: Sequence[Column | str],
-    weights: Mapping[str, Column | str],
-    group: Sequence[str] = (),
-    buckets: int | None = None,
-    rows_per_bucket: int = ROWS_PER_BUCKET,
-) -> DataFrame:
-    """`bucket_prefix_sums` for rows sorted by a uniform number `u`, ties by `tie`."""
-    marked, bucket = _hash_bucketed(df, u, group, buckets, rows_per_bucket)
-    return bucket_prefix_sums(marked, bucket, ["_u", *tie], weights, group).drop("_u", "_k")
+    keys = [*group, "_b"]
+    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows_per_bucket)
+    large = sizes.select(*group, F.ceil(F.col("_n") / rows_per_bucket).cast("int").alias("_k"))
+    # broadcast here and below: at most rows / rows_per_bucket large groups, and as many buckets again
+    marked = marked.join(F.broadcast(large), list(group), "left").withColumn(
+        "_b", F.floor(F.col("_u") * F.coalesce("_k", F.lit(1))).cast("int")
+    )
+    starts = _starts(marked.where(F.col("_k").isNotNull()), {"": F.count(F.lit(1))}, group)
+    if limit is not None:
+        last = starts.where(F.col("_off_") < limit).groupBy(*group).agg(F.max("_b").alias("_last"))
+        marked = marked.join(F.broadcast(last), list(group), "left")
+        marked = marked.where(F.col("_last").isNull() | (F.col("_b") <= F.col("_last"))).drop("_last")
+
+    window = Window.partitionBy(*keys).orderBy(*order)
+    ranked = marked.drop("_k").withColumn("_rn", F.row_number().over(window))
+    if limit is not None:
+        # a plain row-number filter, so that each task keeps at most `limit` rows before the shuffle
+        ranked = ranked.where(F.col("_rn") <= limit)
+    if base is None:
+        ranked = ranked.join(F.broadcast(starts), keys, "left")
+        start = F.coalesce("_off_", F.lit(0))
+    else:
+        # one row per group and bucket, joined on the keys the window has already shuffled by
+        cut = base.join(F.broadcast(large), list(group), "left").withColumn(
+            "_b", F.explode(F.sequence(F.lit(0), F.coalesce("_k", F.lit(1)) - 1))
+        )
+        lifted = cut.drop("_k").join(F.broadcast(starts), keys, "left")
+        ranked = ranked.join(lifted, keys)
+        start = F.coalesce("_off_", F.lit(0)) + F.col("base")
+    placed = ranked.withColumn(name, F.col("_rn") - 1 + start).drop("_u", "_b", "_rn", "_off_", "base")
+    return placed if limit is None else placed.where(F.col(name) < limit)
 
 
 def ordered_index(df: DataFrame, order: Sequence[Column | str], name: str = "idx") -> DataFrame:

@@ -111,13 +111,18 @@ def latent_normalise(spark, sf):
     )
 
 
-@query()
+@query(
+    f"""with {_E}, c as (select vec_id, i - 1 as pos, v[i] as m, vec_id||'#'||(i - 1) as el from e, range(1, 65) t(i))
+select vec_id, pos, round(m + abs(m) * sqrt(-2.0::double * ln(1.0::double - U(el,'latent/r'))) * cos(6.283185307179586::double * U(el,'latent/a')), 6) as x
+from c"""
+)
 def latent_sample(spark, sf):
-    """Seeded normal draws around the vector; no SQL twin (cosine and logarithm of hash draws)."""
+    """Seeded normal draws around the vector, with its absolute value as deviation."""
     e = _emb(spark, sf)
     std = F.transform("v", lambda x: F.abs(x))
     drawn = e.select("vec_id", V.latent_sample(F.col("v"), std, "vec_id", "latent").alias("z"))
-    return drawn.select("vec_id", F.posexplode("z").alias("pos", "x"))
+    out = drawn.select("vec_id", F.posexplode("z").alias("pos", "x"))
+    return out.select("vec_id", F.col("pos").cast("long").alias("pos"), F.round("x", 6).alias("x"))
 
 
 @query(

@@ -39,6 +39,8 @@ def test_limit_keeps_the_first_of_each_group(hot):
     marked = hot.withColumn("u", hash_u("key", "t"))
     full = hash_rank(marked, F.col("u"), ["key"], ["grp"]).where("pos < 5")
     cut = hash_rank(marked, F.col("u"), ["key"], ["grp"], limit=5, rows_per_bucket=70)
+    top = hash_rank(marked, F.col("u"), ["key"], limit=137, name="p").collect()
+    assert sorted(r["key"] for r in top) == [r["key"] for r in sorted(marked.orderBy("u", "key").limit(137).collect(), key=lambda r: r["key"])]
     assert {r["key"] for r in cut.collect()} == {r["key"] for r in full.collect()}
 
 
