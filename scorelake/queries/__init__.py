@@ -7,6 +7,7 @@ from scorelake.queries import (  # noqa: E402,F401  isort:skip
     bins,
     captions,
     evaluation,
+    files,
     jobs,
     plans,
     scores,

@@ -141,6 +141,26 @@ def bucketise_scores(spark, sf):
     )
 
 
+_REF_COHERENCE = f"""with {_LONG}, {_edges_ctes(_REFINED.positions, _REFINED.actual)}, {_FINAL.format(n=_REFINED.actual)},
+hit as (select key, len(list_filter(edges, lambda e: e < value)) as below
+        from long l join bins b on l.score_name = b.score_name where l.score_name = 'clip_score')"""
+
+
+@query(
+    f"""{_REF_COHERENCE} select h.key, round((greatest(below - 1, 0) / {float(_REFINED.actual - 1)}::double)::float::double, 6) as clip,
+  round(vqa_score::double, 6) as vqa_raw, 0.0::double as vqa_zero from hit h join scores_v s on h.key = s.key"""
+)
+def bins_missing_policy(spark, sf):
+    """Refined bins for one score; the other has none: its raw value, or zero."""
+    names = ["clip_score", "vqa_score"]
+    scores = view(spark, sf, "scores_v").select("key", *names)
+    edges = B.load_edges(B.compute_bins(B.to_long(scores, names[:1], []), _REFINED))
+    raw = B.bucketise_scores(scores, edges, names, _REFINED.actual).withColumnRenamed("vqa_score_coherence", "vqa_raw")
+    both = B.bucketise_scores(raw, edges, ["vqa_score"], _REFINED.actual, on_missing="zero")
+    out = {"clip": "clip_score_coherence", "vqa_raw": "vqa_raw", "vqa_zero": "vqa_score_coherence"}
+    return both.select("key", *[F.round(F.col(c).cast("double"), 6).alias(n) for n, c in out.items()])
+
+
 @query(
     f"{_BINNED} select score_name, greatest(below - 1, 0)::bigint as bin, count(*) as n from hit group by all"
 )

@@ -1,4 +1,4 @@
-"""Shard archives as a Spark data source: one row per archive member.
+"""Shard archives: a data source with one row per archive member, and a writer.
 
     spark.read.format("shard_members").option("roots", "/data/a /data/b").load()
 
@@ -9,19 +9,22 @@ members are skipped before their bytes are read), `names_only` (true: no bytes a
 
 from __future__ import annotations
 
+import io
 import logging
 import os
 import tarfile
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from pathlib import Path
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from scorelake.schema import MEMBERS
+from scorelake.session import materialise
 
 FORMAT = "shard_members"
 BATCH_ROWS, BATCH_BYTES = 1024, 32 << 20
@@ -164,3 +167,61 @@ def shard_digests(spark: SparkSession, roots: str) -> DataFrame:
 
     paths = spark.createDataFrame([(p,) for p in list_archives(roots)], "path string")
     return paths.repartition("path").mapInPandas(digest, "shard string, md5 string")
+
+
+def write_archives(
+    samples: DataFrame, folder: str, members: Mapping[str, str], max_bytes: int = 1 << 30
+) -> DataFrame:
+    """Samples (shard, key, member columns) -> archives of members `{key}{ext}`; returns their index.
+
+    `members` maps an extension to a string or binary column; a NULL cell writes no member. Every
+    task streams its rows into `{shard}-{task}-{number}.tar`, so a large shard becomes several
+    archives. A file appears under its final name only when it is complete; a repeated task
+    replaces its own files.
+    """
+    columns = list(members.values())
+    rows = samples.select("shard", "key", *columns).hint("rebalance", "shard").sortWithinPartitions("shard", "key")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = TaskContext.get()
+        out, number = None, 0
+        for batch in batches:
+            for row in batch.to_pylist():
+                if out is not None and (out.shard != row["shard"] or out.size > max_bytes):
+                    yield out.close()
+                    out = None
+                if out is None:
+                    name = f"{row['shard']}-{context.partitionId():05d}-{number:03d}.tar"
+                    out, number = _Archive(folder, name, row["shard"], context.taskAttemptId()), number + 1
+                out.add(row["key"], {ext: row[c] for ext, c in members.items() if row[c] is not None})
+        if out is not None:
+            yield out.close()
+
+    Path(folder).mkdir(parents=True, exist_ok=True)
+    written = rows.mapInArrow(write, "url string, shard string, nsamples long, nbytes long")
+    return materialise(written, "archives")
+
+
+class _Archive:
+    """One output archive of one task."""
+
+    def __init__(self, folder: str, name: str, shard: str, attempt: int) -> None:
+        self.final = Path(folder) / name
+        self.partial = Path(folder) / f".{name}.{attempt}"
+        self.tar = tarfile.open(self.partial, "w")
+        self.shard, self.samples, self.size = shard, 0, 0
+
+    def add(self, key: str, parts: Mapping[str, str | bytes]) -> None:
+        for ext, content in parts.items():
+            data = content.encode() if isinstance(content, str) else content
+            info = tarfile.TarInfo(key + ext)
+            info.size = len(data)
+            self.tar.addfile(info, io.BytesIO(data))
+            self.size += len(data)
+        self.samples += 1
+
+    def close(self) -> pa.RecordBatch:
+        self.tar.close()
+        os.replace(self.partial, self.final)
+        values = {"url": str(self.final), "shard": self.shard, "nsamples": self.samples, "nbytes": self.size}
+        return pa.RecordBatch.from_pylist([values])

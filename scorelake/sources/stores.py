@@ -50,15 +50,27 @@ _SIZES = "root string, total_size long"
 def stored_size(spark: SparkSession, store: str, key: SizeKey, roots: Sequence[str]) -> int | None:
     """Sum over roots, only if every root has a stored size."""
     try:
-        rows = spark.read.schema(_SIZES).parquet(f"{store}/{key.tag}").where(F.col("root").isin(*roots))
-        found = rows.groupBy("root").agg(F.max("total_size").alias("n")).agg(F.count("n"), F.sum("n")).first()
+        rows = read_sizes(spark, store, key).where(F.col("root").isin(*roots))
+        found = rows.agg(F.count("total_size"), F.sum("total_size")).first()
     except AnalysisException:
         return None  # nothing stored yet
     return int(found[1]) if found[0] == len(set(roots)) else None
 
 
 def store_size(spark: SparkSession, store: str, key: SizeKey, root: str, size: int) -> None:
-    spark.createDataFrame([(root, size)], _SIZES).write.mode("append").parquet(f"{store}/{key.tag}")
+    store_sizes(spark.createDataFrame([(root, size)], _SIZES), store, key)
+
+
+def store_sizes(sizes: DataFrame, store: str, key: SizeKey) -> None:
+    """Append (root, total_size) rows."""
+    sizes.select("root", F.col("total_size").cast("bigint").alias("total_size")).write.mode("append").parquet(
+        f"{store}/{key.tag}"
+    )
+
+
+def read_sizes(spark: SparkSession, store: str, key: SizeKey) -> DataFrame:
+    rows = spark.read.schema(_SIZES).parquet(f"{store}/{key.tag}")
+    return rows.groupBy("root").agg(F.max("total_size").alias("total_size"))
 
 
 def size_of(samples: DataFrame, keep: Column, store: str, key: SizeKey, root: str) -> int:

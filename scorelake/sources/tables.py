@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from scorelake.functions.captions import file_stem
 from scorelake.plans.requests import prompts_json
@@ -84,6 +84,11 @@ def read_shard_index(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _strip(text: Column) -> Column:
+    """Without leading and trailing whitespace of any kind; trim() knows only blanks."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def _listing(spark: SparkSession, root: str) -> DataFrame:
     """Files below `root` by path only; their bytes are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
@@ -104,7 +109,7 @@ def _metadata(spark: SparkSession, root: str) -> DataFrame:
 
 def discover_images(spark: SparkSession, root: str) -> DataFrame:
     """(filename, prompt): images of every prompt folder with a non-empty first metadata line."""
-    first = F.trim(F.element_at(F.split("text", "\n"), 1))
+    first = _strip(F.element_at(F.split("text", "\n"), 1))
     prompts = _metadata(spark, root).select("folder", first.alias("line")).where(F.col("line") != "")
     prompts = prompts.select("folder", F.get_json_object("line", "$.prompt").alias("prompt"))
     images = _listing(spark, root).where(F.lower("name").rlike(r"\.(png|jpg|jpeg|webp)$"))
@@ -113,7 +118,7 @@ def discover_images(spark: SparkSession, root: str) -> DataFrame:
 
 def discover_images_strict(spark: SparkSession, root: str) -> DataFrame:
     """(filename, metadata): numbered folders only, files that start like `0001.png`."""
-    specs = _metadata(spark, root).select("folder", F.trim("text").alias("metadata"))
+    specs = _metadata(spark, root).select("folder", _strip(F.col("text")).alias("metadata"))
     images = _listing(spark, root).where(
         F.col("folder").rlike(r"/\d+$") & F.col("name").rlike(r"^\d+\.png")
     )

@@ -186,3 +186,14 @@ def test_descriptor(spark, tmp_path):
         flatten_descriptor(tables.read_descriptors(spark, str(tmp_path / "bad.json"))).collect()
     (tmp_path / "wids-index.json").write_text(json.dumps({"wids_version": 1, "shardlist": [{"url": "a.tar", "nsamples": 3}, {"url": "b.tar", "nsamples": 4}]}))
     assert [tuple(r) for r in tables.read_shard_index(spark, str(tmp_path / "wids-index.json")).collect()] == [(0, "a.tar", 3), (1, "b.tar", 4)]
+
+
+def test_written_archives_split_and_read_back(spark, tmp_path):
+    rows = [(f"s{i % 2}", f"k{i:03d}", "t" * 3000, None if i % 3 else b"J") for i in range(60)]
+    df = spark.createDataFrame(rows, "shard string, key string, txt string, jpg binary")
+    index = archives.write_archives(df, str(tmp_path / "out"), {".jpg": "jpg", ".txt": "txt"}, max_bytes=40_000).collect()
+    assert sum(r["nsamples"] for r in index) == 60 and len(index) >= 4
+    assert not list((tmp_path / "out").glob(".*")) and len(list((tmp_path / "out").glob("*.tar"))) == len(index)
+    back = samples.read_samples(archives.read_members(spark, str(tmp_path / "out")))
+    got = {r["key"]: (r["txt"], r["has_image"], r["shard"][:2]) for r in back.collect()}
+    assert got == {k: (t, j is not None, s) for s, k, t, j in rows}
