@@ -182,6 +182,21 @@ def judge(
     )
 
 
+def verdict_rows(specs: DataFrame, objects: DataFrame, colors: Sequence[str] = COLORS) -> DataFrame:
+    """`judge` with `metadata` (the specification) and `details` (kept boxes per class) as JSON text."""
+    judged = judge(specs, objects, colors).join(objects, "image_id", "left")
+    boxes = F.transform_values(
+        "objects",
+        lambda _, bs: F.transform(bs, lambda b: F.array(b["x1"], b["y1"], b["x2"], b["y2"], b["score"])),
+    )
+    spec = F.struct(*[c for c in ("tag", "prompt", "include", "exclude") if c in specs.columns])
+    return judged.select(
+        *[c for c in judged.columns if c != "objects"],
+        F.to_json(spec).alias("metadata"),
+        F.coalesce(F.to_json(boxes), F.lit("{}")).alias("details"),
+    )
+
+
 _BOX = "struct<rn:int,x1:double,y1:double,x2:double,y2:double,score:double,color:string>"
 _ONE = f"struct<matched:boolean,reason:string,found:array<{_BOX}>>"
 _STATE = f"array<{_ONE}>"

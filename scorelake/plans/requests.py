@@ -151,8 +151,10 @@ def url_folder(url: Column) -> Column:
 def flatten_descriptor(descriptors: DataFrame, remote: DataFrame | None = None, base: str | None = None) -> DataFrame:
     """Descriptor documents -> one row per shard (url, nsamples, weight, name, source_url, dataset).
 
-    `remote(source_url, ...)` holds the descriptors that components point to. Fields a shard already
-    has win; a component's own weight wins over that of the file it points to. Faulty documents raise.
+    `remote(location, ...)` holds the descriptors that components point to by URL. Fields a shard
+    already has win; a component's own weight wins over that of the file it points to. Faulty
+    documents raise when they are read: wrong version, no shard list, a shard without URL or count,
+    a component that points to a file which points on. `require_shards` rejects an empty result.
     """
     version = F.when(F.coalesce(F.col("wids_version") == 1, F.lit(False)), F.col("wids_version")).otherwise(
         F.raise_error(F.lit("dataset description must have wids_version 1"))
@@ -173,9 +175,12 @@ def flatten_descriptor(descriptors: DataFrame, remote: DataFrame | None = None,
     out = own.unionByName(_component_shards(inline, F.col("base")))
     if remote is not None:
         # one row per component and per referenced file: both are short lists
+        onward = F.when(
+            F.col("source_url").isNotNull(), F.raise_error(F.lit("double indirection in dataset description"))
+        )
         fetched = remote.select(
-            "source_url", F.col("name").alias("r_name"), F.col("base").alias("r_base"),
-            F.col("shardlist").alias("r_list"),
+            F.col("location").alias("source_url"), F.col("name").alias("r_name"), F.col("base").alias("r_base"),
+            F.coalesce(onward, F.col("shardlist")).alias("r_list"),
         )
         linked = parts.where(F.col("source_url").isNotNull()).drop("name", "base", "shardlist")
         linked = linked.join(fetched, "source_url").select(
@@ -185,7 +190,15 @@ def flatten_descriptor(descriptors: DataFrame, remote: DataFrame | None = None,
         out = out.unionByName(
             _component_shards(linked, F.coalesce("base", url_folder(F.col("source_url"))))
         )
-    return out
+    faulty = F.col("url").isNull() | F.col("nsamples").isNull()
+    checked = F.when(~faulty, F.col("url")).otherwise(F.raise_error(F.lit("a shard needs url and nsamples")))
+    return out.withColumn("url", checked)
+
+
+def require_shards(shardlist: DataFrame) -> DataFrame:
+    if shardlist.isEmpty():
+        raise ValueError("no shards found")
+    return shardlist
 
 
 def _component_shards(parts: DataFrame, base: Column) -> DataFrame:

@@ -49,8 +49,10 @@ def archive_round_trip(spark, sf):
 def archive_index(spark, sf):
     """Shard index from member names only: no member's bytes are read."""
     folder, _ = _archived(spark, sf)
-    names = archives.read_members(spark, folder, names_only=True)
-    counts = shards.shard_table(names).withColumn("shard", F.element_at(F.split("shard", "-"), 1))
+    names, store = archives.read_members(spark, folder, names_only=True), _folder(spark, "index")
+    stores.load_or_build_index(names, store)
+    # the second call finds the stored index
+    counts = stores.load_or_build_index(names.limit(0), store).withColumn("shard", F.element_at(F.split("shard", "-"), 1))
     return counts.groupBy("shard").agg(F.sum("nsamples").alias("nsamples"))
 
 

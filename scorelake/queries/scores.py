@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scorelake.functions import augment, targets
-from scorelake.functions.captions import clean_caption
 from scorelake.functions.scoring import normalise_score, route_scores as route, standardise_image_reward
 from scorelake.functions.scoring import swap_synthetic as swap
 from scorelake.operators import bins as B
 from scorelake.operators import evaluate, sampling
+from scorelake.operators.emit import emit_columns
 from scorelake.operators import scores as S
 from scorelake.operators.scores import resolve_captions
 from scorelake.queries.fixtures import table, view
@@ -165,15 +165,15 @@ def bins_cache_check(spark, sf):
 
 
 @query(
-    "select s.key, replace(txt, '<PERSON>', '') as text, "
+    "select s.key, replace(coalesce(txt, ''), '<PERSON>', '') as text, "
     + ", ".join(f"synthetic_{s} is null as {s}_is_nan, round(synthetic_{s}::double, 6) as {s}_coherence" for s in SCORES)
     + " from samples_v s join scores_v c on s.key = c.key"
 )
 def emit_coherence(spark, sf):
     """Emitted row: caption and one coherence per score, NaN where the score is missing."""
     s = view(spark, sf, "samples_v").select("key", "txt").join(view(spark, sf, "scores_v"), "key")
-    picked = s.select("key", clean_caption(F.col("txt")).alias("text"), *[F.col(f"synthetic_{n}").alias(n) for n in SCORES])
-    out = B.bucketise_scores(picked, None, SCORES, 64)
+    picked = s.select("key", "txt", *[F.col(f"synthetic_{n}").alias(n) for n in SCORES])
+    out = emit_columns(picked, SCORES, 64)
     cols = []
     for n in SCORES:
         c = F.col(f"{n}_coherence").cast("double")

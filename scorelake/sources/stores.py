@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from scorelake.functions.vectors import trim_to_mask
 from scorelake.operators.sampling import corpus_size
 from scorelake.operators.scores import attach_scores, merge_scores_json
+from scorelake.operators.shards import shard_table
 
 
 def write_enriched(
@@ -33,6 +34,16 @@ def write_enriched(
     out.hint("rebalance", "shard").write.mode("overwrite").partitionBy("shard").parquet(path)
 
 
+def load_or_build_index(members: DataFrame, path: str) -> DataFrame:
+    """Stored shard index (shard, nsamples) of a corpus, or one counted from member names and stored."""
+    spark = members.sparkSession
+    try:
+        return spark.read.schema("shard string, nsamples long").parquet(path)
+    except AnalysisException:
+        shard_table(members).write.mode("overwrite").parquet(path)
+        return spark.read.schema("shard string, nsamples long").parquet(path)
+
+
 @dataclass(frozen=True)
 class SizeKey:
     min_size: int

@@ -166,3 +166,14 @@ def test_ragged_encoder(spark):
     df = spark.createDataFrame([("abc",), (None,), ("x",)], "t string")
     got = [r["e"] for r in df.select(encode_text(F.col("t"), make, 2).alias("e")).collect()]
     assert got == [[[3.0, 0.0], [3.0, 1.0]], [], [[1.0, 0.0]]]
+
+
+def test_emitted_rows(spark):
+    from scorelake.operators.emit import emit_columns
+
+    df = spark.createDataFrame([("a", None, [1.0], 0.3, None), ("b", "<PERSON>t", None, 0.3, 0.1)], "key string, txt string, emb array<double>, clip_score double, vqa_score double")
+    rows = emit_columns(df, ["clip_score", "vqa_score"], 3, {"clip_score": [0.0, 0.2, 1.0]}, arrays={"flan": "emb"}).collect()
+    assert [(r["key"], r["text"], r["flan"], r["clip_score_coherence"]) for r in rows] == [("a", "", [1.0], 0.5)]
+    assert math.isnan(rows[0]["vqa_score_coherence"])
+    with pytest.raises(KeyError, match="vqa_score"):
+        emit_columns(df.drop("vqa_score"), ["vqa_score"], 3)

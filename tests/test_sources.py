@@ -12,7 +12,7 @@ from scorelake.functions.vectors import pad, pad_mask
 from scorelake.operators import scoring_jobs as K
 from scorelake.operators import shards
 from scorelake.plans import preparation
-from scorelake.plans.requests import flatten_descriptor
+from scorelake.plans.requests import flatten_descriptor, require_shards
 from scorelake.sources import archives, samples, stores, tables
 
 
@@ -141,7 +141,7 @@ def test_image_folders(spark, tmp_path):
     found = {(r["filename"].split("/", 1)[1].split(tmp_path.name + "/")[1], r["prompt"]) for r in tables.discover_images(spark, str(tmp_path)).collect()}
     assert found == {("00000/samples/0000.png", "a"), ("00000/samples/0001.JPG", "a"), ("abc/samples/0000.png", "b"), ("abc/samples/x.webp", "b")}
     strict = {r["filename"].split(tmp_path.name + "/")[1] for r in tables.discover_images_strict(spark, str(tmp_path)).collect()}
-    assert strict == {"00000/samples/0000.png", "00002/samples/0000.png"}
+    assert strict == {"00000/samples/0000.png"}  # an empty or absent specification judges nothing
 
 
 def test_size_store_and_scorer_flush(spark, tmp_path):
@@ -173,7 +173,7 @@ def test_descriptor(spark, tmp_path):
     remote = {"wids_version": 1, "name": "far", "weight": 1.0, "shardlist": [{"url": "e.tar", "nsamples": 5}, {"url": "ftp://other/f.tar?q=1", "nsamples": 6}]}
     (tmp_path / "d.json").write_text(json.dumps(main))
     (tmp_path / "r.json").write_text(json.dumps(remote))
-    far = tables.read_descriptors(spark, str(tmp_path / "r.json")).withColumn("source_url", F.lit("http://host/sub/desc.json"))
+    far = tables.read_descriptors(spark, str(tmp_path / "r.json")).withColumn("location", F.lit("http://host/sub/desc.json"))
     out = flatten_descriptor(tables.read_descriptors(spark, str(tmp_path / "d.json")), far, base="http://base/root")
     rows = {r["url"]: r for r in out.collect()}
     assert set(rows) == {"http://base/root/a.tar", "http://base/root/b.tar", "gs://bucket/x/c.tar", "gs://bucket/abs/d.tar", "http://host/sub/e.tar", "ftp://other/f.tar?q=1"}
@@ -181,6 +181,14 @@ def test_descriptor(spark, tmp_path):
     assert rows["http://base/root/a.tar"]["name"] == "top" and rows["gs://bucket/x/c.tar"]["dataset"] == "in"
     assert rows["http://host/sub/e.tar"]["weight"] == 7.0 and rows["http://host/sub/e.tar"]["dataset"] == "far"
     assert rows["http://host/sub/e.tar"]["source_url"] == "http://host/sub/desc.json"
+    onward = far.withColumn("source_url", F.lit("http://elsewhere"))
+    with pytest.raises(Exception, match="double indirection"):
+        flatten_descriptor(tables.read_descriptors(spark, str(tmp_path / "d.json")), onward).collect()
+    (tmp_path / "faulty.json").write_text(json.dumps({"wids_version": 1, "shardlist": [{"url": "a"}]}))
+    with pytest.raises(Exception, match="needs url and nsamples"):
+        flatten_descriptor(tables.read_descriptors(spark, str(tmp_path / "faulty.json"))).collect()
+    with pytest.raises(ValueError, match="no shards"):
+        require_shards(out.limit(0))
     (tmp_path / "bad.json").write_text(json.dumps({"wids_version": 2, "shardlist": [{"url": "a", "nsamples": 1}]}))
     with pytest.raises(Exception, match="wids_version 1"):
         flatten_descriptor(tables.read_descriptors(spark, str(tmp_path / "bad.json"))).collect()

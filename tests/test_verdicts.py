@@ -1,5 +1,6 @@
 """Verdicts with several objects per clause against a plain Python walk over the same boxes."""
 
+import json
 import math
 import random
 
@@ -96,6 +97,16 @@ def test_random_scenes(spark, th):
     assert 0 < sum(c for c, _ in want.values()) < 150
 
 
+def test_rows_carry_specification_and_boxes(spark):
+    boxes = [(1, 1.0, 2.0, 3.0, 4.0, 0.9, "red")]
+    found = V.detections_long(spark.createDataFrame([(1, boxes)], f"image_id int, boxes {BOX}"), CLASSES)
+    specs = spark.createDataFrame([(1, "t", [("dog", 1, None, None, None)], []), (2, "t", [("dog", 1, None, None, None)], [])], SPEC)
+    rows = {r["image_id"]: r for r in V.verdict_rows(specs, V.objects_per_image(found, specs.select("image_id", "tag"))).collect()}
+    assert json.loads(rows[1]["details"]) == {"dog": [[1.0, 2.0, 3.0, 4.0, 0.9]]} and rows[2]["details"] == "{}"
+    assert json.loads(rows[1]["metadata"])["include"] == [{"class": "dog", "cnt": 1}]
+    assert rows[1]["correct"] and rows[2]["reason"] == "expected dog>=1, found 0"
+
+
 def test_unknown_class_id_is_dropped(spark):
     box = (99, 0.0, 0.0, 1.0, 1.0, 0.9, "red")
     rows = V.detections_long(spark.createDataFrame([(1, [box, (0,) + box[1:]])], f"image_id int, boxes {BOX}"))
