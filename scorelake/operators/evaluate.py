@@ -58,7 +58,7 @@ def prompts_grid(outputs: DataFrame, k: int, arrival: str, value: str, prompt: s
     return packed.select(prompt, F.col(f"_g.{value}").alias("outputs"))
 
 
-def task_accuracy(verdicts: DataFrame, tag: str = "tag", spec: str = "metadata") -> DataFrame:
+def task_accuracy(verdicts: DataFrame, tag: str = "tag") -> DataFrame:
     """Per tag: images, correct ones and their share; first-seen order is not kept by a table."""
     return verdicts.groupBy(tag).agg(
         F.count(F.lit(1)).alias("n_images"),

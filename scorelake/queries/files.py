@@ -11,6 +11,7 @@ from scorelake.functions.vectors import pad, pad_mask
 from scorelake.operators import bins as B
 from scorelake.operators import sampling, shards
 from scorelake.operators import scoring_jobs as K
+from scorelake.operators.ranks import ordered_index
 from scorelake.plans import preparation
 from scorelake.queries.fixtures import table, view
 from scorelake.queries.registry import query
@@ -199,8 +200,6 @@ select batch, slot, vec_id, label::bigint as label from e"""
 )
 def rebatch(spark, sf):
     """Rows packed to batches of columns, then split to rows again."""
-    from scorelake.operators.ranks import ordered_index
-
     rows = ordered_index(table(spark, sf, "embeddings").select("vec_id", "label"), ["vec_id"])
     packed = rows.groupBy(F.floor(F.col("idx") / 32).alias("batch")).agg(
         F.array_sort(F.collect_list(F.struct("idx", "vec_id", "label"))).alias("b")
@@ -215,8 +214,6 @@ def rebatch(spark, sf):
 )
 def ordered_sources(spark, sf):
     """Distinct sources in first-seen order."""
-    from scorelake.operators.ranks import ordered_index
-
     firsts = table(spark, sf, "documents").groupBy("source").agg(F.min("doc_id").alias("first_seen"))
     return ordered_index(firsts, ["first_seen"], "place")
 
@@ -240,7 +237,9 @@ def preparation_job(spark, sf):
 
 
 @query(
-    "select source, count(*) as n_raw, floor((select count(*) from samples_v where width is null or width >= 256) * count(*)::double / (select count(*) from samples_v))::bigint as estimate from samples_v group by source"
+    "select source, count(*) as n_raw,"
+    " floor((select count(*) from samples_v where width is null or width >= 256)"
+    " * count(*)::double / (select count(*) from samples_v))::bigint as estimate from samples_v group by source"
 )
 def estimate_per_root(spark, sf):
     """The whole estimate shared out by raw rows of each source."""

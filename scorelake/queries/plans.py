@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from scorelake.functions.hashing import hash_u
 from scorelake.operators import sampling, shards
-from scorelake.operators.ranks import ordered_index
 from scorelake.plans import epochs
 from scorelake.queries.fixtures import table, view
 from scorelake.queries.registry import query
