@@ -1,0 +1,19 @@
+"""Cutting lineage: reliable checkpoints in the folder the cluster names."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+from scorelake.session import shared_folder
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """`df`, computed once and kept in `spark.checkpoint.dir`, so that lost executors cost no rework.
+
+    The files go when the frame is collected as garbage, if the cluster sets
+    `spark.cleaner.referenceTracking.cleanCheckpoints`.
+    """
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    return df.checkpoint()
