@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from scorelake.llm import bpe, langid, simhash
+from scorelake.llm import bpe, langid, minhash, repeats, simhash
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -36,3 +36,38 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     model = langid.fit(documents.where(~held_out))
     return langid.predict(documents, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.with_edits(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeats(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op6_repeats"] = """
+with words as (
+  select doc_id, rowid_, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) as w
+  from (select doc_id, text, row_number() over () as rowid_ from documents)
+), starts as (
+  select doc_id, rowid_, unnest(range(1, greatest(len(w) - 11, 1))) as i from words
+), windows as (
+  select s.doc_id, s.rowid_, s.i, sha256(array_to_string(w[s.i : s.i + 12], ' ')) as h
+  from starts s join words using (rowid_)
+), firsts as (select h, min(doc_id) as first_id from windows group by h
+), covered as (
+  select distinct rowid_, unnest(range(i, i + 13)) as p from windows join firsts using (h) where windows.doc_id > first_id
+), gone as (select rowid_, list(p) as ps, count(*) as n from covered group by rowid_
+), kept as (
+  select doc_id, len(w) as n_words, coalesce(n, 0) as n_removed,
+    case when n is null then w else list_filter(w, lambda x, i: not list_contains(ps, i)) end as k, coalesce(list_sort(ps), []) as ps
+  from words left join gone using (rowid_)
+)
+select doc_id, n_words, n_removed,
+  array_to_string(list_transform(list_filter(ps, lambda x: not list_contains(ps, x - 1)),
+    lambda x, i: (x - 1)::varchar || ':' || list_filter(ps, lambda y: not list_contains(ps, y + 1))[i]::varchar), ',') as removed,
+  sha256(array_to_string(k, ' ')) as kept_sha256
+from kept"""
