@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from scorelake.llm import bpe, langid, minhash, repeats, simhash
+from scorelake.llm import ann, bpe, langid, minhash, mixing, repeats, simhash
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -71,3 +71,62 @@ select doc_id, n_words, n_removed,
     lambda x, i: (x - 1)::varchar || ':' || list_filter(ps, lambda y: not list_contains(ps, y + 1))[i]::varchar), ',') as removed,
   sha256(array_to_string(k, ' ')) as kept_sha256
 from kept"""
+
+
+@query
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.nearest(vectors, F.col("vec_id") % 50 == 0)
+
+
+ORACLES["op5_nearest"] = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings
+  where vec_id is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0
+), pairs as (
+  select q.vec_id as query_id, c.vec_id, list_cosine_similarity(q.e, c.e) as score
+  from v q join v c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id and len(q.e) = len(c.e)
+), ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from pairs)
+select query_id, rank, vec_id, score from ranked where rank <= 5"""
+
+
+@query
+def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def _mixture_sql() -> str:
+    share = "ln(tokens / total)"
+    rounds = "".join(
+        f"""
+, points{r} as (select i, lo + (hi - lo) * i / {mixing.POINTS + 1}.0::double as a from bounds{r}, range({mixing.POINTS + 2}) as g(i))
+, sums{r} as (select i, a, sum(exp(a * {share})) as z, sum(exp(a * {share}) * {share}) as e, min({share}) as least from points{r}, sources, totals group by i, a)
+, flat{r} as (
+  select a, ln(z) - a * e / z >= {mixing.ENTROPY}::double * ln(n) or exp((a - 1) * least) / z > {mixing.REPEATS}::double as f from sums{r}, totals
+), bounds{r + 1} as (select coalesce(max(a) filter (f), 0.0::double) as lo, coalesce(min(a) filter (not f), 1.0::double) as hi from flat{r})"""
+        for r in range(mixing.ROUNDS)
+    )
+    return f"""
+with rows_ as (
+  select doc_id, source, coalesce('=' || source, 'null') as k, substr(md5(coalesce(text, '')), 1, 16) as th,
+    coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as n_tokens
+  from documents
+), sources as (select k, count(*) as docs, sum(n_tokens)::bigint as tokens from rows_ group by k having sum(n_tokens) > 0
+), totals as (select sum(tokens)::double as total, count(*)::double as n from sources
+), bounds0 as (select 0.0::double as lo, 1.0::double as hi)
+{rounds}
+, tempered as (select *, pow(tokens::double, hi) as t from sources, bounds{mixing.ROUNDS}
+), plan as (select k, tokens, t / sum(t) over () as weight, t / sum(t) over () * total as budget from tempered, totals
+), dealt as (select *, unnest(range(0, floor(budget / tokens)::bigint + 1)) as turn from rows_ join plan using (k)
+), hashed as (select *, ('0x' || substr(md5(concat_ws('|', coalesce(doc_id::varchar, ''), th, turn::varchar)), 1, 15))::bigint as h from dealt
+), placed as (
+  select *, turn * tokens + coalesce(sum(n_tokens) over (partition by k, turn order by h, doc_id, th rows between unbounded preceding and 1 preceding), 0)::bigint as start
+  from hashed
+), taken as (select *, floor(start / (weight * {mixing.BLOCK_TOKENS}::double))::bigint as block from placed where start < budget)
+select doc_id, source, n_tokens, weight, turn, block,
+  row_number() over (partition by block order by md5('place#' || h::varchar), doc_id, th, turn)::int as place
+from taken"""
+
+
+ORACLES["op10_mixture"] = _mixture_sql()
