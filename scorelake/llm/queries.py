@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from scorelake.llm import ann, bpe, langid, minhash, mixing, repeats, simhash
+from scorelake.llm import ann, bpe, langid, minhash, mixing, pii, repeats, simhash
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -130,3 +130,8 @@ from taken"""
 
 
 ORACLES["op10_mixture"] = _mixture_sql()
+
+
+@query
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
