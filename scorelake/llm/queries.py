@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from scorelake.llm import ann, bpe, langid, minhash, mixing, pii, repeats, simhash
+from scorelake.llm import ann, bpe, langid, licences, minhash, mixing, pii, repeats, simhash, urls
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -135,3 +135,13 @@ ORACLES["op10_mixture"] = _mixture_sql()
 @query
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
