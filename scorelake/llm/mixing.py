@@ -3,7 +3,8 @@
 A source's weight is its token share to the power of an exponent, normalised. The exponent runs from
 0 (all sources alike) to 1 (shares as they are); bisection finds the largest one whose weights reach
 the target entropy, raised as far as the repetition limit asks: no source may be passed over more
-than `repeats` times for the budget. Where no exponent reaches the entropy it is 0; where even the
+than `repeats` times for the budget. A limit without an entropy gives the flattest mix it allows,
+neither of them the shares as they are. Where no exponent reaches the entropy it is 0; where even the
 shares repeat too often it is 1. Each round of the bisection is one aggregate over the source table
 with `POINTS` exponents at once.
 
@@ -68,7 +69,7 @@ def measured(df: DataFrame, key: str = "doc_id", text: str = "text", source: str
 def exponent(sources: DataFrame, target: Target) -> float:
     """The temperature exponent for a table of (source_key, tokens > 0)."""
     count, total = sources.agg(F.count(F.lit(1)), F.sum("tokens")).first()
-    if not count:
+    if not count or (target.entropy is None and target.repeats is None):
         return 1.0
     budget = target.budget if target.budget is not None else total
     share = F.log(F.col("tokens") / F.lit(float(total)))
