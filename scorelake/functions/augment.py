@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from scorelake.functions.binding import let
 from scorelake.functions.hashing import chance, hash_u
 
 
@@ -25,17 +26,15 @@ def reward_mask(key: Column | str, k: int, strategy: str, p: float = 0.0, seed:
     salt = f"mask/{seed}"
     one = F.floor(hash_u(key, f"{salt}/pick") * k).cast("int")
     if strategy == "binomial":
-        kept = F.transform(_draws(key, salt, k), lambda u: F.when(u < 1.0 - p, 1).otherwise(0))
-        only = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.when(i == one, 1).otherwise(0))
-        return F.when(F.exists(kept, lambda x: x == 1), kept).otherwise(only)
+        draws = F.transform(_draws(key, salt, k), lambda u: F.when(u < 1.0 - p, 1).otherwise(0))
+        only = let(one, lambda place: F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.when(i == place, 1).otherwise(0)))
+        return let(draws, lambda kept: F.when(F.exists(kept, lambda x: x == 1), kept).otherwise(only))
     if strategy == "uniform":
         draws = F.transform(_draws(key, salt, k), lambda u, i: F.struct(u.alias("u"), i.alias("i")))
-        order = F.transform(F.array_sort(draws), lambda d: d["i"])
         # `one` is uniform in 0..k-1 as well: here it is the number of rewards to drop
-        return F.transform(
-            F.sequence(F.lit(1), F.lit(k)),
-            lambda i: F.when(F.array_position(order, (i - 1).cast("int")) - 1 >= one, 1).otherwise(0),
-        )
+        fate = F.struct(F.transform(F.array_sort(draws), lambda d: d["i"]).alias("order"), one.alias("drop"))
+        places = F.sequence(F.lit(0), F.lit(k - 1))
+        return let(fate, lambda f: F.transform(places, lambda i: F.when(F.array_position(f["order"], i) > f["drop"], 1).otherwise(0)))
     raise ValueError(f"drop-out strategy {strategy!r} is not binomial, uniform or none")
 
 

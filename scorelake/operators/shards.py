@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 import numpy as np
@@ -191,27 +192,30 @@ def intersect_ranges(a: DataFrame, b: DataFrame, width: int = 10_000) -> DataFra
     return joined.where(once).select("a_id", "b_id", "lo", "hi")
 
 
-def select_shards(
-    ranges: DataFrame,
-    n_shards: int,
-    shard_id: int | None = None,
-    shard_ids: Sequence[int] | None = None,
-    shard_range: tuple[int, int] | None = None,
-) -> DataFrame:
-    """Pick shards by index: one (must exist), some (unknown ones are skipped), or an inclusive range."""
-    idx = F.col("shard_idx")
-    if shard_id is not None:
-        if not 0 <= shard_id < n_shards:
-            raise ValueError(f"shard {shard_id} outside 0..{n_shards - 1}")
-        return ranges.where(idx == shard_id)
-    if shard_ids is not None:
-        return ranges.where(idx.isin(list(shard_ids)))
-    if shard_range is not None:
-        first, last = shard_range
-        if first < 0 or last >= n_shards or first > last:
-            raise ValueError(f"range {first}-{last} is not inside 0..{n_shards - 1}")
-        return ranges.where(idx.between(first, last))
-    return ranges
+def shard_intervals(request: str) -> list[tuple[int, int]]:
+    """'7', '0, 3, 5' or '2-9' (ends included), also mixed, as half-open intervals."""
+    intervals = []
+    for part in request.split(","):
+        found = re.fullmatch(r"\s*(\d+)\s*(?:-\s*(\d+)\s*)?", part)
+        low = int(found[1]) if found else -1
+        high = int(found[2] or low) if found else -1
+        if not 0 <= low <= high:
+            raise ValueError(f"{part.strip()!r} is neither a shard number nor a rising range of them")
+        intervals.append((low, high + 1))
+    return intervals
+
+
+def select_shards(ranges: DataFrame, intervals: Sequence[tuple[int, int]]) -> tuple[DataFrame, list[tuple[int, int]]]:
+    """(shards whose index lies in an interval, the intervals that reach beyond the last shard).
+
+    The caller says whether such an interval is an error; a list of single numbers usually skips it.
+    """
+    count = ranges.agg(F.coalesce(F.max("shard_idx") + 1, F.lit(0))).first()[0]
+    beyond = [i for i in intervals if i[1] > count]
+    idx, wanted = F.col("shard_idx"), F.lit(False)
+    for low, high in intervals:
+        wanted = wanted | ((idx >= low) & (idx < high))
+    return ranges.where(wanted), beyond
 
 
 def union_roots(roots: Sequence[DataFrame]) -> DataFrame:

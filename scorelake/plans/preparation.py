@@ -7,9 +7,9 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, functions as F
 
 from scorelake.functions.captions import captions_from_json, clean_caption
-from scorelake.functions.scoring import normalise_score, route_scores
-from scorelake.operators.scores import resolve_captions
-from scorelake.operators.scoring_jobs import Switches, score_column
+from scorelake.functions.scoring import normalise_score, routing_rows
+from scorelake.operators.scores import IDENTITY, require_identity, resolve_captions
+from scorelake.operators.scoring_jobs import Switches, encode_text, score_column
 from scorelake.schema import SYNTHETIC_CAPTION
 
 
@@ -29,26 +29,40 @@ def with_captions(decoded: DataFrame, captions: DataFrame | None) -> DataFrame:
     )
 
 
-def score_captions(captioned: DataFrame, scorers: Mapping[str, str], switches: Switches) -> DataFrame:
-    """(key, one column per output): every request scored by its scorer, normalised, side by side.
+def score_samples(captioned: DataFrame, scorers: Mapping[str, str], switches: Switches, image: str | None = None) -> DataFrame:
+    """(shard, key, one column per output): every output computed on its sample's row and normalised.
 
-    `scorers` maps a score to a registered scorer that sees the caption.
+    `scorers` maps a score to a registered scorer of (image, caption), or of the caption alone where
+    no image column is named. All scorers run in one scan of the samples.
     """
-    requests = route_scores(captioned.select("key", "original", "long", "short"), switches.scores)
-    if not switches.synthetic:
-        requests = requests.where(F.col("caption_kind") == "original")
-    scored = None
-    for score in switches.scores:  # each scorer sees only its own requests
-        raw = score_column(scorers[score], [F.col("caption")])
-        part = requests.where(F.col("score_name") == score).select(
-            "key", "output", normalise_score(score, raw).alias("value")
-        )
-        scored = part if scored is None else scored.unionByName(part)
-    outputs = list(switches.scores)
-    if switches.synthetic:
-        outputs += [f"synthetic_{s}" for s in switches.scores]
-    wide = scored.groupBy("key").pivot("output", outputs).agg(F.first("value"))
-    if switches.synthetic:
-        copies = {f"synthetic_{s}": F.col(s) for s in switches.scores if SYNTHETIC_CAPTION[s] == "copy"}
-        wide = wide.withColumns(copies)
-    return wide
+    require_identity(IDENTITY, samples=captioned)
+    outputs = {}
+    for score, output, kind in routing_rows():
+        if score not in switches.scores or (output != score and not switches.synthetic):
+            continue
+        if kind == "copy":
+            outputs[output] = F.col(score)
+        else:
+            inputs = [F.col(image), F.col(kind)] if image else [F.col(kind)]
+            outputs[output] = normalise_score(score, score_column(scorers[score], inputs))
+    copies = [o for o in outputs if o.startswith("synthetic_") and SYNTHETIC_CAPTION[o.removeprefix("synthetic_")] == "copy"]
+    scored = captioned.select(*IDENTITY, *(c.alias(o) for o, c in outputs.items() if o not in copies))
+    return scored.withColumns({o: outputs[o] for o in copies}).select(*IDENTITY, *outputs)
+
+
+def encode_samples(captioned: DataFrame, switches: Switches, make_encoder, latents: Mapping[int, str] | None = None, batch_size: int = 64) -> DataFrame:
+    """(shard, key, text and latent columns) that the switches ask for.
+
+    `latents` names the column that a plug-in has filled for each image size.
+    """
+    columns = {}
+    if switches.text:
+        columns["text_embedding"] = encode_text(F.col("original"), make_encoder, batch_size=batch_size)
+        if switches.synthetic:
+            columns["synthetic_text_embedding"] = encode_text(F.col("long"), make_encoder, batch_size=batch_size)
+    for size, on in ((256, switches.latents_256), (512, switches.latents_512)):
+        if on:
+            if not latents or size not in latents:
+                raise ValueError(f"latents of size {size} are switched on but no column holds them")
+            columns[f"latents_{size}"] = F.col(latents[size])
+    return captioned.select(*IDENTITY, *(c.alias(n) for n, c in columns.items()))

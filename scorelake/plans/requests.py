@@ -176,7 +176,7 @@ def flatten_descriptor(descriptors: DataFrame, remote: DataFrame | None = None,
     if remote is not None:
         # one row per component and per referenced file: both are short lists
         onward = F.when(
-            F.col("source_url").isNotNull(), F.raise_error(F.lit("double indirection in dataset description"))
+            F.col("source_url").isNotNull(), F.raise_error(F.lit("a referenced descriptor refers to another one"))
         )
         fetched = remote.select(
             F.col("location").alias("source_url"), F.col("name").alias("r_name"), F.col("base").alias("r_base"),
@@ -203,7 +203,7 @@ def require_shards(shardlist: DataFrame) -> DataFrame:
 
 def _component_shards(parts: DataFrame, base: Column) -> DataFrame:
     listed = F.when(F.col("shardlist").isNotNull(), F.col("shardlist")).otherwise(
-        F.raise_error(F.lit("no shardlist in dataset description"))
+        F.raise_error(F.lit("the descriptor lists no shards"))
     )
     return parts.select(
         base.alias("_base"), F.col("weight").alias("_weight"), F.col("name").alias("_name"),

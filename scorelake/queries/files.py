@@ -7,6 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from scorelake.functions.hashing import hash_u
 from scorelake.functions.vectors import pad, pad_mask
 from scorelake.operators import bins as B
 from scorelake.operators import sampling, shards
@@ -15,7 +16,7 @@ from scorelake.operators.ranks import ordered_index
 from scorelake.plans import preparation
 from scorelake.queries.fixtures import table, view
 from scorelake.queries.registry import query
-from scorelake.schema import SCORES
+from scorelake.schema import AFFINE, SCORES, SYNTHETIC
 from scorelake.session import shared_folder
 from scorelake.sources import archives, samples as S, stores, tables
 
@@ -136,32 +137,45 @@ def discover_images_strict(spark, sf):
 
 
 @query(
-    """select s.key, s.shard, round(c.clip_score::double, 6) as clip_score, s.width as width, 2::bigint as n_tokens
-from samples_v s join scores_v c on s.key = c.key"""
+    """with j as (select s.key, s.shard, c.clip_score, U(s.doc_id,'nan') < 0.1 as bad, U(s.doc_id,'nojson') >= 0.1 as has, s.width, s.height, s.doc_id
+  from samples_v s join scores_v c on s.key = c.key)
+select key, shard, case when not bad then round(clip_score::double, 6) end as clip_score, case when has then width end as width,
+  case when has then doc_id end as nested, 2::bigint as n_tokens
+from j where not has or width is null or (width >= 256 and height >= 256)"""
 )
 def enriched_round_trip(spark, sf):
     """Scores merged into the metadata JSON, embeddings trimmed to their mask, one folder per shard."""
     tokens = F.array(F.lit(1.0), F.lit(2.0))
-    s = view(spark, sf, "samples_v").select(
-        "key", "shard", "txt",
-        F.create_map(F.lit("width"), F.col("width").cast("string")).alias("other"),
+    s = S.decode_json(_enriched_input(spark, sf)).select(
+        "key", "shard", "txt", "json", "other",
         pad(tokens, 8, F.lit(0.0)).alias("emb"), pad_mask(tokens, 8).alias("mask"),
     )
-    scores = view(spark, sf, "scores_v").select("key", F.col("clip_score").cast("double").alias("clip_score"))
+    bad = F.when(hash_u("doc_id", "nan") < 0.1, F.lit(float("nan"))).otherwise(F.col("clip_score").cast("double"))
+    scores = view(spark, sf, "scores_v").select("shard", "key", bad.alias("clip_score"))
     path = _folder(spark, "enriched")
     stores.write_enriched(s, scores, ["clip_score"], path, [("emb", "mask")])
     back = spark.read.schema("key string, emb array<double>, json string, shard string").parquet(path)
-    number = F.get_json_object("json", "$.clip_score").cast("double")
-    return back.select(
-        "key", "shard", F.round(number, 6).alias("clip_score"),
-        F.get_json_object("json", "$.width").cast("int").alias("width"), F.size("emb").cast("long").alias("n_tokens"),
+    decoded = S.decode_json(back)
+    kept = decoded.where(S.quality_of(decoded, 256, 0.0, 0.0))
+    number = F.col("meta.clip_score")
+    return kept.select(
+        "key", "shard", F.when(~F.isnan(number), F.round(number, 6)).alias("clip_score"), F.col("meta.width").alias("width"),
+        F.get_json_object("json", "$.tags[1].n").cast("long").alias("nested"), F.size("emb").cast("long").alias("n_tokens"),
     )
 
 
-@query("select 'clip_score' as score_name, true as same union all select 'vqa_score', true")
+def _enriched_input(spark: SparkSession, sf: str) -> DataFrame:
+    """Samples whose JSON holds sizes as floats, a nested field, or is missing."""
+    tags = F.array(F.struct(F.lit(1).alias("n")), F.struct(F.col("doc_id").alias("n")))
+    size = lambda c: F.col(c).cast("double").alias(c)
+    json = F.when(hash_u("doc_id", "nojson") >= 0.1, F.to_json(F.struct(size("width"), size("height"), tags.alias("tags"))))
+    return view(spark, sf, "samples_v").withColumn("json", json)
+
+
+@query(" union all ".join(f"select '{s}' as score_name, true as same" for s in SCORES))
 def bins_store(spark, sf):
     """Edges computed and stored, then read back under the same configuration."""
-    names = ("clip_score", "vqa_score")
+    names = SCORES
     long = B.to_long(view(spark, sf, "scores_v"), names, ["key"])
     config, root = B.BinsConfig(B.BinSpec(16), names), _folder(spark, "bins")
     first = B.load_or_compute_bins(long, config, root).select("score_name", F.col("edges").alias("e1"))
@@ -219,20 +233,19 @@ def ordered_sources(spark, sf):
 
 
 @query(
-    """with c as (select key, replace(txt, '<PERSON>', '') as t from samples_v where has_image and txt is not null)
-select key, round(least(length(t) / 1000.0::double, 1) / 100, 6) as clip_score, round(least(length(t) / 1000.0::double, 1) / 10, 6) as aesthetic_score,
-  round(least(length(t) / 1000.0::double, 1) / 100, 6) as synthetic_clip_score, round(least(length(t) / 1000.0::double, 1) / 10, 6) as synthetic_aesthetic_score
-from c"""
+    "with c as (select key, least(length(replace(txt, '<PERSON>', '')) / 1000.0::double, 1) * (1 + right(key, 1)::int) / 10.0::double as v"
+    " from samples_v where has_image and txt is not null) select key, "
+    + ", ".join(f"round((v + {AFFINE[s][0]}::double) / {AFFINE[s][1]}::double, 6) as {p}{s}" for p in ("", "synthetic_") for s in SCORES)
+    + " from c"
 )
 def preparation_job(spark, sf):
-    """Archives to scores: read, decode, resolve captions, route, score, normalise."""
+    """Archives to scores: read, decode, resolve captions, score images with all seven scorers, normalise."""
     folder, _ = _archived(spark, sf)
     members = archives.read_members(spark, folder, [".jpg", ".txt", ".json"])
-    good, _ = S.quarantine(S.decode_json(S.read_samples(members)))
-    switches = K.Switches(scores=("clip_score", "aesthetic_score"))
+    good, _ = S.quarantine(S.decode_json(S.read_samples(members, [".jpg"])))
     captioned = preparation.with_captions(good, None)
-    scores = preparation.score_captions(captioned, {s: "length_ratio" for s in switches.scores}, switches)
-    names = ("clip_score", "aesthetic_score", "synthetic_clip_score", "synthetic_aesthetic_score")
+    scores = preparation.score_samples(captioned, {s: "image_and_length" for s in SCORES}, K.Switches(), "jpg")
+    names = SCORES + SYNTHETIC
     return scores.select("key", *[F.round(n, 6).alias(n) for n in names])
 
 

@@ -40,7 +40,8 @@ union all select lpad(doc_id::varchar, 12, '0'), 'vowel_share', round(({_VOWELS}
 )
 def apply_scorer(spark, sf):
     """Two scorers, one job each, flushed in between; the second call finds both finished."""
-    docs = table(spark, sf, "documents").select(F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("key"), "text")
+    docs = table(spark, sf, "documents").select("source", F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("key"), "text")
+    docs = docs.withColumnRenamed("source", "shard")
     store = _folder(spark, "scorers")
     K.apply_scorers(docs, "length_ratio", ["text"], store)
     out = K.apply_scorers(docs, "length_ratio,vowel_share", ["text"], store)
@@ -186,10 +187,10 @@ def stream_enrich(spark, sf):
 def stream_upsert_scores(spark, sf):
     """Stage one writes one column, a later stage the other; the log resolves to one row per key."""
     s = view(spark, sf, "scores_v")
-    schema = "key string, clip_score double, vqa_score double"
+    schema = "shard string, key string, clip_score double, vqa_score double"
     empty = F.lit(None).cast("double")
-    first = s.select("key", F.col("clip_score").cast("double").alias("clip_score"), empty.alias("vqa_score"))
-    second = s.select("key", empty.alias("clip_score"), F.col("synthetic_vqa_score").cast("double").alias("vqa_score"))
+    first = s.select("shard", "key", F.col("clip_score").cast("double").alias("clip_score"), empty.alias("vqa_score"))
+    second = s.select("shard", "key", empty.alias("clip_score"), F.col("synthetic_vqa_score").cast("double").alias("vqa_score"))
     out = _folder(spark, "upserts")
     # both stages arrive through one stream; replays of a batch replace its version
     _finish(jobs.stream_upsert_scores(_as_stream(first.unionByName(second), "key"), out, out + "-cp"))

@@ -62,7 +62,8 @@ def index_to_shard(spark, sf):
 def select_shards(spark, sf):
     _, ranges = _indexed(spark, sf)
     n = _n(ranges)
-    return shards.select_shards(ranges, n, shard_range=(0, n - 2)).select("shard", "shard_idx", "lo", "hi")
+    picked, _ = shards.select_shards(ranges, shards.shard_intervals(f"0-{n - 2}"))
+    return picked.select("shard", "shard_idx", "lo", "hi")
 
 
 @query(

@@ -64,33 +64,34 @@ def route_scores(spark, sf):
 
 def _stages(spark, sf):
     """Stage 1: keys with a low draw, six scores. Stage 2: keys with a high draw, vqa and a new clip score."""
-    s = view(spark, sf, "scores_v")
-    old = s.where(F.col("clip_score") < 0.8).select("key", "clip_score", "aesthetic_score")
+    s = view(spark, sf, "scores_v").withColumn("key", F.substring("key", 11, 2))  # repeats in every shard
+    old = s.where(F.col("clip_score") < 0.8).select("shard", "key", "clip_score", "aesthetic_score")
     new = s.where(F.col("clip_score") > 0.3).select(
-        "key", (F.col("clip_score") / 2).cast("float").alias("clip_score"), "vqa_score"
+        "shard", "key", (F.col("clip_score") / 2).cast("float").alias("clip_score"), "vqa_score"
     )
     return old, new
 
 
 @query(
-    """with o as (select key, clip_score, aesthetic_score from scores_v where clip_score < 0.8::double),
-n as (select key, clip_score / 2 as clip_score, vqa_score from scores_v where clip_score > 0.3::double)
-select coalesce(n.key, o.key) as key, round(aesthetic_score::double, 6) as aesthetic_score,
+    """with o as (select shard, substr(key, 11) as key, clip_score, aesthetic_score from scores_v where clip_score < 0.8::double),
+n as (select shard, substr(key, 11) as key, clip_score / 2 as clip_score, vqa_score from scores_v where clip_score > 0.3::double)
+select coalesce(n.shard, o.shard) as shard, coalesce(n.key, o.key) as key, round(aesthetic_score::double, 6) as aesthetic_score,
   round(case when n.key is not null then n.clip_score else o.clip_score end::double, 6) as clip_score,
-  round(vqa_score::double, 6) as vqa_score from o full join n on o.key = n.key"""
+  round(vqa_score::double, 6) as vqa_score from o full join n on o.key = n.key and o.shard = n.shard"""
 )
 def upsert_scores(spark, sf):
     out = S.upsert_scores(*_stages(spark, sf))
-    return out.select("key", *[_r(F.col(c)).alias(c) for c in ("aesthetic_score", "clip_score", "vqa_score")])
+    return out.select("shard", "key", *[_r(F.col(c)).alias(c) for c in ("aesthetic_score", "clip_score", "vqa_score")])
 
 
 @query(
-    """select s.key, shard, round(clip_score::double, 6) as clip_score from samples_v s
+    """select substr(s.key, 11) as key, shard, round(clip_score::double, 6) as clip_score from samples_v s
 left join (select key, clip_score from scores_v where clip_score < 0.8::double) c on s.key = c.key"""
 )
 def merge_scores(spark, sf):
     old, _ = _stages(spark, sf)
-    out = S.attach_scores(view(spark, sf, "samples_v").select("key", "shard"), old.select("key", "clip_score"))
+    samples = view(spark, sf, "samples_v").select(F.substring("key", 11, 2).alias("key"), "shard")
+    out = S.attach_scores(samples, old.select("shard", "key", "clip_score"))
     return out.select("key", "shard", _r(F.col("clip_score")).alias("clip_score"))
 
 

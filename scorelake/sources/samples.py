@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from scorelake.functions.quality import passes_quality
 from scorelake.operators.shards import group_members
 from scorelake.schema import IMAGE_EXTENSIONS, SAMPLE_JSON
 
+_SIZES = ("width", "height")
+_LOOSE_JSON = T.StructType([T.StructField(f.name, T.DoubleType() if f.name in _SIZES else f.dataType) for f in SAMPLE_JSON])
+
 
 def read_samples(members: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
     """(shard, key, first_idx, txt, json text, has_image, extra columns) from member rows."""
@@ -27,14 +30,22 @@ def read_samples(members: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
 
 
 def decode_json(samples: DataFrame) -> DataFrame:
-    """Add `meta` (typed fields), `other` (all fields as text) and `bad_json`."""
+    """Add `meta` (typed fields), `other` (all fields as variants) and `bad_json`: not one JSON object.
+
+    Sizes may be written as any number and are rounded down; non-finite tokens are accepted.
+    """
     text = F.col("json")
-    bad = text.isNotNull() & F.try_parse_json(text).isNull()
+    fields = F.from_json(text, "map<string,variant>")
+    bad = text.isNotNull() & fields.isNull()
+    meta = F.from_json(text, _LOOSE_JSON)
+    for size in _SIZES:
+        value = F.from_json(text, _LOOSE_JSON)[size]
+        meta = meta.withField(size, F.when(~F.isnan(value), F.floor(value)).try_cast("int"))
     return samples.withColumns(
         {
             "bad_json": bad,
-            "meta": F.when(~bad, F.from_json(text, SAMPLE_JSON)),
-            "other": F.when(~bad, F.from_json(text, "map<string,string>")),
+            "meta": F.when(~bad, meta),
+            "other": F.when(~bad, fields),
         }
     )
 
@@ -55,15 +66,23 @@ def quality_of(decoded: DataFrame, min_size: int, min_clip: float, min_aesthetic
     )
 
 
-def quarantine(decoded: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(usable rows, rejected rows with `reason`)."""
+def quarantine(decoded: DataFrame, members: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(usable rows, rejected rows with `reason`).
+
+    With the member rows the samples came from, archives that could not be read (to their end) are
+    rejected rows as well, one each, without a key.
+    """
     reason = (
         F.when(F.col("bad_json"), "bad json")
         .when(F.col("txt").isNull(), "no caption")
         .when(~F.col("has_image"), "no image")
     )
     marked = decoded.withColumn("reason", reason)
-    return marked.where(F.col("reason").isNull()).drop("reason"), marked.where(F.col("reason").isNotNull())
+    good, rejected = marked.where(F.col("reason").isNull()).drop("reason"), marked.where(F.col("reason").isNotNull())
+    if members is not None:
+        broken = members.where(F.col("error").isNotNull()).select("shard", F.lit("unreadable archive").alias("reason"))
+        rejected = rejected.unionByName(broken, allowMissingColumns=True)
+    return good, rejected
 
 
 def rejected_counts(rejected: DataFrame) -> DataFrame:

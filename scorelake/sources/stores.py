@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from scorelake.functions.vectors import trim_to_mask
 from scorelake.operators.sampling import corpus_size
-from scorelake.operators.scores import attach_scores, merge_scores_json
+from scorelake.operators.scores import IDENTITY, attach_scores, merge_typed, require_identity
 from scorelake.operators.shards import shard_table
 
 
@@ -21,13 +21,16 @@ def write_enriched(
     path: str,
     embeddings: Sequence[tuple[str, str]] = (),
 ) -> None:
-    """Samples with scores merged into their JSON and embeddings trimmed to real tokens.
+    """Decoded samples with scores merged into their JSON and embeddings trimmed to real tokens.
+
+    Every field of the JSON keeps its type: `other` holds variants.
 
     `embeddings` lists (tokens column, mask column). One folder per input shard; rows are
     rebalanced by shard, so a large shard is written by several tasks.
     """
-    joined = attach_scores(samples, scores.select("key", *score_names), "key")
-    merged = joined.withColumn("meta_map", merge_scores_json(F.col("other"), score_names)).drop(*score_names)
+    require_identity(IDENTITY, scores=scores)
+    joined = attach_scores(samples, scores.select(*IDENTITY, *score_names))
+    merged = joined.withColumn("meta_map", merge_typed(F.col("other"), score_names)).drop(*score_names)
     for tokens, mask in embeddings:
         merged = merged.withColumn(tokens, trim_to_mask(F.col(tokens), F.col(mask))).drop(mask)
     out = merged.withColumn("json", F.to_json("meta_map")).drop("meta_map", "meta", "other", "bad_json")
@@ -95,8 +98,9 @@ def size_of(samples: DataFrame, keep: Column, store: str, key: SizeKey, root: st
 
 
 def flush_scores(values: DataFrame, scorer: str, store: str) -> None:
-    """Write one scorer's (key, value) rows, then mark it finished; a rerun replaces both."""
-    values.select("key", "value").write.mode("overwrite").parquet(f"{store}/values/score_name={scorer}")
+    """Write one scorer's (shard, key, value) rows, then mark it finished; a rerun replaces both."""
+    require_identity(IDENTITY, values=values)
+    values.select(*IDENTITY, "value").write.mode("overwrite").parquet(f"{store}/values/score_name={scorer}")
     done = values.sparkSession.createDataFrame([(scorer,)], "scorer string")
     done.write.mode("overwrite").parquet(f"{store}/done/{scorer}")
 
@@ -113,9 +117,9 @@ def finished_scorers(spark: SparkSession, store: str, names: Sequence[str]) -> l
 
 
 def read_flushed(spark: SparkSession, store: str, names: Sequence[str]) -> DataFrame:
-    """(key, score_name, value) of finished scorers only."""
+    """(shard, key, score_name, value) of finished scorers only."""
     done = finished_scorers(spark, store, names)
-    schema = "key string, value double, score_name string"
+    schema = "shard string, key string, value double, score_name string"
     if not done:
         return spark.createDataFrame([], schema)
     paths = [f"{store}/values/score_name={n}" for n in done]

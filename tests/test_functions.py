@@ -100,10 +100,17 @@ def test_vectors(spark):
 def test_upsert_and_versions(spark):
     old = spark.createDataFrame([("a", 1.0, 5.0), ("b", 2.0, 6.0)], "key string, x double, y double")
     new = spark.createDataFrame([("b", 9.0, 0.5), ("c", 3.0, 0.7)], "key string, x double, z double")
-    got = {r["key"]: (r["x"], r["y"], r["z"]) for r in scores.upsert_scores(old, new).collect()}
+    with pytest.raises(ValueError, match="shard"):
+        scores.upsert_scores(old, new)
+    s = F.lit("s").alias("shard")
+    old, new = old.select(s, "*").unionByName(old.limit(0).select(s, "*")), new.select(s, "*")
+    other = old.limit(1).withColumn("shard", F.lit("t"))  # the same key in another shard is another sample
+    both = scores.upsert_scores(old.union(other), new).collect()
+    assert {(r["shard"], r["key"]): r["x"] for r in both}["t", "a"] == 1.0 and len(both) == 4
+    got = {r["key"]: (r["x"], r["y"], r["z"]) for r in both if r["shard"] == "s"}
     assert got == {"a": (1.0, 5.0, None), "b": (9.0, 6.0, 0.5), "c": (3.0, None, 0.7)}
     log = spark.createDataFrame([("a", 0, 1.0, None), ("a", 1, None, 2.0), ("a", 2, 3.0, None)], "key string, version int, x double, y double")
-    assert tuple(scores.latest_scores(log, ["x", "y"]).first()) == ("a", 3.0, 2.0)
+    assert tuple(scores.latest_scores(log, ["x", "y"], ["key"]).first()) == ("a", 3.0, 2.0)
 
 
 def test_duplicate_captions_keep_the_first(spark):

@@ -49,8 +49,11 @@ def test_key_and_extension_split_at_the_first_dot(spark):
 
 def test_select_shards_checks(spark):
     ranges = spark.createDataFrame([(i,) for i in range(5)], "shard_idx long")
-    assert [r[0] for r in shards.select_shards(ranges, 5, shard_id=3).collect()] == [3]
-    assert {r[0] for r in shards.select_shards(ranges, 5, shard_ids=[1, 9, 4]).collect()} == {1, 4}
-    for bad in ({"shard_id": 5}, {"shard_range": (3, 5)}, {"shard_range": (3, 2)}):
+    def pick(request):
+        found, beyond = shards.select_shards(ranges, shards.shard_intervals(request))
+        return sorted(r[0] for r in found.collect()), beyond
+
+    assert pick("3") == ([3], []) and pick("1, 9,4") == ([1, 4], [(9, 10)]) and pick("2-4") == ([2, 3, 4], []) and pick("3-5")[1] == [(3, 6)]
+    for bad in ("3-2", "", "a", "-1", "1,,2"):
         with pytest.raises(ValueError):
-            shards.select_shards(ranges, 5, **bad)
+            shards.shard_intervals(bad)

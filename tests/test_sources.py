@@ -95,7 +95,7 @@ def test_preparation_end_to_end(spark, root, tmp_path):
     good, _ = samples.quarantine(decoded)
     switches = K.Switches(scores=("clip_score", "aesthetic_score"))
     scorers = {s: "length_ratio" for s in switches.scores}
-    scores = preparation.score_captions(preparation.with_captions(good, None), scorers, switches)
+    scores = preparation.score_samples(preparation.with_captions(good, None), scorers, switches)
     row = scores.where("key = '00000'").first()
     assert row["clip_score"] == pytest.approx(len("cap 00000") / 1000 / 100)
     assert row["synthetic_clip_score"] == pytest.approx(len("long 00000") / 1000 / 100)
@@ -106,7 +106,7 @@ def test_preparation_end_to_end(spark, root, tmp_path):
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == 12 and back.first()["emb"] == [1.0, 2.0]
     meta = json.loads(back.where("key = '00000'").first()["json"])
-    assert float(meta["clip_score"]) == pytest.approx(row["clip_score"]) and meta["width"] == "300"
+    assert float(meta["clip_score"]) == pytest.approx(row["clip_score"]) and meta["width"] == 300
 
 
 def test_text_tables(spark, tmp_path):
@@ -152,13 +152,16 @@ def test_size_store_and_scorer_flush(spark, tmp_path):
     assert stores.stored_size(spark, str(tmp_path), key, ["r1", "r2"]) is None
     stores.store_size(spark, str(tmp_path), key, "r2", 4)
     assert stores.stored_size(spark, str(tmp_path), key, ["r1", "r2"]) == 10
-    rows = spark.createDataFrame([("k", "hello")], "key string, text string")
+    rows = spark.createDataFrame([("s", "k", "hello")], "shard string, key string, text string")
     store = str(tmp_path / "sc")
     K.apply_scorers(rows, ["length_ratio"], ["text"], store)
     again = K.apply_scorers(rows.limit(0), ["length_ratio", "vowel_share"], ["text"], store)
     assert [(r["score_name"], r["value"]) for r in again.collect()] == [("length_ratio", 0.005)]
-    with pytest.raises(ValueError, match="unknown scorers"):
-        K.select_scorers("length_ratio,nope")
+    assert K.SCORERS.parse(" length_ratio, vowel_share ") == ["length_ratio", "vowel_share"]
+    with pytest.raises(ValueError, match="nope"):
+        K.SCORERS.parse("length_ratio,nope")
+    with pytest.raises(ValueError, match="shard"):
+        K.apply_scorers(rows.drop("shard"), ["length_ratio"], ["text"], store)
 
 
 def test_descriptor(spark, tmp_path):
@@ -182,7 +185,7 @@ def test_descriptor(spark, tmp_path):
     assert rows["http://host/sub/e.tar"]["weight"] == 7.0 and rows["http://host/sub/e.tar"]["dataset"] == "far"
     assert rows["http://host/sub/e.tar"]["source_url"] == "http://host/sub/desc.json"
     onward = far.withColumn("source_url", F.lit("http://elsewhere"))
-    with pytest.raises(Exception, match="double indirection"):
+    with pytest.raises(Exception, match="refers to another one"):
         flatten_descriptor(tables.read_descriptors(spark, str(tmp_path / "d.json")), onward).collect()
     (tmp_path / "faulty.json").write_text(json.dumps({"wids_version": 1, "shardlist": [{"url": "a"}]}))
     with pytest.raises(Exception, match="needs url and nsamples"):
