@@ -7,6 +7,7 @@ only the buckets that contain a wanted quantile rank are sorted.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -65,9 +66,14 @@ def distinct_values(scores_long: DataFrame) -> DataFrame:
     )
 
 
+_MAX_FLOAT = 3.4028234663852886e38
+
+
 def _float_bucket(v: Column) -> Column:
     """Monotone bucket number of a float32: 128 steps per octave, signed, zero in the middle."""
-    step = F.floor(F.log2(F.abs(v.cast("double"))) * 128).cast("int") + 20000
+    # infinities share the step after the largest finite one
+    size = F.least(F.abs(v.cast("double")), F.lit(2.0**128))
+    step = F.floor(F.log2(size) * 128).cast("int") + 20000
     # never NULL: a join on it then adds no filter of its own, and both uses of the distinct values
     # stay the same plan, so Spark shuffles them once
     return F.coalesce(F.when(v > 0, step).when(v < 0, -step), F.lit(0))
@@ -100,8 +106,9 @@ def raw_edges(scores_long: DataFrame, spec: BinSpec) -> DataFrame:
     An edge at quantile q lies between the two order statistics around q * (n - 1). Each histogram
     bucket lists the edges that need one of its values; only such buckets are ranked.
     """
-    spread = F.col("hi_v") - F.col("lo_v")
-    linear = F.col("lo_v") + spread * (F.col("i") / F.lit(spec.actual))
+    # equal widths need finite ends: an infinite one counts as the largest float
+    ends = [F.greatest(F.least(F.col(c), F.lit(_MAX_FLOAT)), F.lit(-_MAX_FLOAT)) for c in ("lo_v", "hi_v")]
+    linear = ends[0] + (ends[1] - ends[0]) * (F.col("i") / F.lit(spec.actual))
     values = distinct_values(scores_long)
     if spec.strategy == "uniform":
         stats = values.groupBy("score_name").agg(
@@ -140,7 +147,10 @@ def raw_edges(scores_long: DataFrame, spec: BinSpec) -> DataFrame:
         F.max(F.when(F.col("lo") == F.col("rank"), v)).alias("v_lo"),
         F.max(F.when(F.col("hi") == F.col("rank"), v)).alias("v_hi"),
     )
-    quantile = F.col("v_lo") + F.col("part") * (F.col("v_hi") - F.col("v_lo"))
+    between = F.col("v_lo") + F.col("part") * (F.col("v_hi") - F.col("v_lo"))
+    # no arithmetic where it would be infinity less infinity
+    whole = (F.col("part") == 0) | (F.col("v_lo") == F.col("v_hi")) | (F.col("v_lo") == F.lit(float("-inf")))
+    quantile = F.when(whole, F.col("v_lo")).otherwise(between)
     # too few distinct values for the wanted number of edges: equal widths instead
     edge = F.when(F.col("n_distinct") < spec.actual + 1, linear).otherwise(quantile)
     return ends.select("score_name", "n_distinct", "i", edge.cast("float").alias("edge"))
@@ -170,15 +180,18 @@ def compute_bins(scores_long: DataFrame, spec: BinSpec) -> DataFrame:
     ).where(F.col("edges").isNotNull())
 
 
-# Far above any number of scorers; a larger table is not a bins table.
+# Far above any number of scorers; a larger table is hardly a bins table.
 MAX_SCORES = 1000
 
 
-def load_edges(bins: DataFrame) -> dict[str, list[float]]:
-    """Bring the bins table to the driver: one short edge list per score, size checked."""
-    rows = bins.select("score_name", "edges").limit(MAX_SCORES + 1).collect()
-    if len(rows) > MAX_SCORES:
-        raise ValueError(f"more than {MAX_SCORES} scores in the bins table")
+def load_edges(bins: DataFrame, max_scores: int = MAX_SCORES) -> dict[str, list[float]]:
+    """Bring the bins table to the driver: one short edge list per score.
+
+    A table of more than `max_scores` scores is an error; raise the bound for it on purpose.
+    """
+    rows = bins.select("score_name", "edges").limit(max_scores + 1).collect()
+    if len(rows) > max_scores:
+        raise ValueError(f"more than {max_scores} scores in the bins table")
     return {r["score_name"]: list(r["edges"]) for r in rows}
 
 
@@ -189,11 +202,14 @@ def edges_below(df: DataFrame, edges: Mapping[str, Sequence[float]], outputs: Ma
     edges the two agree, and its binary search stays in the JVM. NULL and NaN give NULL.
     """
     names = [n for n in outputs if n in edges]
+    finite = {n: [e for e in edges[n] if math.isfinite(e)] for n in names}
+    # an infinite edge needs no search: +inf is below nothing, -inf below all but itself
+    lowest = {n: sum(e == -math.inf for e in edges[n]) for n in names}
     negated = df.withColumns({f"_neg_{n}": F.lit(0.0) - F.col(n).cast("float").cast("double") for n in names})
     if names:
         infinity = float("inf")
         negated = Bucketizer(
-            splitsArray=[[-infinity, *sorted(0.0 - e for e in edges[n]), infinity] for n in names],
+            splitsArray=[[-infinity, *sorted({0.0 - e for e in finite[n]}), infinity] for n in names],
             inputCols=[f"_neg_{n}" for n in names],
             outputCols=[f"_idx_{n}" for n in names],
             handleInvalid="keep",
@@ -202,7 +218,8 @@ def edges_below(df: DataFrame, edges: Mapping[str, Sequence[float]], outputs: Ma
     counted = negated.withColumns(
         {
             out: F.when(
-                F.col(n).isNotNull() & ~F.isnan(n), F.lit(len(edges[n])) - F.col(f"_idx_{n}").cast("int")
+                F.col(n).isNotNull() & ~F.isnan(n),
+                F.lit(len(set(finite[n]))) - F.col(f"_idx_{n}").cast("int") + F.when(F.col(n) > -math.inf, lowest[n]).otherwise(0),
             )
             if n in edges
             else missing

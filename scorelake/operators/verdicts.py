@@ -34,11 +34,21 @@ def top_boxes(detections: DataFrame, k: int = MAX_OBJECTS, min_score: float = MI
 
 
 def name_classes(detections: DataFrame, names: Sequence[str] = DETECTOR_CLASSES) -> DataFrame:
-    """class_id -> class, by place in the detector's fixed name list; unknown ids are dropped."""
+    """class_id -> class, by place in the detector's fixed name list.
+
+    Boxes of unknown ids have no class to be judged by; `unknown_classes` counts them.
+    """
     named = detections.withColumn("class", F.get(F.lit(list(names)), F.col("class_id").cast("int")))
     return named.where(F.col("class").isNotNull()).drop("class_id")
 
 
+def unknown_classes(images: DataFrame, names: Sequence[str] = DETECTOR_CLASSES) -> DataFrame:
+    """(class_id, n) of the boxes of detector output that `detections_long` leaves out."""
+    ids = images.select(F.explode("boxes.class_id").alias("class_id"))
+    known = F.get(F.lit(list(names)), F.col("class_id").cast("int")).isNotNull()
+    return ids.where(~F.coalesce(known, F.lit(False))).groupBy("class_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 def detections_long(images: DataFrame, names: Sequence[str] = DETECTOR_CLASSES) -> DataFrame:
     """Detector output (image_id, boxes: array<struct(class_id, x1, y1, x2, y2, score, color)>) -> one row per box."""
     rows = images.select("image_id", F.posexplode("boxes").alias("det_id", "b"))

@@ -231,6 +231,20 @@ def stream_nonfinite_alarm(spark, sf):
     return spark.read.schema("series string, event_id long").parquet(out + "/alarms").select("series", "event_id")
 
 
+@query("select event_id, event_type, value from events")
+def stream_dedupe_late(spark, sf):
+    """Six micro-batches, old events last: each id comes out once, in time or in the table of late rows."""
+    e = table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+    out, path = _folder(spark, "dedupe"), _folder(spark, "events")
+    for part in (1, 3, 0, 5, 2, 4):
+        e.where(F.pmod(F.xxhash64("event_id"), F.lit(6)) == part).write.mode("append").parquet(path)
+        _finish(jobs.stream_dedupe(spark.readStream.schema(e.schema).parquet(path), ["event_id"], "ts", "1 hour", out, out + "-cp"))
+    schema = "event_id long, event_type string, value double"
+    return spark.read.schema(schema).parquet(out).select("event_id", "event_type", "value").union(
+        spark.read.schema(schema).parquet(out + "_late").select("event_id", "event_type", "value")
+    )
+
+
 @query("select event_id, event_type, value from events")
 def stream_dedupe(spark, sf):
     """Every event arrives twice; one of each is kept."""

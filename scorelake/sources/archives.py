@@ -45,6 +45,7 @@ _ARROW = pa.schema(
 class Slice(InputPartition):
     """Members of one archive whose header starts in [lo, hi)."""
 
+    shard: str
     path: str
     lo: int
     hi: int
@@ -61,6 +62,18 @@ def list_archives(roots: str) -> list[str]:
     return found
 
 
+def shard_paths(roots: str) -> list[tuple[str, str]]:
+    """(shard, path) of all archives. A shard is known by its file's name without the ending; where
+    several roots are given, by 'number of the root/name', since roots may use the same names."""
+    several = len(roots.split()) > 1
+    named = []
+    for number, root in enumerate(roots.split()):
+        named += [(f"{number}/{Path(p).stem}" if several else Path(p).stem, p) for p in list_archives(root)]
+    if len({shard for shard, _ in named}) < len(named):
+        raise ValueError(f"two archives of one root in {roots!r} have the same name")
+    return named
+
+
 class ShardMembers(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -83,9 +96,9 @@ class MemberReader(DataSourceReader):
 
     def partitions(self) -> Sequence[InputPartition]:
         slices = []
-        for path in list_archives(self.roots):
+        for shard, path in shard_paths(self.roots):
             size = max(os.path.getsize(path), 1)
-            slices += [Slice(path, lo, min(lo + self.split_bytes, size)) for lo in range(0, size, self.split_bytes)]
+            slices += [Slice(shard, path, lo, min(lo + self.split_bytes, size)) for lo in range(0, size, self.split_bytes)]
         return slices
 
     def read(self, partition: Slice) -> Iterator[pa.RecordBatch]:
@@ -102,7 +115,7 @@ class MemberReader(DataSourceReader):
 
     def _members(self, part: Slice) -> Iterator[tuple]:
         """Walk the headers (bytes are skipped by seeking) and yield the members of this slice."""
-        shard, at, idx = Path(part.path).stem, 0, 0
+        shard, at, idx = part.shard, 0, 0
         try:
             with tarfile.open(part.path, "r:") as archive:
                 for info in archive:
@@ -158,14 +171,14 @@ def shard_digests(spark: SparkSession, roots: str) -> DataFrame:
 
     def digest(batches):
         for pdf in batches:
-            for path in pdf["path"]:
+            for shard, path in zip(pdf["shard"], pdf["path"]):
                 state = hashlib.md5()
                 with open(path, "rb") as f:
                     while piece := f.read(8 << 20):
                         state.update(piece)
-                yield pd.DataFrame({"shard": [Path(path).stem], "md5": [state.hexdigest()]})
+                yield pd.DataFrame({"shard": [shard], "md5": [state.hexdigest()]})
 
-    paths = spark.createDataFrame([(p,) for p in list_archives(roots)], "path string")
+    paths = spark.createDataFrame(shard_paths(roots), "shard string, path string")
     return paths.repartition("path").mapInPandas(digest, "shard string, md5 string")
 
 
@@ -191,7 +204,7 @@ def write_archives(
                     yield out.close()
                     out = None
                 if out is None:
-                    name = f"{row['shard']}-{context.partitionId():05d}-{number:03d}.tar"
+                    name = f"{row['shard'].replace('/', '_')}-{context.partitionId():05d}-{number:03d}.tar"
                     out, number = _Archive(folder, name, row["shard"], context.taskAttemptId()), number + 1
                 out.add(row["key"], {ext: row[c] for ext, c in members.items() if row[c] is not None})
         if out is not None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -11,14 +12,18 @@ from scorelake.plans.requests import prompts_json
 from scorelake.schema import DESCRIPTOR, SCORES, SYNTHETIC
 
 
-def read_captions_tsv(spark: SparkSession, path: str, n_columns: int = 3) -> DataFrame:
-    """No header: file name, short caption, ..., long caption last."""
-    fields = ["file_name", *[f"c{i}" for i in range(1, n_columns)]]
-    schema = T.StructType([T.StructField(f, T.StringType()) for f in fields])
-    rows = spark.read.schema(schema).csv(path, sep="\t", quote='"', escape='"')
+def read_captions_tsv(spark: SparkSession, path: str) -> DataFrame:
+    """No header: file name, short caption, ..., long caption last; quoted cells may hold line breaks.
+
+    The first row tells how many columns there are.
+    """
+    rows = spark.read.csv(path, sep="\t", quote='"', escape='"', multiLine=True)
+    if len(rows.columns) < 2:
+        raise ValueError(f"the captions in {path} have {len(rows.columns)} column, not a file name and a caption")
+    name, short, long = rows.columns[0], rows.columns[1], rows.columns[-1]
     return rows.select(
-        file_stem(F.col("file_name")).alias("stem"), "file_name",
-        F.col("c1").alias("short_caption"), F.col(fields[-1]).alias("long_caption"),
+        file_stem(F.col(name)).alias("stem"), F.col(name).alias("file_name"),
+        F.col(short).alias("short_caption"), F.col(long).alias("long_caption"),
     )
 
 
@@ -29,12 +34,22 @@ def score_schema(names: Sequence[str] = SCORES + SYNTHETIC) -> T.StructType:
 
 
 def read_scores_csv(spark: SparkSession, path: str, names: Sequence[str] = SCORES + SYNTHETIC) -> DataFrame:
-    """Typed columns; an empty cell is NULL. The header names the columns, in any order."""
-    header = spark.read.text(path).limit(1).first()
-    columns = header[0].split(",") if header else ["key"]
+    """Typed columns; an empty cell is NULL. Each file's header names its columns, in any order.
+
+    Files with one header are read together, and the groups united by column name. Quoted cells may
+    hold line breaks; a header is one plain line.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"))
+    headers = lines.groupBy("file").agg(F.min_by("value", "line").alias("header"))
+    groups = headers.groupBy("header").agg(F.array_sort(F.collect_list("file")).alias("files")).orderBy("header").collect()
     types = {n: T.DoubleType() for n in names}
-    schema = T.StructType([T.StructField(c, types.get(c, T.StringType())) for c in columns])
-    return spark.read.schema(schema).csv(path, header=True)
+    out = None
+    for group in groups:  # one per kind of header; the file names are on the driver anyway
+        fields = [T.StructField(c.strip().strip('"'), types.get(c.strip().strip('"'), T.StringType())) for c in group["header"].split(",")]
+        files = [unquote(f) for f in group["files"]]
+        part = spark.read.schema(T.StructType(fields)).csv(files, header=True, multiLine=True, escape='"')
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out if out is not None else spark.createDataFrame([], "key string")
 
 
 def write_scores_csv(scores: DataFrame, path: str, key: str = "key") -> None:
@@ -91,20 +106,24 @@ def _strip(text: Column) -> Column:
 
 def _listing(spark: SparkSession, root: str) -> DataFrame:
     """Files below `root` by path only; their bytes are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    files = files.select("path", _location().alias("place"))
     return files.select(
         "path",
-        F.regexp_extract("path", r"^(.*)/samples/([^/]+)$", 1).alias("folder"),
-        F.regexp_extract("path", r"^(.*)/samples/([^/]+)$", 2).alias("name"),
-    ).where(F.col("name") != "")
+        F.regexp_extract("place", r"^(.*)/samples/[^/]+$", 1).alias("folder"),
+        F.regexp_extract("path", r"/samples/([^/]+)$", 1).alias("name"),
+    ).where(F.col("folder") != "")
+
+
+def _location() -> Column:
+    """Where a row's file lies, in the one spelling that all readers give."""
+    return F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:/")
 
 
 def _metadata(spark: SparkSession, root: str) -> DataFrame:
     """(folder, text) of the metadata.jsonl of every prompt folder; the files hold one object."""
-    path = F.col("_metadata.file_path")
     texts = spark.read.text(root, wholetext=True, pathGlobFilter="metadata.jsonl", recursiveFileLookup=True)
-    plain = F.regexp_replace(path, "^file:///", "file:/")
-    return texts.select(F.regexp_replace(plain, "/metadata.jsonl$", "").alias("folder"), F.col("value").alias("text"))
+    return texts.select(F.regexp_replace(_location(), "/metadata.jsonl$", "").alias("folder"), F.col("value").alias("text"))
 
 
 def discover_images(spark: SparkSession, root: str) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from scorelake.functions.captions import clean_caption
@@ -126,6 +126,34 @@ def alarm_step(batch: DataFrame, carried: DataFrame | None, k: int) -> tuple[Dat
 
 
 def stream_dedupe(rows: DataFrame, keys: Sequence[str], event_time: str, delay: str, out: str, checkpoint: str) -> StreamingQuery:
-    """First arrival per key within the watermark."""
-    once = rows.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(list(keys))
-    return _drain(once, _batch_table(out), checkpoint)
+    """First arrival per key, to `{out}/batch=N`; no row is dropped without trace.
+
+    A key is remembered for `delay` (a SQL interval such as '1 hour') of event time around its rows:
+    a batch is compared with the kept rows that are not older than its oldest row by more than that.
+    Rows that lie behind the newest event time of earlier batches by more than `delay` go to
+    `{out}_late/batch=N` as they are, for a job that compares them with all history. Rows without an
+    event time are never late and are compared within their batch only.
+    """
+    wait = F.expr(f"interval {delay}")
+    schema = T.StructType([*rows.schema.fields, T.StructField("batch", T.IntegerType())])
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        order = F.struct(F.col(event_time).isNull(), F.col(event_time), F.xxhash64(*batch.columns))
+        fresh = batch.groupBy(*keys).agg(F.min_by(F.struct(*batch.columns), order).alias("r")).select("r.*")
+        late = batch.limit(0)
+        if number:
+            kept = spark.read.schema(schema).parquet(out).where(F.col("batch") < number)
+            newest = kept.agg(F.max(event_time)).first()[0]
+            if newest is not None:
+                behind = F.coalesce(F.col(event_time) < F.lit(newest) - wait, F.lit(False))
+                late = batch.where(behind)
+                fresh = batch.where(~behind).groupBy(*keys).agg(F.min_by(F.struct(*batch.columns), order).alias("r")).select("r.*")
+            oldest = batch.agg(F.min(event_time)).first()[0]
+            if oldest is not None:
+                seen = kept.where(F.col(event_time) >= F.lit(oldest) - wait).select(*keys)
+                fresh = fresh.join(seen, [fresh[k].eqNullSafe(seen[k]) for k in keys], "left_anti")
+        _batch_table(out)(fresh, number)
+        _batch_table(f"{out}_late")(late, number)
+
+    return _drain(rows, write, checkpoint)
