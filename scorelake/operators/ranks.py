@@ -6,8 +6,9 @@ Two ways around that:
 * `hash_rank`, `bucket_rank`, `bucket_prefix_sums`: rows are cut into buckets that are monotone in
   the sort key (for hash-ordered work: the leading part of the hash). Windows run per
   (group, bucket); a small table of bucket starts lifts the positions. Buckets are a pure function
-  of the row, so any lost task can be recomputed. Only groups that are large are cut at all, so the
-  table of starts has at most rows / rows_per_bucket entries and is safe to broadcast.
+  of the row, so any lost task can be recomputed. Only groups that are large are cut at all. The table
+  of starts is joined on the keys the window has shuffled by; the list of large groups is broadcast
+  after a look at its size.
 * `ordered_index`: natural sort order. Range partitioning gives the buckets; the narrow sorted
   table is written once, because range bounds are sampled and must not be re-drawn.
 
@@ -22,10 +23,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from scorelake.session import materialise
 
-# A whole table is cut into this many hash buckets: 10^10 rows leave 2.4 million per window.
+# The least number of hash buckets of a whole table; a larger table has more of them.
 HASH_BUCKETS = 4096
 # A group with more rows than this is cut; smaller ones are one bucket each.
 ROWS_PER_BUCKET = 1_000_000
+# A list of large groups with more rows than this is joined without a broadcast hint.
+BROADCAST_ROWS = 200_000
 
 
 def _col(c: Column | str) -> Column:
@@ -86,7 +89,7 @@ def bucket_rank(
 ) -> DataFrame:
     """Add `name`: the 0-based position in the whole table, rows sorted by `order`.
 
-    `bucket` must be monotone in `order` and take few values (thousands): the starts are broadcast.
+    `bucket` must be monotone in `order`; the starts are joined by it.
     With `limit` only positions below it survive; rows of later buckets are dropped before any
     shuffle, so a cap of k costs about k rows.
     """
@@ -96,7 +99,7 @@ def bucket_rank(
         last = starts.where(F.col("_off_") < limit).agg(F.max("_b")).scalar()
         marked = marked.where(F.col("_b") <= last)
     window = Window.partitionBy("_b").orderBy(*map(_col, order))
-    ranked = marked.withColumn("_rn", F.row_number().over(window)).join(F.broadcast(starts), "_b")
+    ranked = marked.withColumn("_rn", F.row_number().over(window)).join(starts, "_b")
     ranked = ranked.withColumn(name, F.col("_rn") - 1 + F.col("_off_")).drop("_b", "_rn", "_off_")
     return ranked if limit is None else ranked.where(F.col(name) < limit)
 
@@ -122,22 +125,24 @@ def hash_rank(
     if not group:
         if base is not None:
             raise ValueError("a base needs group columns")
-        bucket = F.floor(F.col("_u") * HASH_BUCKETS).cast("int")
+        buckets = max(HASH_BUCKETS, -(-df.count() // ROWS_PER_BUCKET))
+        bucket = F.floor(F.col("_u") * buckets).cast("int")
         return bucket_rank(marked, bucket, order, limit, name).drop("_u")
     if base is not None and limit is not None:
         raise ValueError("limit counts from the start of a group; it cannot follow a base")
 
     keys = [*group, "_b"]
     sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows_per_bucket)
-    large = sizes.select(*group, F.ceil(F.col("_n") / rows_per_bucket).cast("int").alias("_k"))
-    # broadcast here and below: at most rows / rows_per_bucket large groups, and as many buckets again
-    marked = marked.join(F.broadcast(large), list(group), "left").withColumn(
+    large = materialise(sizes.select(*group, F.ceil(F.col("_n") / rows_per_bucket).cast("int").alias("_k")), "large groups")
+    n_large = large.count()
+    small = F.broadcast if n_large <= BROADCAST_ROWS else lambda table: table
+    marked = marked.join(small(large), list(group), "left").withColumn(
         "_b", F.floor(F.col("_u") * F.coalesce("_k", F.lit(1))).cast("int")
     )
     starts = _starts(marked.where(F.col("_k").isNotNull()), {"": F.count(F.lit(1))}, group)
     if limit is not None:
         last = starts.where(F.col("_off_") < limit).groupBy(*group).agg(F.max("_b").alias("_last"))
-        marked = marked.join(F.broadcast(last), list(group), "left")
+        marked = marked.join(small(last), list(group), "left")  # a row for each large group
         marked = marked.where(F.col("_last").isNull() | (F.col("_b") <= F.col("_last"))).drop("_last")
 
     window = Window.partitionBy(*keys).orderBy(*order)
@@ -146,14 +151,14 @@ def hash_rank(
         # a plain row-number filter, so that each task keeps at most `limit` rows before the shuffle
         ranked = ranked.where(F.col("_rn") <= limit)
     if base is None:
-        ranked = ranked.join(F.broadcast(starts), keys, "left")
+        ranked = ranked.join(starts, keys, "left")
         start = F.coalesce("_off_", F.lit(0))
     else:
         # one row per group and bucket, joined on the keys the window has already shuffled by
-        cut = base.join(F.broadcast(large), list(group), "left").withColumn(
+        cut = base.join(small(large), list(group), "left").withColumn(
             "_b", F.explode(F.sequence(F.lit(0), F.coalesce("_k", F.lit(1)) - 1))
         )
-        lifted = cut.drop("_k").join(F.broadcast(starts), keys, "left")
+        lifted = cut.drop("_k").join(starts, keys, "left")
         ranked = ranked.join(lifted, keys)
         start = F.coalesce("_off_", F.lit(0)) + F.col("base")
     placed = ranked.withColumn(name, F.col("_rn") - 1 + start).drop("_u", "_b", "_rn", "_off_", "base")

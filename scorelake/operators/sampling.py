@@ -10,6 +10,7 @@ from scorelake.functions.hashing import hash_u
 from scorelake.functions.scoring import swap_synthetic
 from scorelake.operators.bins import to_long
 from scorelake.operators.ranks import hash_rank
+from scorelake.operators.shards import locate
 from scorelake.schema import SCORES
 
 
@@ -44,6 +45,21 @@ def estimate_size(samples: DataFrame, keep: Column, n: int = 10_000, seed: int =
     return total.select("total", F.floor(F.col("total") * F.coalesce(rate, F.lit(0.0))).alias("estimate"))
 
 
+def estimate_from_index(indexed: DataFrame, ranges: DataFrame, keep: Column, n: int = 10_000, seed: int = 0) -> DataFrame:
+    """`estimate_size` for a corpus with a stored index: no counting, no hashing of keys, no shuffle.
+
+    The total is the end of the last shard's range. Of its positions n are drawn by hash, repeats
+    counted once, and located in their shards; a broadcast of these n rows at most picks them from
+    `indexed` (shard, idx and what `keep` reads), of which a layout by shard reads only those shards.
+    """
+    total = ranges.agg(F.coalesce(F.max("hi"), F.lit(0))).first()[0]
+    draws = ranges.sparkSession.range(n).select(F.floor(hash_u("id", f"estimate/{seed}") * total).alias("idx")).distinct()
+    drawn = locate(draws, ranges).select("shard", "idx")
+    passed = F.coalesce(keep, F.lit(False)).cast("double")
+    rate = indexed.join(F.broadcast(drawn), ["shard", "idx"]).agg(F.avg(passed).alias("rate"))
+    return rate.select(F.lit(total).cast("bigint").alias("total"), F.floor(total * F.coalesce("rate", F.lit(0.0))).alias("estimate"))
+
+
 def estimate_per_root(estimate: DataFrame, roots: DataFrame) -> DataFrame:
     """Share of the whole estimate per root, by raw rows: roots(root, n_raw)."""
     whole = estimate.agg(F.max(F.struct("estimate", "total"))).scalar()

@@ -187,6 +187,10 @@ def batch_rows(df: DataFrame, size: int, keep_partial: bool, group: str = "shard
     return out.drop("_i", "_first", "_n")
 
 
+#: rounds of padding that one task opens at a time
+ROUNDS_AT_ONCE = 1024
+
+
 @dataclass(frozen=True)
 class EpochShape:
     ranks: int
@@ -236,10 +240,16 @@ def shard_exclusive(indexed: DataFrame, ranges: DataFrame, n_shards: int, shape:
             own_rounds.alias("first"), (F.col("rounds") - 1).alias("last"), pos.alias("slot"), F.col("L").alias("step")
         ),
     )
-    spans = dealt.withColumn("s", F.explode(F.array_compact(F.array(full, repeats))))
-    placed_rows = spans.withColumn("round", F.explode(F.sequence("s.first", "s.last"))).withColumn(
-        "slot", F.explode(F.sequence(F.col("s.slot"), F.lit(batch - 1).cast("bigint"), F.col("s.step")))
+    once = dealt.withColumn("s", full).where(F.col("s").isNotNull()).withColumn("round", F.col("s.first")).withColumn("slot", F.col("s.slot"))
+    # few rows may stand for many rounds: blocks of rounds are dealt to tasks before they are opened
+    wide = dealt.withColumn("s", repeats).where(F.col("s").isNotNull())
+    blocks = wide.withColumn("block", F.explode(F.sequence(F.floor(F.col("s.first") / ROUNDS_AT_ONCE), F.floor(F.col("s.last") / ROUNDS_AT_ONCE))))
+    start, stop = F.col("block") * ROUNDS_AT_ONCE, (F.col("block") + 1) * ROUNDS_AT_ONCE - 1
+    opened = blocks.repartition("shard", "key", "block").withColumn(
+        "round", F.explode(F.sequence(F.greatest("s.first", start), F.least("s.last", stop)))
     )
+    again = opened.withColumn("slot", F.explode(F.sequence(F.col("s.slot"), F.lit(batch - 1).cast("bigint"), F.col("s.step")))).drop("block")
+    placed_rows = once.unionByName(again)
     out_pos = (F.col("round") * F.col("lanes") + F.col("lane")) * batch + F.col("slot")
     return placed_rows.select("rank", "worker", "round", "slot", out_pos.alias("out_pos"), "shard", "key", "idx")
 

@@ -16,17 +16,12 @@ _RANGES = """rg as (select shard, min(idx) as lo, max(idx) + 1 as hi, count(*) a
    row_number() over (order by min(idx)) - 1 as shard_idx from ix group by shard)"""
 _N = "(select count(*) from ix)"
 
-# The index is a stored table (the corpus keeps it next to its shards), made once per corpus.
-_indexes: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
-
 
 def _indexed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    where = (spark.sparkContext.applicationId, sf)
-    if where not in _indexes:
-        corpus = view(spark, sf, "samples_v").select("shard", "key", "doc_id", "source", "has_image", F.col("txt").isNotNull().alias("has_txt"))
-        indexed = materialise(shards.global_index(corpus), "index")
-        _indexes[where] = (indexed, materialise(shards.shard_ranges(indexed), "ranges"))
-    return _indexes[where]
+    """The index of the corpus and its shard ranges, made anew by each query."""
+    corpus = view(spark, sf, "samples_v").select("shard", "key", "doc_id", "source", "has_image", F.col("txt").isNotNull().alias("has_txt"))
+    indexed = materialise(shards.global_index(corpus), "index")
+    return indexed, materialise(shards.shard_ranges(indexed), "ranges")
 
 
 def _n(df: DataFrame) -> int:
@@ -56,6 +51,17 @@ def index_to_shard(spark, sf):
     return hit.groupBy("shard", "shard_idx", "local_idx").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    f"""with {_IDX}, {_RANGES}, draws as (select distinct floor(U(i,'estimate/3') * {_N})::bigint as idx from range(500) t(i)),
+r as (select avg(has_image::int::double) as rate from ix join draws using (idx))
+select {_N} as total, floor({_N} * rate)::bigint as estimate from r"""
+)
+def estimate_from_index(spark, sf):
+    """Corpus size from the index and 500 drawn positions, read by a broadcast join."""
+    indexed, ranges = _indexed(spark, sf)
+    return sampling.estimate_from_index(indexed, ranges, F.col("has_image"), 500, 3)
+
+
 @query(
     f"with {_IDX}, {_RANGES} select shard, shard_idx, lo, hi from rg where shard_idx between 0 and (select max(shard_idx) - 1 from rg)"
 )

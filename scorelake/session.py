@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,6 +12,8 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # files of checkpoints go when the frames do
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 _local: dict[str, str] = {}
@@ -45,12 +46,22 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write `df` once to the shared folder and read it back.
+def materialise(df: DataFrame, label: str = "") -> DataFrame:
+    """Compute `df` once and keep it in the shared folder, its partitioning included.
 
     Needed where later steps must all see the same physical partitioning (range partitioning
-    samples its bounds, so a recomputed stage could disagree with an earlier one).
+    samples its bounds, so a recomputed stage could disagree with an earlier one), and to cut
+    lineage. It is a reliable checkpoint: Spark removes the files when nothing refers to the result
+    any more (see DEFAULTS), so jobs and micro-batches leave nothing behind. `label` names the step
+    in the Spark UI.
     """
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    context = df.sparkSession.sparkContext
+    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not context.getCheckpointDir():
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    if label:
+        context.setJobDescription(f"materialise {label}")
+    try:
+        return df.checkpoint()
+    finally:
+        if label:
+            context.setJobDescription(None)
