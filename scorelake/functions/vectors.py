@@ -97,5 +97,12 @@ def nan_fill(x: Column) -> Column:
     return F.coalesce(x.cast("double"), F.lit(float("nan")))
 
 
-def linear_schedule(t: Column, start: float = 1.0, end: float = 0.0, floor: float = 1e-9) -> Column:
-    return F.greatest((F.lit(end) - F.lit(start)) * t + F.lit(start), F.lit(floor))
+def linear_schedule(t: Column, start: float = 1.0, end: float = 0.0, floor: float = 1e-9, shift: float = 1.0) -> Column:
+    """Straight line from start to end over t in [0, 1], never below `floor`.
+
+    A `shift` above 1 bends it upwards: odds v / (1 - v) grow by that factor.
+    """
+    line = F.lit(start) + t * F.lit(end - start)
+    if shift > 1:
+        line = line * F.lit(shift) / (line * F.lit(shift - 1) + F.lit(1.0))
+    return F.greatest(line, F.lit(floor))

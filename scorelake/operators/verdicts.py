@@ -161,6 +161,11 @@ def judge(
     include: array<struct(class, cnt, color, rel, tgt)> in clause order, `tgt` the place of an earlier
     clause; exclude: array<struct(class, cnt)>. All includes must match and no exclude may.
     """
+    return _judged(specs, objects, colors).drop("objects")
+
+
+def _judged(specs: DataFrame, objects: DataFrame, colors: Sequence[str]) -> DataFrame:
+    """`judge` with the objects it saw."""
     joined = specs.join(objects, "image_id", "left")
     clause = F.col("include")
     start = F.array().cast(_STATE)
@@ -189,12 +194,13 @@ def judge(
         *specs.columns,
         (F.size("_reasons") == 0).alias("correct"),
         F.array_join("_reasons", "\n").alias("reason"),
+        "objects",
     )
 
 
 def verdict_rows(specs: DataFrame, objects: DataFrame, colors: Sequence[str] = COLORS) -> DataFrame:
     """`judge` with `metadata` (the specification) and `details` (kept boxes per class) as JSON text."""
-    judged = judge(specs, objects, colors).join(objects, "image_id", "left")
+    judged = _judged(specs, objects, colors)
     boxes = F.transform_values(
         "objects",
         lambda _, bs: F.transform(bs, lambda b: F.array(b["x1"], b["y1"], b["x2"], b["y2"], b["score"])),

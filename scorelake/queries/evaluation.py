@@ -10,6 +10,7 @@ from scorelake.operators import verdicts as V
 from scorelake.plans import requests
 from scorelake.queries.fixtures import table, view
 from scorelake.queries.registry import query
+from scorelake.schema import DETECTOR_CLASSES
 
 _SCORERS = ("aesthetic", "pick_score", "image_reward")
 _IMG_LONG = "l as (" + " union all ".join(
@@ -140,12 +141,13 @@ cl as (select c.*, (select count(*) from obj o where o.image_id = c.image_id and
 def _clauses(spark, sf):
     """Nested specs, as the verdict rows carry them: clauses in order, excludes apart."""
     orders = table(spark, sf, "orders")
-    include = [("A", 1, None, None, None), ("N", 1, "O", None, None), ("R", 1, None, "left of", 0)]
+    include = [("A", (4, 2), None, None, None), ("N", (8, 3), "O", None, None), ("R", (24, 2), None, "left of", 0)]
+    count = lambda every, most: 1 + F.floor(F.col("o_orderkey") / every) % most
     n_clauses = (F.col("o_orderkey") % 4 + 1).cast("int")
     fields = ("class", "cnt", "color", "rel", "tgt")
     kinds = ("string", "int", "string", "string", "int")
     rows = F.array(
-        *[F.struct(*[F.lit(v).cast(t).alias(f) for v, t, f in zip(c, kinds, fields)]) for c in include]
+        *[F.struct(*[(count(*v) if f == "cnt" else F.lit(v)).cast(t).alias(f) for v, t, f in zip(c, kinds, fields)]) for c in include]
     )
     exclude = F.array(F.struct(F.lit("N").alias("class"), F.lit(3).alias("cnt")))
     tag = F.when(F.col("o_orderpriority") == "1-URGENT", "counting").otherwise(F.lower("o_orderpriority"))
@@ -228,18 +230,22 @@ _VERDICT = f"""{_OBJ},
 c01 as (select c.image_id, c.pos, c.class,
     case when n_all < cnt then 'expected '||class||'>='||cnt||', found '||n_all
          when color is not null and (select count(*) from obj o where o.image_id = c.image_id and o.class = c.class and o.k <= c.cnt and o.o.color = c.color) < cnt
-         then 'expected '||color||' '||class||'>='||cnt||', found 0 '||color||'; and '||
-              array_to_string(list_filter([case when exists (select 1 from obj o where o.image_id = c.image_id and o.class = c.class and o.k <= c.cnt and o.o.color = 'F') then
-                '1 F' end], lambda z: z is not null), ', ') end as reason
+         then 'expected '||color||' '||class||'>='||cnt||', found '||(select count(*) from obj o where o.image_id = c.image_id and o.class = c.class and o.k <= c.cnt and o.o.color = c.color)
+              ||' '||color||'; and '||(select string_agg(n||' '||p, ', ' order by p) from
+                (select o.o.color as p, count(*) as n from obj o where o.image_id = c.image_id and o.class = c.class and o.k <= c.cnt group by 1)) end as reason
   from cl c where kind = 'include' and rel is null),
+pairs as (select c.image_id, c.pos, c.rel, a.k * 100 + b.k as place, {_rel_sql('a.o', 'b.o')} as held
+  from cl c join cl t on t.image_id = c.image_id and t.pos = c.tgt and t.kind = 'include'
+    join obj a on a.image_id = c.image_id and a.class = c.class and a.k <= c.cnt
+    join obj b on b.image_id = c.image_id and b.class = t.class and b.k <= t.cnt
+  where c.kind = 'include' and c.rel is not null),
+miss as (select image_id, pos, arg_min(held, place) as held from pairs where not list_contains(held, rel) group by image_id, pos),
 rel as (select c.image_id, c.pos, c.class,
     case when c.n_all < c.cnt then 'expected '||c.class||'>='||c.cnt||', found '||c.n_all
          when t.reason is not null then 'no target for '||c.class||' to be '||c.rel
-         when not list_contains({_rel_sql('a.o', 'b.o')}, c.rel)
-         then 'expected '||c.class||' '||c.rel||' target, found '||array_to_string({_rel_sql('a.o', 'b.o')}, ' and ')||' target' end as reason
-  from cl c join c01 t on t.image_id = c.image_id and t.pos = c.tgt
-    left join obj a on a.image_id = c.image_id and a.class = c.class and a.k = 1
-    left join obj b on b.image_id = c.image_id and b.class = t.class and b.k = 1
+         when m.held is not null
+         then 'expected '||c.class||' '||c.rel||' target, found '||array_to_string(m.held, ' and ')||' target' end as reason
+  from cl c join c01 t on t.image_id = c.image_id and t.pos = c.tgt left join miss m on m.image_id = c.image_id and m.pos = c.pos
   where c.kind = 'include' and c.rel is not null),
 ex as (select image_id, pos, case when n_all >= cnt then 'expected '||class||'<'||cnt||', found '||n_all end as reason
   from cl where kind = 'exclude'),
@@ -251,7 +257,42 @@ verdict as (select s.image_id, s.tag, count(reason) = 0 as correct,
 
 def _verdicts(spark, sf):
     specs, objects = _objects(spark, sf)
-    return V.judge(specs, objects, colors=("F", "O"))
+    return V.judge(specs, objects, colors=("F", "O", "P"))
+
+
+@query(
+    f"""with recursive {_VERDICT} select v.image_id, v.tag, v.correct, v.reason, least(v.image_id % 4 + 1, 3)::bigint as n_include,
+  (select count(*) from obj o where o.image_id = v.image_id and o.class = 'N')::bigint as n_boxes from verdict v"""
+)
+def verdict_rows(spark, sf):
+    """Verdicts as they are written: specification and kept boxes as JSON."""
+    specs, objects = _objects(spark, sf)
+    rows = V.verdict_rows(specs, objects, colors=("F", "O", "P"))
+    length = lambda c, path: F.json_array_length(F.get_json_object(c, path)).cast("long")
+    return rows.select(
+        "image_id", F.get_json_object("metadata", "$.tag").alias("tag"), "correct", "reason",
+        length("metadata", "$.include").alias("n_include"), F.coalesce(length("details", "$.N"), F.lit(0)).alias("n_boxes"),
+    )
+
+
+_NAMES = "[" + ", ".join(f"'{n}'" for n in DETECTOR_CLASSES) + "]"
+
+
+@query(
+    f"""with b as (select l_orderkey as image_id, l_partkey % 90 as id, {_NAMES} as names from lineitem)
+select image_id, coalesce(names[id + 1], 'unknown ' || id) as class, count(*) as n from b group by all"""
+)
+def detections_long(spark, sf):
+    """Detector output to named boxes; ids beyond the name list are counted, not lost."""
+    zero = F.lit(0.0)
+    box = F.struct((F.col("l_partkey") % 90).cast("int").alias("class_id"), *[zero.alias(c) for c in ("x1", "y1", "x2", "y2", "score")], F.col("l_linestatus").alias("color"))
+    images = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("image_id")).agg(F.collect_list(box).alias("boxes"))
+    named = V.detections_long(images).groupBy("image_id", "class").agg(F.count(F.lit(1)).alias("n"))
+    single = images.select("image_id", F.explode(F.transform("boxes", lambda b: F.array(b))).alias("boxes"))
+    unknown = single.where(F.get("boxes", F.lit(0))["class_id"] >= len(DETECTOR_CLASSES))
+    ids = V.unknown_classes(unknown).count()
+    per_image = unknown.groupBy("image_id", F.concat(F.lit("unknown "), F.get("boxes", F.lit(0))["class_id"].cast("string")).alias("class")).agg(F.count(F.lit(1)).alias("n"))
+    return named.union(per_image) if ids else named
 
 
 @query(f"with recursive {_VERDICT} select image_id, tag, correct, reason from verdict")

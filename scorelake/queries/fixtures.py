@@ -69,18 +69,19 @@ select l_orderkey as image_id, l_returnflag as class,
   cast(l_linenumber as bigint)*100000000 + l_partkey*10000 + l_suppkey as det_id,
   cast(l_partkey % 200 as double) as x1, cast(l_suppkey % 200 as double) as y1,
   l_partkey % 200 + 20 + l_quantity as x2, cast(l_suppkey % 200 + 20 + l_linenumber*5 as double) as y2,
-  10*l_discount as score, l_linestatus as color
+  10*l_discount as score, case when l_linenumber % 3 = 0 then 'P' else l_linestatus end as color
 from lineitem""",
-    # 1 to 4 ordered clauses per image: clause 2 is a relation to clause 0, clause 3 is an exclude
+    # 1 to 4 ordered clauses per image, of 1 to 3 objects: clause 2 is a relation to clause 0, clause 3 is an exclude
     "clauses_v": """
 select o_orderkey as image_id,
   case when o_orderpriority='1-URGENT' then 'counting' else lower(o_orderpriority) end as tag,
-  o_orderkey % 500 as spec_id, c.pos, c.class, c.cnt, c.color, c.rel, c.tgt, c.kind
+  o_orderkey % 500 as spec_id, c.pos, c.class,
+  case when c.kind = 'include' then 1 + (o_orderkey DIV c.every) % c.most else 3 end as cnt, c.color, c.rel, c.tgt, c.kind
 from orders cross join (
-  select 0 as pos,'A' as class,1 as cnt,cast(null as string) as color,cast(null as string) as rel,cast(null as int) as tgt,'include' as kind
-  union all select 1,'N',1,'O',cast(null as string),cast(null as int),'include'
-  union all select 2,'R',1,cast(null as string),'left of',0,'include'
-  union all select 3,'N',3,cast(null as string),cast(null as string),cast(null as int),'exclude') c
+  select 0 as pos,'A' as class,4 as every,2 as most,cast(null as string) as color,cast(null as string) as rel,cast(null as int) as tgt,'include' as kind
+  union all select 1,'N',8,3,'O',cast(null as string),cast(null as int),'include'
+  union all select 2,'R',24,2,cast(null as string),'left of',0,'include'
+  union all select 3,'N',1,1,cast(null as string),cast(null as string),cast(null as int),'exclude') c
 where c.pos <= o_orderkey % 4""",
     # reward rows, several images per prompt
     "images_v": """

@@ -52,37 +52,41 @@ def affine_head(spark, sf):
     return e.select("vec_id", F.round(V.affine_head(F.col("v"), _WEIGHTS, 0.25), 6).alias("score"))
 
 
-# ragged token lists: the first vec_id % 40 + 1 places of the vector, one number per token
-_TOKENS = f"{_E}, tk as (select vec_id, v[1:(vec_id % 40 + 1)] as t from e)"
+# ragged token lists: the word lengths of every whole text
+_TOKENS = "tk as (select doc_id, list_transform(string_split(text, ' '), lambda x: length(x)::double) as t from documents)"
 
 
 def _tokens(spark, sf):
-    return _emb(spark, sf).select(
-        "vec_id", F.slice("v", F.lit(1), (F.col("vec_id") % 40 + 1).cast("int")).alias("t")
-    )
+    words = F.transform(F.split("text", " "), lambda x: F.length(x).cast("double"))
+    return table(spark, sf, "documents").select("doc_id", words.alias("t"))
+
+
+def _sum(tokens):
+    return F.aggregate(tokens, F.lit(0.0), lambda a, x: a + x)
 
 
 @query(
-    f"""with {_TOKENS} select vec_id, i - 1 as pos, round(coalesce(t[i], 0), 6) as x, i <= least(len(t), 24) as mask
-from tk, range(1, 25) r(i)"""
+    f"""with {_TOKENS}, lengths as (select 256::bigint as width union select max(len(t)) from tk)
+select doc_id, width, least(len(t), width)::bigint as n_true, list_sum(t[1:width]) as total from tk, lengths"""
 )
 def pad_mask(spark, sf):
+    """Padded to the usual length, which cuts long lists, and to the longest list, which cuts none."""
     t = _tokens(spark, sf)
-    padded = t.select(
-        "vec_id",
-        F.arrays_zip(V.pad(F.col("t"), 24, F.lit(0.0)).alias("x"), V.pad_mask(F.col("t"), 24).alias("mask")).alias("z"),
-    )
-    rows = padded.select("vec_id", F.posexplode("z").alias("pos", "z"))
-    return rows.select("vec_id", F.col("pos").cast("long").alias("pos"), F.round("z.x", 6).alias("x"), "z.mask")
+    out = None
+    for width in {256, t.agg(F.max(F.size("t"))).first()[0]}:
+        padded, mask = V.pad(F.col("t"), width, F.lit(0.0)), V.pad_mask(F.col("t"), width)
+        true = F.size(F.filter(mask, lambda m: m)).cast("long")
+        rows = t.select("doc_id", F.size(padded).cast("long").alias("width"), true.alias("n_true"), _sum(padded).alias("total"))
+        out = rows if out is None else out.union(rows)
+    return out
 
 
-@query(f"with {_TOKENS} select vec_id, least(len(t), 24)::bigint as n, round(list_sum(t[1:24]), 6) as total from tk")
+@query(f"with {_TOKENS} select doc_id, least(len(t), 256)::bigint as n, list_sum(t[1:256]) as total from tk")
 def trim_to_mask(spark, sf):
     t = _tokens(spark, sf)
-    padded, mask = V.pad(F.col("t"), 24, F.lit(0.0)), V.pad_mask(F.col("t"), 24)
-    out = t.select("vec_id", V.trim_to_mask(padded, mask).alias("t"))
-    total = F.aggregate("t", F.lit(0.0), lambda a, x: a + x)
-    return out.select("vec_id", F.size("t").cast("long").alias("n"), F.round(total, 6).alias("total"))
+    padded, mask = V.pad(F.col("t"), 256, F.lit(0.0)), V.pad_mask(F.col("t"), 256)
+    out = t.select("doc_id", V.trim_to_mask(padded, mask).alias("t"))
+    return out.select("doc_id", F.size("t").cast("long").alias("n"), _sum(F.col("t")).alias("total"))
 
 
 def _latent(spark, sf):

@@ -184,3 +184,16 @@ def test_emitted_rows(spark):
     assert math.isnan(rows[0]["vqa_score_coherence"])
     with pytest.raises(KeyError, match="vqa_score"):
         emit_columns(df.drop("vqa_score"), ["vqa_score"], 3)
+
+
+def test_shifted_schedule(spark):
+    rows = spark.range(5).select((F.col("id") / 4).alias("t")).select("t", vectors.linear_schedule(F.col("t"), shift=3.0).alias("v"), vectors.linear_schedule(F.col("t")).alias("w")).collect()
+    for r in rows:
+        v = 1.0 - r.t
+        assert r.w == pytest.approx(max(v, 1e-9)) and r.v == pytest.approx(max(3 * v / (1 + 2 * v), 1e-9))
+
+
+def test_mask_without_dropping_and_unknown_strategy(spark):
+    assert one(spark, augment.reward_mask(F.lit("k"), 4, "none")).c0 == [1, 1, 1, 1]
+    with pytest.raises(ValueError):
+        augment.reward_mask(F.lit("k"), 4, "other")
