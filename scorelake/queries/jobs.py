@@ -181,6 +181,38 @@ def stream_enrich(spark, sf):
     return rows.select("key", "txt", F.round(F.col("clip_score_coherence").cast("double"), 6).alias("clip_score_coherence"))
 
 
+@query(
+    """with c as (select key, replace(txt, '<PERSON>', '') as txt from samples_v where has_image and txt is not null),
+s as (select key, least(length(txt) / 1000.0::double, 1) as v from c)
+select key, round((greatest(len(list_filter([0.0, 0.25, 0.5, 0.75, 1.0], lambda z: z < v)) - 1, 0) / 3.0::double)::float::double, 6) as clip_score_coherence
+from s where v >= 0.1::double"""
+)
+def stream_enrich_scored(spark, sf):
+    """Samples arrive without scores; a scorer runs inside the stream, and the filter reads its result."""
+    s = view(spark, sf, "samples_v").select("key", "txt", "has_image")
+    add = lambda df: df.withColumn("clip_score", K.score_column("length_ratio", [F.col("txt")]))
+    out, edges = _folder(spark, "scored"), {"clip_score": [0.0, 0.25, 0.5, 0.75, 1.0]}
+    _finish(jobs.stream_enrich(_as_stream(s, "key"), edges, ["clip_score"], 4, F.col("clip_score") >= 0.1, out, out + "-cp", add))
+    rows = spark.read.schema("key string, clip_score_coherence float").parquet(out)
+    return rows.select("key", F.round(F.col("clip_score_coherence").cast("double"), 6).alias("clip_score_coherence"))
+
+
+@query(
+    """select key, round(clip_score::double, 6) as clip_score, round(synthetic_vqa_score::double, 6) as vqa_score from scores_v"""
+)
+def compact_scores(spark, sf):
+    """The score log resolved once and stored."""
+    s = view(spark, sf, "scores_v")
+    schema = "shard string, key string, clip_score double, vqa_score double"
+    empty = F.lit(None).cast("double")
+    first = s.select("shard", "key", F.col("clip_score").cast("double").alias("clip_score"), empty.alias("vqa_score"))
+    second = s.select("shard", "key", empty.alias("clip_score"), F.col("synthetic_vqa_score").cast("double").alias("vqa_score"))
+    out = _folder(spark, "upserts")
+    _finish(jobs.stream_upsert_scores(_as_stream(first.unionByName(second), "key"), out, out + "-cp"))
+    table_ = jobs.compact_versions(spark, out, schema, ["clip_score", "vqa_score"], out + "-base")
+    return table_.select("key", F.round("clip_score", 6).alias("clip_score"), F.round("vqa_score", 6).alias("vqa_score"))
+
+
 @query(
     """select key, round(clip_score::double, 6) as clip_score, round(synthetic_vqa_score::double, 6) as vqa_score from scores_v"""
 )

@@ -16,6 +16,7 @@ from scorelake.functions.quality import has_image_and_caption
 from scorelake.operators.bins import bucketise_scores
 from scorelake.operators.evaluate import is_finite
 from scorelake.operators.ranks import ordered_index
+from scorelake.operators.scores import latest_scores
 
 
 def _drain(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> StreamingQuery:
@@ -39,10 +40,16 @@ def stream_enrich(
     keep: Column,
     out: str,
     checkpoint: str,
+    score: Callable[[DataFrame], DataFrame] | None = None,
 ) -> StreamingQuery:
-    """Arriving samples (with scores) cleaned, filtered and bucketised, appended to `out`."""
-    ready = samples.where(has_image_and_caption(F.col("has_image"), F.col("txt")) & keep)
+    """Arriving samples cleaned, scored, filtered and bucketised, appended to `out`.
+
+    `score` adds the score columns to complete samples (a row-wise step such as `score_column` does);
+    without it the samples bring them along. `keep` may read what it adds.
+    """
+    ready = samples.where(has_image_and_caption(F.col("has_image"), F.col("txt")))
     ready = ready.withColumn("txt", clean_caption(F.col("txt")))
+    ready = (score(ready) if score else ready).where(keep)
     return _drain(bucketise_scores(ready, edges, names, n_bins), _batch_table(out), checkpoint)
 
 
@@ -54,6 +61,18 @@ def stream_upsert_scores(scores: DataFrame, out: str, checkpoint: str) -> Stream
     return _drain(scores, _batch_table(out), checkpoint)
 
 
+def compact_versions(spark: SparkSession, out: str, schema: str, names: Sequence[str], into: str) -> DataFrame:
+    """The log of `stream_upsert_scores` as a table of one row per sample, written to `into`.
+
+    Read `into` beside the batches that came later; it stands for all versions it has seen, which may
+    then be removed. A second call with another folder starts from the log again.
+    """
+    log = read_versions(spark, out, schema)
+    newest = log.agg(F.max("version")).first()[0]
+    latest_scores(log, names).withColumn("version", F.lit(newest)).write.mode("overwrite").parquet(into)
+    return spark.read.schema(f"{schema}, version int").parquet(into)
+
+
 def read_versions(spark: SparkSession, out: str, schema: str) -> DataFrame:
     """The log of `stream_upsert_scores`: its rows with `version` = micro-batch number."""
     rows = spark.read.schema(f"{schema}, batch int").parquet(out)
