@@ -26,11 +26,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from scorelake.llm.lineage import cut
+from scorelake.session import materialise as cut
+
 
 ENTROPY = 0.95
 REPEATS = 2.0
 BLOCK_TOKENS = 1_000_000
+BROADCAST_SOURCES = 100_000
 POINTS = 31
 ROUNDS = 7
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -115,13 +117,18 @@ def mix(df: DataFrame, target: Target = Target(), block_tokens: int = BLOCK_TOKE
     return taken.withColumn("block", block).withColumn("place", place).select("doc_id", "source", "n_tokens", "weight", "turn", "block", "place")
 
 
+def _small(sources: DataFrame, most: int = BROADCAST_SOURCES) -> DataFrame:
+    """A table of one row a source, broadcast if there are few; a plain join would gather the rows by source."""
+    return F.broadcast(sources) if sources.count() <= most else sources
+
+
 def _placed(rows: DataFrame, plan: DataFrame, turns: str) -> DataFrame:
     """Rows by pass with `start`, the tokens of the source before it in the random order of the pass.
 
     The order is cut twice by leading bits: 1,024 high buckets a source, and low ones of about 256
     rows, so no window holds more than those, however large a source is.
     """
-    dealt = rows.join(plan, "source_key").withColumn("turn", F.explode(F.expr(turns)))
+    dealt = rows.join(_small(plan), "source_key").withColumn("turn", F.explode(F.expr(turns)))
     dealt = dealt.withColumn("h", _order(F.col("doc_id"), F.col("text_hash"), F.col("turn")))
     low_count = F.ceil(F.col("docs") / F.lit(_HIGH * _BUCKET_ROWS))
     dealt = dealt.withColumn("high", F.shiftright("h", 50)).withColumn("low", F.floor(F.shiftright("h", 30).bitwiseAND(F.lit((1 << 20) - 1)) * low_count / F.lit(1 << 20)))
@@ -144,8 +151,8 @@ def realise(df: DataFrame, target: Target = Target(), key: str = "doc_id", text:
     plan = cut(weights(rows, target))
     placed = _placed(rows, plan, "array(passes)").where("start < rest")
     ends = placed.groupBy("source_key").agg(F.max(F.struct("h", "doc_id", "text_hash")).alias("end"))
-    limits = plan.join(ends, "source_key", "left").select(F.col("source_key").alias("mix_key"), F.col("passes").alias("mix_passes"), F.col("end").alias("mix_end"))
-    joined = df.join(limits, _source_key(df[source]) == F.col("mix_key"))
+    limits = cut(plan.join(ends, "source_key", "left").select(F.col("source_key").alias("mix_key"), F.col("passes").alias("mix_passes"), F.col("end").alias("mix_end")))
+    joined = df.join(_small(limits), _source_key(df[source]) == F.col("mix_key"))
     text_hash = F.substring(F.md5(F.coalesce(df[text], F.lit(""))), 1, 16)
     mine = F.struct(_order(df[key], text_hash, F.col("mix_passes")).alias("h"), df[key].alias("doc_id"), text_hash.alias("text_hash"))
     copies = F.col("mix_passes") + F.coalesce(mine <= F.col("mix_end"), F.lit(False)).cast("int")
