@@ -93,7 +93,7 @@ select query_id, rank, vec_id, score from ranked where rank <= 5"""
 
 @query
 def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"))
+    return mixing.mix(table(spark, sf_dir, "documents")).withColumn("weight", F.round("weight", 9))
 
 
 def _mixture_sql() -> str:
@@ -124,7 +124,7 @@ with rows_ as (
   select *, turn * tokens + coalesce(sum(n_tokens) over (partition by k, turn order by h, doc_id, th rows between unbounded preceding and 1 preceding), 0)::bigint as start
   from hashed
 ), taken as (select *, floor(start / (weight * {mixing.BLOCK_TOKENS}::double))::bigint as block from placed where start < budget)
-select doc_id, source, n_tokens, weight, turn, block,
+select doc_id, source, n_tokens, round(weight, 9) as weight, turn, block,
   row_number() over (partition by block order by md5('place#' || h::varchar), doc_id, th, turn)::int as place
 from taken"""
 
