@@ -25,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from scorelake.functions.binding import let
-from scorelake.llm.lineage import cut
+from scorelake.session import materialise as cut
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("secret", "ident", "person")
@@ -266,10 +266,16 @@ def kept_spans(found: Column, model: dict, kept: float = KEPT) -> Column:
         return logit > math.log(kept / (1 - kept))
 
     plain = lambda s: F.struct(s["start"], s["kind_no"], s["stop"], s["kind"])
-    base = F.transform(F.filter(found, lambda s: s["kind_no"] < len(BASE)), plain)
-    extra = F.transform(F.filter(found, lambda s: F.when(s["kind_no"] >= len(BASE), stays(s)).otherwise(False)), plain)
+    # one walk over the candidates, which may be an expression over the whole text
+    staying = F.transform(F.filter(found, lambda s: F.when(s["kind_no"] >= len(BASE), stays(s)).otherwise(True)), plain)
     clear = lambda s, b: ~F.exists(b, lambda x: (x["start"] < s["stop"]) & (s["start"] < x["stop"]))
-    return let(F.array_sort(base), lambda b: F.struct(b.alias("base"), F.array_sort(F.concat(b, F.filter(extra, lambda s: clear(s, b)))).alias("every")))
+
+    def parted(spans_: Column) -> Column:
+        base = F.filter(spans_, lambda s: s["kind_no"] < len(BASE))
+        every = lambda b: F.filter(spans_, lambda s: (s["kind_no"] < len(BASE)) | clear(s, b))
+        return let(base, lambda b: F.struct(b.alias("base"), every(b).alias("every")))
+
+    return let(F.array_sort(staying), parted)
 
 
 def listed(spans: Column) -> Column:
