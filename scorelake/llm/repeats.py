@@ -95,16 +95,19 @@ class _Group:
 
     def sequences(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each usable document: two hashes of its whole word sequence, and its id."""
-        one = np.array([_whole(self.words[i]) for i in self.usable], dtype=np.uint64)
-        two = np.array([_whole(self.words[i] ^ _OTHER) for i in self.usable], dtype=np.uint64)
+        power = np.cumprod(np.full(max((self.words[i].size for i in self.usable), default=0), _OTHER, dtype=np.uint64))
+        one = np.array([_whole(self.words[i], power) for i in self.usable], dtype=np.uint64)
+        two = np.array([_whole(self.words[i] ^ _OTHER, power) for i in self.usable], dtype=np.uint64)
         return one, two, np.array([self.ids[i] for i in self.usable], dtype=np.int64)
 
     def block_parts(self) -> list[tuple]:
         if not self.usable:
             return []
         runs = [shingles(self.words[i], BLOCK, short=False) for i in self.usable]
-        index = np.unique(np.concatenate([r[::BLOCK] for r in runs]))
-        probes = np.setdiff1d(np.concatenate(runs), index)
+        every = _distinct(np.concatenate(runs))
+        indexed = np.zeros(every.size, dtype=bool)
+        indexed[np.searchsorted(every, np.concatenate([r[::BLOCK] for r in runs]))] = True
+        index, probes = every[indexed], every[~indexed]
         one, two, ids = self.sequences()
         first = _first_of(one, ids)
         low = lambda x: (x & _LOW).astype("<u4")
@@ -125,7 +128,7 @@ class _Group:
         if live:
             runs = [shingles(self.words[i], BLOCK, short=False) for i in live]
             every = np.concatenate(runs)
-            anchor = np.isin(_travelled(every, self.groups), _shared(back)) | _twice(every, runs)
+            anchor = _member(_travelled(every, self.groups), _distinct(_shared(back))) | _twice(every, runs)
             reach, at = WINDOW - BLOCK + 1, 0
             for i, run in zip(live, runs):
                 marks = np.concatenate([[0], np.cumsum(anchor[at : at + run.size])])
@@ -175,20 +178,32 @@ class _Group:
         return pa.table({n: pa.array(out[n], type=t) for n, t in kinds.items()})
 
 
-def _whole(words: np.ndarray) -> int:
-    power = np.cumprod(np.full(words.size, _OTHER, dtype=np.uint64))
-    return int(mix(np.array([(mix(words) * power).sum(dtype=np.uint64)], dtype=np.uint64))[0])
+def _whole(words: np.ndarray, power: np.ndarray) -> int:
+    return int(mix(np.array([(mix(words) * power[: words.size]).sum(dtype=np.uint64)], dtype=np.uint64))[0])
+
+
+def _distinct(value: np.ndarray) -> np.ndarray:
+    """Sorted, each value once."""
+    value = np.sort(value)
+    return value[np.concatenate([[True], value[1:] != value[:-1]])] if value.size else value
+
+
+def _member(value: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Whether each value is among the sorted known ones."""
+    if not known.size:
+        return np.zeros(value.size, dtype=bool)
+    return known[np.minimum(np.searchsorted(known, value), known.size - 1)] == value
 
 
 def _twice(every: np.ndarray, runs: list[np.ndarray]) -> np.ndarray:
     """Whether two documents of the group have the run, and one of them as an indexed block."""
     owner = np.repeat(np.arange(len(runs)), [r.size for r in runs])
-    order = np.argsort(every, kind="stable")
+    order = np.argsort(every)
     value, holder = every[order], owner[order]
     begin = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
     several = value[begin[np.minimum.reduceat(holder, begin) != np.maximum.reduceat(holder, begin)]]
-    known = several[np.isin(several, np.concatenate([r[::BLOCK] for r in runs]))]
-    return np.isin(every, known)
+    known = several[_member(several, _distinct(np.concatenate([r[::BLOCK] for r in runs])))]
+    return _member(every, known)
 
 
 def _first_of(value: np.ndarray, ids: np.ndarray) -> np.ndarray:
