@@ -41,10 +41,25 @@ _SALT = np.random.Generator(np.random.PCG64(78)).integers(0, 2**64, size=BINS, d
 
 
 @functools.lru_cache(maxsize=1)
-def _donor_order() -> np.ndarray:
-    """rank[i, j]: when bin i asks bin j; each row is a random permutation."""
-    draw = np.random.Generator(np.random.PCG64(77)).random((BINS, BINS))
-    return draw.argsort(axis=1).argsort(axis=1).astype(np.int16)
+def _donor_order() -> tuple[np.ndarray, np.ndarray]:
+    """asked[i, a]: the bin that bin i asks as its a-th, a random permutation; and the inverse, turn[i, j]."""
+    asked = np.random.Generator(np.random.PCG64(77)).random((BINS, BINS)).argsort(axis=1)
+    return asked.astype(np.int16), asked.argsort(axis=1).astype(np.int16)
+
+
+def _donors(empty: np.ndarray, filled: np.ndarray) -> np.ndarray:
+    """For each empty bin the first filled one in its order."""
+    asked, turn = _donor_order()
+    if filled.size < BINS // 8:  # few to choose from: compare their turns
+        return filled[turn[empty[:, None], filled].argmin(axis=1)]
+    full = np.zeros(BINS, dtype=bool)
+    full[filled] = True
+    donor = asked[empty, 0].astype(np.int64)
+    left, a = np.flatnonzero(~full[donor]), 1
+    while left.size:
+        donor[left] = asked[empty[left], a]
+        left, a = left[~full[donor[left]]], a + 1
+    return donor
 
 
 def bins(words: np.ndarray, k: int = SHINGLE_WORDS) -> np.ndarray | None:
@@ -52,17 +67,18 @@ def bins(words: np.ndarray, k: int = SHINGLE_WORDS) -> np.ndarray | None:
     hashes = shingles(words, k)
     if not hashes.size:
         return None
+    hashes = np.sort(hashes)  # by bin and value at once: the bin is in the highest bits
     place = (hashes >> _REST).astype(np.int64)
-    order = np.lexsort((hashes, place))
-    place, hashes = place[order], hashes[order]
     first = np.ones(place.size, dtype=bool)
     first[1:] = place[1:] != place[:-1]
     filled, least = place[first], hashes[first]
     value = np.zeros(BINS, dtype=np.uint64)
     value[filled] = least
     if filled.size < BINS:
-        empty = np.setdiff1d(np.arange(BINS), filled, assume_unique=True)
-        value[empty] = least[_donor_order()[empty[:, None], filled].argmin(axis=1)]
+        full = np.zeros(BINS, dtype=bool)
+        full[filled] = True
+        empty = np.flatnonzero(~full)
+        value[empty] = value[_donors(empty, filled)]
     return value
 
 
