@@ -1,10 +1,13 @@
 """Language identification by compression.
 
-Each language has a raw-content zstandard dictionary made of training texts. A text is compressed
-whole with every dictionary and gets the language of the smallest output; ties go to the language
-with more training rows, then to the first by name. Before that, dictionary and text are lower-cased
-and every run of other characters than letters becomes a space, so that layout does not count.
-`score` is the share by which the next language's output is larger. A text is `rejected` if that
+Each language has a raw-content zstandard dictionary made of training texts. The whole text is
+compressed with every dictionary, in blocks of `BLOCK` bytes at most that each start from the fresh
+dictionary, and gets the language of the smallest sum; ties go to the language with more training
+rows, then to the first by name. Before that, dictionary and text are lower-cased and every run of
+other characters than letters becomes a space, so that layout does not count. `score` is the share
+by which the next language's sum is larger; frame headers do not count. In one stream a long text
+would be its own dictionary and the score would fall towards zero; in blocks it does not depend on
+the length. A text is `rejected` if that
 share is under `margin`; texts of fewer than `margin_from` characters are too short to show one.
 
 The dictionaries are fitted on a bounded sample: for each language the `sample_rows` training rows
@@ -28,6 +31,7 @@ from scorelake.llm.texts import ROWS, over_rows
 SAMPLE_ROWS = 100
 ROW_CHARS = 800
 LEVEL = 6
+BLOCK = 1024
 MARGIN = 0.002
 MARGIN_FROM = 256
 UNKNOWN = "und"
@@ -57,6 +61,20 @@ def plain(text: str) -> str:
     return _OTHER.sub(" ", text.lower())
 
 
+def blocks(raw: bytes, size: int = BLOCK) -> list[bytes]:
+    """The bytes of `raw` in blocks of at most `size`, about equally long, cut before a space if there is one."""
+    start, parts = 0, []
+    while start < len(raw):
+        rest = len(raw) - start
+        end = start + -(-rest // -(-rest // size))
+        if end < len(raw):
+            space = raw.rfind(b" ", start + 1, end + 1)
+            end = space if space > 0 else end
+        parts.append(raw[start:end])
+        start = end
+    return parts
+
+
 class Compressors:
     """One compressor per language, its dictionary prepared once per worker."""
 
@@ -67,12 +85,14 @@ class Compressors:
             words = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             words.precompute_compress(level=level)
             self.coders.append(zstandard.ZstdCompressor(level=level, dict_data=words, write_checksum=False, write_content_size=False, write_dict_id=False))
+        self.frame = len(self.coders[0].compress(b"")) if self.coders else 0
 
     def judge(self, text: str | None, margin: float, margin_from: int) -> tuple[str, float, bool]:
         raw = plain(text or "").strip().encode()
         if not raw or not self.coders:
             return UNKNOWN, 0.0, True
-        sizes = [len(c.compress(raw)) for c in self.coders]
+        parts = blocks(raw)
+        sizes = [sum(len(c.compress(p)) - self.frame for p in parts) for c in self.coders]
         order = sorted(range(len(sizes)), key=lambda i: (sizes[i], i))
         score = 1.0 - sizes[order[0]] / sizes[order[1]] if len(order) > 1 else 1.0
         return self.names[order[0]], score, score < margin and len(raw) >= margin_from

@@ -174,6 +174,32 @@ def test_language(spark):
     assert good >= 58
 
 
+def language_halves():
+    """(dictionaries, held-out rows): halves of the driver's documents that have a letter."""
+    import pyarrow.parquet as pq
+
+    rows = [r for r in pq.read_table("/root/testdata/sf0.01/documents.parquet").to_pylist() if langid.plain(r["text"] or "").strip()]
+    random.Random(3).shuffle(rows)
+    content = {}
+    for r in rows[::2]:
+        content.setdefault(r["lang"], []).append(r["text"][: langid.ROW_CHARS])
+    return {k: langid.plain("\n".join(v[: langid.SAMPLE_ROWS])).encode() for k, v in content.items()}, rows[1::2]
+
+
+def test_language_of_long_texts(spark):
+    content, held = language_halves()
+    rng, texts, langs = random.Random(9), [], ["en", "fr"]
+    for lang in langs:
+        words = [w for r in held if r["lang"] == lang for w in r["text"].split()]
+        texts += [" ".join(rng.choice(words) for _ in range(n // 5)) for n in (1000, 4_000_000)]
+    out = {r.doc_id: r for r in langid.predict(table(spark, texts), content).collect()}
+    assert [out[i].lang_pred for i in range(4)] == ["en", "en", "fr", "fr"] and not any(r.rejected for r in out.values())
+    assert out[1].score > 0.5 * out[0].score and out[3].score > 0.5 * out[2].score
+    for text in ("", "a", "a b " * 3000, "é" * 5000, texts[1]):
+        raw = text.encode()
+        assert b"".join(langid.blocks(raw)) == raw and all(0 < len(p) <= langid.BLOCK for p in langid.blocks(raw))
+
+
 # --- MinHash
 
 
