@@ -7,8 +7,11 @@ rows, then to the first by name. Before that, dictionary and text are lower-case
 other characters than letters becomes a space, so that layout does not count. `score` is the share
 by which the next language's sum is larger; frame headers do not count. In one stream a long text
 would be its own dictionary and the score would fall towards zero; in blocks it does not depend on
-the length. A text is `rejected` if that
-share is under `margin`; texts of fewer than `margin_from` characters are too short to show one.
+the length. A text of fewer than `SHORT` bytes is repeated up to them: the repeats cost the same few
+bytes everywhere, and without them zstandard stores such a text as it is and all languages tie.
+
+A text of any length is `rejected` if its score is under `margin`. In the learned languages scores
+are about 0.2, in other languages and random letters mostly under 0.03 (the README has the shares).
 
 The dictionaries are fitted on a bounded sample: for each language the `sample_rows` training rows
 of the smallest hash give up to `row_chars` characters each, from a place that the hash picks.
@@ -32,8 +35,8 @@ SAMPLE_ROWS = 100
 ROW_CHARS = 800
 LEVEL = 6
 BLOCK = 1024
-MARGIN = 0.002
-MARGIN_FROM = 256
+SHORT = 128
+MARGIN = 0.05
 UNKNOWN = "und"
 _LETTER = r"\p{L}"
 _OTHER = re.compile(r"[\W\d_]+")
@@ -87,15 +90,15 @@ class Compressors:
             self.coders.append(zstandard.ZstdCompressor(level=level, dict_data=words, write_checksum=False, write_content_size=False, write_dict_id=False))
         self.frame = len(self.coders[0].compress(b"")) if self.coders else 0
 
-    def judge(self, text: str | None, margin: float, margin_from: int) -> tuple[str, float, bool]:
+    def judge(self, text: str | None, margin: float) -> tuple[str, float, bool]:
         raw = plain(text or "").strip().encode()
         if not raw or not self.coders:
             return UNKNOWN, 0.0, True
-        parts = blocks(raw)
+        parts = blocks((raw + b" ") * -(-SHORT // (len(raw) + 1)) if len(raw) < SHORT else raw)
         sizes = [sum(len(c.compress(p)) - self.frame for p in parts) for c in self.coders]
         order = sorted(range(len(sizes)), key=lambda i: (sizes[i], i))
         score = 1.0 - sizes[order[0]] / sizes[order[1]] if len(order) > 1 else 1.0
-        return self.names[order[0]], score, score < margin and len(raw) >= margin_from
+        return self.names[order[0]], score, score < margin
 
 
 @functools.lru_cache(maxsize=4)
@@ -103,13 +106,13 @@ def _loaded(items: tuple, level: int) -> Compressors:
     return Compressors(dict(items), level)
 
 
-def predict(df: DataFrame, content: dict[str, bytes], key: str = "doc_id", text: str = "text", level: int = LEVEL, margin: float = MARGIN, margin_from: int = MARGIN_FROM) -> DataFrame:
+def predict(df: DataFrame, content: dict[str, bytes], key: str = "doc_id", text: str = "text", level: int = LEVEL, margin: float = MARGIN) -> DataFrame:
     """(key, lang_pred, score, rejected) per row."""
     items = tuple(content.items())
 
     def rows(columns):
         coders = _loaded(items, level)
-        found = [coders.judge(t, margin, margin_from) for t in columns["row_text"]]
+        found = [coders.judge(t, margin) for t in columns["row_text"]]
         names, scores, rejected = ([f[i] for f in found] for i in range(3))
         return {"row_key": columns["row_key"], "lang_pred": names, "score": scores, "rejected": rejected}
 
@@ -118,7 +121,7 @@ def predict(df: DataFrame, content: dict[str, bytes], key: str = "doc_id", text:
     return result.withColumnRenamed("row_key", key)
 
 
-def keep_recognised(df: DataFrame, content: dict[str, bytes], text: str = "text", level: int = LEVEL, margin: float = MARGIN, margin_from: int = MARGIN_FROM) -> DataFrame:
+def keep_recognised(df: DataFrame, content: dict[str, bytes], text: str = "text", level: int = LEVEL, margin: float = MARGIN) -> DataFrame:
     """The rows of `df` whose text has a language; all columns stay as they are."""
     items, place = tuple(content.items()), df.columns.index(text)
 
@@ -127,7 +130,7 @@ def keep_recognised(df: DataFrame, content: dict[str, bytes], text: str = "text"
             coders = _loaded(items, level)
             for start in range(0, batch.num_rows, ROWS):
                 part = batch.slice(start, ROWS)
-                kept = [not coders.judge(t.as_py(), margin, margin_from)[2] for t in part.column(place)]
+                kept = [not coders.judge(t.as_py(), margin)[2] for t in part.column(place)]
                 yield part.filter(pa.array(kept, type=pa.bool_()))
 
     return df.mapInArrow(run, df.schema)

@@ -200,6 +200,25 @@ def test_language_of_long_texts(spark):
         assert b"".join(langid.blocks(raw)) == raw and all(0 < len(p) <= langid.BLOCK for p in langid.blocks(raw))
 
 
+def test_language_margin_at_every_length(spark):
+    content, held = language_halves()
+    rng, letters = random.Random(7), "abcdefghijklmnopqrstuvwxyz"
+    polish = "i w na nie to że jest jak ale czy przez tylko już może być jego które kiedy bardzo jeszcze można trzeba dzień życie człowiek świat wielki nowy pierwszy".split()
+    makers = [
+        lambda: rng.choice(polish),
+        lambda: "".join(rng.choice(letters) for _ in range(rng.randint(2, 9))),
+        lambda: "".join(chr(rng.randint(0x430, 0x44F)) for _ in range(rng.randint(2, 9))),
+    ]
+    for n, most in ((100, 0.8), (300, 0.9), (600, 0.9), (1500, 0.9)):
+        texts = [" ".join(make() for _ in range(n))[:n] for make in makers for _ in range(60)]
+        out = {r.doc_id: r.rejected for r in langid.predict(table(spark, texts), content).collect()}
+        assert all(sum(out[i] for i in range(k, k + 60)) >= most * 60 for k in (0, 60, 120))
+    rows = langid.predict(table(spark, [r["text"] for r in held]), content).collect()
+    assert sum(r.rejected for r in rows) <= 0.02 * len(held)
+    short = [" ".join(r["text"].split()[:8]) for r in held if len(r["text"].split()) > 8]
+    assert sum(r.rejected for r in langid.predict(table(spark, short), content).collect()) <= 0.05 * len(short)
+
+
 # --- MinHash
 
 
