@@ -13,11 +13,12 @@ bytes everywhere, and without them zstandard stores such a text as it is and all
 A text of any length is `rejected` if its score is under `margin`. In the learned languages scores
 are about 0.2, in other languages and random letters mostly under 0.03 (the README has the shares).
 
-The dictionaries are fitted on a bounded sample: for each language the `sample_rows` training rows
-of the smallest hash give up to `row_chars` characters each, from a place that the hash picks.
+The dictionaries are fitted on a bounded sample: for each language the `sample_rows` different
+texts of the smallest hash give up to `row_chars` characters each, from a place that the hash picks.
 Prediction reads whole texts. A null text or one without a letter is `und`, score 0, rejected.
 Training rows with a null language, a null text or no letter teach nothing; a table without any
-training row makes every prediction `und`. Repeated rows count as often as they occur.
+training row makes every prediction `und`. Copies of a text take one place in the sample; for ties, training rows
+count as often as they occur.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from scorelake.llm.texts import ROWS, over_rows
+from scorelake.session import materialise as cut
 
 SAMPLE_ROWS = 100
 ROW_CHARS = 800
@@ -49,13 +51,15 @@ def has_letter(text: Column) -> Column:
 def fit(train: DataFrame, text: str = "text", lang: str = "lang", sample_rows: int = SAMPLE_ROWS, row_chars: int = ROW_CHARS) -> dict[str, bytes]:
     """Dictionary content by language. The sample is sample_rows x row_chars characters a language at most."""
     rows = train.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where(F.col("lang").isNotNull() & has_letter(F.col("text")))
-    order = F.xxhash64("text")
-    picked = rows.withColumn("h", order).withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("place") <= sample_rows)
+    hashed = rows.withColumn("h", F.xxhash64("text"))
+    distinct = cut(hashed.groupBy("lang", "h").agg(F.count(F.lit(1)).alias("n")))
+    picked = distinct.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("place") <= sample_rows)
     spare = F.greatest(F.length("text") - row_chars, F.lit(0)) + 1
-    cut = picked.select("lang", "h", F.substring("text", F.pmod("h", spare) + 1, F.lit(row_chars)).alias("text"))
-    common = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a language
+    excerpt = F.substring("text", F.pmod("h", spare) + 1, F.lit(row_chars))
+    taken = hashed.join(F.broadcast(picked.select("lang", "h")), ["lang", "h"]).groupBy("lang", "h").agg(F.min(excerpt).alias("text"))
+    common = {r["lang"]: r["n"] for r in distinct.groupBy("lang").agg(F.sum("n").alias("n")).collect()}  # one row a language
     content: dict[str, list[str]] = {}
-    for row in sorted(cut.distinct().collect()):  # bounded by the two parameters
+    for row in sorted(taken.collect()):  # bounded by the two parameters
         content.setdefault(row["lang"], []).append(row["text"])
     return {name: plain("\n".join(content[name])).encode() for name in sorted(content, key=lambda n: (-common[n], n))}
 

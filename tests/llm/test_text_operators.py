@@ -219,6 +219,15 @@ def test_language_margin_at_every_length(spark):
     assert sum(r.rejected for r in langid.predict(table(spark, short), content).collect()) <= 0.05 * len(short)
 
 
+def test_language_sample_is_not_used_up_by_copies(spark):
+    texts = [f"text{chr(97 + i // 26)}{chr(97 + i % 26)} " * 3 for i in range(60)]
+    rows = [(t, "en") for i, t in enumerate(texts) for _ in range(40 if i % 2 else 1)] + [("only one", "de")] * 500
+    train = spark.createDataFrame(rows, "text string, lang string").repartition(5)
+    for sample_rows, found in ((20, 20), (100, 60)):
+        model = langid.fit(train, sample_rows=sample_rows, row_chars=1000)
+        assert list(model) == ["en", "de"] and model["de"] == b"only one" and len(set(model["en"].split())) == found
+
+
 # --- MinHash
 
 
