@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from scorelake.llm import ann, bpe, langid, licences, minhash, mixing, pii, repeats, simhash, urls
+from scorelake.llm import ann, bpe, clusters, infill, langid, licences, minhash, mixing, packing, pii, repeats, simhash, urls
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -145,3 +145,73 @@ def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
+
+
+@query
+def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def _clusters_sql() -> str:
+    assign = """
+, near{r} as materialized (
+  select vid, k, d from (
+    select vid, k, sum((q - c) * (q - c))::bigint as d, row_number() over (partition by vid order by sum((q - c) * (q - c)), k) as place
+    from parts join centres{r} using (i) group by vid, k)
+  where place = 1)"""
+    rounds = "".join(
+        assign.format(r=r)
+        + f"""
+, sums{r} as materialized (select k, i, sum(q)::bigint as s, count(*)::bigint as n from near{r} join parts using (vid) group by k, i)
+, centres{r + 1} as materialized (
+  select c.k, c.i, case when n is null then c.c else (s - ((s % n) + n) % n) // n end as c from centres{r} c left join sums{r} x on x.k = c.k and x.i = c.i)"""
+        for r in range(clusters.ROUNDS)
+    )
+    return f"""
+with kept as materialized (
+  select row_number() over () as vid, vec_id, list_transform(embedding, lambda x: floor({clusters.SCALE} * x::double)::bigint) as q
+  from embeddings where len(embedding) = {clusters.WIDTH} and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), parts as materialized (select vid, unnest(range(1, {clusters.WIDTH + 1})) as i, unnest(q) as q from kept
+), first as (
+  select vid, (row_number() over (order by sha256('{clusters.SALT}' || vec_id::varchar), q) - 1)::int as k from kept where vec_id is not null
+), centres0 as materialized (select k, i, q as c from first join parts using (vid) where k < {clusters.CENTROIDS})
+{rounds}{assign.format(r=clusters.ROUNDS)}
+, names as (select k, sha256(string_agg(c::varchar, ',' order by i)) as centroid_sha256 from centres{clusters.ROUNDS} group by k)
+select vec_id, k as cluster, d as distance, (sum(d) over (partition by k))::bigint as cluster_inertia, (sum(d) over ())::bigint as inertia, centroid_sha256
+from near{clusters.ROUNDS} join kept using (vid) join names using (k)"""
+
+
+ORACLES["op11_clusters"] = _clusters_sql()
+
+
+@query
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), with_ids=False))
+
+
+@query
+def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill.fill_in_middle(table(spark, sf_dir, "documents"))
+    digests = F.sha2(F.col("output"), 256).alias("output_sha256"), F.sha2(infill.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256")
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+ORACLES["op13_infill"] = f"""
+with units as (
+  select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') as u, sha256('1:' || coalesce(doc_id::varchar, '')) as d
+  from documents
+), drawn as (
+  select doc_id, t, u, len(u)::bigint as n, ('0x' || d[1:8])::bigint as h1, ('0x' || d[9:16])::bigint as h2, ('0x' || d[17:24])::bigint as h3, ('0x' || d[25:32])::bigint as h4
+  from units
+), cuts as (
+  select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+    case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= {infill.PLAIN_FROM} then 'plain'
+      when h4 % 100 < {infill.SPM_BELOW} then 'spm' else 'psm' end as form
+  from drawn
+), pieces as (
+  select *, array_to_string(u[1 : a], '') as p, array_to_string(u[a + 1 : b], '') as m, array_to_string(u[b + 1 : n], '') as s from cuts
+)
+select doc_id, n, form, case when form <> 'plain' then length(p) end as prefix_chars, case when form <> 'plain' then length(m) end as middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256,
+  sha256(t) as restored_sha256
+from pieces"""
