@@ -12,10 +12,12 @@ with multiplicities, a few rows per length. Each piece then finds its place from
 among the pieces of this length. Ranks come from buckets of about the square root of a length's count,
 so neither a bucket nor the list of buckets is large, even if one length holds a third of all pieces.
 
-Texts are tokenised by white-space separated chunks, which the tokenizer's pattern never joins; ids of
-short chunks are kept in a bounded table per worker. A chunk without white space that is very long is
-cut where an ASCII letter or digit meets one of `.,;:/?&=_-`, also a safe place; without one it is
-encoded whole.
+Texts are tokenised by units that the tokenizer never joins, and ids of short units are kept in a bounded
+table per worker. In characters up to U+017F, which the tokenizer's normaliser only lower-cases, a unit
+is a match of its split pattern. Anything else, and what may hold a special token, is a unit from white
+space to white space that goes to the library as it is. Unknown units go there in batches joined by
+spaces. Very long texts are read in spans that end before white space; a very long unit of the second
+kind is cut where an ASCII letter or digit meets one of `.,;:/?&=_-`, also a safe place.
 
 A null text counts as empty: one piece, the end id. Null keys and repeated rows are pieces like any
 other; equal pieces may change places. An empty table gives no rows. Extra columns are left out by
@@ -39,11 +41,18 @@ from scorelake.session import materialise as cut
 
 CAPACITY = 4096
 END_ID = 1
-KEPT_CHUNKS = 200_000
-SHORT_CHUNK = 64
-LONG_CHUNK = 1 << 16
+KEPT_UNITS = 250_000
+SHORT_UNIT = 64
+LONG_UNIT = 1 << 16
+SPAN_CHARS = 1 << 18
 ROWS = 256
-_SAFE = re.compile(rb"(?<=[A-Za-z0-9])(?=[.,;:/?&=_-])")
+_SAFE = re.compile(r"(?<=[A-Za-z0-9])(?=[.,;:/?&=_-])")
+_BREAK = re.compile(r"[\t-\r ]")
+_OTHER = re.compile("[^\x00-\u012f\u0131-\u017f]")
+_LETTERS = "a-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u017f"
+_NUMBERS = "0-9\xb2\xb3\xb9\xbc-\xbe"
+_WHITE = "\t-\r \x85\xa0"
+_WORD = re.compile(f"[{_LETTERS}]+|[{_NUMBERS}]|'(?:s|t|re|ve|m|ll|d)|[^{_WHITE}{_LETTERS}{_NUMBERS}]+")
 _RANK_BITS = 48
 
 
@@ -63,34 +72,82 @@ class Coder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        # units met lately and before that: a unit that is met again moves up, the older half goes when the newer is full
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [_chunks(t) for t in texts]
-        if len(self.known) > KEPT_CHUNKS:
-            self.known.clear()
-        new = list({c for chunks in split for c in chunks} - self.known.keys())
-        fresh = {}
-        for start in range(0, len(new), ROWS):
-            some = new[start : start + ROWS]
-            for chunk, coded in zip(some, self.tokenizer.encode_batch([c.decode() for c in some], add_special_tokens=False)):
-                (self.known if len(chunk) <= SHORT_CHUNK else fresh)[chunk] = np.array(coded.ids, dtype="<u4").tobytes()
-        if not fresh:
-            return [b"".join(map(self.known.__getitem__, chunks)) for chunks in split]
-        return [b"".join([fresh.get(c) or self.known[c] for c in chunks]) for chunks in split]
-
-
-def _chunks(text: str | None) -> list[bytes]:
-    chunks = (text or "").encode().split()
-    if not any(len(c) > LONG_CHUNK for c in chunks):
-        return chunks
-    return [part for c in chunks for part in (_parts(c) if len(c) > LONG_CHUNK else [c])]
-
-
-def _parts(chunk: bytes) -> Iterator[bytes]:
+        out: list[list[bytes]] = [[] for _ in texts]
+        held: list[tuple[int, list[str]]] = []
+        chars = 0
+        for i, text in enumerate(texts):
+            for span in spans(text or ""):
+                held.append((i, units(span)))
+                chars += len(span)
+                if chars > SPAN_CHARS:
+                    self._code(held, out)
+                    held, chars = [], 0
+        self._code(held, out)
+        return [b"".join(parts) for parts in out]
+
+    def _code(self, held: list[tuple[int, list[str]]], out: list[list[bytes]]) -> None:
+        if len(self.known) > KEPT_UNITS:
+            self.known, self.older = {}, self.known
+        new = [u for u in set().union(*(names for _, names in held)) if u not in self.known]
+        self.known.update((u, self.older[u]) for u in new if u in self.older)
+        fresh = dict(self._ask([u for u in new if u not in self.known]))
+        self.known.update(fresh)
+        for i, names in held:
+            out[i].append(b"".join(map(self.known.__getitem__, names)))
+        for unit in fresh:
+            if len(unit) > SHORT_UNIT:
+                del self.known[unit]
+
+    def _ask(self, names: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Ids of units by the library, many in one call: a token belongs to the unit that its place in the joined text lies in."""
+        for first in range(0, len(names), ROWS):
+            some = names[first : first + ROWS]
+            coded = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            ids = np.array(coded.ids, dtype="<u4").tobytes()
+            begins = np.cumsum([0, *(len(u) + 1 for u in some)])
+            places = np.array(coded.offsets, dtype=np.int64).reshape(-1, 2)[:, 0]
+            ends = np.searchsorted(places, begins[1:]).tolist()
+            start = 0
+            for unit, end in zip(some, ends):
+                yield unit, ids[4 * start : 4 * end]
+                start = end
+
+
+def spans(text: str) -> Iterator[str]:
+    """`text` in spans that end before ASCII white space."""
     start = 0
-    while len(chunk) - start > LONG_CHUNK:
-        place = _SAFE.search(chunk, start + LONG_CHUNK)
+    while len(text) - start > SPAN_CHARS:
+        place = _BREAK.search(text, start + SPAN_CHARS)
+        if place is None:
+            break
+        yield text[start : place.start()]
+        start = place.start()
+    yield text[start:] if start else text
+
+
+def units(text: str) -> list[str]:
+    """`text` in parts whose ids, one after the other, are those of the text."""
+    if "<|" not in text and _OTHER.search(text) is None:
+        return _WORD.findall(text.lower())
+    found: list[str] = []
+    for chunk in text.encode().split():
+        chunk = chunk.decode()
+        if "<|" not in chunk and _OTHER.search(chunk) is None:
+            found += _WORD.findall(chunk.lower())
+        else:
+            found += _parts(chunk)
+    return found
+
+
+def _parts(chunk: str) -> Iterator[str]:
+    start = 0
+    while len(chunk) - start > LONG_UNIT:
+        place = _SAFE.search(chunk, start + LONG_UNIT)
         if place is None:
             break
         yield chunk[start : place.start()]

@@ -190,10 +190,26 @@ def test_pieces_are_the_librarys(spark):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.text(alphabet="abÉ'st.,-1é́漢 \n\x1c　<|>ßΣ", max_size=80))
-def test_chunks_keep_every_token(text):
+@given(st.lists(st.one_of(st.text(alphabet="abJÉ'stREvd.,-1é́\u030c漢 \n\x1c　<|>ßΣİıª²\xa0\x85", max_size=60), st.text(st.characters(max_codepoint=0x24F), max_size=60), st.text(max_size=30)), max_size=4))
+def test_units_keep_every_token(texts):
     own = packing.coder(packing.default_tokenizer())
-    assert np.frombuffer(own.encode([text])[0], dtype="<u4").tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids
+    assert [np.frombuffer(ids, dtype="<u4").tolist() for ids in own.encode(texts)] == [own.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_classes_of_short_characters():
+    own = packing.coder(packing.default_tokenizer())
+    for code in range(0x250):
+        text = f"x{chr(code)}1{chr(code)}.{chr(code)}{chr(code)} '{chr(code)}"
+        assert np.frombuffer(own.encode([text])[0], dtype="<u4").tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids, code
+
+
+def test_table_of_units_is_bounded(monkeypatch):
+    monkeypatch.setattr(packing, "KEPT_UNITS", 50)
+    monkeypatch.setattr(packing, "SPAN_CHARS", 200)
+    own = packing.Coder(packing.default_tokenizer())
+    text = " ".join(f"word{i % 170} the Été {'x' * 70}" for i in range(600))
+    assert np.frombuffer(own.encode([text, None, text])[2], dtype="<u4").tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids
+    assert len(own.known) < 300 and len(own.older) < 300
 
 
 def test_very_long_text(spark):
