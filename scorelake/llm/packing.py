@@ -69,9 +69,15 @@ class Coder:
     """Token ids of texts as packed little-endian 32-bit numbers."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # plain units are lower-cased and split already, and each ends with one token that is marked as the last of a word
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.last = np.zeros(self.plain.get_vocab_size(), dtype=bool)
+        self.last[[i for t, i in self.plain.get_vocab().items() if t.endswith("</w>")]] = True
         # units met lately and before that: a unit that is met again moves up, the older half goes when the newer is full
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -95,7 +101,8 @@ class Coder:
             self.known, self.older = {}, self.known
         new = [u for u in set().union(*(names for _, names in held)) if u not in self.known]
         self.known.update((u, self.older[u]) for u in new if u in self.older)
-        fresh = dict(self._ask([u for u in new if u not in self.known]))
+        new = [u for u in new if u not in self.known]
+        fresh = {**dict(self._ask_plain([u for u in new if is_plain(u)])), **dict(self._ask([u for u in new if not is_plain(u)]))}
         self.known.update(fresh)
         for i, names in held:
             out[i].append(b"".join(map(self.known.__getitem__, names)))
@@ -103,19 +110,30 @@ class Coder:
             if len(unit) > SHORT_UNIT:
                 del self.known[unit]
 
+    def _ask_plain(self, names: list[str]) -> Iterator[tuple[str, bytes]]:
+        for first in range(0, len(names), ROWS):
+            some = names[first : first + ROWS]
+            ids = np.array(self.plain.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
+            yield from _dealt(some, ids, np.flatnonzero(self.last[ids]) + 1)
+
     def _ask(self, names: list[str]) -> Iterator[tuple[str, bytes]]:
-        """Ids of units by the library, many in one call: a token belongs to the unit that its place in the joined text lies in."""
+        """Ids of other units: a token belongs to the unit that its place in the joined text lies in."""
         for first in range(0, len(names), ROWS):
             some = names[first : first + ROWS]
             coded = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            ids = np.array(coded.ids, dtype="<u4").tobytes()
             begins = np.cumsum([0, *(len(u) + 1 for u in some)])
-            places = np.array(coded.offsets, dtype=np.int64).reshape(-1, 2)[:, 0]
-            ends = np.searchsorted(places, begins[1:]).tolist()
-            start = 0
-            for unit, end in zip(some, ends):
-                yield unit, ids[4 * start : 4 * end]
-                start = end
+            yield from _dealt(some, np.array(coded.ids, dtype="<u4"), np.searchsorted(np.array(coded.offsets, dtype=np.int64).reshape(-1, 2)[:, 0], begins[1:]))
+
+
+def _dealt(names: list[str], ids: np.ndarray, ends: np.ndarray) -> Iterator[tuple[str, bytes]]:
+    raw, start = ids.tobytes(), 0
+    for name, end in zip(names, (4 * ends).tolist(), strict=True):
+        yield name, raw[start:end]
+        start = end
+
+
+def is_plain(text: str) -> bool:
+    return "<|" not in text and _OTHER.search(text) is None
 
 
 def spans(text: str) -> Iterator[str]:
@@ -132,12 +150,12 @@ def spans(text: str) -> Iterator[str]:
 
 def units(text: str) -> list[str]:
     """`text` in parts whose ids, one after the other, are those of the text."""
-    if "<|" not in text and _OTHER.search(text) is None:
+    if is_plain(text):
         return _WORD.findall(text.lower())
     found: list[str] = []
     for chunk in text.encode().split():
         chunk = chunk.decode()
-        if "<|" not in chunk and _OTHER.search(chunk) is None:
+        if is_plain(chunk):
             found += _WORD.findall(chunk.lower())
         else:
             found += _parts(chunk)
