@@ -98,10 +98,10 @@ def archive_digests(spark, sf):
 def captions_tsv(spark, sf):
     path = _folder(spark, "captions")
     caps = view(spark, sf, "captions_v").select("file_name", "short_caption", "long_caption")
-    # a fourth column in between, and captions with line breaks
-    wide = caps.select("file_name", "short_caption", F.lit("unused").alias("middle"), "long_caption")
+    # a fourth column in between, and captions with line breaks; small splits, so that many begin inside a cell
+    wide = caps.select("file_name", "short_caption", F.lit("a \"b\"\n\tc").alias("middle"), "long_caption")
     wide.write.option("sep", "\t").option("escape", '"').option("quoteAll", "true").csv(path)
-    return tables.read_captions_tsv(spark, path).select("stem", "short_caption", "long_caption")
+    return tables.read_captions_tsv(spark, path, split_bytes=128 << 10).select("stem", "short_caption", "long_caption")
 
 
 @query("select lpad(item_id::varchar, 12, '0') as key, text as caption, 1.0::double as clip_score_coherence, 1.0::double as vqa_score_coherence from benchmark")

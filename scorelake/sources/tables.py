@@ -3,24 +3,28 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from scorelake.functions.captions import file_stem
 from scorelake.plans.requests import prompts_json
 from scorelake.schema import DESCRIPTOR, SCORES, SYNTHETIC
+from scorelake.sources.quoted import SPLIT_BYTES, QuotedTable, parse, split_cells
 
 
-def read_captions_tsv(spark: SparkSession, path: str) -> DataFrame:
+def read_captions_tsv(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """No header: file name, short caption, ..., long caption last; quoted cells may hold line breaks.
 
-    The first row tells how many columns there are.
+    The first row of the first file tells how many columns there are.
     """
-    rows = spark.read.csv(path, sep="\t", quote='"', escape='"', multiLine=True)
-    if len(rows.columns) < 2:
-        raise ValueError(f"the captions in {path} have {len(rows.columns)} column, not a file name and a caption")
-    name, short, long = rows.columns[0], rows.columns[1], rows.columns[-1]
+    table = QuotedTable(spark, path, "\t", split_bytes)
+    first = table.heads().orderBy("file").first()
+    cells = split_cells(first["record"], "\t") if first else []
+    if len(cells) < 2:
+        raise ValueError(f"the captions in {path} have {len(cells)} column, not a file name and a caption")
+    fields = [T.StructField(f"_c{i}", T.StringType()) for i in range(len(cells))]
+    rows = table.cells(T.StructType(fields), header=False)
+    name, short, long = fields[0].name, fields[1].name, fields[-1].name
     return rows.select(
         file_stem(F.col(name)).alias("stem"), F.col(name).alias("file_name"),
         F.col(short).alias("short_caption"), F.col(long).alias("long_caption"),
@@ -33,21 +37,22 @@ def score_schema(names: Sequence[str] = SCORES + SYNTHETIC) -> T.StructType:
     )
 
 
-def read_scores_csv(spark: SparkSession, path: str, names: Sequence[str] = SCORES + SYNTHETIC) -> DataFrame:
+def read_scores_csv(spark: SparkSession, path: str, names: Sequence[str] = SCORES + SYNTHETIC, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """Typed columns; an empty cell is NULL. Each file's header names its columns, in any order.
 
-    Files with one header are read together, and the groups united by column name. Quoted cells may
-    hold line breaks; a header is one plain line.
+    Files with one header are parsed together, and the groups united by column name. Quoted cells may
+    hold line breaks, also in a header.
     """
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"))
-    headers = lines.groupBy("file").agg(F.min_by("value", "line").alias("header"))
-    groups = headers.groupBy("header").agg(F.array_sort(F.collect_list("file")).alias("files")).orderBy("header").collect()
+    table = QuotedTable(spark, path, ",", split_bytes)
+    headers = [r["record"] for r in table.heads().select("record").distinct().orderBy("record").collect()]  # one per kind of header
+    rows = table.records().where(~F.col("first"))
+    if len(headers) > 1:
+        rows = rows.join(table.heads().withColumnRenamed("record", "header"), "file")
     types = {n: T.DoubleType() for n in names}
     out = None
-    for group in groups:  # one per kind of header; the file names are on the driver anyway
-        fields = [T.StructField(c.strip().strip('"'), types.get(c.strip().strip('"'), T.StringType())) for c in group["header"].split(",")]
-        files = [unquote(f) for f in group["files"]]
-        part = spark.read.schema(T.StructType(fields)).csv(files, header=True, multiLine=True, escape='"')
+    for header in headers:
+        fields = [T.StructField(c.strip(), types.get(c.strip(), T.StringType())) for c in split_cells(header, ",")]
+        part = parse(rows.where(F.col("header") == header) if len(headers) > 1 else rows, T.StructType(fields), ",")
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out if out is not None else spark.createDataFrame([], "key string")
 
@@ -63,10 +68,10 @@ def write_scores(scores: DataFrame, path: str) -> None:
     scores.hint("rebalance", "shard").write.mode("overwrite").partitionBy("shard").parquet(path)
 
 
-def read_metadata_csv(spark: SparkSession, path: str, scores: Sequence[str] = SCORES, columns: Sequence[str] = ("key", "caption")) -> DataFrame:
+def read_metadata_csv(spark: SparkSession, path: str, scores: Sequence[str] = SCORES, columns: Sequence[str] = ("key", "caption"), split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """Validation rows: keys stay text (leading zeros), every coherence is 1.0."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    rows = spark.read.schema(schema).csv(path, header=True, multiLine=True, escape='"')
+    rows = QuotedTable(spark, path, ",", split_bytes).cells(schema, header=True)
     return rows.withColumns({f"{s}_coherence": F.lit(1.0) for s in scores})
 
 
