@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from scorelake.functions.hashing import hash_u
 from scorelake.operators.ranks import (
+    BROADCAST_ROWS,
     bucket_rank,
     hash_prefix_sums,
     hash_rank,
@@ -176,6 +177,36 @@ def refill_rows(indexed: DataFrame, good: Column, seed: int, group: str = "shard
     return kept.unionByName(filled)
 
 
+#: bad rows that may draw from one copy of a good row
+DRAWS_PER_COPY = 4096
+
+
+def refill_drawn(indexed: DataFrame, good: Column, seed: int, group: str = "shard", key: str = "key", tries: int = 10, per_copy: int = DRAWS_PER_COPY) -> DataFrame:
+    """Replace every bad row by a random good row of its group: adds use_key.
+
+    A row draws rows of its group until one is good, `tries` times at most; so it stays empty (NULL) with
+    probability share of bad rows ** tries, else each good row is as likely. Where few good rows stand for
+    many, each is copied so often that about `per_copy` rows meet a copy, and a bad row's key picks the
+    copy: no join key is hot, and there are at most rows / per_copy copies beyond the good rows themselves.
+    """
+    flagged = indexed.select(F.struct(*(indexed[c] for c in indexed.columns)).alias("row"), indexed[group].alias("g"), indexed[key].alias("k"), F.coalesce(good, F.lit(False)).alias("ok"))
+    counts = flagged.groupBy("g").agg(F.count_if("ok").alias("n_good"), F.count_if(~F.col("ok")).alias("n_bad"))
+    counts = materialise(counts.withColumn("copies", F.greatest(F.ceil(F.col("n_bad") / (F.greatest("n_good", F.lit(1)) * per_copy)), F.lit(1))), "refill counts")
+    small = F.broadcast if counts.count() <= BROADCAST_ROWS else lambda table: table
+    fine = hash_rank(flagged.where("ok").select("g", "k"), hash_u("k", f"refill-rank/{seed}"), ["k"], ["g"], name="place")
+    copied = fine.join(small(counts.select("g", "copies")), "g").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    bad = flagged.where(~F.col("ok")).join(small(counts.withColumnRenamed("g", "of")), F.col("g").eqNullSafe(F.col("of")))
+    empty = hash_u("k", f"refill-empty/{seed}") < F.pow(F.col("n_bad") / (F.col("n_bad") + F.col("n_good")), F.lit(tries))
+    place = F.when((F.col("n_good") > 0) & ~empty, F.floor(hash_u("k", f"refill-draw/{seed}") * F.col("n_good")))
+    copy = F.floor(hash_u("k", f"refill-copy/{seed}") * F.col("copies"))
+    asked = bad.select("row", "g", place.alias("place"), copy.alias("copy"))
+    # rows that stay empty have no key to meet on and would gather in one task
+    found = asked.where(F.col("place").isNotNull()).join(copied.select("g", "place", "copy", F.col("k").alias("use_key")), ["g", "place", "copy"])
+    none = asked.where(F.col("place").isNull()).select("row", F.lit(None).cast(indexed.schema[key].dataType).alias("use_key"))
+    kept = flagged.where("ok").select("row", F.col("k").alias("use_key"))
+    return kept.unionByName(found.select("row", "use_key")).unionByName(none).select("row.*", "use_key")
+
+
 def batch_rows(df: DataFrame, size: int, keep_partial: bool, group: str = "shard", order: str = "key") -> DataFrame:
     """Fixed-size batches in row order inside a group: adds batch and slot."""
     listed = ordered_index(df, [group, order], "_i")

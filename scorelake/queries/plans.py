@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from scorelake.functions.hashing import hash_u
 from scorelake.operators import sampling, shards
-from scorelake.plans import epochs
+from scorelake.plans import buffers, epochs
 from scorelake.queries.fixtures import table, view
 from scorelake.queries.registry import query
 from scorelake.session import materialise
@@ -223,6 +224,35 @@ def buffer_shuffle(spark, sf):
     return epochs.buffer_shuffle(indexed.select("idx"), 64, 16, 4, _n(indexed), pos="idx")
 
 
+def _buffer_sql(batch: int, batches: int, seed: int) -> str:
+    """The same draws; a row's batch is the next event of the slot it entered."""
+    turns, names = "", "step, place, u, v"
+    for turn in range(buffers.TURNS):
+        moved, fixed, size = ("u", "v", batches) if turn % 2 == 0 else ("v", "u", batch)
+        kept = "u" if moved == "v" else "v"
+        turns += f"""
+, d{turn + 1} as (select step, place, {kept}, ({moved} + floor(U(step || '/' || {fixed},'slot/{seed}/{turn}') * {size})::bigint) % {size} as {moved} from d{turn})"""
+    slots = batch * batches
+    return f"""with {_IDX}, p as (select {_N} as n, greatest({_N} - {slots}, 0) as refilled),
+d0 as (select i // {batch} as step, i % {batch} as place, 0::bigint as u, i % {batch} as v from p, range(((refilled + {batch - 1}) // {batch}) * {batch}) t(i))
+{turns}
+, ev as (
+  select step, place, u * {batch} + v as slot, case when step * {batch} + place < refilled then step * {batch} + place + {slots} end as got from d{buffers.TURNS}, p
+  union all select -1, -1, i, i from p, range(least(n, {slots})) t(i)
+), lagged as (select *, lag(got) over (partition by slot order by step) as idx, row_number() over (partition by slot order by step desc) as back from ev
+), rest as (select got as idx, row_number() over (order by U(slot,'drain/{seed}'), slot) - 1 as nr from lagged where back = 1 and got is not null
+), gone as (select max(step) + 1 as steps from ev)
+select idx, step as batch, place from lagged where step >= 0
+union all select idx, nr // {batch} + steps, nr % {batch} from rest, gone, p where nr < (n - steps * {batch}) // {batch} * {batch}"""
+
+
+@query(_buffer_sql(8, 4, 4))
+def refilled_buffer(spark, sf):
+    """The order in which a refilled buffer of 4 batches gives out the corpus."""
+    indexed, _ = _indexed(spark, sf)
+    return buffers.refilled_buffer(indexed.select("idx"), _n(indexed), 8, 4, 4, pos="idx")
+
+
 @query(
     """with s as (select source, shard, min(doc_id) as pos from samples_v group by all),
 r as (select *, row_number() over (partition by source order by pos) - 1 as rn, count(*) over (partition by source) as n,
@@ -257,3 +287,19 @@ select source, key, p // 8 as batch, p % 8 as slot from r where (p // 8 + 1) * 8
 def batch_rows(spark, sf):
     s = view(spark, sf, "samples_v").select("source", "key")
     return epochs.batch_rows(s, 8, keep_partial=False, group="source")
+
+
+@query(
+    f"""with {_IDX}, f as (select shard, key, has_image and txt is not null and U(key,'scarce') < 0.1 as ok from ix),
+c as (select shard, count(*) filter (ok) as n_good, count(*) filter (not ok) as n_bad from f group by shard),
+g as (select shard, key, row_number() over (partition by shard order by U(key,'refill-rank/6'), key) - 1 as place from f where ok),
+b as (select f.shard, key, case when n_good > 0 and U(key,'refill-empty/6') >= pow(n_bad / (n_bad + n_good)::double, 10) then floor(U(key,'refill-draw/6') * n_good)::bigint end as place
+  from f join c using (shard) where not ok)
+select shard, key, key as use_key from f where ok
+union all select b.shard, b.key, g.key from b left join g on b.shard = g.shard and b.place = g.place"""
+)
+def refill_drawn(spark, sf):
+    """One row in ten is good: each of the others draws one of its shard."""
+    indexed, _ = _indexed(spark, sf)
+    good = F.col("has_image") & F.col("has_txt") & (hash_u("key", "scarce") < 0.1)
+    return epochs.refill_drawn(indexed, good, 6, per_copy=16).select("shard", "key", "use_key")
