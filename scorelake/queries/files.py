@@ -60,6 +60,29 @@ def archive_two_roots(spark, sf):
     return back.select(F.get(place, F.lit(0)).alias("root"), F.get(place, F.lit(1)).alias("shard"), "key", "txt")
 
 
+@query("select shard, key || ext as member, count(*) over (partition by shard) as members from (select shard, key, unnest(['.json', '.txt']) as ext, txt from samples_v) where ext = '.json' or txt is not null")
+def archive_offsets(spark, sf):
+    """Slices of a stored offset table: every member once, numbered through its archive."""
+    folder, offsets = _folder(spark, "saved"), _folder(spark, "offsets")
+    s = view(spark, sf, "samples_v").withColumn("json", F.to_json(F.struct("width", "height")))
+    archives.save_archives(s, folder, {".txt": "txt", ".json": "json"})
+    archives.member_offsets(spark, folder, split_bytes=64 << 10).write.parquet(offsets)
+    members = archives.read_members(spark, folder, offsets=spark.read.parquet(offsets)).where("error is null")
+    last = members.groupBy("shard").agg((F.max("member_idx") + 1).alias("members"), F.count_distinct("member_idx").alias("n")).where("members = n")
+    return members.join(last, "shard").select("shard", "member", "members")
+
+
+@query("select shard, key, txt from samples_v where txt is not null")
+def archive_committed(spark, sf):
+    """One archive per shard, shown by the commit; the second job takes the place of the first."""
+    folder = _folder(spark, "committed")
+    s = view(spark, sf, "samples_v")
+    archives.save_archives(s.withColumn("txt", F.lit("old")), folder, {".txt": "txt"})
+    archives.save_archives(s, folder, {".txt": "txt"}, overwrite=True)
+    members = archives.read_members(spark, folder)
+    return members.select("shard", F.regexp_extract("member", r"^(.*)\.txt$", 1).alias("key"), F.decode("content", "utf-8").alias("txt"))
+
+
 @query("select shard, count(*) as nsamples from samples_v group by shard")
 def archive_index(spark, sf):
     """Shard index from member names only: no member's bytes are read."""

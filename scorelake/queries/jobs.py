@@ -22,7 +22,7 @@ from scorelake.queries.fixtures import table, view
 from scorelake.queries.registry import query
 
 from scorelake.session import shared_folder
-from scorelake.sources import samples as samples_source
+from scorelake.sources import archives, samples as samples_source
 from scorelake.sources.tables import read_jsonl, read_scores_csv, write_jsonl, write_scores_csv
 from scorelake.streaming import jobs
 
@@ -288,3 +288,17 @@ def stream_dedupe(spark, sf):
     _finish(jobs.stream_dedupe(stream, ["event_id"], "ts", "1 hour", out, out + "-cp"))
     rows = spark.read.schema("event_id long, event_type string, value double").parquet(out)
     return rows.select("event_id", "event_type", "value")
+
+
+@query("select key, shard, txt, width from samples_v")
+def stream_archives(spark, sf):
+    """Archives that arrive between two runs of the stream: each is read once, by the run that finds it."""
+    folder, seen, out = (_folder(spark, n).removeprefix("file:") for n in ("arrivals", "seen", "streamed"))
+    s = view(spark, sf, "samples_v").withColumns({"jpg": F.lit(b"x"), "json": F.to_json(F.struct("width"))})
+    first = F.crc32(F.col("shard").cast("binary")) % 2 == 0
+    for wave in (first, ~first):
+        archives.write_archives(s.where(wave), folder, {".jpg": "jpg", ".txt": "txt", ".json": "json"})
+        members = archives.stream_members(spark, folder, seen, [".jpg", ".txt", ".json"])
+        _finish(jobs.stream_archives(members, out, out + "-cp"))
+    shard = F.element_at(F.split("shard", "-"), 1)
+    return spark.read.parquet(out).select("key", shard.alias("shard"), "txt", F.col("meta.width").alias("width"))

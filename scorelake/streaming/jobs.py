@@ -17,6 +17,7 @@ from scorelake.operators.bins import bucketise_scores
 from scorelake.operators.evaluate import is_finite
 from scorelake.operators.ranks import ordered_index
 from scorelake.operators.scores import latest_scores
+from scorelake.sources.samples import decode_json, read_samples
 
 
 def _drain(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> StreamingQuery:
@@ -53,6 +54,18 @@ def stream_enrich(
     return _drain(bucketise_scores(ready, edges, names, n_bins), _batch_table(out), checkpoint)
 
 
+def stream_archives(members: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Samples of archives as they arrive (`stream_members`), grouped and decoded, to `out`.
+
+    An archive comes whole within one micro-batch, so its samples are complete there.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        _batch_table(out)(decode_json(read_samples(batch)), number)
+
+    return _drain(members, write, checkpoint)
+
+
 def stream_upsert_scores(scores: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Arriving score rows appended as numbered versions; `latest_scores` over `out` is the table.
 

@@ -48,7 +48,7 @@ def test_members_and_splits(spark, root):
     whole = archives.read_members(spark, str(root))
     assert whole.rdd.getNumPartitions() == 4
     split = archives.read_members(spark, str(root), split_bytes=2000)
-    assert split.rdd.getNumPartitions() > 12
+    assert split.rdd.getNumPartitions() > 8
     a = sorted((r["shard"], r["member_idx"], r["member"], bytes(r["content"])) for r in whole.where("error is null").collect())
     b = sorted((r["shard"], r["member_idx"], r["member"], bytes(r["content"])) for r in split.where("error is null").collect())
     assert a == b and len(a) == 48
