@@ -113,12 +113,14 @@ def hash_rank(
     limit: int | None = None,
     name: str = "pos",
     rows_per_bucket: int = ROWS_PER_BUCKET,
+    largest: int | None = None,
 ) -> DataFrame:
     """Add `name`: the 0-based position inside the group, rows sorted by a uniform number `u`.
 
     Ties go by `tie`. `base` (one row per group: group columns + `base`) is added to every row of
     its group, and any further columns of it come along. With `limit` only positions below it
-    survive.
+    survive. `largest` is a bound on a group's rows that the caller knows; if no group is large, the
+    input is read once and not counted.
     """
     marked = df.withColumn("_u", u)
     order = ["_u", *map(_col, tie)]
@@ -131,6 +133,14 @@ def hash_rank(
     if base is not None and limit is not None:
         raise ValueError("limit counts from the start of a group; it cannot follow a base")
 
+    if largest is not None and largest <= rows_per_bucket:
+        ranked = marked.withColumn("_rn", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
+        if limit is not None:
+            ranked = ranked.where(F.col("_rn") <= limit)
+        start = F.lit(0) if base is None else F.col("base")
+        placed = (ranked if base is None else ranked.join(base, list(group))).withColumn(name, (F.col("_rn") - 1 + start).cast("long"))
+        return placed.drop("_u", "_rn", *(["base"] if base is not None else []))
+
     keys = [*group, "_b"]
     sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows_per_bucket)
     large = materialise(sizes.select(*group, F.ceil(F.col("_n") / rows_per_bucket).cast("int").alias("_k")), "large groups")

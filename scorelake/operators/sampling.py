@@ -81,9 +81,10 @@ def gather_values(
     """
     if n_shards is None:
         n_shards = scores.select("shard").distinct().count()
-    capped = cap_per_shard(scores, shard_cap(max_samples, n_shards), seed)
+    cap = shard_cap(max_samples, n_shards)
+    capped = cap_per_shard(scores, cap, seed)
     swapped = swap_synthetic(capped, p, seed, names)
     long = to_long(swapped, names, ["key"]).where(F.col("value").isNotNull() & ~F.isnan("value"))
     draw = hash_u(F.concat_ws("/", "key", "score_name"), f"values/{seed}")
-    kept = hash_rank(long, draw, ["key"], group=["score_name"], limit=max_samples, name="_pos")
+    kept = hash_rank(long, draw, ["key"], group=["score_name"], limit=max_samples, name="_pos", largest=cap * n_shards)
     return kept.drop("_pos")

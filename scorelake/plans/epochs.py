@@ -48,7 +48,12 @@ def shuffle_shards(
         u = hash_u("shard", epoch_salt("shards", seed, epoch))
         base = hash_prefix_sums(ranges.select("shard", "nsamples"), u, ["shard"], {"base": "nsamples"}).drop("nsamples")
     rows = hash_u("key", epoch_salt("rows", seed, epoch))
-    return hash_rank(indexed, rows, ["key"], group=["shard"], base=base)
+    return hash_rank(indexed, rows, ["key"], group=["shard"], base=base, largest=_largest(ranges))
+
+
+def _largest(ranges: DataFrame) -> int:
+    """Rows of the largest shard; the table has one row per shard."""
+    return ranges.agg(F.coalesce(F.max("nsamples"), F.lit(0))).first()[0]
 
 
 def rank_split_ceil(idx: Column, n: Column, ranks: int) -> Column:
@@ -122,14 +127,17 @@ def chunked_shuffle(
         .drop("_lo")
     )
     # sizes are arithmetic: every chunk is full except the last of its rank
-    chunks = placed.groupBy("rank", "chunk").agg(F.count(F.lit(1)).alias("size"))
+    most = -(-per // chunk_size) if n else 0
+    held = F.least(F.lit(chunk_size), F.least(F.lit(per), F.lit(n) - F.col("rank") * per) - F.col("chunk") * chunk_size)
+    each = indexed.sparkSession.range(ranks * most).select(F.floor(F.col("id") / max(most, 1)).alias("rank"), (F.col("id") % max(most, 1)).alias("chunk"))
+    chunks = each.withColumn("size", held).where(F.col("size") > 0)
     if epoch == 0 and not shuffle_first:
         base = chunks.select("rank", "chunk", (F.col("chunk") * chunk_size).alias("base"))
     else:
         u = hash_u(F.concat_ws("/", "rank", "chunk"), epoch_salt("chunks", seed, epoch))
         base = hash_prefix_sums(chunks, u, ["chunk"], {"base": "size"}, ["rank"], SHARD_BUCKETS).drop("size")
     rows = hash_u("idx", epoch_salt("chunk-rows", seed, epoch))
-    return hash_rank(placed, rows, ["idx"], group=["rank", "chunk"], base=base)
+    return hash_rank(placed, rows, ["idx"], group=["rank", "chunk"], base=base, largest=chunk_size)
 
 
 def buffer_shuffle(df: DataFrame, buffer: int, batch: int, seed: int, n: int, pos: str = "pos") -> DataFrame:
@@ -242,12 +250,8 @@ def shard_exclusive(indexed: DataFrame, ranges: DataFrame, n_shards: int, shape:
     workers, batch = shape.workers, shape.batch
     # one row per shard, used several times below: written once
     placed = materialise(_deal_shards(ranges, n_shards, shape), "dealt-shards")
-    rounds = (
-        placed.groupBy("rank")
-        .agg(F.sum("nsamples").alias("rows"))
-        .agg(F.max(F.floor(F.floor(F.col("rows") / workers) / batch)))
-        .scalar()
-    )
+    of_ranks = placed.groupBy("rank").agg(F.sum("nsamples").alias("rows"), F.max("nsamples").alias("largest"))
+    rounds, largest = of_ranks.agg(F.max(F.floor(F.floor(F.col("rows") / workers) / batch)), F.coalesce(F.max("largest"), F.lit(0))).first()
     # position of a row among its worker's rows: start of its shard there + its place in the shard
     dealt = hash_rank(
         indexed.select("shard", "key", "idx"),
@@ -255,7 +259,8 @@ def shard_exclusive(indexed: DataFrame, ranges: DataFrame, n_shards: int, shape:
         ["key"],
         group=["shard"],
         base=placed.drop("nsamples"),
-    ).withColumn("rounds", rounds)
+        largest=largest,
+    ).withColumn("rounds", F.lit(rounds).cast("long"))
     pos, own_rounds = F.col("pos"), F.floor(F.col("L") / batch)
     # a row's place in a full batch, and its repeats in later rounds: slot i takes row i mod L
     full = F.when(

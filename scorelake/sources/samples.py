@@ -35,19 +35,13 @@ def decode_json(samples: DataFrame) -> DataFrame:
     Sizes may be written as any number and are rounded down; non-finite tokens are accepted.
     """
     text = F.col("json")
-    fields = F.from_json(text, "map<string,variant>")
-    bad = text.isNotNull() & fields.isNull()
-    meta = F.from_json(text, _LOOSE_JSON)
+    parsed = samples.withColumns({"other": F.from_json(text, "map<string,variant>"), "meta": F.from_json(text, _LOOSE_JSON)})
+    meta = F.col("meta")
     for size in _SIZES:
-        value = F.from_json(text, _LOOSE_JSON)[size]
+        value = F.col("meta")[size]
         meta = meta.withField(size, F.when(~F.isnan(value), F.floor(value)).try_cast("int"))
-    return samples.withColumns(
-        {
-            "bad_json": bad,
-            "meta": F.when(~bad, meta),
-            "other": F.when(~bad, fields),
-        }
-    )
+    bad = text.isNotNull() & F.col("other").isNull()
+    return parsed.withColumns({"bad_json": bad, "meta": F.when(~bad, meta)})
 
 
 def quality_of(decoded: DataFrame, min_size: int, min_clip: float, min_aesthetic: float):
