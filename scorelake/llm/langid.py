@@ -40,6 +40,7 @@ BLOCK = 1024
 SHORT = 128
 MARGIN = 0.05
 UNKNOWN = "und"
+_BUCKETS = 16
 _LETTER = r"\p{L}"
 _OTHER = re.compile(r"[\W\d_]+")
 
@@ -53,7 +54,10 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", sample_rows: i
     rows = train.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where(F.col("lang").isNotNull() & has_letter(F.col("text")))
     hashed = rows.withColumn("h", F.xxhash64("text"))
     distinct = cut(hashed.groupBy("lang", "h").agg(F.count(F.lit(1)).alias("n")))
-    picked = distinct.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("place") <= sample_rows)
+    # ranked by bucket of the hash first, so that no task sees more of a common language than a few samples
+    near = F.row_number().over(Window.partitionBy("lang", F.pmod("h", F.lit(_BUCKETS))).orderBy("h"))
+    few = distinct.withColumn("near", near).where(F.col("near") <= sample_rows)
+    picked = few.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("place") <= sample_rows)
     spare = F.greatest(F.length("text") - row_chars, F.lit(0)) + 1
     excerpt = F.substring("text", F.pmod("h", spare) + 1, F.lit(row_chars))
     taken = hashed.join(F.broadcast(picked.select("lang", "h")), ["lang", "h"]).groupBy("lang", "h").agg(F.min(excerpt).alias("text"))
@@ -95,9 +99,11 @@ class Compressors:
         self.frame = len(self.coders[0].compress(b"")) if self.coders else 0
 
     def judge(self, text: str | None, margin: float) -> tuple[str, float, bool]:
-        raw = plain(text or "").strip().encode()
-        if not raw or not self.coders:
+        words = plain(text or "").strip()
+        # number characters such as fractions and Roman numeral signs are in \w, but no letters
+        if not self.coders or not any(map(str.isalpha, words)):
             return UNKNOWN, 0.0, True
+        raw = words.encode()
         parts = blocks((raw + b" ") * -(-SHORT // (len(raw) + 1)) if len(raw) < SHORT else raw)
         sizes = [sum(len(c.compress(p)) - self.frame for p in parts) for c in self.coders]
         order = sorted(range(len(sizes)), key=lambda i: (sizes[i], i))

@@ -142,7 +142,7 @@ def _placed(rows: DataFrame, plan: DataFrame, turns: str) -> DataFrame:
 
 
 def realise(df: DataFrame, target: Target = Target(), key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The rows of `df` as often as the mix takes them, all columns as they are.
+    """The rows of `df` as often as the mix takes them, all columns as they are, whatever their names.
 
     Only the partial pass depends on offsets; per source it ends at one place of the random order, so
     the texts meet a table of one row a source and are not shuffled.
@@ -151,9 +151,10 @@ def realise(df: DataFrame, target: Target = Target(), key: str = "doc_id", text:
     plan = cut(weights(rows, target))
     placed = _placed(rows, plan, "array(passes)").where("start < rest")
     ends = placed.groupBy("source_key").agg(F.max(F.struct("h", "doc_id", "text_hash")).alias("end"))
-    limits = cut(plan.join(ends, "source_key", "left").select(F.col("source_key").alias("mix_key"), F.col("passes").alias("mix_passes"), F.col("end").alias("mix_end")))
-    joined = df.join(_small(limits), _source_key(df[source]) == F.col("mix_key"))
+    limits = cut(plan.join(ends, "source_key", "left").select("source_key", "passes", "end"))
     text_hash = F.substring(F.md5(F.coalesce(df[text], F.lit(""))), 1, 16)
-    mine = F.struct(_order(df[key], text_hash, F.col("mix_passes")).alias("h"), df[key].alias("doc_id"), text_hash.alias("text_hash"))
-    copies = F.col("mix_passes") + F.coalesce(mine <= F.col("mix_end"), F.lit(False)).cast("int")
-    return joined.withColumn("mix_copy", F.explode(F.array_repeat(F.lit(0), copies.cast("int")))).select(*(df[c] for c in df.columns))
+    whole = df.select(F.struct(*(df[c] for c in df.columns)).alias("row"), _source_key(df[source]).alias("source_key"), df[key].alias("doc_id"), text_hash.alias("text_hash"))
+    joined = whole.join(_small(limits), "source_key")
+    mine = F.struct(_order(F.col("doc_id"), F.col("text_hash"), F.col("passes")).alias("h"), "doc_id", "text_hash")
+    copies = F.col("passes") + F.coalesce(mine <= F.col("end"), F.lit(False)).cast("int")
+    return joined.select("row", F.explode(F.array_repeat(F.lit(0), copies.cast("int")))).select("row.*")

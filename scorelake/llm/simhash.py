@@ -107,11 +107,14 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", crow
 
 
 def keep_first(df: DataFrame, key: str = "doc_id", text: str = "text", crowd: int = CROWD) -> DataFrame:
-    """The rows of `df` without near-duplicates: one row of each component stays, that of the smallest id."""
+    """The rows of `df` without near-duplicates: one row of each component stays, that of the smallest id.
+
+    All columns come back as they are, whatever their names.
+    """
     seen = near_duplicates(df, key, text, crowd)
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
-    first = seen.groupBy("root").agg(F.min(order).alias("first")).select("first.id", "first.hash")
-    marked = df.withColumn("row_hash", F.xxhash64(text))
-    same = marked[key].eqNullSafe(first["id"]) & (marked["row_hash"] == first["hash"])
-    copy = Window.partitionBy(marked[key], marked["row_hash"]).orderBy(marked["row_hash"])
-    return marked.join(first, same, "left_semi").withColumn("copy_no", F.row_number().over(copy)).where("copy_no = 1").select(*df.columns)
+    first = seen.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.id").alias("first_id"), F.col("first.hash").alias("first_hash"))
+    rows = df.select(F.struct(*(df[c] for c in df.columns)).alias("row"), df[key].alias("id"), F.xxhash64(df[text]).alias("hash"))
+    same = F.col("id").eqNullSafe(F.col("first_id")) & (F.col("hash") == F.col("first_hash"))
+    copy = Window.partitionBy("id", "hash").orderBy("hash")
+    return rows.join(first, same, "left_semi").withColumn("copy", F.row_number().over(copy)).where("copy = 1").select("row.*")

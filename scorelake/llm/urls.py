@@ -7,8 +7,9 @@ of `allow`, so words that keep bad company are learned.
 (Rules are exceptions that others have made; they teach nothing.)
 
 Host names are split into words by unigram Viterbi: counts of the words in the pages' visible text
-give the probabilities, an unknown string of n letters costs 10^-n. The counts are a table; each
-distinct host label meets the ones of its substrings in a join. Path tokens are words; numbers count
+give the probabilities; a word known to be bad has a least share, an unknown string of n letters a fixed
+one times 10^-n, so counts in proportion segment alike. The counts are a table; each distinct
+host label meets the ones of its substrings in a join. Path tokens are words; numbers count
 by their length. Every count is summed before it is shuffled, and labels, hosts and path shapes are
 judged once each, so a host that holds a third of the urls is one row.
 
@@ -28,7 +29,11 @@ from scorelake.session import materialise as cut
 
 
 LONGEST_WORD = 24
-SPOKEN = 20
+# shares of all words, so that a host is segmented alike whatever the size of the table
+SPOKEN = 2e-5  # the least share of a word known to be bad
+UNKNOWN = 1e-6  # of an unknown string, times 10 to the minus its letters
+#: at most this many keys hold more than one in so many rows; their rows meet them by a broadcast
+HOT = 64
 BACKGROUND = 50.0
 
 # fixed values: rules, longest match wins
@@ -88,14 +93,15 @@ def segment(label: str, costs: dict[str, float], unknown: float) -> list[str]:
 def split_labels(labels: DataFrame, counts: DataFrame) -> DataFrame:
     """(label, words) for distinct `labels`, each joined with the counts of its substrings."""
     total = counts.agg(F.sum("n")).first()[0] or 1
+    known_bad = F.when(F.col("word").isin(BAD_WORDS.split()), F.lit(SPOKEN)).otherwise(F.lit(0.0))
     places = F.explode(F.sequence(F.lit(1), F.length("label")))
     begun = labels.where("label <> ''").select("label", places.alias("at"))
     parts = begun.select("label", F.explode(F.sequence(F.lit(1), F.least(F.length("label") - F.col("at") + 1, F.lit(LONGEST_WORD)))).alias("size"), "at")
     parts = parts.select("label", F.expr("substring(label, at, size)").alias("word")).distinct()
     known = parts.join(counts, "word", "left").groupBy("label").agg(
-        F.collect_list(F.when(F.col("n").isNotNull(), F.struct("word", F.log(F.col("n") / F.lit(float(total))).alias("cost")))).alias("known")
+        F.collect_list(F.when(F.col("n").isNotNull(), F.struct("word", F.log(F.greatest(F.col("n") / F.lit(float(total)), known_bad)).alias("cost")))).alias("known")
     )
-    floor = -math.log(float(total))
+    floor = math.log(UNKNOWN)
 
     def run(batches):
         for batch in batches:
@@ -117,6 +123,15 @@ def path_shape(path: Column) -> Column:
     return F.array_join(F.transform(parts, lambda x: F.when(x.rlike("^[0-9]++$"), F.concat(F.lit("#"), F.length(x).cast("string"))).otherwise(x)), " ")
 
 
+def _met(rows: DataFrame, odds: DataFrame, key: str, n: int) -> DataFrame:
+    """Rows with the odds of their key. Keys of more than 1 / HOT of the rows, fewer than HOT, are met by a broadcast."""
+    hot = [r[key] for r in rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > n / HOT).select(key).collect()]
+    if not hot:
+        return rows.join(odds, key, "left")
+    common = F.col(key).isin(hot)
+    return rows.where(~common).join(odds, key, "left").union(rows.where(common).join(F.broadcast(odds.where(common)), key, "left"))
+
+
 def judge(df: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", allow: tuple = ALLOW, block: tuple = BLOCK) -> DataFrame:
     """Per row: page_id, host, path, rule, verdict, score."""
     host, path = host_of(F.col(url)), path_of(F.col(url))
@@ -126,7 +141,7 @@ def judge(df: DataFrame, key: str = "page_id", url: str = "url", html: str = "ht
     bad_words = BAD_WORDS.split()
 
     hosts = parsed.select("host").distinct().withColumn("label", F.explode(host_labels(F.col("host"))))
-    spoken = word_counts(F.col(html), df).union(df.sparkSession.createDataFrame([(w, SPOKEN) for w in bad_words], "word string, n long"))
+    spoken = word_counts(F.col(html), df).union(df.sparkSession.createDataFrame([(w, 0) for w in bad_words], "word string, n long"))
     words = split_labels(hosts.select("label").distinct(), cut(spoken.groupBy("word").agg(F.sum("n").alias("n"))))
     host_words = cut(hosts.join(words, "label").select("host", F.explode("words").alias("token")))
 
@@ -152,7 +167,8 @@ def judge(df: DataFrame, key: str = "page_id", url: str = "url", html: str = "ht
     open_hosts = host_words.join(open_.select("host").distinct(), "host", "left_semi").select("host", F.concat(F.lit("host "), "token").alias("token"))
     host_odds = open_hosts.join(odds, "token").groupBy("host").agg(F.sum("odds").alias("host_odds"))
     shape_odds = path_tokens(open_.select("shape").distinct(), "shape").join(odds, "token").groupBy("shape").agg(F.sum("odds").alias("shape_odds"))
-    scored = parsed.join(host_odds, "host", "left").join(shape_odds, "shape", "left")
+    n = parsed.count()
+    scored = _met(_met(parsed, host_odds, "host", n), shape_odds, "shape", n)
     logit = F.lit(prior) + F.coalesce("host_odds", F.lit(0.0)) + F.coalesce("shape_odds", F.lit(0.0))
     chance = F.when(F.col("rule").isin(*block), 1.0).when(F.col("rule").isNotNull(), 0.0).otherwise(1 / (1 + F.exp(-logit)))
     verdict = F.when(chance >= 0.5, "block").otherwise("allow")

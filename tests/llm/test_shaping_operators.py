@@ -12,7 +12,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from scorelake.llm import clusters, infill, packing
+from scorelake.llm import clusters, infill, langid, mixing, packing, simhash, urls
 
 # --- centroid clustering
 
@@ -306,3 +306,68 @@ def test_containers_are_the_smallest():
     for low in (np.arange(0, 9000, 3), np.arange(0, 65536, 2), np.arange(100, 65000), np.array([65535])):
         part = infill.part_of(low)
         assert [part.select(i) for i in range(0, low.size, 7)] == low[::7].tolist()
+
+
+# --- helpers of earlier operators: clashing names, letters, sizes
+
+
+CLASHING = "doc_id long, text string, source string, row_hash string, copy_no int, id string, hash string, first string, row string, copy string, fp string, root string, mix_copy string, mix_key int, passes string, h string, end string, source_key string, text_hash string, turn string, first_id string"
+
+
+def clashing(spark, texts):
+    names = [f.split()[0] for f in CLASHING.split(", ")][3:]
+    rows = [(i, t, f"s{i % 3}", *(7 if n in ("copy_no", "mix_key") else f"{n}{i}" for n in names)) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, CLASHING), rows
+
+
+def test_clashing_names_come_back(spark):
+    texts = [f"one text about thing {i} and some more words of its own {i * i}" for i in range(30)]
+    df, rows = clashing(spark, [*texts, texts[3], texts[3], None, ""])
+    kept = sorted(map(tuple, simhash.keep_first(df).collect()), key=lambda r: r[0])
+    assert set(kept) <= set(rows) and len(kept) == len({r[0] for r in kept}) and {r[0] for r in kept} >= {0, 3, 32} and not {30, 31, 33} & {r[0] for r in kept}
+    mixed = [tuple(r) for r in mixing.realise(df).collect()]
+    assert mixed and set(mixed) <= set(rows)
+    plain = mixing.realise(df.select("doc_id", "text", "source")).collect()
+    assert sorted(r[0] for r in mixed) == sorted(r.doc_id for r in plain)
+
+
+@pytest.mark.parametrize("text", ["½", "² ³", "Ⅷ", "12 ½ 7", "①", "٣", "", " ", "…-", "\u0301"])
+def test_texts_without_a_letter_have_no_language(spark, text):
+    coders = langid.Compressors({"en": b"the words of a language " * 20, "fr": b"les mots de la langue " * 20}, 6)
+    assert coders.judge(text, 0.05) == ("und", 0.0, True)
+    assert coders.judge(text + " words of the language", 0.05)[0] == "en"
+
+
+def test_sample_is_the_same_by_buckets(spark):
+    rows = [(f"text number {i} with words {i * 7}", "en" if i % 10 else "fr") for i in range(700)]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    content = langid.fit(df, sample_rows=20)
+    hashed = df.select("text", "lang", F.xxhash64("text").alias("h")).orderBy("h").collect()
+    for lang in ("en", "fr"):
+        want = sorted([r for r in hashed if r.lang == lang][:20], key=lambda r: (r.lang, r.h))
+        assert content[lang].decode() == langid.plain("\n".join(r.text for r in want))
+
+
+def test_segmentation_is_alike_at_every_size(spark):
+    words = {"a": 50_000, "the": 60_000, "be": 4000, "t": 900, "por": 300, "n": 800, "lo": 200, "an": 9000, "se": 500, "x": 400, "plain": 70, "name": 90, "cheapest": 3, "of": 30_000, "w": 944_000}
+    labels = spark.createDataFrame([(w,) for w in [*urls.BAD_WORDS.split(), "casinobets", "plainname", "thecheapest", "loanshark", "sexname", "zzyzx"]], "label string")
+    seeds = spark.createDataFrame([(w, 0) for w in urls.BAD_WORDS.split()], "word string, n long")
+
+    def split(times):
+        counts = spark.createDataFrame([(w, n * times) for w, n in words.items()], "word string, n long").union(seeds)
+        return {r.label: r.words for r in urls.split_labels(labels, counts).collect()}
+
+    once = split(1)
+    assert once == split(100) == split(10_000)
+    assert all(once[w] == [w] for w in urls.BAD_WORDS.split()) and once["casinobets"] == ["casino", "bets"] and once["plainname"] == ["plain", "name"]
+
+
+def test_hot_hosts_are_judged_alike(spark):
+    rows = [(i, f"http://{h}.net/en/{i}", "<p>the plain name cheap pills</p>") for i in range(300) for h in (["casinobets"] if i % 3 else [f"name{'abc'[i % 2]}x{i}"])]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted(map(tuple, urls.judge(df).collect()))
+    hot, urls.HOT = urls.HOT, 1
+    try:
+        assert sorted(map(tuple, urls.judge(df).collect())) == got
+    finally:
+        urls.HOT = hot
