@@ -164,32 +164,62 @@ def shard_ranges(indexed: DataFrame) -> DataFrame:
     return numbered.select("shard", "shard_idx", "lo", "hi", (F.col("hi") - F.col("lo")).alias("nsamples"))
 
 
-def _by_bucket(ranges: DataFrame, lo: str, hi: str, width: int) -> DataFrame:
-    """A row per range and bucket it touches."""
-    first, last = F.floor(F.col(lo) / width), F.floor((F.col(hi) - 1) / width)
-    return ranges.where(F.col(lo) < F.col(hi)).withColumn("_k", F.explode(F.sequence(first, last)))
-
-
-def locate(requests: DataFrame, ranges: DataFrame, width: int = 10_000, idx: str = "idx") -> DataFrame:
-    """Range join idx in [lo, hi), as an equi-join on index buckets; adds shard, shard_idx, local_idx."""
-    spread = _by_bucket(ranges.select("shard", "shard_idx", "lo", "hi"), "lo", "hi", width)
-    asked = requests.withColumn("_k", F.floor(F.col(idx) / width))
-    hit = (F.col(idx) >= F.col("lo")) & (F.col(idx) < F.col("hi"))
-    return (
-        asked.join(spread, "_k").where(hit).withColumn("local_idx", F.col(idx) - F.col("lo")).drop("_k", "lo", "hi")
-    )
+def _pieces(lo: Column, hi: Column) -> Column:
+    """[lo, hi) cut into aligned blocks [block << level, (block + 1) << level): at most two per level, none if empty.
+
+    With u = ceil(lo / 2^level) and v = floor(hi / 2^level), a level gives u if it is odd and v - 1 if v is odd.
+    """
+
+    def at(level: Column) -> Column:
+        u = -F.call_function("shiftright", -lo, level)
+        v = F.call_function("shiftright", hi, level)
+
+        def block(odd: Column, value: Column) -> Column:
+            taken = (u < v) & (odd.bitwiseAND(F.lit(1)) == 1)
+            return F.when(taken, F.struct(level.alias("level"), value.cast("long").alias("block")))
+
+        return F.array(block(u, u), block(v, v - 1))
+
+    lo, hi = lo.cast("long"), hi.cast("long")
+    return F.filter(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(62)), at)), lambda x: x.isNotNull())
+
+
+def stab(points: DataFrame, ranges: DataFrame, at: str, lo: str, hi: str) -> DataFrame:
+    """Every point with every half-open range that holds it, all columns of both sides.
+
+    An equi-join on aligned blocks: a range of length n is at most 2 log2(n) rows, whatever its place, and a
+    point is a row per level that occurs. A joined pair is always a hit and comes once, so neither wide
+    ranges nor overlapping ones fill a bucket with rows that are dropped again. Empty and null ranges hold
+    nothing, null points lie in none.
+    """
+    cut = ranges.withColumn("_piece", F.explode(_pieces(F.col(lo), F.col(hi))))
+    blocks = cut.select("*", F.col("_piece.level").alias("_level"), F.col("_piece.block").alias("_block")).drop("_piece")
+    # at most 63 numbers, whatever the tables hold
+    levels = sorted(r[0] for r in blocks.select("_level").distinct().collect())
+    wanted = F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>")
+    asked = points.where(F.col(at).isNotNull()).withColumn("_level", F.explode(wanted))
+    asked = asked.withColumn("_block", F.call_function("shiftright", F.col(at).cast("long"), F.col("_level")))
+    return asked.join(blocks, ["_level", "_block"]).drop("_level", "_block")
+
+
+def locate(requests: DataFrame, ranges: DataFrame, idx: str = "idx") -> DataFrame:
+    """Range join idx in [lo, hi) for ranges of any width; adds shard, shard_idx, local_idx."""
+    hit = stab(requests, ranges.select("shard", "shard_idx", "lo", "hi"), idx, "lo", "hi")
+    return hit.withColumn("local_idx", F.col(idx) - F.col("lo")).drop("lo", "hi")
 
 
-def intersect_ranges(a: DataFrame, b: DataFrame, width: int = 10_000) -> DataFrame:
+def intersect_ranges(a: DataFrame, b: DataFrame) -> DataFrame:
     """Overlaps of two lists of half-open ranges (a_id, a_lo, a_hi) and (b_id, b_lo, b_hi).
 
-    An equi-join on buckets; an overlap is reported only in the bucket where it starts.
+    Two ranges overlap exactly if one holds the other's start: starts of b are looked up in a, and starts
+    of a in what b holds after its own start, so that equal starts meet once.
     """
-    left, right = _by_bucket(a, "a_lo", "a_hi", width), _by_bucket(b, "b_lo", "b_hi", width)
-    lo, hi = F.greatest("a_lo", "b_lo"), F.least("a_hi", "b_hi")
-    joined = left.join(right, "_k").withColumn("lo", lo).withColumn("hi", hi)
-    once = (F.col("lo") < F.col("hi")) & (F.floor(F.col("lo") / width) == F.col("_k"))
-    return joined.where(once).select("a_id", "b_id", "lo", "hi")
+    a, b = (t.where(F.col(f"{n}_lo") < F.col(f"{n}_hi")) for t, n in ((a, "a"), (b, "b")))
+    later = stab(b, a, "b_lo", "a_lo", "a_hi")
+    tails = b.withColumn("_after", F.col("b_lo") + 1)
+    earlier = stab(a, tails, "a_lo", "_after", "b_hi")
+    ends = (F.greatest("a_lo", "b_lo").alias("lo"), F.least("a_hi", "b_hi").alias("hi"))
+    return later.select("a_id", "b_id", *ends).union(earlier.select("a_id", "b_id", *ends))
 
 
 def shard_intervals(request: str) -> list[tuple[int, int]]:

@@ -48,7 +48,7 @@ def index_to_shard(spark, sf):
     indexed, ranges = _indexed(spark, sf)
     n = ranges.agg(F.max("hi")).scalar()
     asked = table(spark, sf, "lineitem").select(((F.col("l_partkey") * 7919 + F.col("l_suppkey")) % n).alias("idx"))
-    hit = shards.locate(asked, ranges, width=64)
+    hit = shards.locate(asked, ranges)
     return hit.groupBy("shard", "shard_idx", "local_idx").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -86,7 +86,29 @@ def interval_intersect(spark, sf):
     slices = indexed.groupBy(F.floor(F.col("idx") / 173).alias("b_id")).agg(
         F.min("idx").alias("b_lo"), (F.max("idx") + 1).alias("b_hi")
     )
-    return shards.intersect_ranges(a, slices, width=100)
+    return shards.intersect_ranges(a, slices)
+
+
+@query(
+    """with o as (select o_custkey as a_id, o_orderkey as a_lo, o_orderkey + case when o_orderkey % 1000 = 7 then 1000000000000
+    else (o_orderkey * 7919) % 50 end as a_hi from orders),
+t as (select o_custkey as b_id, o_orderkey * 3 as b_lo, o_orderkey * 3 + (o_custkey * 31) % 90 as b_hi from orders),
+j as (select a_id, b_id, greatest(a_lo, b_lo) as lo, least(a_hi, b_hi) as hi from o join t on a_lo < b_hi and b_lo < a_hi
+    where a_lo < a_hi and b_lo < b_hi)
+select a_id, count(*) as n, sum(lo)::bigint as lo_sum, min(hi)::bigint as hi_min, max(hi)::bigint as hi_max from j group by all"""
+)
+def wide_intersect(spark, sf):
+    """Ranges of orders, empty to 10^12 long and overlapping, against shorter ones."""
+    orders = table(spark, sf, "orders")
+    key = F.col("o_orderkey")
+    length = F.when(key % 1000 == 7, F.lit(10**12)).otherwise((key * 7919) % 50)
+    a = orders.select(F.col("o_custkey").alias("a_id"), key.alias("a_lo"), (key + length).alias("a_hi"))
+    b = orders.select(
+        F.col("o_custkey").alias("b_id"), (key * 3).alias("b_lo"), (key * 3 + (F.col("o_custkey") * 31) % 90).alias("b_hi")
+    )
+    return shards.intersect_ranges(a, b).groupBy("a_id").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("lo").alias("lo_sum"), F.min("hi").alias("hi_min"), F.max("hi").alias("hi_max")
+    )
 
 
 @query(

@@ -64,13 +64,30 @@ def test_intersections(spark):
     rng = random.Random(1)
     a, b = ([(i, lo, lo + rng.randrange(0, 400)) for i in range(40) for lo in [rng.randrange(0, 3000)]] for _ in range(2))
     got = shards.intersect_ranges(
-        spark.createDataFrame(a, "a_id int, a_lo long, a_hi long"), spark.createDataFrame(b, "b_id int, b_lo long, b_hi long"), width=64
+        spark.createDataFrame(a, "a_id int, a_lo long, a_hi long"), spark.createDataFrame(b, "b_id int, b_lo long, b_hi long")
     )
     want = {(i, j, max(p, r), min(q, s)) for i, p, q in a for j, r, s in b if max(p, r) < min(q, s)}
     rows = [tuple(r) for r in got.collect()]
     assert len(rows) == len(want) and set(rows) == want
 
 
+def test_ranges_of_any_width(spark):
+    wide = [(0, 12345, 10**12 + 54321), (1, -(10**12), 10**12), (2, 5, 5), (3, 9, 2), (4, 7, 8), (5, None, 4), (6, -9, -3)]
+    wide += [(7 + i, 100, 10**9 + i) for i in range(50)]
+    ranges = spark.createDataFrame(wide, "r int, lo long, hi long")
+    per_range = ranges.select(F.size(shards._pieces(F.col("lo"), F.col("hi"))).alias("n")).agg(F.max("n")).first()[0]
+    assert per_range < 100
+    points = [-(10**12) - 1, -(10**12), -9, -4, -3, 0, 5, 7, 8, 99, 100, 12345, 10**9, 10**9 + 49, 10**12 - 1, 10**12 + 54320, 10**12 + 54321, None]
+    got = shards.stab(spark.createDataFrame([(p,) for p in points], "p long"), ranges, "p", "lo", "hi")
+    want = sorted((p, r) for p in points for r, lo, hi in wide if p is not None and lo is not None and lo <= p < hi)
+    assert sorted((x["p"], x["r"]) for x in got.collect()) == want
+    assert shards.stab(points_of(spark), ranges.where("r = 2"), "p", "lo", "hi").count() == 0
+
+
+def points_of(spark):
+    return spark.createDataFrame([(5,)], "p long")
+
+
 @pytest.mark.parametrize("n,ranks", [(10, 4), (3, 8), (8, 4), (1, 5)])
 def test_local_split_pads_by_wrapping(spark, n, ranks):
     idx = spark.range(n).withColumnRenamed("id", "idx")
