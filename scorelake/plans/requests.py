@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from scorelake.functions.captions import image_path
+from scorelake.plans.patterns import parse, strings
 
 
 def repeat_rows(df: DataFrame, n: int, name: str = "sample") -> DataFrame:
@@ -33,12 +35,16 @@ def prompts_json(
     return prompts.select(*keep, F.to_json(F.struct(*fields)).alias("json"))
 
 
-def expand_pattern(patterns: DataFrame, pattern: str = "urls", weights: str | None = "weights") -> DataFrame:
-    """`a{00..12}.tar::b{x,y}.tar` with weights `1::2` -> a row per URL with its component's weight.
+def expand_pattern(
+    patterns: DataFrame, pattern: str = "urls", weights: str | None = "weights", chunk: int = 10_000
+) -> DataFrame:
+    r"""`a{00..12}.tar::b{x,y}.tar` with weights `1::2` -> a row per URL with its component's weight.
 
-    Brace groups: number ranges (zero padding kept, optional step), letter ranges, comma lists; any
-    number of groups per component, the leftmost varying slowest. Groups inside groups are an error.
-    Adds part, place (order inside the part), weight and url.
+    Brace groups: number runs (zero padding kept, optional step), letter runs, comma lists, any of them inside
+    lists; any number of groups per component, the leftmost varying slowest; `\` takes a character literally.
+    A component is parsed once and cut into chunks of its indices, which all tasks expand, so one pattern of
+    many URLs is not one task's work. Adds part, place (choices met from left to right: the order inside the
+    part), weight and url. A null pattern gives no row, unbalanced braces and a weight that is no number are errors.
     """
     parts = F.split(pattern, "::")
     if weights is None:
@@ -59,44 +65,28 @@ def expand_pattern(patterns: DataFrame, pattern: str = "urls", weights: str | No
             .withColumn("weight", F.col("_z.w").cast("double"))
             .drop("_z")
         )
-    nested = F.col("url").rlike(r"\{[^}]*\{")
-    checked = F.when(nested, F.raise_error(F.concat(F.lit("nested braces in "), "url"))).otherwise(F.col("url"))
-    spread = paired.withColumn("url", checked).withColumn("place", F.array().cast("array<int>"))
-    # as many passes as the longest pattern has groups: a property of the pattern text, not of the data
-    groups = spread.agg(F.max(F.size(F.regexp_extract_all("url", F.lit(_BRACE), F.lit(0))))).first()[0] or 0
-    for _ in range(groups):
-        spread = _expand_first_group(spread)
-    return spread
-
-
-_BRACE = r"\{[^{}]*(?:,|\.\.)[^{}]*\}"
-
-
-def _expand_first_group(df: DataFrame) -> DataFrame:
-    whole = rf"^(.*?)({_BRACE})(.*)$"
-    body = F.regexp_replace(F.regexp_extract("url", whole, 2), r"[{}]", "")
-    numbers = r"^(-?\d+)\.\.(-?\d+)(?:\.\.(-?\d+))?$"
-    first, last = F.regexp_extract(body, numbers, 1), F.regexp_extract(body, numbers, 2)
-    step = F.abs(F.coalesce(F.nullif(F.regexp_extract(body, numbers, 3), F.lit("")).try_cast("bigint"), F.lit(1)))
-    lo, hi = first.try_cast("bigint"), last.try_cast("bigint")
-    step = F.greatest(step, F.lit(1)) * F.when(lo <= hi, 1).otherwise(-1)
-    width = F.when(
-        first.rlike(r"^-?0\d") | last.rlike(r"^-?0\d"), F.greatest(F.length(first), F.length(last))
-    ).otherwise(0)
-    padded = F.transform(
-        F.sequence(lo, hi, step), lambda n: F.lpad(n.cast("string"), F.greatest(width, F.length(n.cast("string"))), F.lit("0"))
+    sized = paired.withColumn("_n", _pattern_size("url"))
+    last = F.floor((F.col("_n") - 1) / chunk)
+    chunks = sized.where(F.col("_n") > 0).withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    spread = chunks.repartition("part", "url", "_chunk")
+    found = F.explode(_pattern_strings("url", F.col("_chunk") * chunk, (F.col("_chunk") + 1) * chunk)).alias("_s")
+    kept = [c for c in spread.columns if c not in ("url", "_n", "_chunk")]
+    return spread.select(*kept, found).select(*kept, F.col("_s.url").alias("url"), F.col("_s.place").alias("place"))
+
+
+@F.pandas_udf(T.LongType())
+def _pattern_size(pattern: pd.Series) -> pd.Series:
+    return pattern.map(lambda p: 0 if p is None else parse(p).size).astype("int64")
+
+
+_STRINGS = T.ArrayType(T.StructType().add("url", "string").add("place", T.ArrayType(T.IntegerType())))
+
+
+@F.pandas_udf(_STRINGS)
+def _pattern_strings(pattern: pd.Series, start: pd.Series, stop: pd.Series) -> pd.Series:
+    return pd.Series(
+        [[{"url": u, "place": c} for u, c in strings(*row)] for row in zip(pattern, start, stop)], dtype="object"
     )
-    letters = r"^([A-Za-z])\.\.([A-Za-z])$"
-    a, z = F.ascii(F.regexp_extract(body, letters, 1)), F.ascii(F.regexp_extract(body, letters, 2))
-    spelled = F.transform(F.sequence(a, z), lambda c: F.char(c))
-    choices = F.when(body.rlike(numbers), padded).when(body.rlike(letters), spelled).otherwise(F.split(body, ","))
-    here = F.col("url").rlike(whole)
-    choices = F.when(here, choices).otherwise(F.array(F.lit("")))
-    out = df.select("*", F.posexplode(choices).alias("_i", "_c"))
-    url = F.concat(F.regexp_extract("url", whole, 1), "_c", F.regexp_extract("url", whole, 3))
-    return out.withColumn("url", F.when(here, url).otherwise(F.col("url"))).withColumn(
-        "place", F.concat("place", F.array("_i"))
-    ).drop("_i", "_c")
 
 
 _URL = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)((?:[?#].*)?)$"

@@ -220,6 +220,23 @@ def expand_pattern(spark, sf):
     return requests.expand_pattern(p).select("s_suppkey", "weight", "url")
 
 
+@query(
+    """select s_suppkey, 'r{'||s_suppkey||'}/'||case when n < 2 then 'old-'||n else 'new/'||k||'-'||lpad((n - 2)::varchar, 2, '0') end||'.tar' as url
+from supplier, lateral (select unnest(range(0, 2 + s_nationkey % 4 + 1)) as n) t,
+lateral (select unnest(case when n < 2 then [''] else ['a', 'b', 'c'] end) as k) u"""
+)
+def expand_nested(spark, sf):
+    """Lists that hold runs and further lists, with literal braces."""
+    last = F.lpad((F.col("s_nationkey") % 4).cast("string"), 2, "0")
+    p = table(spark, sf, "supplier").select(
+        "s_suppkey",
+        F.concat(
+            F.lit(r"r\{"), F.col("s_suppkey"), F.lit(r"\}/{old-{0..1},new/{a,{b,c}}-{00.."), last, F.lit("}}.tar")
+        ).alias("urls"),
+    )
+    return requests.expand_pattern(p, weights=None).select("s_suppkey", "url")
+
+
 @query(
     """with s as (select source, shard, count(*) as n from samples_v group by all)
 select 'https://host/'||source||'/'||shard||'.tar' as url, n as nsamples, 2.0::double as weight, source as dataset

@@ -1,5 +1,7 @@
 import math
+import re
 
+from hypothesis import given, settings, strategies as st
 import pytest
 from pyspark.sql import functions as F
 
@@ -158,8 +160,55 @@ def test_brace_patterns(spark):
     assert [u for u, _ in urls("{3..1}-{}")] == ["3-{}", "2-{}", "1-{}"]
     with pytest.raises(Exception, match="must match"):
         urls("a::b", "1")
-    with pytest.raises(Exception, match="nested braces"):
-        urls("{a,{b,c}}")
+    assert [u for u, _ in urls("{a,b{1..2}c,{x,y}}-{p,q}")] == [f"{h}-{t}" for h in ("a", "b1c", "b2c", "x", "y") for t in "pq"]
+    assert [u for u, _ in urls(r"\{a,b\}{c\,d,e}")] == ["{a,b}c,d", "{a,b}e"]
+    assert urls("{0..25000}") == [(str(n), None) for n in range(25001)]
+    with pytest.raises(Exception, match="not closed"):
+        urls("a{b,c")
+
+
+def _expand(text):
+    """Plain recursive expansion: first outermost group, its alternatives, then the rest."""
+    depth, start = 0, None
+    for i, ch in enumerate(text):
+        if ch == "{":
+            start = i if depth == 0 else start
+            depth += 1
+        elif ch == "}":
+            depth -= 1
+            if depth == 0:
+                body, rest = text[start + 1 : i], _expand(text[i + 1 :])
+                cuts, level = [-1], 0
+                for j, c in enumerate(body):
+                    level += (c == "{") - (c == "}")
+                    cuts += [j] if c == "," and level == 0 else []
+                run = re.fullmatch(r"(\d)\.\.(\d)", body)
+                if run:
+                    heads = [str(n) for n in range(int(run[1]), int(run[2]) + 1)]
+                elif len(cuts) > 1:
+                    heads = [h for a, b in zip(cuts, cuts[1:] + [len(body)]) for h in _expand(body[a + 1 : b])]
+                else:
+                    heads = ["{" + h + "}" for h in _expand(body)]
+                return [text[:start] + h + r for h in heads for r in rest]
+    return [text]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.recursive(
+    st.sampled_from(["", "a", "b.", "{}", "{1..3}"]),
+    lambda inner: st.lists(inner, min_size=1, max_size=3).map(lambda p: "{" + ",".join(p) + "}")
+    | st.lists(inner, min_size=2, max_size=2).map("".join),
+    max_leaves=8,
+))
+def test_brace_trees_equal_a_recursive_version(pattern):
+    from scorelake.plans.patterns import parse, strings
+
+    want = _expand(pattern)
+    got = list(strings(pattern, 0, len(want) + 1))
+    assert parse(pattern).size == len(want)
+    assert [u for u, _ in got] == want
+    assert sorted(got, key=lambda r: r[1]) == got
+    assert [u for u, _ in strings(pattern, 3, 5)] == want[3:5]
 
 
 def test_ragged_encoder(spark):
