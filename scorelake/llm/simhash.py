@@ -111,7 +111,11 @@ def keep_first(df: DataFrame, key: str = "doc_id", text: str = "text", crowd: in
 
     All columns come back as they are, whatever their names.
     """
-    seen = near_duplicates(df, key, text, crowd)
+    return one_of_each(df, near_duplicates(df, key, text, crowd), key, text)
+
+
+def one_of_each(df: DataFrame, seen: DataFrame, key: str, text: str) -> DataFrame:
+    """One row of `df` for each `root` of `seen` (doc_id, text_hash, root per row): that of the smallest id."""
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
     first = seen.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.id").alias("first_id"), F.col("first.hash").alias("first_hash"))
     rows = df.select(F.struct(*(df[c] for c in df.columns)).alias("row"), df[key].alias("id"), F.xxhash64(df[text]).alias("hash"))
