@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from scorelake.llm import ann, bpe, mixing, queries, simhash, urls
+from scorelake.llm import ann, bpe, mixing, queries, similar, urls
 
 # --- nearest neighbours
 
@@ -161,6 +161,11 @@ def test_blocks_hold_the_weights(spark):
 # --- pipeline
 
 
+def shingle_set(text):
+    words = text.encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
 def test_pipeline_stages(spark, tmp_path):
     source = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     odd = spark.createDataFrame([(10**6, None, None, None, None), (10**6 + 1, "", "en", "src1", 0), (10**6 + 1, "call +1 (017) 555-7713 the of and is that with this", "en", "src1", 5)], source.schema)
@@ -173,7 +178,13 @@ def test_pipeline_stages(spark, tmp_path):
     language, unique, private, mixed, coded = seen
     assert all(f.columns == corpus_pipeline.COLUMNS for f in seen[:4])
     assert language.where("text is null or text = ''").count() == 0 and language.count() >= source.count() - 5
-    assert unique.count() == simhash.near_duplicates(language).select("root").distinct().count()
+    assert unique.count() == similar.near_duplicates(language).select("root").distinct().count()
+    # against all pairs: none that stays is near another that stays, none that goes lacks a near text
+    shingled = {(r.doc_id, r.text): shingle_set(r.text) for r in language.collect()}
+    kept = {(r.doc_id, r.text) for r in unique.collect()}
+    near = lambda a, b, least: len(shingled[a] & shingled[b]) >= least * len(shingled[a] | shingled[b])
+    assert not [(a[0], b[0]) for a in kept for b in kept if a < b and near(a, b, 0.85)]
+    assert all(any(near(a, b, 0.72) for b in shingled if b != a) for a in shingled if a not in kept)
     assert private.count() == unique.count() and private.where(r"text rlike '555-7713'").count() == 0
     assert private.where("n_chars <> length(text)").count() == 0
     assert mixed.count() > 0.8 * private.count()
