@@ -9,8 +9,8 @@ Two ways around that:
   of the row, so any lost task can be recomputed. Only groups that are large are cut at all. The table
   of starts is joined on the keys the window has shuffled by; the list of large groups is broadcast
   after a look at its size.
-* `ordered_index`: natural sort order. Range partitioning gives the buckets; the narrow sorted
-  table is written once, because range bounds are sampled and must not be re-drawn.
+* `ordered_index`: natural sort order. Range partitioning gives the buckets; the sorted table of keys
+  is written once, because range bounds are sampled and must not be re-drawn. Wide rows only meet it.
 
 Group columns must not be null.
 """
@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from scorelake.session import materialise
 
@@ -175,11 +175,33 @@ def hash_rank(
     return placed if limit is None else placed.where(F.col(name) < limit)
 
 
+def _variable(dtype: T.DataType) -> bool:
+    """Whether values of the type have no fixed width."""
+    return not isinstance(dtype, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType, T.NullType))
+
+
 def ordered_index(df: DataFrame, order: Sequence[Column | str], name: str = "idx") -> DataFrame:
     """Add `name`: the 0-based position in the natural order given by `order`.
 
-    `order` should be unique per row. Keep `df` narrow: it is range-partitioned and written once.
+    `order` should be unique per row; rows that tie go by a hash of their other columns (maps aside).
+    Where all other columns have a fixed width, the rows themselves are range-partitioned and written once.
+    Otherwise only the order columns are: the rows are shuffled once by them and take their positions
+    from there, so a row's width never goes through the checkpoint. `df` is then read twice and must give
+    the same rows both times. Order expressions (not names) always take the first way.
     """
+    named = all(isinstance(c, str) for c in order)
+    if not named or not any(_variable(f.dataType) for f in df.schema.fields if f.name not in order):
+        return _written_index(df, order, name)
+    starts = _written_index(df.select(*order), order, "_at").groupBy(F.struct(*order).alias("_k")).agg(F.min("_at").alias("_at"))
+    rest = [f.name for f in df.schema.fields if f.name not in order and "map<" not in f.dataType.simpleString()]
+    # window and join share the shuffle by _k
+    ties = Window.partitionBy("_k").orderBy(F.xxhash64(*rest) if rest else F.lit(0))
+    placed = df.withColumn("_k", F.struct(*order)).withColumn("_rn", F.row_number().over(ties)).join(starts, "_k")
+    return placed.withColumn(name, F.col("_at") + F.col("_rn") - 1).drop("_k", "_rn", "_at")
+
+
+def _written_index(df: DataFrame, order: Sequence[Column | str], name: str) -> DataFrame:
+    """`ordered_index` by writing the rows in range partitions."""
     order = [_col(c) for c in order]
     placed = (
         df.repartitionByRange(*order)

@@ -1,6 +1,7 @@
 """Positions, range joins and epoch tables against plain Python, with one group holding most rows."""
 
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from scorelake.functions.hashing import hash_u
 from scorelake.operators import evaluate, shards
 from scorelake.operators.ranks import bucket_prefix_sums, hash_rank, ordered_index
 from scorelake.plans import epochs
+from scorelake.session import shared_folder
 from scorelake.streaming.jobs import alarm_step
 
 
@@ -60,6 +62,39 @@ def test_ordered_index_is_dense_and_sorted(hot):
     assert [(r["grp"], r["key"]) for r in rows] == sorted((r["grp"], r["key"]) for r in rows)
 
 
+def test_ordered_index_of_wide_rows(spark):
+    """Ties, null keys, maps and copies: dense and sorted; what is written holds keys only."""
+    rows = [(f"s{i % 3}" if i % 7 else None, i // 4 if i % 5 else None, f"t{i % 11}", {"a": i}) for i in range(600)]
+    rows += rows[:50]
+    df = spark.createDataFrame(rows, "shard string, n int, txt string, m map<string,int>")
+    out = ordered_index(df, ["shard", "n"]).collect()
+    assert sorted(r["idx"] for r in out) == list(range(650))
+    key = lambda r: (r["shard"] is not None, r["shard"] or "", r["n"] is not None, r["n"] or 0)
+    listed = [key(r) for r in sorted(out, key=lambda r: r["idx"])]
+    assert listed == sorted(listed)
+    plain = lambda r: repr((r[0], r[1], r[2], r[3]))
+    assert sorted(map(plain, out)) == sorted(map(plain, rows))
+    empty = ordered_index(df.limit(0), ["shard", "n"])
+    assert empty.columns == [*df.columns, "idx"] and empty.count() == 0
+
+
+def test_batches_of_wide_rows_write_keys_only(spark):
+    width, n = 100_000, 300
+    wide = spark.range(n, numPartitions=4).select(
+        F.concat(F.lit("shard"), F.col("id") % 3).alias("shard"), F.lpad(F.col("id").cast("string"), 9, "0").alias("key"),
+        F.repeat(F.lit("x"), width).alias("body"),
+    )
+    folder = lambda: Path((spark.sparkContext.getCheckpointDir() or shared_folder(spark)).removeprefix("file:"))
+    held = lambda: {p: p.stat().st_size for p in folder().rglob("part-*")}
+    before = held()
+    out = epochs.batch_rows(wide, 8, True)
+    written = sum(size for p, size in held().items() if p not in before)
+    assert 0 < written < 100 * n + 20_000  # the constant: stream headers of a few part files
+    got = sorted((r.shard, r.batch, r.slot, r.key, r.n) for r in out.select("shard", "batch", "slot", "key", F.length("body").alias("n")).collect())
+    want = sorted((f"shard{s}", i // 8, i % 8, f"{k:09d}", width) for s in range(3) for i, k in enumerate(range(s, n, 3)))
+    assert got == want
+
+
 def test_intersections(spark):
     rng = random.Random(1)
     a, b = ([(i, lo, lo + rng.randrange(0, 400)) for i in range(40) for lo in [rng.randrange(0, 3000)]] for _ in range(2))
