@@ -277,6 +277,20 @@ def stream_dedupe_late(spark, sf):
     )
 
 
+@query("select event_id, event_type, value from events")
+def stream_dedupe_settled(spark, sf):
+    """Six micro-batches that each repeat the one before, most rows late: after settling each id is there once."""
+    e = table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+    out, path = _folder(spark, "dedupe"), _folder(spark, "events")
+    slice_ = F.pmod(F.xxhash64("event_id"), F.lit(6))
+    for step, parts in enumerate([(1, 3), (3, 0), (0, 5), (5, 2), (2, 4), (4, 1)]):
+        e.where(slice_.isin(*parts)).write.mode("append").parquet(path)
+        _finish(jobs.stream_dedupe(spark.readStream.schema(e.schema).parquet(path), ["event_id"], "ts", "1 hour", out, out + "-cp"))
+        if step in (2, 5):
+            jobs.settle_late(spark, e.schema, ["event_id"], "ts", out, None if step == 2 else "1 hour")
+    return jobs.read_deduped(spark, e.schema, out).select("event_id", "event_type", "value")
+
+
 @query("select event_id, event_type, value from events")
 def stream_dedupe(spark, sf):
     """Every event arrives twice; one of each is kept."""

@@ -157,35 +157,129 @@ def alarm_step(batch: DataFrame, carried: DataFrame | None, k: int) -> tuple[Dat
     return alarms, state
 
 
+def _exists(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+def _mark_fields(stamp: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField("folder", T.StringType()), *[T.StructField(n, stamp) for n in ("lo", "hi", "newest")]])
+
+
+def _marks(spark: SparkSession, path: str, stamp: T.DataType) -> DataFrame:
+    """Marks: folders of kept rows with the span of their event times, and the newest event time so far."""
+    return spark.read.schema(_mark_fields(stamp)).parquet(path)
+
+
+def _first_per_key(rows: DataFrame, keys: Sequence[str], event_time: str) -> DataFrame:
+    """The oldest row of each key; rows without an event time come last, ties go by a hash of the row."""
+    order = F.struct(F.col(event_time).isNull(), F.col(event_time), F.xxhash64(*rows.columns))
+    return rows.groupBy(*keys).agg(F.min_by(F.struct(*rows.columns), order).alias("r")).select("r.*")
+
+
+def _unless_in(rows: DataFrame, seen: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return rows.join(seen, [rows[k].eqNullSafe(seen[k]) for k in keys], "left_anti")
+
+
 def stream_dedupe(rows: DataFrame, keys: Sequence[str], event_time: str, delay: str, out: str, checkpoint: str) -> StreamingQuery:
     """First arrival per key, to `{out}/batch=N`; no row is dropped without trace.
 
     A key is remembered for `delay` (a SQL interval such as '1 hour') of event time around its rows:
     a batch is compared with the kept rows that are not older than its oldest row by more than that.
     Rows that lie behind the newest event time of earlier batches by more than `delay` go to
-    `{out}_late/batch=N` as they are, for a job that compares them with all history. Rows without an
+    `{out}_late/batch=N` as they are; `settle_late` compares them with all history. Rows without an
     event time are never late and are compared within their batch only.
+
+    `{out}_marks/batch=N` is written last. It names the folders that a later batch may still have to be compared
+    with (those that reach into the last two delays) and their spans of event time, so a batch reads one
+    small table and these folders, however long the history is.
     """
     wait = F.expr(f"interval {delay}")
-    schema = T.StructType([*rows.schema.fields, T.StructField("batch", T.IntegerType())])
+    schema, stamp, at = rows.schema, rows.schema[event_time].dataType, F.col(event_time)
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        order = F.struct(F.col(event_time).isNull(), F.col(event_time), F.xxhash64(*batch.columns))
-        fresh = batch.groupBy(*keys).agg(F.min_by(F.struct(*batch.columns), order).alias("r")).select("r.*")
-        late = batch.limit(0)
+        marks, newest = None, None
         if number:
-            kept = spark.read.schema(schema).parquet(out).where(F.col("batch") < number)
-            newest = kept.agg(F.max(event_time)).first()[0]
-            if newest is not None:
-                behind = F.coalesce(F.col(event_time) < F.lit(newest) - wait, F.lit(False))
-                late = batch.where(behind)
-                fresh = batch.where(~behind).groupBy(*keys).agg(F.min_by(F.struct(*batch.columns), order).alias("r")).select("r.*")
-            oldest = batch.agg(F.min(event_time)).first()[0]
-            if oldest is not None:
-                seen = kept.where(F.col(event_time) >= F.lit(oldest) - wait).select(*keys)
-                fresh = fresh.join(seen, [fresh[k].eqNullSafe(seen[k]) for k in keys], "left_anti")
-        _batch_table(out)(fresh, number)
-        _batch_table(f"{out}_late")(late, number)
+            marks = _marks(spark, f"{out}_marks/batch={number - 1}", stamp)
+            newest = marks.agg(F.max("newest")).first()[0]
+            settled = f"{out}_settled_marks/batch={number - 1}"
+            if _exists(spark, settled):
+                marks = marks.unionByName(_marks(spark, settled, stamp))
+        behind = F.lit(False) if newest is None else F.coalesce(at < F.lit(newest) - wait, F.lit(False))
+        lo, hi = batch.agg(F.min(F.when(~behind, at)), F.max(F.when(~behind, at))).first()
+        fresh = _first_per_key(batch.where(~behind), keys, event_time)
+        if marks is not None and lo is not None:
+            near = [r[0] for r in marks.where(F.col("hi") >= F.lit(lo) - wait).select("folder").distinct().collect()]
+            if near:
+                kept = spark.read.schema(schema).parquet(*near).where(at >= F.lit(lo) - wait)
+                fresh = _unless_in(fresh, kept.select(*keys), keys)
+        _batch_table(out)(fresh.sortWithinPartitions(event_time), number)
+        _batch_table(f"{out}_late")(batch.where(behind), number)
+        newest = max((t for t in (newest, hi) if t is not None), default=None)
+        own = [(f"{out}/batch={number}" if lo is not None else None, lo, hi, newest)]
+        table = spark.createDataFrame(own, _mark_fields(stamp))
+        if marks is not None and newest is not None:
+            open_ = marks.where(F.col("folder").isNotNull() & (F.col("hi") >= F.lit(newest) - wait - wait))
+            table = table.unionByName(open_.withColumn("newest", F.lit(newest).cast(stamp)))
+        _batch_table(f"{out}_marks")(table.coalesce(1), number)
 
     return _drain(rows, write, checkpoint)
+
+
+def _batches(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the batches below `path`, ascending; none if there is no such folder."""
+    if not _exists(spark, path):
+        return []
+    return sorted(r[0] for r in spark.read.schema("folder string, batch int").parquet(path).select("batch").distinct().collect())
+
+
+def settle_late(spark: SparkSession, schema: T.StructType, keys: Sequence[str], event_time: str, out: str, within: str | None = None) -> None:
+    """Late rows of `stream_dedupe` whose key was never kept, one per key, to `{out}_settled/batch=M`.
+
+    M is the newest finished batch; late rows up to it that no earlier call has settled take part. They are compared
+    with all kept and settled rows, of which only the keys are read. With `within` (a SQL interval) duplicates are
+    known to lie at most that far apart, and only folders and rows near the span of the late ones are read.
+    Later batches are compared with settled rows like with kept ones. Run it between two runs of the stream; a call
+    that failed is repeated, its unfinished folder is not read. Rows without an event time are never late.
+    """
+    done, settled = _batches(spark, f"{out}_marks"), _batches(spark, f"{out}_settled_marks")
+    if not done or (settled and settled[-1] >= done[-1]):
+        return
+    last, stamp, at = done[-1], schema[event_time].dataType, F.col(event_time)
+    numbered = T.StructType([*schema.fields, T.StructField("batch", T.IntegerType())])
+    late = spark.read.schema(numbered).parquet(f"{out}_late").where(F.col("batch") <= last)
+    late = late.where(F.col("batch") > (settled[-1] if settled else -1)).drop("batch")
+    first = _first_per_key(late, keys, event_time)
+    lo, hi = late.agg(F.min(at), F.max(at)).first()
+    if lo is None:
+        own: list = [(None, None, None, None)]
+        _batch_table(f"{out}_settled")(first, last)
+    else:
+        if within is None:
+            history = read_deduped(spark, schema, out, last)
+        else:
+            reach = F.expr(f"interval {within}")
+            marks = _marks(spark, f"{out}_marks", stamp)
+            marks = marks.unionByName(_marks(spark, f"{out}_settled_marks", stamp)) if settled else marks
+            meets = (F.col("hi") >= F.lit(lo) - reach) & (F.col("lo") <= F.lit(hi) + reach)
+            folders = [r[0] for r in marks.where(meets & F.col("folder").isNotNull()).select("folder").distinct().collect()]
+            history = spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
+            history = history.where(at.between(F.lit(lo) - reach, F.lit(hi) + reach))
+        _batch_table(f"{out}_settled")(_unless_in(first, history.select(*keys), keys).sortWithinPartitions(event_time), last)
+        own = [(f"{out}_settled/batch={last}", lo, hi, None)]
+    _batch_table(f"{out}_settled_marks")(spark.createDataFrame(own, _mark_fields(stamp)).coalesce(1), last)
+
+
+def read_deduped(spark: SparkSession, schema: T.StructType, out: str, last: int | None = None) -> DataFrame:
+    """Kept and settled rows of finished batches (up to `last`): each key once after `settle_late`."""
+    numbered = T.StructType([*schema.fields, T.StructField("batch", T.IntegerType())])
+    done, settled = _batches(spark, f"{out}_marks"), _batches(spark, f"{out}_settled_marks")
+    if not done:
+        return spark.createDataFrame([], schema)
+    top = done[-1] if last is None else last
+    rows = spark.read.schema(numbered).parquet(out).where(F.col("batch") <= top)
+    if settled:
+        more = spark.read.schema(numbered).parquet(f"{out}_settled")
+        rows = rows.unionByName(more.where(F.col("batch").isin(settled)))
+    return rows.drop("batch")
