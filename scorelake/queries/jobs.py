@@ -24,7 +24,7 @@ from scorelake.queries.registry import query
 from scorelake.session import shared_folder
 from scorelake.sources import archives, samples as samples_source
 from scorelake.sources.tables import read_jsonl, read_scores_csv, write_jsonl, write_scores_csv
-from scorelake.streaming import jobs
+from scorelake.streaming import jobs, levels
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -230,6 +230,23 @@ def stream_upsert_scores(spark, sf):
     return latest.select("key", F.round("clip_score", 6).alias("clip_score"), F.round("vqa_score", 6).alias("vqa_score"))
 
 
+@query(
+    """select key, round(clip_score::double, 6) as clip_score, round(synthetic_vqa_score::double, 6) as vqa_score from scores_v"""
+)
+def stream_upsert_levels(spark, sf):
+    """Old scores, then new ones of either column, in micro-batches that fill and merge levels."""
+    s = view(spark, sf, "scores_v")
+    clip, vqa, empty = F.col("clip_score").cast("double"), F.col("synthetic_vqa_score").cast("double"), F.lit(None).cast("double")
+    out, path = _folder(spark, "levels"), _folder(spark, "arriving")
+    for a, b in [(clip - 1, vqa - 1), (empty, vqa), (clip, empty)]:
+        rows = s.select("shard", "key", a.alias("clip_score"), b.alias("vqa_score"))
+        for half in range(2):
+            rows.where(F.floor(hash_u("key", "slice") * 2) == half).write.mode("append").parquet(path)
+            _finish(levels.stream_upsert_levels(spark.readStream.schema(rows.schema).parquet(path), ["clip_score", "vqa_score"], out, out + "-cp", fanout=2, grace=1))
+    latest = levels.read_levels(spark, rows.schema, ["clip_score", "vqa_score"], out)
+    return latest.select("key", F.round("clip_score", 6).alias("clip_score"), F.round("vqa_score", 6).alias("vqa_score"))
+
+
 @query(
     """with l as (select 'aesthetic' as scorer, aesthetic as v from images_v union all select 'pick_score', pick_score from images_v)
 select scorer, round(avg(v), 6) as mean, round(coalesce(stddev_samp(v), 0), 6) as std, count(v) as n from l group by scorer"""
