@@ -67,6 +67,15 @@ def task_accuracy(verdicts: DataFrame, tag: str = "tag") -> DataFrame:
     )
 
 
+def task_accuracy_ordered(verdicts: DataFrame, arrival: str, tag: str = "tag") -> DataFrame:
+    """`task_accuracy` with `place`: 0 for the tag that is seen first, by `arrival`; tags that tie go by name."""
+    firsts = verdicts.groupBy(tag).agg(F.min(arrival).alias("_first"))
+    # one row per tag
+    places = ordered_index(firsts, ["_first", tag], "place").drop("_first")
+    counted, at = task_accuracy(verdicts, tag), places.withColumnRenamed(tag, "_tag")
+    return counted.join(at, F.col(tag).eqNullSafe(F.col("_tag"))).drop("_tag")
+
+
 def task_overall(verdicts: DataFrame, tag: str = "tag", spec: str = "metadata") -> DataFrame:
     """One row: totals, share of correct images and specs, unweighted mean over tags.
 
@@ -133,6 +142,18 @@ def nonfinite_report(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.agg(F.array(*flags).alias("r")).select(F.inline("r"))
 
 
+def metric_steps(steps: DataFrame) -> DataFrame:
+    """(series, epoch, step, mean, n, ranks): one value per step, batch-size weighted over the ranks that report one.
+
+    A rank whose value or batch size is NULL does not count; a step without any has a NULL mean and n = 0.
+    """
+    counts = F.col("value").isNotNull() & F.col("n").isNotNull()
+    n = F.coalesce(F.sum(F.when(counts, F.col("n"))), F.lit(0))
+    return steps.groupBy("series", "epoch", "step").agg(
+        F.try_divide(F.sum(F.when(counts, F.col("value") * F.col("n"))), n).alias("mean"), n.alias("n"), F.count_if(counts).alias("ranks")
+    )
+
+
 def metric_means(steps: DataFrame) -> DataFrame:
     """(series, epoch, value, n): batch-size weighted mean per series and epoch, over all ranks."""
     return steps.groupBy("series", "epoch").agg(

@@ -330,6 +330,34 @@ def nonfinite_runs(spark, sf):
     return out.select("series", "start_event_id", "length", "alarm")
 
 
+@query(
+    f"""with recursive {_VERDICT} select tag, count(*) as n_images, count(*) filter (correct) as n_correct,
+  round(avg(case when correct then 1.0::double else 0 end), 6) as accuracy, row_number() over (order by min(image_id), tag) - 1 as place
+  from verdict group by tag"""
+)
+def task_accuracy_ordered(spark, sf):
+    """Tags in the order in which they are first seen."""
+    return E.task_accuracy_ordered(_verdicts(spark, sf), "image_id").withColumn("accuracy", F.round("accuracy", 6))
+
+
+@query(
+    """with r as (select event_type as series, event_id // 1000 as epoch, event_id // 8 as step,
+  case when event_id % 11 <> 0 then value end as v, event_id % 16 + 1 as n from events)
+select series, epoch::bigint as epoch, step::bigint as step, round(sum(v * n) / sum(n) filter (v is not null), 6) as mean,
+  coalesce(sum(n) filter (v is not null), 0)::bigint as n, count(v) as ranks from r group by series, epoch, step"""
+)
+def metric_steps(spark, sf):
+    """Up to eight ranks report a step; some of them report nothing."""
+    e = table(spark, sf, "events").select(
+        F.col("event_type").alias("series"),
+        F.floor(F.col("event_id") / 1000).alias("epoch"),
+        F.floor(F.col("event_id") / 8).alias("step"),
+        F.when(F.col("event_id") % 11 != 0, F.col("value")).alias("value"),
+        (F.col("event_id") % 16 + 1).alias("n"),
+    )
+    return E.metric_steps(e).withColumn("mean", F.round("mean", 6))
+
+
 @query(
     """select event_type as series, (event_id // 1000)::bigint as epoch, round(sum(value * (event_id % 16 + 1)) / sum(event_id % 16 + 1), 6) as mean,
   sum(event_id % 16 + 1)::bigint as n from events group by all"""

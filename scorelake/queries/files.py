@@ -117,6 +117,24 @@ def archive_digests(spark, sf):
     return checked.groupBy(F.element_at(F.split("shard", "-"), 1).alias("shard")).agg(F.bool_and("ok").alias("ok"))
 
 
+@query(
+    """with s as (select shard, crc32_of % 4 as r from (select distinct shard, ('0x' || substr(md5(shard), 1, 7))::bigint as crc32_of from samples_v))
+select shard, case r when 0 then 'md5' when 1 then 'nsamples' when 2 then 'unexpected' else 'none' end as problem from s
+union all select 'absent', 'missing'"""
+)
+def archive_tampered(spark, sf):
+    """Expected digests of which some have another checksum or count, some are absent, and one names no archive."""
+    folder, _ = _archived(spark, sf)
+    counts = shards.shard_table(archives.read_members(spark, folder, names_only=True))
+    actual = archives.shard_digests(spark, folder).join(counts, "shard")
+    name = F.element_at(F.split("shard", "-"), 1)
+    r = F.conv(F.substring(F.md5(name.cast("binary")), 1, 7), 16, 10).cast("long") % 4
+    expected = actual.select("shard", F.when(r == 0, F.reverse("md5")).otherwise(F.col("md5")).alias("md5"), (F.col("nsamples") + (r == 1).cast("long")).alias("nsamples"), r.alias("r"))
+    expected = expected.where("r <> 2").drop("r").unionByName(spark.createDataFrame([("absent", "0", 1)], "shard string, md5 string, nsamples long"))
+    checked = shards.verify_shards(actual, expected)
+    return checked.select(name.alias("shard"), F.coalesce("problem", F.lit("none")).alias("problem")).distinct()
+
+
 @query("select substr(file_name, 1, 12) as stem, short_caption, long_caption from captions_v")
 def captions_tsv(spark, sf):
     path = _folder(spark, "captions")

@@ -184,6 +184,17 @@ def rank_split_local(spark, sf):
     return out.select("idx", "out_pos", "rank", "pos")
 
 
+@query(
+    f"""with {_IDX}, p as (select idx, idx as out_pos from ix where idx < {_N} // 7 * 7)
+select idx, out_pos, out_pos // ({_N} // 7) as rank, out_pos % ({_N} // 7) as pos from p"""
+)
+def rank_split_local_drop(spark, sf):
+    """Cut to a multiple of the ranks instead of padded."""
+    indexed, _ = _indexed(spark, sf)
+    out = epochs.rank_split_local(indexed.select("idx"), _n(indexed), 7, drop_last=True)
+    return out.select("idx", "out_pos", "rank", "pos")
+
+
 @query(
     """with n as (select source, count(*) as n from samples_v group by source)
 select source, n, (n // 2 // 8) * 8 as per_rank, (n // 2 // 8) * 8 * 2 as total,

@@ -154,6 +154,25 @@ def gather_values_capped(spark, sf):
     return out.select("score_name", "key", _r(F.col("value")).alias("value"))
 
 
+@query(
+    """with names as (select score_name, count(*) as n from (unpivot (select """ + ", ".join(f"{s}::double as {s}" for s in SCORES) + """ from scores_v) on columns(*) into name score_name value v)
+  where v is not null group by score_name),
+stored as (select list(score_name) as s from names where score_name <> 'clip_score'), asked(a) as (values """
+    + ", ".join(f"([{', '.join(repr(s) for s in SCORES if keep(s))}])" for keep in (lambda s: True, lambda s: s != "clip_score", lambda s: s == SCORES[-1]))
+    + """)
+select array_to_string(list_sort(a), ',') as asked, len(list_filter(a, lambda x: not list_contains(s, x))) = 0 and len(list_filter(s, lambda x: not list_contains(a, x))) = 0 as ok
+  from asked, stored"""
+)
+def bins_key_sets(spark, sf):
+    """A table of all scores but one, asked for all of them, for exactly its own, and for one."""
+    long = B.to_long(view(spark, sf, "scores_v"), SCORES, []).where(F.col("score_name") != "clip_score")
+    bins, out = B.compute_bins(long, B.BinSpec(8)), None
+    for asked in (SCORES, [s for s in SCORES if s != "clip_score"], SCORES[-1:]):
+        row = B.covers(bins, asked).select(F.lit(",".join(sorted(asked))).alias("asked"), "ok")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @query("select true as exact, false as partial")
 def bins_cache_check(spark, sf):
     """Is a bins table usable for exactly these scores, or for two of them?"""
@@ -266,6 +285,13 @@ def reward_mask_uniform(spark, sf):
     return keys.select("key", *_mask_columns(F.col("m")))
 
 
+@query("select key, " + ", ".join(f"1::bigint as {s}" for s in SCORES) + " from scores_v")
+def reward_mask_none(spark, sf):
+    """Without drop-out every reward of every row is kept."""
+    keys = view(spark, sf, "scores_v").select("key", augment.reward_mask("key", 7, "none").alias("m"))
+    return keys.select("key", *_mask_columns(F.col("m")))
+
+
 @query(
     """with d as (select key, U(key,'drop/2') < 0.3::double as dropped, clip_score, vqa_score from scores_v)
 select key, dropped as clip_is_nan, case when not dropped then round(clip_score::double, 6) end as clip,

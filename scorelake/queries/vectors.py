@@ -81,12 +81,20 @@ def pad_mask(spark, sf):
     return out
 
 
-@query(f"with {_TOKENS} select doc_id, least(len(t), 256)::bigint as n, list_sum(t[1:256]) as total from tk")
+@query(
+    f"""with {_TOKENS}, lengths as (select 256::bigint as width union select max(len(t)) from tk)
+select doc_id, width, least(len(t), width)::bigint as n, list_sum(t[1:width]) as total from tk, lengths"""
+)
 def trim_to_mask(spark, sf):
+    """Lists padded to the usual length and to the longest list, trimmed to what the mask marks."""
     t = _tokens(spark, sf)
-    padded, mask = V.pad(F.col("t"), 256, F.lit(0.0)), V.pad_mask(F.col("t"), 256)
-    out = t.select("doc_id", V.trim_to_mask(padded, mask).alias("t"))
-    return out.select("doc_id", F.size("t").cast("long").alias("n"), _sum(F.col("t")).alias("total"))
+    out = None
+    for width in {256, t.agg(F.max(F.size("t"))).first()[0]}:
+        padded, mask = V.pad(F.col("t"), width, F.lit(0.0)), V.pad_mask(F.col("t"), width)
+        trimmed = t.select("doc_id", F.lit(width).cast("long").alias("width"), V.trim_to_mask(padded, mask).alias("t"))
+        rows = trimmed.select("doc_id", "width", F.size("t").cast("long").alias("n"), _sum(F.col("t")).alias("total"))
+        out = rows if out is None else out.union(rows)
+    return out
 
 
 def _latent(spark, sf):
@@ -151,6 +159,16 @@ def unpad_rows(spark, sf):
     return out.select("vec_id", F.col("pos").cast("long").alias("pos"), F.round("x", 6).alias("x"))
 
 
+@query(
+    """with l as (select event_id, 1.0::double - event_id % 100 / 99.0::double as v from events)
+select event_id, round(greatest(v * 3.0::double / (v * 2.0::double + 1.0::double), 1e-9::double), 6) as gamma from l"""
+)
+def schedule_shifted(spark, sf):
+    """The schedule bent upwards: odds three times those of the straight line."""
+    t = F.col("event_id") % 100 / F.lit(99.0)
+    return table(spark, sf, "events").select("event_id", F.round(V.linear_schedule(t, shift=3.0), 6).alias("gamma"))
+
+
 @query(
     """select event_id, round(greatest((0.0::double - 1.0::double) * (event_id % 100 / 99.0::double) + 1.0::double, 1e-9::double), 6) as gamma,
   case when event_id % 5 = 0 then 0 else value end as value from events"""
