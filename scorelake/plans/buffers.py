@@ -12,7 +12,9 @@ the table or holds the buffer.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+import math
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from scorelake.functions.hashing import hash_u
 
@@ -22,13 +24,13 @@ TURNS = 5
 
 
 def drawn_slots(draws: DataFrame, buffer_batches: int, batch: int, seed: int) -> DataFrame:
-    """Adds `slot` to (step, place): the place-th drawn slot of a step.
+    """Adds `slot` to (step, place): the place-th drawn slot of a step; places are below the number of slots.
 
     Slots form `buffer_batches` rows of `batch` columns. Every turn shifts one coordinate by a hash of the
     step and the other coordinate, so all turns together permute the slots; the first `batch` images are
     the draw.
     """
-    out = draws.withColumn("u", F.lit(0).cast("long")).withColumn("v", F.col("place"))
+    out = draws.withColumn("u", F.floor(F.col("place") / batch)).withColumn("v", F.col("place") % batch)
     for turn in range(TURNS):
         moved, fixed, size = ("u", "v", buffer_batches) if turn % 2 == 0 else ("v", "u", batch)
         shift = F.floor(hash_u(F.concat_ws("/", F.col("step").cast("string"), F.col(fixed).cast("string")), f"slot/{seed}/{turn}") * size)
@@ -36,6 +38,33 @@ def drawn_slots(draws: DataFrame, buffer_batches: int, batch: int, seed: int) ->
     return out.withColumn("slot", F.col("u") * batch + F.col("v")).drop("u", "v")
 
 
+def sample_per_rank(indexed: DataFrame, n: int, max_samples: int, ranks: int, seed: int, pos: str = "idx") -> DataFrame:
+    """Every rank draws max(max_samples // ranks, 1) different rows of all n (all rows, if fewer): adds rank.
+
+    Ranks draw independently, so a row may go to several. Positions 0 .. n - 1 lie in a square whose cells a keyed
+    permutation of the rank deals out; the few cells beyond n (less than a row of the square) are replaced by
+    the next ones. Only the drawn positions are shuffled, with `indexed` (dense positions `pos`).
+    """
+    if ranks < 1:
+        raise ValueError("at least one rank draws")
+    if n == 0:
+        return indexed.limit(0).withColumn("rank", F.lit(0).cast("long"))
+    each = min(max(max_samples // ranks, 1), n)
+    columns = math.isqrt(n - 1) + 1
+    rows = -(-n // columns)
+    places = each + rows * columns - n
+    ids = indexed.sparkSession.range(ranks * places)
+    draws = ids.select(F.floor(F.col("id") / places).alias("step"), (F.col("id") % places).alias("place"))
+    drawn = drawn_slots(draws, rows, columns, seed)
+    inside, first = F.col("slot") < n, F.col("place") < each
+    # less than a row of the square per rank
+    spare = drawn.where(inside & ~first).withColumn("nth", F.row_number().over(Window.partitionBy("step").orderBy("place")))
+    short = drawn.where(~inside & first).groupBy("step").agg(F.count(F.lit(1)).alias("short"))
+    filled = spare.join(short, "step").where(F.col("nth") <= F.col("short"))
+    chosen = drawn.where(inside & first).select("step", "slot").unionByName(filled.select("step", "slot"))
+    return indexed.join(chosen.select(F.col("step").alias("rank"), F.col("slot").alias(pos)), pos)
+
+
 def buffer_schedule(spark: SparkSession, n: int, batch: int, buffer_batches: int, seed: int, steps_at_once: int = STEPS_AT_ONCE) -> DataFrame:
     """(idx, batch, place) of the rows 0 .. n - 1 that leave in full batches."""
     if batch < 1 or buffer_batches < 1 or n < 0:

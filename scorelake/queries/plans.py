@@ -124,6 +124,32 @@ def sample_n(spark, sf):
     return sampling.sample_n(view(spark, sf, "samples_v").select("key"), 300, 9)
 
 
+def _turns(rows: str, columns: str, seed: int) -> str:
+    """DuckDB: the keyed permutation of places, one table per turn."""
+    out = f"t0 as (select step, place, place // {columns} as u, place % {columns} as v from places)"
+    for i in range(buffers.TURNS):
+        moved, fixed, size = ("u", "v", rows) if i % 2 == 0 else ("v", "u", columns)
+        out += f""", t{i + 1} as (select step, place, {fixed}, ({moved} + floor(U(step || '/' || {fixed},'slot/{seed}/{i}') * {size})::bigint) % {size} as {moved} from t{i})"""
+    return out
+
+
+_COLUMNS = "(select ceil(sqrt(n))::bigint from c)"
+_ROWS = f"(select ceil(n / {_COLUMNS}::double)::bigint from c)"
+
+
+@query(
+    f"""with {_IDX}, c as (select count(*) as n from ix), k as (select least(500 // 8, n) as k, least(500 // 8, n) + {_ROWS} * {_COLUMNS} - n as p from c),
+places as (select r.v as step, q.v as place from (select unnest(range(0, 8)) as v) r, (select unnest(range(0, p)) as v from k) q),
+{_turns(_ROWS, _COLUMNS, 4)},
+good as (select step, u * {_COLUMNS} + v as idx, row_number() over (partition by step order by place) as nth from t{buffers.TURNS} where u * {_COLUMNS} + v < (select n from c))
+select step as rank, key from good join ix using (idx) where nth <= (select k from k)"""
+)
+def sample_per_rank(spark, sf):
+    """Eight ranks draw 62 rows each of the whole table."""
+    indexed, _ = _indexed(spark, sf)
+    return buffers.sample_per_rank(indexed.select("idx", "key"), _n(indexed), 500, 8, 4).select("rank", "key")
+
+
 @query("select key, row_number() over (order by U(key,'shuffle/12'), key) - 1 as pos from samples_v")
 def shuffle_epoch(spark, sf):
     return epochs.shuffle(view(spark, sf, "samples_v").select("key"), 10, 2)

@@ -7,6 +7,28 @@ import pytest
 from scorelake.plans import buffers, epochs
 
 
+@pytest.mark.parametrize("n, most, ranks", [(1, 5, 2), (17, 12, 3), (50, 500, 3), (101, 160, 2), (1000, 80, 8), (10, 1, 4)])
+def test_sample_per_rank(spark, n, most, ranks):
+    """Different rows within a rank, the stated number of them, other rows for other ranks."""
+    got = collections.defaultdict(list)
+    indexed = spark.range(n).selectExpr("id as idx", "concat('k', id) as key")
+    for r in buffers.sample_per_rank(indexed, n, most, ranks, 5).collect():
+        assert r["key"] == f"k{r.idx}"
+        got[r["rank"]].append(r.idx)
+    each = min(max(most // ranks, 1), n)
+    assert sorted(got) == list(range(ranks)) and all(len(set(v)) == len(v) == each for v in got.values())
+    if n == 1000:
+        assert len({tuple(sorted(v)) for v in got.values()}) == ranks
+
+
+def test_draws_per_rank_are_even(spark):
+    """Each position is as likely: 400 ranks draw 20 of 97."""
+    rows = buffers.sample_per_rank(spark.range(97).withColumnRenamed("id", "idx"), 97, 8000, 400, 1).groupBy("idx").count().collect()
+    mean = 8000 / 97
+    assert len(rows) == 97 and sum((r["count"] - mean) ** 2 for r in rows) / (mean * (1 - 20 / 97)) < 150
+    assert buffers.sample_per_rank(spark.range(0).withColumnRenamed("id", "idx"), 0, 10, 2, 1).count() == 0
+
+
 def draws(spark, steps, batch, buffer_batches, seed):
     df = spark.range(steps * batch).selectExpr(f"id div {batch} as step", f"id % {batch} as place")
     out = collections.defaultdict(dict)
