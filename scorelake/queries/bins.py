@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from scorelake.operators import bins as B
 from scorelake.queries.fixtures import table, view
 from scorelake.queries.registry import query
 from scorelake.schema import SCORES
+from scorelake.session import shared_folder
 
 N = 64
 
@@ -95,6 +98,16 @@ def bins_finalise_edges(spark, sf):
     return _exploded(B.compute_bins(_long(spark, sf), _QUANTILE))
 
 
+@query(f"with {_LONG}, {_edges_ctes(_QUANTILE.positions, N)}, {_FINAL.format(n=N)} {_FIN_OUT}")
+def bins_stored_edges(spark, sf):
+    """A store of six scores does not serve seven: their edges are computed anew, and then read without the scores."""
+    config, root = B.BinsConfig(_QUANTILE, tuple(SCORES)), f"{shared_folder(spark).rstrip('/')}/bins-{uuid.uuid4().hex}"
+    long = _long(spark, sf)
+    B.compute_bins(long.where(F.col("score_name") != SCORES[0]), _QUANTILE).write.parquet(f"{root}/{config.tag}")
+    B.load_or_compute_bins(long, config, root)
+    return _exploded(B.load_or_compute_bins(long.limit(0), config, root))
+
+
 _PRICE = "long as (select 'l_extendedprice' as score_name, l_extendedprice::float as value from lineitem)"
 
 
