@@ -7,10 +7,11 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from scorelake.operators.ranks import ordered_index
+from scorelake.operators.ranks import BROADCAST_ROWS, ordered_index
 from scorelake.schema import IMAGE_EXTENSIONS
+from scorelake.session import materialise
 
 
 def member_key(member: Column) -> Column:
@@ -194,8 +195,11 @@ def stab(points: DataFrame, ranges: DataFrame, at: str, lo: str, hi: str) -> Dat
     """
     cut = ranges.withColumn("_piece", F.explode(_pieces(F.col(lo), F.col(hi))))
     blocks = cut.select("*", F.col("_piece.level").alias("_level"), F.col("_piece.block").alias("_block")).drop("_piece")
-    # at most 63 numbers, whatever the tables hold
-    levels = sorted(r[0] for r in blocks.select("_level").distinct().collect())
+    # at most 63 rows, whatever the tables hold
+    counts = {r["_level"]: r["count"] for r in blocks.groupBy("_level").count().collect()}
+    levels = sorted(counts)
+    # Spark takes the exploded blocks for as small as the ranges and would broadcast millions of them
+    blocks = F.broadcast(blocks) if sum(counts.values()) <= BROADCAST_ROWS else blocks.hint("merge")
     wanted = F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>")
     asked = points.where(F.col(at).isNotNull()).withColumn("_level", F.explode(wanted))
     asked = asked.withColumn("_block", F.call_function("shiftright", F.col(at).cast("long"), F.col("_level")))
@@ -222,6 +226,56 @@ def intersect_ranges(a: DataFrame, b: DataFrame) -> DataFrame:
     return later.select("a_id", "b_id", *ends).union(earlier.select("a_id", "b_id", *ends))
 
 
+def overlap_totals(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows of `a` that overlap a range of `b`, with n, lo_sum, hi_min and hi_max over their overlaps.
+
+    The totals of `intersect_ranges` per range of `a`, without its pairs: wide ranges against many short ones are
+    a product. Both lists become one table of different end points in natural order, with running totals of the starts and
+    ends of b. Of the b that overlap [lo, hi), starts before hi less ends up to lo are the number; the first end
+    after lo and the last end of all that start before hi, cut at hi, are the least and largest end.
+    """
+    a, b = (t.where(F.col(f"{n}_lo") < F.col(f"{n}_hi")) for t, n in ((a, "a"), (b, "b")))
+    long = lambda c: F.col(c).cast("long")
+    none, zero = F.lit(None).cast("long"), F.lit(0).cast("long")
+    one = F.lit(1).cast("long")
+    points = b.select(long("b_lo").alias("at"), one.alias("starts"), zero.alias("ends"), long("b_hi").alias("far"))
+    points = points.union(b.select(long("b_hi"), zero, one, none))
+    for side in ("a_lo", "a_hi"):
+        points = points.union(a.select(long(side), zero, zero, none))
+    points = points.groupBy("at").agg(F.sum("starts").alias("starts"), F.sum("ends").alias("ends"), F.max("far").alias("far"))
+    placed = points.repartitionByRange("at").withColumn("_p", F.spark_partition_id())
+    placed = placed.withColumn("sums", F.col("starts") * F.col("at").cast("decimal(19,0)"))
+    placed = placed.withColumn("next", F.when(F.col("ends") > 0, F.col("at")))
+    placed = materialise(placed.withColumn("sums", F.col("sums").cast("decimal(38,0)")), "end points")
+
+    def running(rows: DataFrame, order: str, group: Sequence[str], ends_to: int) -> DataFrame:
+        """Totals before a row (ends up to row `ends_to` from it) and the first end after it."""
+        up = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        to = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, ends_to)
+        down = Window.partitionBy(*group).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, -1)
+        return rows.select(
+            order, *group, F.coalesce(F.sum("starts").over(up), zero).alias("starts"), F.coalesce(F.sum("ends").over(to), zero).alias("ends"),
+            F.coalesce(F.sum("sums").over(up), F.lit(0).cast("decimal(38,0)")).alias("sums"), F.max("far").over(up).alias("far"), F.min("next").over(down).alias("next"),
+        )
+
+    per_part = placed.groupBy("_p").agg(*(F.sum(c).alias(c) for c in ("starts", "ends", "sums")), F.max("far").alias("far"), F.min("next").alias("next"))
+    # one row per range partition
+    parts = running(per_part, "_p", [], -1).select("_p", *(F.col(c).alias(f"_{c}") for c in ("starts", "ends", "sums", "far", "next")))
+    totals = running(placed, "at", ["_p"], 0).join(F.broadcast(parts), "_p").select(
+        "at", *((F.col(c) + F.col(f"_{c}")).alias(c) for c in ("starts", "ends", "sums")),
+        F.greatest("far", "_far").alias("far"), F.least("next", "_next").alias("next"),
+    )
+    low = totals.select(F.col("at").alias("a_lo"), *(F.col(c).alias(f"_{c}") for c in ("starts", "ends", "sums", "next")))
+    high = totals.select(F.col("at").alias("a_hi"), F.col("starts").alias("_starts_hi"), F.col("sums").alias("_sums_hi"), "far")
+    n = F.col("_starts_hi") - F.col("_ends")
+    inside = F.col("_sums_hi") - F.col("_sums") + F.col("a_lo").cast("decimal(19,0)") * (F.col("_starts") - F.col("_ends"))
+    found = a.join(low, "a_lo").join(high, "a_hi").where(n > 0)
+    return found.select(
+        *a.columns, n.alias("n"), inside.cast("long").alias("lo_sum"),
+        F.least("a_hi", "_next").alias("hi_min"), F.least("a_hi", "far").alias("hi_max"),
+    )
+
+
 def shard_intervals(request: str) -> list[tuple[int, int]]:
     """'7', '0, 3, 5' or '2-9' (ends included), also mixed, as half-open intervals."""
     intervals = []

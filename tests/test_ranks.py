@@ -119,6 +119,43 @@ def test_ranges_of_any_width(spark):
     assert shards.stab(points_of(spark), ranges.where("r = 2"), "p", "lo", "hi").count() == 0
 
 
+def test_overlap_totals(spark):
+    rng = random.Random(2)
+    a, b = ([(i, lo, lo + rng.choice([0, -3, 1, 7, 60, 10**12])) for i in range(n) for lo in [rng.randrange(-40, 300)]] for n in (80, 90))
+    b += [(90, 10**18, 10**18 + 5), (91, None, 4)]
+    b = [r for r in b if r[2] < 10**12 or r[0] % 9 == 0] + [(92, 50, 60), (92, 50, 60), (93, 400, 401)]
+    a += [(80, 400, 401), (81, 401, 402), (82, 10**18 - 1, 10**18 + 1), (83, None, None)]
+    frames = (spark.createDataFrame(a, "a_id int, a_lo long, a_hi long"), spark.createDataFrame(b, "b_id int, b_lo long, b_hi long"))
+    got = {r.a_id: (r.n, r.lo_sum, r.hi_min, r.hi_max) for r in shards.overlap_totals(*frames).collect()}
+    want = {}
+    for i, p, q in a:
+        met = [(max(p, r), min(q, s)) for _, r, s in b if p is not None and r is not None and max(p, r) < min(q, s)]
+        if met:
+            ends = [hi for _, hi in met]
+            want[i] = (len(met), sum(lo for lo, _ in met), min(ends), max(ends))
+    assert got == want and len(want) > 50
+
+
+def test_wide_intersect_makes_no_pairs(spark, tmp_path):
+    from scorelake.queries import QUERIES
+
+    n = 40_000  # 40 ranges that hold nearly all others: over a million pairs
+    keys = spark.range(n).select(F.col("id").alias("o_orderkey"), F.col("id").alias("o_custkey"))
+    keys.write.parquet(str(tmp_path / "orders.parquet"))
+    out = QUERIES["wide_intersect"](spark, str(tmp_path))
+    assert out.agg(F.sum("n")).first()[0] > 1_000_000
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "explode" not in plan.lower()
+
+
+def test_stab_does_not_broadcast_many_blocks(spark):
+    ranges = spark.range(30_000).select(F.col("id").alias("r"), (F.col("id") * 1000 + 1).alias("lo"), (F.col("id") * 1000 + 999).alias("hi"))
+    points = spark.range(100).select((F.col("id") * 1000 + 500).alias("p"))
+    hit = shards.stab(points, ranges, "p", "lo", "hi")
+    assert hit.count() == 100
+    assert "BroadcastHashJoin" not in hit._jdf.queryExecution().executedPlan().toString()
+
+
 def points_of(spark):
     return spark.createDataFrame([(5,)], "p long")
 
