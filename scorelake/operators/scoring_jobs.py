@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -46,6 +46,41 @@ def score_column(name: str, inputs: Sequence[Column], batch_size: int = 64) -> C
     return predict_batch_udf(SCORERS[name], return_type=T.DoubleType(), batch_size=batch_size)(*inputs)
 
 
+def score_columns(runs: Mapping[str, tuple[str, Sequence[str]]], inputs: Mapping[str, Column], batch_size: int = 64) -> Column:
+    """A struct with a number per entry of `runs`, output -> (scorer, names of its inputs).
+
+    All scorers share one pass over the rows: an input goes to the Python worker once, however many scorers read
+    it, where a chain of `score_column` sends it once per scorer. A scorer that several outputs ask for with the same
+    inputs runs once.
+    """
+    names = list(inputs)
+    calls = list(dict.fromkeys((scorer, tuple(read)) for scorer, read in runs.values()))
+    factories = {scorer: SCORERS[scorer] for scorer, _ in calls}
+    of_output = {output: calls.index((scorer, tuple(read))) for output, (scorer, read) in runs.items()}
+    schema = T.StructType([T.StructField(output, T.DoubleType()) for output in runs])
+
+    @F.pandas_udf(schema)
+    def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        models = {scorer: factory() for scorer, factory in factories.items()}
+        for columns in batches:
+            arrays = dict(zip(names, (c.to_numpy() for c in columns)))
+            found = [_predicted(models[scorer], [arrays[n] for n in read], batch_size) for scorer, read in calls]
+            yield pd.DataFrame({output: found[i] for output, i in of_output.items()})
+
+    return score(*inputs.values())
+
+
+def _predicted(predict: Callable[..., np.ndarray], arrays: Sequence[np.ndarray], batch_size: int) -> np.ndarray:
+    out = np.empty(len(arrays[0]))
+    for at in range(0, len(out), batch_size):
+        part = [a[at : at + batch_size] for a in arrays]
+        values = np.asarray(predict(*part), dtype="float64").ravel()
+        if len(values) != len(part[0]):
+            raise ValueError(f"a scorer gave {len(values)} numbers for {len(part[0])} rows")
+        out[at : at + batch_size] = values
+    return out
+
+
 def apply_scorers(df: DataFrame, names: str | Sequence[str], inputs: Sequence[str], store: str, batch_size: int = 64) -> DataFrame:
     """One job per scorer over all rows, flushed when it ends; finished scorers are not run again."""
     require_identity(IDENTITY, samples=df)

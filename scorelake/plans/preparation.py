@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from scorelake.functions.captions import captions_from_json, clean_caption
 from scorelake.functions.scoring import normalise_score, routing_rows
 from scorelake.operators.scores import IDENTITY, require_identity, resolve_captions
-from scorelake.operators.scoring_jobs import Switches, encode_text, score_column
+from scorelake.operators.scoring_jobs import Switches, encode_text, score_columns
 from scorelake.schema import SYNTHETIC_CAPTION
 
 
@@ -33,20 +33,25 @@ def score_samples(captioned: DataFrame, scorers: Mapping[str, str], switches: Sw
     """(shard, key, one column per output): every output computed on its sample's row and normalised.
 
     `scorers` maps a score to a registered scorer of (image, caption), or of the caption alone where
-    no image column is named. All scorers run in one scan of the samples.
+    no image column is named. All scorers run in one scan of the samples and one pass through Python.
     """
     require_identity(IDENTITY, samples=captioned)
-    outputs = {}
+    outputs, runs, kinds = {}, {}, []
     for score, output, kind in routing_rows():
         if score not in switches.scores or (output != score and not switches.synthetic):
             continue
         if kind == "copy":
             outputs[output] = F.col(score)
         else:
-            inputs = [F.col(image), F.col(kind)] if image else [F.col(kind)]
-            outputs[output] = normalise_score(score, score_column(scorers[score], inputs))
+            runs[output] = (scorers[score], [image, kind] if image else [kind])
+            kinds.append(kind)
+            outputs[output] = normalise_score(score, F.col("_scored")[output])
     copies = [o for o in outputs if o.startswith("synthetic_") and SYNTHETIC_CAPTION[o.removeprefix("synthetic_")] == "copy"]
-    scored = captioned.select(*IDENTITY, *(c.alias(o) for o, c in outputs.items() if o not in copies))
+    if not runs:
+        return captioned.select(*IDENTITY, *(c.alias(o) for o, c in outputs.items()))
+    inputs = {n: F.col(n) for n in dict.fromkeys([*([image] if image else []), *kinds])}
+    scored = captioned.select(*IDENTITY, score_columns(runs, inputs).alias("_scored"))
+    scored = scored.select(*IDENTITY, *(c.alias(o) for o, c in outputs.items() if o not in copies))
     return scored.withColumns({o: outputs[o] for o in copies}).select(*IDENTITY, *outputs)
 
 

@@ -208,3 +208,18 @@ def test_written_archives_split_and_read_back(spark, tmp_path):
     back = samples.read_samples(archives.read_members(spark, str(tmp_path / "out")))
     got = {r["key"]: (r["txt"], r["has_image"], r["shard"][:2]) for r in back.collect()}
     assert got == {k: (t, j is not None, s) for s, k, t, j in rows}
+
+
+def test_all_scorers_share_one_python_pass(spark):
+    from scorelake.operators.scoring_jobs import Switches
+    from scorelake.schema import SCORES
+
+    rows = spark.createDataFrame([("s", "k", b"image 3", "abc", "abcd", None), ("s", "l", None, "a", "b", "c")], "shard string, key string, jpg binary, original string, long string, short string")
+    scored = preparation.score_samples(rows, {n: "image_and_length" for n in SCORES}, Switches(), "jpg")
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    alone = preparation.score_samples(rows, {"clip_score": "image_and_length"}, Switches(scores=("clip_score",)), "jpg")
+    assert alone.columns == ["shard", "key", "clip_score", "synthetic_clip_score"]
+    got = {r.key: r for r in scored.collect()}
+    assert got["k"].vqa_score == pytest.approx(0.003 * 4 / 10) and got["l"].vqa_score is None
+    assert {r.key: r.clip_score for r in alone.collect()}["k"] == got["k"].clip_score
