@@ -3,8 +3,9 @@
     spark.read.format("shard_members").option("roots", "/data/a /data/b").load()
 
 Options: `roots` (space-separated folders of *.tar, or archives), `extensions` (comma list: other
-members are skipped before their bytes are read), `names_only` (true: no bytes at all). The source reads
-an archive per task. `read_members` cuts archives larger than `split_bytes`: a walk over each archive's
+members are skipped before their bytes are read), `names_only` (true: no bytes at all). A task reads
+several archives, about TASK_BYTES in all, so many small archives are not as many tasks; `tasks` is the least number
+of tasks where there are as many archives. `read_members` cuts archives larger than `split_bytes`: a walk over each archive's
 headers gives the place and number of the first member of every slice (`member_offsets`), and slices
 start there, so headers are walked once and no slice reads another's. The table can be stored and given
 back to later reads.
@@ -37,6 +38,9 @@ from scorelake.session import materialise
 
 FORMAT = "shard_members"
 BATCH_ROWS, BATCH_BYTES = 1024, 32 << 20
+#: what a task reads, where archives or slices are smaller
+TASK_BYTES = 32 << 20
+LEAST_TASKS = 32
 _END = (1 << 63) - 1
 
 _ARROW = pa.schema(
@@ -63,6 +67,31 @@ class Slice(InputPartition):
     first: int
 
 
+@dataclass
+class Slices(InputPartition):
+    """What one task reads."""
+
+    parts: list[Slice]
+
+
+def _dealt(parts: Sequence[Slice], sizes: Sequence[int], least: int) -> list[Slices]:
+    """Slices in order, in tasks of about TASK_BYTES, or less where that makes fewer than `least` tasks."""
+    most = min(TASK_BYTES, sum(sizes) // least)
+    dealt, held = [], 0
+    for part, size in zip(parts, sizes):
+        if not dealt or held + size > most:
+            dealt.append(Slices([]))
+            held = 0
+        dealt[-1].parts.append(part)
+        held += size
+    return dealt
+
+
+def _tasks(spark: SparkSession, size: int, pieces: int) -> int:
+    """Tasks for `pieces` archives or slices of `size` bytes in all."""
+    return max(1, min(pieces, max(-(-size // TASK_BYTES), 4 * spark.sparkContext.defaultParallelism)))
+
+
 def list_archives(roots: str, empty: bool = False) -> list[str]:
     """Archives of all roots, roots in the given order, names sorted inside each; none at all is an error unless `empty`."""
     found: list[str] = []
@@ -156,12 +185,15 @@ class Wanted:
 class MemberReader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
         self.roots, self.wanted = options["roots"], Wanted.of(options)
+        self.least = int(options.get("tasks", LEAST_TASKS))
 
     def partitions(self) -> Sequence[InputPartition]:
-        return [Slice(shard, path, 0, _END, 0) for shard, path in shard_paths(self.roots)]
+        parts = [Slice(shard, path, 0, _END, 0) for shard, path in shard_paths(self.roots)]
+        return _dealt(parts, [_size(part.path) for part in parts], self.least)
 
-    def read(self, partition: Slice) -> Iterator[pa.RecordBatch]:
-        return self.wanted.batches(partition)
+    def read(self, partition: Slices) -> Iterator[pa.RecordBatch]:
+        for part in partition.parts:
+            yield from self.wanted.batches(part)
 
 
 class ArchiveStream(DataSourceStreamReader):
@@ -175,6 +207,7 @@ class ArchiveStream(DataSourceStreamReader):
 
     def __init__(self, options: dict[str, str]) -> None:
         self.roots, self.wanted, self.seen = options["roots"], Wanted.of(options), Path(options["seen"])
+        self.least = int(options.get("tasks", LEAST_TASKS))
 
     def initialOffset(self) -> dict:
         return {"lists": 0}
@@ -193,10 +226,12 @@ class ArchiveStream(DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict) -> Sequence[InputPartition]:
         named = [s for n in range(start["lists"] + 1, end["lists"] + 1) for s in self._list(n)]
-        return [Slice(shard, path, 0, _END, 0) for shard, path in named]
+        parts = [Slice(shard, path, 0, _END, 0) for shard, path in named]
+        return _dealt(parts, [_size(part.path) for part in parts], self.least)
 
-    def read(self, partition: Slice) -> Iterator[tuple]:
-        return self.wanted.members(partition)
+    def read(self, partition: Slices) -> Iterator[pa.RecordBatch]:
+        for part in partition.parts:
+            yield from self.wanted.batches(part)
 
     def _lists(self) -> int:
         return max((int(p.stem) for p in self.seen.glob("[0-9]*.json")), default=0)
@@ -205,6 +240,14 @@ class ArchiveStream(DataSourceStreamReader):
         return json.loads((self.seen / f"{n}.json").read_text())
 
 
+def _size(path: str) -> int:
+    """0 for an archive that is gone, which its slice reports."""
+    try:
+        return os.path.getsize(path)
+    except OSError:
+        return 0
+
+
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     columns = [pa.array(column, type=field.type) for column, field in zip(zip(*rows), _ARROW)]
     return pa.RecordBatch.from_arrays(columns, schema=_ARROW)
@@ -219,12 +262,13 @@ def read_members(
     offsets: DataFrame | None = None,
 ) -> DataFrame:
     """One row per member. `offsets` is a table that `member_offsets` gave earlier for the same roots."""
-    sizes = [os.path.getsize(path) for _, path in shard_paths(roots)] if offsets is None else []
+    sizes = [_size(path) for _, path in shard_paths(roots, empty=offsets is not None)]
     if offsets is None and max(sizes) <= split_bytes:
         spark.dataSource.register(ShardMembers)
         source = spark.read.format(FORMAT).option("roots", roots).option("extensions", ",".join(extensions))
+        source = source.option("tasks", 4 * spark.sparkContext.defaultParallelism)
         return source.option("names_only", str(names_only).lower()).load()
-    tasks = sum(-(-size // split_bytes) for size in sizes) or offsets.count()
+    pieces = sum(-(-size // split_bytes) for size in sizes) if offsets is None else offsets.count()
     slices = member_offsets(spark, roots, split_bytes) if offsets is None else offsets
     wanted = Wanted(extensions, names_only)
 
@@ -234,7 +278,7 @@ def read_members(
                 yield from wanted.batches(Slice(**row))
 
     columns = slices.select("shard", "path", "lo", "hi", "first")
-    return columns.repartition(max(tasks, 1)).mapInArrow(run, MEMBERS)
+    return columns.repartition(_tasks(spark, sum(sizes), pieces)).mapInArrow(run, MEMBERS)
 
 
 _SLICES = "shard string, path string, lo long, hi long, first long"
@@ -243,12 +287,13 @@ _SLICES = "shard string, path string, lo long, hi long, first long"
 def member_offsets(spark: SparkSession, roots: str, split_bytes: int = 256 << 20) -> DataFrame:
     """(shard, path, lo, hi, first): slices of about `split_bytes` of every archive, each from a member's header on.
 
-    One walk over an archive's headers, in one task per archive; bytes of members are skipped. An archive
+    One walk over an archive's headers, in one task; bytes of members are skipped. An archive
     with global extended headers, which count for all later members, is one slice. A broken archive is cut
     as far as it can be walked; its last slice meets the fault again and reports it.
     """
     named = shard_paths(roots)
-    paths = spark.createDataFrame(named, "shard string, path string").repartition(len(named))
+    paths = spark.createDataFrame(named, "shard string, path string")
+    paths = paths.repartition(_tasks(spark, sum(_size(path) for _, path in named), len(named)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -300,8 +345,11 @@ def shard_digests(spark: SparkSession, roots: str) -> DataFrame:
                         state.update(piece)
                 yield pd.DataFrame({"shard": [shard], "md5": [state.hexdigest()]})
 
-    paths = spark.createDataFrame(shard_paths(roots), "shard string, path string")
-    return paths.repartition("path").mapInPandas(digest, "shard string, md5 string")
+    named = shard_paths(roots)
+    paths = spark.createDataFrame(named, "shard string, path string")
+    # a number: by keys alone, adaptive execution puts the short list of paths into one task
+    tasks = _tasks(spark, sum(_size(path) for _, path in named), len(named))
+    return paths.repartition(tasks).mapInPandas(digest, "shard string, md5 string")
 
 
 def write_archives(

@@ -133,3 +133,29 @@ def test_repeated_attempts_show_once(tmp_path):
     again = archives.ArchiveWriter({"path": str(tmp_path / "other"), "members": "{}"}, False)
     with pytest.raises(ValueError):
         again.commit([archives.Written(["s0@0-1.tar"]), archives.Written(["s0@1-2.tar"])])
+
+
+def test_many_small_archives_share_tasks(spark, tmp_path):
+    n = 300
+    rows = spark.range(n).select(F.format_string("%04d", "id").alias("shard"), F.lit("k").alias("key"), F.col("id").cast("string").alias("txt"))
+    archives.save_archives(rows, str(tmp_path / "a"), {".txt": "txt"})
+    most = 4 * spark.sparkContext.defaultParallelism
+    members = archives.read_members(spark, str(tmp_path / "a"))
+    assert members.rdd.getNumPartitions() <= 2 * most
+    assert sorted(int(bytes(r.content)) for r in members.collect()) == list(range(n))
+    offsets = archives.member_offsets(spark, str(tmp_path / "a"), split_bytes=1)
+    assert offsets.rdd.getNumPartitions() <= most
+    sliced = archives.read_members(spark, str(tmp_path / "a"), offsets=offsets)
+    assert sliced.rdd.getNumPartitions() <= most and sliced.count() == n
+    digests = archives.shard_digests(spark, str(tmp_path / "a"))
+    tasks = digests.select(F.spark_partition_id().alias("p")).distinct().count()
+    assert 1 < tasks <= most and digests.count() == n  # neither one task for all nor one for each
+
+
+def test_dealt_archives_keep_order_and_size():
+    parts = [archives.Slice(str(i), str(i), 0, 1, 0) for i in range(100)]
+    dealt = archives._dealt(parts, [archives.TASK_BYTES // 10] * 99 + [5 * archives.TASK_BYTES], 2)
+    assert [p.shard for d in dealt for p in d.parts] == [str(i) for i in range(100)]
+    assert len(dealt) == 11 and dealt[-1].parts == parts[-1:]
+    assert archives._dealt([], [], 4) == []
+    assert len(archives._dealt(parts, [0] * 100, 4)) == 1
