@@ -25,8 +25,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group whose five-word shingles are 0.8 alike, the one with the smallest id.
 
-    Of planted pairs at 0.8 and above 0.997 are found (`tests/llm/test_similar.py`); the estimate that decides lets
-    some pairs from 0.75 on through.
+    No pair at 0.8 or more is left out (`similar.missing_links`); the estimate that decides first lets some pairs
+    from 0.75 on through.
     """
     return similar.keep_first(docs.select(*COLUMNS))
 

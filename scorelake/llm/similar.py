@@ -17,6 +17,11 @@ shingles are 80 % alike differ in far more. Here the same method has more bits a
   operator 4's fingerprint (512 bins of 4 bits, 256 bytes, standard error 0.018 at 0.8), so a comparison moves
   bytes of a fixed number whatever the length of the texts.
 
+What these keys and the estimate leave out is found exactly (`missing_links`). Shingles in order of how many texts
+hold them, rarest first: two texts at `similarity` t or more share one of their first n - ceil(t n) + 1 of n. Texts of different
+components that share one there are compared by their whole shingle sets, so every pair at t or more is linked.
+Shingles of one text only are never shuffled a second time, and a group already linked makes no pairs.
+
 A text is a node by its lower-cased words (A-Z), so copies that differ in white space or case never multiply. Null
 and empty texts and those without words are one node, like any other copies. A text of fewer than five (two) words is one shingle
 of all its words. A component's id is its smallest doc_id; repeated rows each come back.
@@ -139,8 +144,49 @@ def _verified(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     return wordy.mapInArrow(run, "a long, b long")
 
 
-def links(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(node, root) of the texts of `nodes` (node, segments, samples, sketch; one row each) that have a similar one."""
+def shingle_sets(df: DataFrame, text: str = "text") -> DataFrame:
+    """(node, n, shingles): the different five-word shingles of every different text, as hashes; those without words are left out."""
+
+    def rows(columns):
+        words = [word_hashes((t or "").encode().lower()) for t in columns["row_text"]]
+        node = [xxhash.xxh64_intdigest(w.tobytes()) for w in words]
+        sets = [np.unique(shingles(w, minhash.SHINGLE_WORDS)).view(np.int64) for w in words]
+        return {"node": [n - (1 << 64) if n >> 63 else n for n in node], "shingles": pa.array(sets, type=pa.list_(pa.int64()))}
+
+    found = over_rows(df.select(F.col(text).alias("row_text")), ["row_text"], "node long, shingles array<long>", rows)
+    first = found.where(F.size("shingles") > 0).groupBy("node").agg(F.first("shingles").alias("shingles"))
+    return first.select("node", F.size("shingles").alias("n"), "shingles")
+
+
+def missing_links(sets: DataFrame, roots: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b): every pair of texts of `sets` (`shingle_sets`) at `similarity` or more that `roots` (node, root) holds apart."""
+    single = sets.select("node", "n", F.explode("shingles").alias("s"))
+    shared = single.groupBy("s").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    held = single.join(shared, "s").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("f", "s"))).alias("held"))
+    # shingles of one text only are the rarest, so they stand first
+    own = F.col("n") - F.size("held")
+    least = F.ceil(F.col("n") * similarity - 1e-9)
+    taken = (F.col("n") - least + 1 - own).cast("int")
+    keys = held.where(taken > 0).select("node", "n", F.explode(F.slice("held", F.lit(1), taken)).alias("k")).select("node", "n", "k.s")
+    keys = cut(keys.join(roots, "node", "left").select("node", "n", "s", F.coalesce("root", "node").alias("root")))
+    mixed = keys.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("s")
+    keys = keys.join(mixed, "s", "left_semi")
+    a, b = (keys.select("s", *(F.col(c).alias(f"{side}_{c}") for c in ("node", "n", "root"))) for side in "ab")
+    alike = F.least("a_n", "b_n") >= F.greatest("a_n", "b_n") * similarity - 1e-9
+    pairs = a.hint("merge").join(b, "s").where((F.col("a_root") < F.col("b_root")) & alike)
+    pairs = cut(pairs.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct())
+    met = sets.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node", "left_semi")
+    left, right = (met.select(F.col("node").alias(n), F.col("n").alias(f"{n}_n"), F.col("shingles").alias(f"{n}_set")) for n in "ab")
+    common = F.size(F.array_intersect("a_set", "b_set"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", common.alias("common"), (F.col("a_n") + F.col("b_n")).alias("n"))
+    return both.where(F.col("common") >= (F.col("n") - F.col("common")) * similarity - 1e-9).select("a", "b")
+
+
+def links(nodes: DataFrame, similarity: float = SIMILARITY, sets: DataFrame | None = None) -> DataFrame:
+    """(node, root) of the texts of `nodes` (node, segments, samples, sketch; one row each) that have a similar one.
+
+    With their shingle sets (`shingle_sets`) no pair at `similarity` or more is left out.
+    """
     least = similarity - SLACK
     near = _neighbours(nodes)
     stars = near.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
@@ -151,7 +197,13 @@ def links(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     apart = chains.distinct().join(root_of("a"), "a", "left").join(root_of("b"), "b", "left")
     apart = apart.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
     more = cut(_verified(apart, nodes, least))
-    return components(linked.union(more)) if more.limit(1).count() else roots
+    if more.limit(1).count():
+        linked = linked.union(more)
+        roots = cut(components(linked))
+    if sets is None:
+        return roots
+    rest = cut(missing_links(sets, roots, similarity))
+    return components(linked.union(rest)) if rest.limit(1).count() else roots
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -159,7 +211,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", simi
     rows = cut(signatures(df, key, text))
     same = [F.first(c).alias(c) for c in ("segments", "samples", "sketch")]  # equal in all rows of a node
     nodes = cut(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), *same))
-    roots = links(nodes, similarity)
+    roots = links(nodes, similarity, cut(shingle_sets(df, text)))
     found = nodes.select("node", "first_id").join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
     ids = found.groupBy("root").agg(F.min("first_id").alias("component_id"))
     return rows.select("doc_id", "text_hash", "node").join(found.join(ids, "root").select("node", "root", "component_id"), "node").drop("node")

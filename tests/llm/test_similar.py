@@ -125,3 +125,40 @@ def test_one_digit_apart_shares_a_key(spark):
     row = df.select(*(similar._keys(F.col(c)).alias(c) for c in "abc")).first()
     assert len(set(row["a"])) == similar.SEGMENTS * similar.DIGITS
     assert len(set(row["a"]) & set(row["b"])) == 1 and not set(row["a"]) & set(row["c"])
+
+
+def test_no_pair_at_the_threshold_is_left_out(spark, planted):
+    rows, pairs = planted
+    rng = random.Random(11)
+    rows, base = list(rows), [f"c{i}" for i in range(400)]
+    for i in range(60):  # a crowd around one text: many at 0.8 from one another, few from the first of their keys
+        words = list(base)
+        for at in rng.sample(range(0, 400, 5), rng.randrange(5, 14)):
+            words[at] = f"y{i}_{at}"
+        rows.append((5000 + i, " ".join(words)))
+    rows += [(6000, " ".join(f"d{i}" for i in range(24))), (6001, " ".join(f"d{i}" for i in range(4, 28)))]  # 16 of 24
+    rows += [(6002, " ".join(f"e{i}" for i in range(22))), (6003, " ".join(f"e{i}" for i in range(2, 24)))]  # 16 of 20, just 0.8
+    found = {r["doc_id"]: r["component_id"] for r in similar.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(found[a] == found[b] for a, b, j in pairs if j >= 0.8)
+    crowd = [r for r in rows if 5000 <= r[0] < 6000]
+    near = [(a[0], b[0]) for n, a in enumerate(crowd) for b in crowd[:n] if _jaccard(a[1], b[1]) >= 0.8]
+    assert near and all(found[a] == found[b] for a, b in near)
+    assert found[6002] == found[6003] and found[6000] != found[6001]
+
+
+def test_exact_links_alone_equal_all_pairs(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(60):
+        base = [f"v{rng.randrange(40)}" for _ in range(rng.randrange(1, 60))]
+        rows.append(" ".join(base))
+        for _ in range(rng.randrange(3)):
+            words = base[: len(base) - rng.randrange(4)] + [f"z{rng.randrange(3)}"] * rng.randrange(3)
+            rows.append(" ".join(words) or "a")
+    rows = sorted(set(rows))
+    texts = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    number = {r["node"]: r["doc_id"] for r in similar.signatures(texts).collect()}
+    none = spark.createDataFrame([], "node long, root long")
+    got = {tuple(sorted((number[r["a"]], number[r["b"]]))) for r in similar.missing_links(similar.shingle_sets(texts), none).collect()}
+    want = {(i, j) for j in range(len(rows)) for i in range(j) if _jaccard(rows[i], rows[j]) >= 0.8}
+    assert got == want and len(want) > 20
