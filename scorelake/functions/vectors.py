@@ -46,13 +46,14 @@ def pad(tokens: Column, length: int, zero: Column) -> Column:
 def pad_mask(tokens: Column, length: int) -> Column:
     """True for the first min(n, length) places."""
     real = F.least(F.size(tokens), F.lit(length))
-    mask = F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda i: i < real)
+    mask = F.concat(F.array_repeat(F.lit(True), real), F.array_repeat(F.lit(False), F.lit(length) - real))
     return F.when(tokens.isNotNull(), mask)
 
 
 def trim_to_mask(tokens: Column, mask: Column) -> Column:
     """Keep as many leading tokens as the mask has true entries."""
-    return F.slice(tokens, F.lit(1), F.size(F.filter(mask, lambda m: m)))
+    # without a lambda, which would be called for every place; what is taken away are the true entries
+    return F.slice(tokens, F.lit(1), F.size(mask) - F.size(F.array_remove(mask, F.lit(True))))
 
 
 def latent_constants(channel_wise: bool) -> tuple[list[float], list[float]]:

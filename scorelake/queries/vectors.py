@@ -75,8 +75,10 @@ def pad_mask(spark, sf):
     out = None
     for width in {256, t.agg(F.max(F.size("t"))).first()[0]}:
         padded, mask = V.pad(F.col("t"), width, F.lit(0.0)), V.pad_mask(F.col("t"), width)
-        true = F.size(F.filter(mask, lambda m: m)).cast("long")
-        rows = t.select("doc_id", F.size(padded).cast("long").alias("width"), true.alias("n_true"), _sum(padded).alias("total"))
+        true = (F.size(mask) - F.size(F.array_remove(mask, F.lit(True)))).cast("long")
+        # zeros add nothing; most of a row padded to the longest list is zeros
+        total = _sum(F.array_remove(padded, F.lit(0.0)))
+        rows = t.select("doc_id", F.size(padded).cast("long").alias("width"), true.alias("n_true"), total.alias("total"))
         out = rows if out is None else out.union(rows)
     return out
 

@@ -246,3 +246,17 @@ def test_mask_without_dropping_and_unknown_strategy(spark):
     assert one(spark, augment.reward_mask(F.lit("k"), 4, "none")).c0 == [1, 1, 1, 1]
     with pytest.raises(ValueError):
         augment.reward_mask(F.lit("k"), 4, "other")
+
+
+def test_padding_calls_no_lambda_per_place(spark):
+    t = F.array(F.lit(1.0), F.lit(2.0))
+    length = 20_000
+    mask = vectors.pad_mask(t, length)
+    frame = spark.range(1).select(vectors.trim_to_mask(vectors.pad(t, length, F.lit(0.0)), mask).alias("t"), F.size(mask).alias("n"))
+    plan = frame._jdf.queryExecution().analyzed().toString()
+    assert "lambda" not in plan
+    assert tuple(frame.first()) == ([1.0, 2.0], length)
+    masks = spark.createDataFrame([([True, None, True],), ([False, None],), ([],), (None,)], "m array<boolean>")
+    got = [r[0] for r in masks.select(vectors.trim_to_mask(F.array(*map(F.lit, (1, 2, 3))), F.col("m"))).collect()]
+    assert got == [[1, 2], [], [], None]
+    assert spark.range(1).select(vectors.pad_mask(F.lit(None).cast("array<int>"), 3)).first()[0] is None
