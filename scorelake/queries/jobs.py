@@ -145,14 +145,15 @@ def jsonl_round_trip(spark, sf):
 # --- streams: the fixture tables are written in three slices and read as files arrive ------------
 
 
-def _as_stream(df: DataFrame, key: str, files_per_batch: int = 1) -> DataFrame:
-    """The rows in three files per write, streamed file by file."""
+def _as_stream(df: DataFrame, key: str, batches: int = 3) -> DataFrame:
+    """The rows in three writes, streamed in about `batches` micro-batches, however many files a write makes."""
     spark = df.sparkSession
     path = _folder(spark, "arriving")
     for i in range(3):
         part = df.where(F.floor(hash_u(key, "slice") * 3) == i)
         part.write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    files = len(spark.read.schema(df.schema).parquet(path).inputFiles())
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", max(1, -(-files // batches))).parquet(path)
 
 
 def _finish(q) -> None:

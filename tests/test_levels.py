@@ -1,3 +1,4 @@
+from pyspark.sql import functions as F
 """The levelled score log against a dictionary: any batch, snapshots, replays, number of folders."""
 
 import random
@@ -85,3 +86,14 @@ def test_no_batches_and_wrong_parameters(spark, tmp_path):
     stream = spark.readStream.schema(SCHEMA).parquet(str(tmp_path))
     with pytest.raises(ValueError, match="two folders"):
         levels.stream_upsert_levels(stream, NAMES, "x", "y", fanout=1)
+
+
+def test_number_of_micro_batches_does_not_grow_with_files(spark):
+    from scorelake.queries import jobs as queries
+
+    out = queries._folder(spark, "counted")
+    rows = spark.range(0, 4000, 1, 12).select(F.col("id").cast("string").alias("key"))
+    seen = []
+    q = queries._as_stream(rows, "key").writeStream.option("checkpointLocation", out).trigger(availableNow=True)
+    q.foreachBatch(lambda batch, number: seen.append(batch.count())).start().awaitTermination()
+    assert sum(seen) == 4000 and len(seen) == 3
