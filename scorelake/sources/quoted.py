@@ -31,6 +31,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types a
 from scorelake.session import materialise
 
 SPLIT_BYTES = 128 << 20
+#: what a task reads where splits are smaller
+TASK_BYTES = 32 << 20
 #: with more splits than this their states are joined by a shuffle in place of a broadcast (about 100 bytes each)
 BROADCAST_SPLITS = 200_000
 
@@ -47,6 +49,10 @@ def _lines(spark: SparkSession, path: str | Sequence[str], split_bytes: int) ->
     text = fixed.read.text(path, lineSep="\n").select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value"
     )
+    # many small splits share a task; a split stays whole and in order there
+    splits = text.rdd.getNumPartitions()
+    tasks = max(4 * spark.sparkContext.defaultParallelism, -(-splits * split_bytes // TASK_BYTES))
+    text = text.coalesce(tasks) if splits > tasks else text
     name = f"lines_{uuid.uuid4().hex}"
     text.createGlobalTempView(name)
     lines = spark.table(f"global_temp.{name}")

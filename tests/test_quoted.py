@@ -92,3 +92,12 @@ def test_a_file_is_read_by_many_tasks(spark):
     assert table.lines.rdd.getNumPartitions() >= 8 and table.states.where("inside").count() > 0
     rows = tables.read_captions_tsv(spark, where, split_bytes=64 << 10)
     assert rows.where("stem = lpad(substring(short_caption, 7, 9), 6, '0') and long_caption = concat('long\n', substring(short_caption, 7, 9), ' \"x\"')").count() == 20000
+
+
+def test_many_small_splits_share_tasks(spark, tmp_path):
+    rows = [f'"k{i}","a ""q"" {i}\nb"' for i in range(4000)]
+    (tmp_path / "t.csv").write_text("\n".join(rows) + "\n")
+    table = quoted.QuotedTable(spark, str(tmp_path / "t.csv"), ",", 256)
+    assert table.states.count() > 4 * spark.sparkContext.defaultParallelism
+    assert table.lines.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    assert sorted(r["record"] for r in table.records().collect()) == sorted(rows)
