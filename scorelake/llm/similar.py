@@ -20,7 +20,10 @@ shingles are 80 % alike differ in far more. Here the same method has more bits a
 What these keys and the estimate leave out is found exactly (`missing_links`). Shingles in order of how many texts
 hold them, rarest first: two texts at `similarity` t or more share one of their first n - ceil(t n) + 1 of n. Texts of different
 components that share one there are compared by their whole shingle sets, so every pair at t or more is linked.
-Shingles of one text only are never shuffled a second time, and a group already linked makes no pairs.
+Shingles don't move as rows: different texts go compressed to groups of about GROUP_ROWS, as in operator 6. A group sends each
+shingle once, 32 bits of it and how many of its texts hold it, to the bucket of the shingle, and gets back the numbers of those
+that several texts hold. Two shingles that agree in bucket and bits count together, which bends the order and nothing else. Only the
+first shared shingles of each text become rows, and a group already linked makes no pairs.
 
 A text is a node by its lower-cased words (A-Z), so copies that differ in white space or case never multiply. Null
 and empty texts and those without words are one node, like any other copies. A text of fewer than five (two) words is one shingle
@@ -30,17 +33,19 @@ of all its words. A component's id is its smallest doc_id; repeated rows each co
 from __future__ import annotations
 
 import base64
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from scorelake.llm import minhash
 from scorelake.llm.graph import components
 from scorelake.llm.simhash import one_of_each
-from scorelake.llm.texts import mix, over_rows, shingles, word_hashes
-from scorelake.session import materialise as cut
+from scorelake.llm.texts import ROWS, mix, over_rows, shingles, word_hashes
+from scorelake.session import materialise
 
 FEATURE_WORDS = 2
 SEGMENTS = 8
@@ -49,11 +54,16 @@ SAMPLES = 10
 SAMPLE_BINS = 4
 SIMILARITY = 0.8
 SLACK = 0.02
+GROUP_ROWS = 2000
 _WIDTH = 4 * DIGITS
 _LANES = np.random.Generator(np.random.PCG64(91)).integers(0, 2**64, size=-(-SEGMENTS * _WIDTH // 64), dtype=np.uint64)
 _MARKS = np.random.Generator(np.random.PCG64(92)).integers(0, 2**64, size=SAMPLES, dtype=np.uint64)
 _POWERS = 1 << np.arange(_WIDTH, dtype=np.int64)
 _AT_ONCE = 1 << 14
+_LOW = np.uint64(0xFFFFFFFF)
+_MOST = (1 << 16) - 1
+
+cut = partial(materialise, free=True)
 
 
 def segments(words: np.ndarray) -> list[int]:
@@ -144,30 +154,115 @@ def _verified(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     return wordy.mapInArrow(run, "a long, b long")
 
 
-def shingle_sets(df: DataFrame, text: str = "text") -> DataFrame:
-    """(node, n, shingles): the different five-word shingles of every different text, as hashes; those without words are left out."""
+def _shingle_set(packed: bytes) -> np.ndarray:
+    return np.unique(shingles(word_hashes(zstandard.decompress(packed)), minhash.SHINGLE_WORDS))
 
-    def rows(columns):
-        words = [word_hashes((t or "").encode().lower()) for t in columns["row_text"]]
-        node = [xxhash.xxh64_intdigest(w.tobytes()) for w in words]
-        sets = [np.unique(shingles(w, minhash.SHINGLE_WORDS)).view(np.int64) for w in words]
-        return {"node": [n - (1 << 64) if n >> 63 else n for n in node], "shingles": pa.array(sets, type=pa.list_(pa.int64()))}
 
-    found = over_rows(df.select(F.col(text).alias("row_text")), ["row_text"], "node long, shingles array<long>", rows)
-    first = found.where(F.size("shingles") > 0).groupBy("node").agg(F.first("shingles").alias("shingles"))
-    return first.select("node", F.size("shingles").alias("n"), "shingles")
+def shingle_sets(df: DataFrame, text: str = "text") -> DataFrame:
+    """(node, packed): the different texts, compressed, whose five-word shingles `missing_links` compares.
 
+    Texts without words are left out. A task gives each text once; copies that several tasks read stay.
+    """
 
-def missing_links(sets: DataFrame, roots: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    def run(batches):
+        small, seen = zstandard.ZstdCompressor(level=3), set()
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS):
+                found = {}
+                for t in batch.column(0).slice(start, ROWS):
+                    data = (t.as_py() or "").encode().lower()
+                    words = word_hashes(data)
+                    node = xxhash.xxh64_intdigest(words.tobytes())
+                    if words.size and node not in seen:
+                        seen.add(node)
+                        found[node - (1 << 64) if node >> 63 else node] = small.compress(data)
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), type=pa.int64()), pa.array(list(found.values()), type=pa.binary())], names=["node", "packed"])
+
+    return df.select(F.col(text).alias("row_text")).mapInArrow(run, "node long, packed binary")
+
+
+def _places(value: np.ndarray, buckets: int) -> np.ndarray:
+    """What of a shingle is sent: its bucket and, as the lower half, its lowest 32 bits."""
+    bucket = ((value >> np.uint64(40)) * np.uint64(buckets)) >> np.uint64(24)
+    return (bucket << np.uint64(32)) | (value & _LOW)
+
+
+def _group_sets(table: pa.Table) -> dict[int, np.ndarray]:
+    """node -> its sorted shingles, of the texts of one group; copies once."""
+    packed = dict(zip(table["node"].to_pylist(), table["packed"].to_pylist()))
+    return {node: _shingle_set(p) for node, p in packed.items()}
+
+
+def _by_bucket(owner: np.ndarray, *columns: np.ndarray) -> list[tuple]:
+    """(owner, bytes of each column) for every run of one owner."""
+    edges = np.flatnonzero(np.diff(owner.astype(np.int64), prepend=-1, append=-1)) if owner.size else []
+    return [(int(owner[s]), *(c[s:e].tobytes() for c in columns)) for s, e in zip(edges[:-1], edges[1:])]
+
+
+def _meet(table: pa.Table) -> pa.Table:
+    """For the shingles of one bucket that several texts hold: how many, back to each group that has them."""
+    bucket = table["bucket"][0].as_py()
+    blobs = table["low"].to_pylist()
+    group = np.repeat(np.array(table["group_no"].to_pylist(), dtype=np.int64), [len(b) // 4 for b in blobs])
+    low = np.frombuffer(b"".join(blobs), dtype="<u4")
+    held = np.frombuffer(b"".join(table["more"].to_pylist()), dtype="<u2").astype(np.int64) + 1
+    _, at = np.unique(low, return_inverse=True)
+    texts = np.bincount(at, weights=held).astype(np.int64)[at]
+    shared = texts > 1
+    group, low, texts = group[shared], low[shared], np.minimum(texts[shared], _MOST).astype("<u2")
+    order = np.argsort(group, kind="stable")
+    rows = _by_bucket(group[order], low[order], texts[order])
+    owner, low, texts = zip(*rows) if rows else ((), (), ())
+    return pa.table({
+        "group_no": pa.array(owner, type=pa.int32()), "bucket": pa.array([bucket] * len(owner), type=pa.int32()),
+        "low": pa.array(low, type=pa.binary()), "texts": pa.array(texts, type=pa.binary()),
+    })
+
+
+def _rarest(sets: DataFrame, similarity: float, group_rows: int) -> DataFrame:
+    """(node, n, s): of each text's n shingles, rarest first, those of the first n - ceil(similarity n) + 1 that other texts hold."""
+    groups = max(1, -(-sets.count() // group_rows))
+    by_group = sets.select(F.pmod("node", F.lit(groups)).cast("int").alias("group_no"), "node", "packed").groupBy("group_no")
+
+    def send(table: pa.Table) -> pa.Table:
+        found = list(_group_sets(table).values())
+        place, held = np.unique(_places(np.concatenate(found), groups), return_counts=True)
+        rows = _by_bucket(place >> np.uint64(32), (place & _LOW).astype("<u4"), (np.minimum(held, _MOST + 1) - 1).astype("<u2"))
+        bucket, low, more = zip(*rows)
+        return pa.table({
+            "bucket": pa.array(bucket, type=pa.int32()), "group_no": pa.array([table["group_no"][0].as_py()] * len(bucket), type=pa.int32()),
+            "low": pa.array(low, type=pa.binary()), "more": pa.array(more, type=pa.binary()),
+        })
+
+    def choose(table: pa.Table, back: pa.Table) -> pa.Table:
+        lows = back["low"].to_pylist()
+        place = np.repeat(np.array(back["bucket"].to_pylist(), dtype=np.uint64), [len(b) // 4 for b in lows]) << np.uint64(32)
+        place |= np.frombuffer(b"".join(lows), dtype="<u4").astype(np.uint64)
+        order = np.argsort(place)
+        place, texts = place[order], np.frombuffer(b"".join(back["texts"].to_pylist()), dtype="<u2")[order]
+        nodes, sizes, keys = [], [], []
+        for node, own in _group_sets(table).items() if place.size else ():
+            mine = _places(own, groups)
+            at = np.minimum(np.searchsorted(place, mine), place.size - 1)
+            shared = place[at] == mine
+            # shingles of one text only are the rarest, so they stand first
+            taken = own.size - int(np.ceil(own.size * similarity - 1e-9)) + 1 - int(own.size - shared.sum())
+            if taken > 0:
+                first = own[shared][np.lexsort((own[shared], texts[at[shared]]))[:taken]]
+                nodes.append(np.full(first.size, node, dtype=np.int64))
+                sizes.append(np.full(first.size, own.size, dtype=np.int64))
+                keys.append(first.view(np.int64))
+        whole = [np.concatenate(c) if c else np.zeros(0, dtype=np.int64) for c in (nodes, sizes, keys)]
+        return pa.table(dict(zip(("node", "n", "s"), whole)))
+
+    back = by_group.applyInArrow(send, "bucket int, group_no int, low binary, more binary")
+    back = back.groupBy("bucket").applyInArrow(_meet, "group_no int, bucket int, low binary, texts binary")
+    return by_group.cogroup(back.groupBy("group_no")).applyInArrow(choose, "node long, n long, s long")
+
+
+def missing_links(sets: DataFrame, roots: DataFrame, similarity: float = SIMILARITY, group_rows: int = GROUP_ROWS) -> DataFrame:
     """(a, b): every pair of texts of `sets` (`shingle_sets`) at `similarity` or more that `roots` (node, root) holds apart."""
-    single = sets.select("node", "n", F.explode("shingles").alias("s"))
-    shared = single.groupBy("s").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
-    held = single.join(shared, "s").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("f", "s"))).alias("held"))
-    # shingles of one text only are the rarest, so they stand first
-    own = F.col("n") - F.size("held")
-    least = F.ceil(F.col("n") * similarity - 1e-9)
-    taken = (F.col("n") - least + 1 - own).cast("int")
-    keys = held.where(taken > 0).select("node", "n", F.explode(F.slice("held", F.lit(1), taken)).alias("k")).select("node", "n", "k.s")
+    keys = _rarest(sets, similarity, group_rows)
     keys = cut(keys.join(roots, "node", "left").select("node", "n", "s", F.coalesce("root", "node").alias("root")))
     mixed = keys.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("s")
     keys = keys.join(mixed, "s", "left_semi")
@@ -176,10 +271,25 @@ def missing_links(sets: DataFrame, roots: DataFrame, similarity: float = SIMILAR
     pairs = a.hint("merge").join(b, "s").where((F.col("a_root") < F.col("b_root")) & alike)
     pairs = cut(pairs.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct())
     met = sets.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node", "left_semi")
-    left, right = (met.select(F.col("node").alias(n), F.col("n").alias(f"{n}_n"), F.col("shingles").alias(f"{n}_set")) for n in "ab")
-    common = F.size(F.array_intersect("a_set", "b_set"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", common.alias("common"), (F.col("a_n") + F.col("b_n")).alias("n"))
-    return both.where(F.col("common") >= (F.col("n") - F.col("common")) * similarity - 1e-9).select("a", "b")
+    met = cut(met.dropDuplicates(["node"]))
+    left, right = (met.select(F.col("node").alias(n), F.col("packed").alias(f"{n}_packed")) for n in "ab")
+
+    def run(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS):
+                part, known = batch.slice(start, ROWS), {}
+                for node, packed in ((0, 2), (1, 3)):
+                    for n, p in zip(part.column(node).to_pylist(), part.column(packed)):
+                        if n not in known:
+                            known[n] = _shingle_set(p.as_py())
+                near = []
+                for a, b in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    common, n = np.intersect1d(known[a], known[b], assume_unique=True).size, known[a].size + known[b].size
+                    near.append(common >= (n - common) * similarity - 1e-9)
+                yield part.select(["a", "b"]).filter(pa.array(near, type=pa.bool_()))
+
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "a_packed", "b_packed")
+    return both.mapInArrow(run, "a long, b long")
 
 
 def links(nodes: DataFrame, similarity: float = SIMILARITY, sets: DataFrame | None = None) -> DataFrame:

@@ -46,22 +46,35 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def materialise(df: DataFrame, label: str = "") -> DataFrame:
+#: Spark's switch for removing the shuffle files of a query when it ends
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialise(df: DataFrame, label: str = "", free: bool = False) -> DataFrame:
     """Compute `df` once and keep it in the shared folder, its partitioning included.
 
     Needed where later steps must all see the same physical partitioning (range partitioning
     samples its bounds, so a recomputed stage could disagree with an earlier one), and to cut
     lineage. It is a reliable checkpoint: Spark removes the files when nothing refers to the result
     any more (see DEFAULTS), so jobs and micro-batches leave nothing behind. `label` names the step
-    in the Spark UI.
+    in the Spark UI. With `free` the shuffle files of the step go when it is done, not when the driver next
+    collects garbage, so that of a row of steps only one's lie on disk.
     """
-    context = df.sparkSession.sparkContext
+    context, conf = df.sparkSession.sparkContext, df.sparkSession.conf
     if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not context.getCheckpointDir():
         context.setCheckpointDir(shared_folder(df.sparkSession))
     if label:
         context.setJobDescription(f"materialise {label}")
+    before = conf.get(_FREE, None)
     try:
+        if free:
+            conf.set(_FREE, "true")
+            df = df.select("*")  # a frame takes the switch as it is when the frame is made
         return df.checkpoint()
     finally:
+        if free and before is None:
+            conf.unset(_FREE)
+        elif free:
+            conf.set(_FREE, before)
         if label:
             context.setJobDescription(None)

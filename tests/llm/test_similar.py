@@ -1,6 +1,8 @@
 """Near-duplicates by shingle similarity: recall and precision on planted pairs, dense groups, odd tables."""
 
 import random
+import time
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -162,3 +164,45 @@ def test_exact_links_alone_equal_all_pairs(spark):
     got = {tuple(sorted((number[r["a"]], number[r["b"]]))) for r in similar.missing_links(similar.shingle_sets(texts), none).collect()}
     want = {(i, j) for j in range(len(rows)) for i in range(j) if _jaccard(rows[i], rows[j]) >= 0.8}
     assert got == want and len(want) > 20
+
+
+def _shuffled(spark):
+    """Bytes that the session has written to shuffles so far."""
+    summaries = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(summaries.apply(i).totalShuffleWrite() for i in range(summaries.size()))
+
+
+def test_exact_links_move_no_row_per_shingle(spark):
+    rng = random.Random(13)
+    texts = [" ".join(f"{rng.randrange(10**6)}" for _ in range(400)) for _ in range(1500)]
+    texts += [t + " end" for t in texts[:20]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    sets = similar.shingle_sets(similar.cut(df))
+    none = spark.createDataFrame([], "node long, root long")
+    before = _shuffled(spark)
+    assert similar.missing_links(sets, none).count() == 20
+    assert _shuffled(spark) - before < 2 * sum(map(len, texts))
+
+
+def test_exact_links_do_not_depend_on_groups(spark):
+    rng = random.Random(14)
+    bases = [[f"v{rng.randrange(30)}" for _ in range(rng.randrange(20, 60))] for _ in range(80)]
+    texts = sorted({" ".join(b[: len(b) - rng.randrange(4)] + ["z"] * rng.randrange(3)) for b in bases for _ in range(4)})
+    sets = similar.cut(similar.shingle_sets(spark.createDataFrame([(t,) for t in texts + texts[:50]], "text string").repartition(6)))
+    none = spark.createDataFrame([], "node long, root long")
+    one, many = (sorted(map(tuple, similar.missing_links(sets, none, group_rows=g).collect())) for g in (10**6, 7))
+    want = sum(_jaccard(a, b) >= 0.8 for i, a in enumerate(texts) for b in texts[:i])
+    assert one == many and len(one) == len(set(one)) == want > 20
+
+
+def test_shuffle_files_go_with_their_step(spark):
+    dirs = [d for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()]
+    size = lambda: sum(f.stat().st_size for d in dirs for f in Path(d).rglob("*") if f.is_file())
+    before, kept = size(), []
+    for salt in range(3):
+        kept.append(similar.cut(spark.range(400_000).select(F.xxhash64("id", F.lit(salt)).alias("k")).groupBy("k").count()))
+    deadline = time.time() + 20
+    while size() - before > 1 << 20 and time.time() < deadline:
+        time.sleep(0.2)
+    assert size() - before < 1 << 20 and all(df.count() == 400_000 for df in kept)
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) is None
