@@ -220,7 +220,10 @@ def _meet(table: pa.Table) -> pa.Table:
 
 
 def _rarest(sets: DataFrame, similarity: float, group_rows: int) -> DataFrame:
-    """(node, n, s): of each text's n shingles, rarest first, those of the first n - ceil(similarity n) + 1 that other texts hold."""
+    """(node, n, at, s): of each text's n shingles, rarest first, those of the first n - ceil(similarity n) + 1 that other texts hold.
+
+    `at` is the shingle's place in that order, from 0.
+    """
     groups = max(1, -(-sets.count() // group_rows))
     by_group = sets.select(F.pmod("node", F.lit(groups)).cast("int").alias("group_no"), "node", "packed").groupBy("group_no")
 
@@ -240,36 +243,48 @@ def _rarest(sets: DataFrame, similarity: float, group_rows: int) -> DataFrame:
         place |= np.frombuffer(b"".join(lows), dtype="<u4").astype(np.uint64)
         order = np.argsort(place)
         place, texts = place[order], np.frombuffer(b"".join(back["texts"].to_pylist()), dtype="<u2")[order]
-        nodes, sizes, keys = [], [], []
+        nodes, sizes, places, keys = [], [], [], []
         for node, own in _group_sets(table).items() if place.size else ():
             mine = _places(own, groups)
             at = np.minimum(np.searchsorted(place, mine), place.size - 1)
             shared = place[at] == mine
             # shingles of one text only are the rarest, so they stand first
-            taken = own.size - int(np.ceil(own.size * similarity - 1e-9)) + 1 - int(own.size - shared.sum())
+            alone = int(own.size - shared.sum())
+            taken = own.size - int(np.ceil(own.size * similarity - 1e-9)) + 1 - alone
             if taken > 0:
                 first = own[shared][np.lexsort((own[shared], texts[at[shared]]))[:taken]]
                 nodes.append(np.full(first.size, node, dtype=np.int64))
                 sizes.append(np.full(first.size, own.size, dtype=np.int64))
+                places.append(np.arange(alone, alone + first.size, dtype=np.int64))
                 keys.append(first.view(np.int64))
-        whole = [np.concatenate(c) if c else np.zeros(0, dtype=np.int64) for c in (nodes, sizes, keys)]
-        return pa.table(dict(zip(("node", "n", "s"), whole)))
+        whole = [np.concatenate(c) if c else np.zeros(0, dtype=np.int64) for c in (nodes, sizes, places, keys)]
+        return pa.table(dict(zip(("node", "n", "at", "s"), whole)))
 
     back = by_group.applyInArrow(send, "bucket int, group_no int, low binary, more binary")
     back = back.groupBy("bucket").applyInArrow(_meet, "group_no int, bucket int, low binary, texts binary")
-    return by_group.cogroup(back.groupBy("group_no")).applyInArrow(choose, "node long, n long, s long")
+    return by_group.cogroup(back.groupBy("group_no")).applyInArrow(choose, "node long, n long, at long, s long")
+
+
+def _candidates(keys: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): texts of different roots that share one of `keys` (`_rarest`, root) and may share enough after it.
+
+    What two texts share stands, in both, from the first shingle they share on. So at that shingle both must have as
+    many left as two texts at `similarity` share; a group whose texts have a passage in common and little else makes no pairs.
+    """
+    mixed = keys.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("s")
+    keys = keys.join(mixed, "s", "left_semi")
+    a, b = (keys.select("s", *(F.col(c).alias(f"{side}_{c}") for c in ("node", "n", "at", "root"))) for side in "ab")
+    left = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at"))
+    enough = left >= (F.col("a_n") + F.col("b_n")) * (similarity / (1 + similarity)) - 1e-9
+    pairs = a.hint("merge").join(b, "s").where((F.col("a_root") < F.col("b_root")) & enough)
+    return pairs.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
 
 
 def missing_links(sets: DataFrame, roots: DataFrame, similarity: float = SIMILARITY, group_rows: int = GROUP_ROWS) -> DataFrame:
     """(a, b): every pair of texts of `sets` (`shingle_sets`) at `similarity` or more that `roots` (node, root) holds apart."""
     keys = _rarest(sets, similarity, group_rows)
-    keys = cut(keys.join(roots, "node", "left").select("node", "n", "s", F.coalesce("root", "node").alias("root")))
-    mixed = keys.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("s")
-    keys = keys.join(mixed, "s", "left_semi")
-    a, b = (keys.select("s", *(F.col(c).alias(f"{side}_{c}") for c in ("node", "n", "root"))) for side in "ab")
-    alike = F.least("a_n", "b_n") >= F.greatest("a_n", "b_n") * similarity - 1e-9
-    pairs = a.hint("merge").join(b, "s").where((F.col("a_root") < F.col("b_root")) & alike)
-    pairs = cut(pairs.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct())
+    keys = cut(keys.join(roots, "node", "left").select("node", "n", "at", "s", F.coalesce("root", "node").alias("root")))
+    pairs = cut(_candidates(keys, similarity))
     met = sets.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node", "left_semi")
     met = cut(met.dropDuplicates(["node"]))
     left, right = (met.select(F.col("node").alias(n), F.col("packed").alias(f"{n}_packed")) for n in "ab")

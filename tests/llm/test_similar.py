@@ -206,3 +206,16 @@ def test_shuffle_files_go_with_their_step(spark):
         time.sleep(0.2)
     assert size() - before < 1 << 20 and all(df.count() == 400_000 for df in kept)
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) is None
+
+
+def test_a_shared_passage_alone_makes_no_candidates(spark):
+    rng = random.Random(15)
+    passage = [f"p{i}" for i in range(110)]
+    texts = [" ".join(passage + [f"q{i}_{j}" for j in range(20)]) for i in range(300)]
+    edited = [" ".join(_edited(rng, passage, "replace", 1)) for _ in range(40)]
+    near = sum(_jaccard(a, b) >= 0.8 for i, a in enumerate(edited) for b in edited[:i])
+    for rows, least, most in ((texts, 0, 0), (edited, near, 40 * 39 // 2)):
+        df = spark.createDataFrame([(t,) for t in rows], "text string")
+        keys = similar._rarest(similar.shingle_sets(df), 0.8, 50).withColumn("root", F.col("node"))
+        assert keys.count() and keys.where("at >= n - ceil(0.8 * n) + 1").count() == 0
+        assert least <= similar._candidates(keys, 0.8).count() <= most
