@@ -160,11 +160,12 @@ def _prompt_folders(spark: SparkSession, sf: str) -> str:
 
     def write(batches):
         for pdf in batches:
-            for conv, turn in zip(pdf["conv_id"], pdf["turn"]):
+            for conv, turns in pdf.groupby("conv_id")["turn"]:
                 folder = Path(root) / f"{conv:05d}"
                 (folder / "samples").mkdir(parents=True, exist_ok=True)
-                (folder / "samples" / f"{turn:04d}.png").write_bytes(b"x")
                 (folder / "metadata.jsonl").write_text(f'{{"prompt": "prompt {conv}"}}\n')
+                for turn in turns:
+                    (folder / "samples" / f"{turn:04d}.png").write_bytes(b"x")
             yield pdf.iloc[:0]
 
     rows = table(spark, sf, "conversations").select("conv_id", "turn")

@@ -109,9 +109,26 @@ def _strip(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
-def _listing(spark: SparkSession, root: str) -> DataFrame:
-    """Files below `root` by path only; their bytes are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+#: how many tasks list folders; Spark's own value is one task a folder up to 10,000
+_LISTING = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+
+
+def _files(spark: SparkSession, root: str) -> DataFrame:
+    """All files below `root`, listed once and by as many tasks as there are slots, four times over."""
+    conf = spark.conf
+    before = conf.get(_LISTING, None)
+    try:
+        conf.set(_LISTING, str(4 * spark.sparkContext.defaultParallelism))
+        return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    finally:
+        if before is None:
+            conf.unset(_LISTING)
+        else:
+            conf.set(_LISTING, before)
+
+
+def _listing(files: DataFrame) -> DataFrame:
+    """Images of `files` (`_files`) by path only; their bytes are not read."""
     files = files.select("path", _location().alias("place"))
     return files.select(
         "path",
@@ -125,25 +142,27 @@ def _location() -> Column:
     return F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:/")
 
 
-def _metadata(spark: SparkSession, root: str) -> DataFrame:
-    """(folder, text) of the metadata.jsonl of every prompt folder; the files hold one object."""
-    texts = spark.read.text(root, wholetext=True, pathGlobFilter="metadata.jsonl", recursiveFileLookup=True)
-    return texts.select(F.regexp_replace(_location(), "/metadata.jsonl$", "").alias("folder"), F.col("value").alias("text"))
+def _metadata(files: DataFrame) -> DataFrame:
+    """(folder, text) of the metadata.jsonl of every prompt folder; the files hold one object. Other files are not opened."""
+    texts = files.where((F.col("_metadata.file_name") == "metadata.jsonl") & (F.col("length") > 0))
+    return texts.select(F.regexp_replace(_location(), "/metadata.jsonl$", "").alias("folder"), F.col("content").cast("string").alias("text"))
 
 
 def discover_images(spark: SparkSession, root: str) -> DataFrame:
     """(filename, prompt): images of every prompt folder with a non-empty first metadata line."""
+    files = _files(spark, root)
     first = _strip(F.element_at(F.split("text", "\n"), 1))
-    prompts = _metadata(spark, root).select("folder", first.alias("line")).where(F.col("line") != "")
+    prompts = _metadata(files).select("folder", first.alias("line")).where(F.col("line") != "")
     prompts = prompts.select("folder", F.get_json_object("line", "$.prompt").alias("prompt"))
-    images = _listing(spark, root).where(F.lower("name").rlike(r"\.(png|jpg|jpeg|webp)$"))
+    images = _listing(files).where(F.lower("name").rlike(r"\.(png|jpg|jpeg|webp)$"))
     return images.join(prompts, "folder").select(F.col("path").alias("filename"), "prompt")
 
 
 def discover_images_strict(spark: SparkSession, root: str) -> DataFrame:
     """(filename, metadata): numbered folders only, files that start like `0001.png`."""
-    specs = _metadata(spark, root).select("folder", _strip(F.col("text")).alias("metadata"))
-    images = _listing(spark, root).where(
+    files = _files(spark, root)
+    specs = _metadata(files).select("folder", _strip(F.col("text")).alias("metadata"))
+    images = _listing(files).where(
         F.col("folder").rlike(r"/\d+$") & F.col("name").rlike(r"^\d+\.png")
     )
     return images.join(specs, "folder").select(F.col("path").alias("filename"), "metadata")

@@ -223,3 +223,24 @@ def test_all_scorers_share_one_python_pass(spark):
     got = {r.key: r for r in scored.collect()}
     assert got["k"].vqa_score == pytest.approx(0.003 * 4 / 10) and got["l"].vqa_score is None
     assert {r.key: r.clip_score for r in alone.collect()}["k"] == got["k"].clip_score
+
+
+def test_image_folders_are_listed_once_by_few_tasks_and_images_stay_closed(spark, tmp_path):
+    for i in range(300):
+        (tmp_path / f"{i:05d}" / "samples").mkdir(parents=True)
+        (tmp_path / f"{i:05d}" / "samples" / "0000.png").write_bytes(b"x" * 200)
+        (tmp_path / f"{i:05d}" / "metadata.jsonl").write_text(f'{{"prompt": "p{i}"}}\n')
+    context, largest = spark.sparkContext, "spark.sql.sources.binaryFile.maxLength"
+    spark.conf.set(largest, "100")  # a longer file that is opened raises an error
+    try:
+        for number, discover in enumerate((tables.discover_images, tables.discover_images_strict)):
+            context.setJobGroup(f"listing-{number}-{tmp_path.name}", "")
+            found = discover(spark, str(tmp_path))
+            tracker = context.statusTracker()
+            jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup(f"listing-{number}-{tmp_path.name}")]
+            assert sum(tracker.getStageInfo(s).numTasks for j in jobs for s in j.stageIds) <= 4 * context.defaultParallelism
+            assert found.count() == 300 and found.distinct().count() == 300 and len(found.collect()) == 300
+    finally:
+        spark.conf.unset(largest)
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism", None) is None
