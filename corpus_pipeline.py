@@ -43,9 +43,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, with the check that they decode to its bytes."""
-    coded = bpe.decode(bpe.encode(docs.select("doc_id", "source", "text")))
-    exact = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
-    return coded.select("doc_id", "source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", exact.alias("exact"))
+    coded = bpe.encode_checked(docs.select("doc_id", "source", "text"))
+    return coded.select("doc_id", "source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", "exact")
 
 
 STAGES = [

@@ -104,6 +104,31 @@ def decode(df: DataFrame, ids: str = "token_ids", into: str = "decoded", ranks:
     return _with_column(df, ids, into, T.BinaryType(), bytes_of)
 
 
+def encode_checked(df: DataFrame, text: str = "text", into: str = "token_ids", check: str = "exact", ranks: str | None = None, pattern: str | None = None, at_once: int = 256) -> DataFrame:
+    """`df` with the token ids of a text column in its place, and whether they decode to its bytes.
+
+    `encode` and `decode` in one pass: a task has one Python worker, and the text doesn't travel back.
+    """
+    ranks, pattern = ranks or default_ranks(), pattern or default_pattern()
+    others = [c for c in df.columns if c != text]
+    if {into, check} & {*others}:
+        raise ValueError(f"column {into} or {check} exists")
+
+    def run(batches):
+        coder = encoding(ranks, pattern)
+        for batch in batches:
+            for start in range(0, batch.num_rows, at_once):
+                part = batch.slice(start, at_once)
+                texts = part.column(len(others)).to_pylist()
+                ids = [encode_text(coder, t) for t in texts]
+                exact = [coder.decode_bytes(i) == (t or "").encode() for i, t in zip(ids, texts)]
+                columns = [*part.columns[:-1], pa.array(ids, type=pa.list_(pa.int32())), pa.array(exact, type=pa.bool_())]
+                yield pa.RecordBatch.from_arrays(columns, names=[*others, into, check])
+
+    kept = df.select(*others, text)
+    return kept.mapInArrow(run, T.StructType([*kept.schema.fields[:-1], T.StructField(into, T.ArrayType(T.IntegerType())), T.StructField(check, T.BooleanType())]))
+
+
 def _with_column(df: DataFrame, source: str, into: str, kind: T.DataType, fn, at_once: int = 256) -> DataFrame:
     if into in df.columns:
         raise ValueError(f"column {into} exists")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, functions as F
 
-from scorelake.session import materialise as cut
+from scorelake.session import freed, materialise
 
+cut = partial(materialise, free=True)
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -14,7 +17,8 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     Large-star and small-star steps in turn: each node's larger neighbours, then its smaller ones,
     move to the smallest neighbour. Every step is one aggregate before a shuffle and one join, which
     AQE splits at a hot node. Rounds end when no link changes; their number grows with the logarithm
-    of the longest path. Each round is checkpointed. Null nodes are left out.
+    of the longest path. Each round is checkpointed, and its shuffle files go with it: a round writes little,
+    but a file for each of its tasks. Null nodes are left out.
     """
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = cut(edges)
@@ -41,5 +45,6 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def _digest(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v") % 1000003)).first()
+    with freed(edges.sparkSession):
+        row = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v") % 1000003)).first()
     return tuple(row)

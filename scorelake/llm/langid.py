@@ -111,7 +111,7 @@ class Compressors:
         return self.names[order[0]], score, score < margin
 
 
-@functools.lru_cache(maxsize=4)
+@functools.lru_cache(maxsize=1)  # a worker outlives the job; sets of earlier jobs would stay in its memory
 def _loaded(items: tuple, level: int) -> Compressors:
     return Compressors(dict(items), level)
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,6 +52,20 @@ def shared_folder(spark: SparkSession) -> str:
 _FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+@contextlib.contextmanager
+def freed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the frames made and run inside go when their query ends."""
+    before = spark.conf.get(_FREE, None)
+    spark.conf.set(_FREE, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_FREE)
+        else:
+            spark.conf.set(_FREE, before)
+
+
 def materialise(df: DataFrame, label: str = "", free: bool = False) -> DataFrame:
     """Compute `df` once and keep it in the shared folder, its partitioning included.
 
@@ -60,21 +76,16 @@ def materialise(df: DataFrame, label: str = "", free: bool = False) -> DataFrame
     in the Spark UI. With `free` the shuffle files of the step go when it is done, not when the driver next
     collects garbage, so that of a row of steps only one's lie on disk.
     """
-    context, conf = df.sparkSession.sparkContext, df.sparkSession.conf
+    context = df.sparkSession.sparkContext
     if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not context.getCheckpointDir():
         context.setCheckpointDir(shared_folder(df.sparkSession))
     if label:
         context.setJobDescription(f"materialise {label}")
-    before = conf.get(_FREE, None)
     try:
-        if free:
-            conf.set(_FREE, "true")
-            df = df.select("*")  # a frame takes the switch as it is when the frame is made
-        return df.checkpoint()
+        if not free:
+            return df.checkpoint()
+        with freed(df.sparkSession):
+            return df.select("*").checkpoint()  # a frame takes the switch as it is when the frame is made
     finally:
-        if free and before is None:
-            conf.unset(_FREE)
-        elif free:
-            conf.set(_FREE, before)
         if label:
             context.setJobDescription(None)

@@ -1,7 +1,11 @@
 """Vector search, url filters, source mixing and the pipeline on small tables."""
 
+import gc
 import math
 import random
+import time
+import weakref
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -9,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from scorelake.llm import ann, bpe, mixing, queries, similar, urls
+from scorelake.llm import ann, bpe, graph, langid, mixing, queries, similar, urls
 
 # --- nearest neighbours
 
@@ -193,3 +197,38 @@ def test_pipeline_stages(spark, tmp_path):
     assert sorted((r.doc_id, tuple(r.token_ids)) for r in coded.collect()) == texts
     assert coded.where("not exact").count() == 0
     assert len(corpus_pipeline.STAGES) == 5
+
+
+def test_tokens_are_coded_and_checked_in_one_pass(spark):
+    texts = [None, "", " ", "a  b\tc", "é ß 漢字 ", "<|endoftext|>", " " * 5000 + "x", "ab " * 60000]
+    docs = spark.createDataFrame([(i, t, "en", "src1", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    coded = corpus_pipeline.tokens(spark, docs, "")
+    # each Python step of a task is a worker of its own, which the next stages keep
+    assert coded._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    found = {r.doc_id: r for r in coded.collect()}
+    assert coded.columns == ["doc_id", "source", "n_tokens", "token_ids", "exact"]
+    plain = {r.doc_id: r.token_ids for r in bpe.encode(docs).collect()}
+    assert {i: r.token_ids for i, r in found.items()} == plain
+    assert all(r.exact and r.n_tokens == len(r.token_ids) and r.source == "src1" for r in found.values())
+    with pytest.raises(ValueError):
+        bpe.encode_checked(docs, into="lang")
+    assert bpe.encode_checked(docs.limit(0)).count() == 0
+
+
+def test_a_worker_keeps_one_set_of_dictionaries():
+    first = weakref.ref(langid._loaded((("en", b"the of and"),), langid.LEVEL))
+    langid._loaded((("de", b"der die das"),), langid.LEVEL)
+    gc.collect()
+    assert first() is None
+
+
+def test_components_leave_no_shuffle_files(spark):
+    folders = [Path(p) for p in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()]
+    held = lambda: {p.name for f in folders for p in f.rglob("shuffle_*")}
+    before = held()
+    found = graph.components(spark.range(2000).selectExpr("id as a", "id + 3 as b"))
+    until = time.time() + 10  # files go in the background
+    while held() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not held() - before
+    assert found.groupBy("root").count().count() == 3
